@@ -226,10 +226,9 @@ def _pack(batches):
     for b in batches:
         text = ["" if x is None else x for x in b.column(1).to_pylist()]
         raw = [x.encode() for x in text]
-        ids = b.column(0)
         yield pa.RecordBatch.from_arrays(
-            [ids, ids.fill_null(_NO_ID), pa.array([_key(x) for x in raw], pa.int64()), pa.array([squeeze.compress(x) for x in raw], pa.binary())],
-            ["doc_id", "did", "k", "z"],
+            [b.column(0).fill_null(_NO_ID), pa.array([_key(x) for x in raw], pa.int64()), pa.array([squeeze.compress(x) for x in raw], pa.binary())],
+            ["did", "k", "z"],
         )
 
 
@@ -255,7 +254,7 @@ def _finish(width: int):
                     kept.append(b" ".join(words).decode())
                 span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
                 yield pa.RecordBatch.from_arrays(
-                    [some.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, span), pa.array(kept, pa.string())],
+                    [pa.array([x if x != _NO_ID else None for x in some.column("did").to_pylist()], pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, span), pa.array(kept, pa.string())],
                     ["doc_id", "n_words", "n_removed", "spans", "kept_text"],
                 )
 
@@ -267,10 +266,11 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     n_parts = 4 * shuffle_parts(docs.sparkSession)
     hits = _exchange(docs.mapInArrow(_probe(width, n_parts), _PACKED), 5)
-    packed = docs.mapInArrow(_pack, "doc_id long, did long, k long, z binary")
+    # Both joins ask for the same rows and columns, so the texts move once.
+    packed = docs.mapInArrow(_pack, "did long, k long, z binary").where("did is not null and k is not null")
     near = packed.join(hits.hint("merge"), ["did", "k"]).select("did", "k", "z", "hits")
     repeats = _exchange(near.mapInArrow(_windows(width, n_parts), _PACKED), 8)
-    whole = packed.join(repeats.hint("merge"), ["did", "k"], "left").select("doc_id", "z", "hits")
+    whole = packed.join(repeats.hint("merge"), ["did", "k"], "left").select("did", "z", "hits")
     return whole.mapInArrow(
         _finish(width), "doc_id long, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept_text string"
     )
