@@ -53,7 +53,8 @@ def test_windows(benchmark: DataFrame, size: int = WINDOW, id_col: str = "item_i
 
 def term_counts(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
     """(term, n): tokens of the whole corpus for each of the given terms."""
-    tokens = docs.select(F.explode(words(F.col(text_col))).alias("term"))
+    # The outer form adds no filter on the array, which would split texts again.
+    tokens = docs.select(words(F.col(text_col)).alias("w")).select(F.explode_outer("w").alias("term"))
     return terms.join(tokens.join(terms, "term").groupBy("term").agg(F.count("*").alias("n")), "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -72,7 +73,7 @@ def postings(docs: DataFrame, terms: DataFrame, context: int, id_col: str = "doc
     around holds the words from pos - before on, up to context on each side."""
     held = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_text"), words(F.col(text_col)).alias("w"))
     # explode and join run in one stage: the array is only read for matching rows.
-    at = held.select("_id", "_text", "w", F.posexplode("w").alias("pos", "term")).join(terms, "term")
+    at = held.select("_id", "_text", "w", F.posexplode_outer("w").alias("pos", "term")).join(terms, "term")
     before = F.least(F.col("pos"), F.lit(context))
     return at.select("_id", "_text", "term", "pos", before.alias("before"), F.slice("w", F.col("pos") - before + 1, before + context + 1).alias("around"))
 
