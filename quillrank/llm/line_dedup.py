@@ -36,13 +36,14 @@ def lines_of(text: Column) -> Column:
 
 
 def _known(line: Column) -> Column:
-    return F.regexp_replace(line, r"^[ \t\r]+|[ \t\r]+$", "")
+    return F.btrim(line, F.lit(" \t\r"))
 
 
 def boilerplate_lines(docs: DataFrame, min_sites: int = MIN_SITES, text_col: str = "text", site_col: str = "source") -> DataFrame:
     """h, line, n_sites for every line of at least min_sites sites (n_sites is
     the sketch's estimate where that alone decided)."""
-    lines = docs.select(F.explode(lines_of(F.col(text_col))).alias("line"), F.xxhash64(F.col(site_col), F.col(site_col).isNull()).alias("site"))
+    # The outer form adds no filter on the array, which would split texts again.
+    lines = docs.select(F.explode_outer(lines_of(F.col(text_col))).alias("line"), F.xxhash64(F.col(site_col), F.col(site_col).isNull()).alias("site"))
     lines = lines.select(_known(F.col("line")).alias("line"), "site").where("line <> ''")
     hashed = lines.select(F.xxhash64("line").alias("h"), "site")
     sketched = hashed.groupBy("h").agg(F.count("*").alias("n"), F.approx_count_distinct("site", SKETCH_ERROR).alias("spread"))
@@ -65,7 +66,7 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str
     bad = broadcast_if_small(bad, bad.count())
     # Rows are known by id and text: equal rows lose equal lines.
     key = [F.col(id_col).alias("__id"), F.xxhash64(F.col(text_col)).alias("__text")]
-    at = docs.select(*key, F.posexplode(lines_of(F.col(text_col))).alias("pos", "line"))
+    at = docs.select(*key, F.posexplode_outer(lines_of(F.col(text_col))).alias("pos", "line"))
     at = at.select("__id", "__text", "pos", _known(F.col("line")).alias("line")).where("line <> ''")
     hit = at.withColumn("h", F.xxhash64("line")).join(bad, "h").where(F.col("line") == F.col("__line"))
     hit = hit.groupBy("__id", "__text").agg(F.collect_set("pos").alias("__gone"))
