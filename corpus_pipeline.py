@@ -7,6 +7,8 @@ documents.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,18 +16,40 @@ from quillrank.llm import decontaminate, line_dedup, mixing, simhash_dedup, toxi
 from quillrank.llm.store import broadcast_if_small, written
 
 
+_OWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _apart(stage):
+    """Run a stage with any further columns under names of their own, so that
+    none can clash with what the stage computes. Columns that the last stage
+    adds win over further columns of the same name."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        extra = {f"__extra_{i}": c for i, c in enumerate(docs.columns) if c not in _OWN}
+        held = docs.withColumnsRenamed({v: k for k, v in extra.items()})
+        out = stage(spark, held, sf_dir)
+        taken = set(out.columns) - set(held.columns)
+        return out.drop(*[k for k, v in extra.items() if v in taken]).withColumnsRenamed(extra)
+
+    return run
+
+
+@_apart
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not reject."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model, keep=tuple(docs.columns)).where("predicted = 0").select(*docs.columns)
+    return docs.where(toxicity.score_column(model, F.col("text")) < toxicity.THRESHOLD)
 
 
+@_apart
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without its cross-site lines; n_chars follows the text."""
     out = line_dedup.remove_boilerplate(docs)
     return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
+@_apart
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest doc_id of each group of linked fingerprints, once. Rows
     without a doc_id cannot stand for a group and stay."""
@@ -38,11 +62,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     if n == 0:
         return left.select(*docs.columns)
     mark = broadcast_if_small(twice, n)
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64(*docs.columns))
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64(*[c for c in _OWN if c in docs.columns]))
     once = left.join(mark, "doc_id", "left_semi").withColumn("__n", F.row_number().over(order)).where("__n = 1")
     return left.join(mark, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
 
 
+@_apart
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth repeats benchmark windows."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
@@ -50,6 +75,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return found.where(~F.col("contaminated")).select(*docs.columns)
 
 
+@_apart
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with how many copies of each."""
     keep = tuple(c for c in docs.columns if c != "doc_id")

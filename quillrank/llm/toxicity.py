@@ -23,7 +23,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillrank.llm import textnum as tn
@@ -105,7 +105,7 @@ def document_logits(text: pa.Array, table: np.ndarray, bias: float) -> np.ndarra
 def _bags(text: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     """Each document's buckets and their shares in its average."""
     bags = []
-    for c in tn.chunks(text):
+    for c in tn.chunks(text, 1 << 17):  # small chunks: this runs on the driver
         bag = _bag(c)
         own = _counts(bag)
         words = np.bincount(bag.doc, minlength=bag.n_docs) + PRIOR_WORDS
@@ -116,7 +116,7 @@ def _bags(text: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
             keys.append(np.repeat(bag.doc, n) << BUCKET_BITS | buckets[at].astype(np.int64))
             shares.append(np.repeat(share, n))
         key, back = np.unique(np.concatenate(keys), return_inverse=True)
-        weight = np.bincount(back, np.concatenate(shares)).astype(np.float32)
+        weight = (np.bincount(back, np.concatenate(shares)) * 100).astype(np.float16)  # a share of 1 % counts 1
         bounds = np.searchsorted(key, np.arange(bag.n_docs + 1) << BUCKET_BITS)
         bags += [((key[i:j] & ((1 << BUCKET_BITS) - 1)).astype(np.uint16), weight[i:j]) for i, j in zip(bounds[:-1], bounds[1:])]
     return bags
@@ -141,7 +141,7 @@ def train(text: pa.Array, y: list[int], epochs: int = 15, batch: int = 64, rate:
             own = order[lo : lo + batch]
             x = np.zeros((len(own), size), np.float32)
             for i, j in enumerate(own):
-                x[i, bags[j][0]] = bags[j][1] * 100  # a share of 1 % counts 1
+                x[i, bags[j][0]] = bags[j][1]
             vec = x @ emb
             z = vec @ out + bias
             p = np.exp(z - z.max(1, keepdims=True))
@@ -166,20 +166,18 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int = MOD, held: int = HELD, ro
     return train(*sample(docs, labels, "toxic", mod, held, rows))
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], keep: tuple = ()) -> DataFrame:
-    """doc_id, held_out, score, predicted, and the columns in keep."""
+def score_column(model: tuple[np.ndarray, float], text: Column) -> Column:
+    """The score of a text, from 0 to 1. A scalar UDF: only the texts leave
+    the JVM, whatever other columns a row has."""
     table, bias = model
 
-    def run(batches):
-        for b in batches:
-            z = document_logits(b.column(0), table, bias)
-            yield pa.RecordBatch.from_arrays([pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500)))), *b.columns[1:]], ["score", *b.schema.names[1:]])
-
-    rest = ["doc_id", *[c for c in keep if c != "doc_id"]]
-    asked = docs.select(F.col("text").alias("__text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(rest)])
-    kinds = ", ".join(f"{n} {t}" for n, t in asked.dtypes[1:])
-    got = asked.mapInArrow(run, f"score double, {kinds}")
-    got = got.select("score", *[F.col(f"c{i}").alias(c) for i, c in enumerate(rest)])
-    return got.select(
-        F.col("doc_id"), (fold(F.col("doc_id"), MOD) == HELD).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), *rest[1:]
-    )
+    def logistic(text: pa.Array) -> pa.Array:
+        return pa.array(1 / (1 + np.exp(-np.clip(document_logits(text, table, bias), -500, 500))))
+
+    return F.arrow_udf(logistic, "double")(text)
+
+
+def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
+    """doc_id, held_out, score, predicted."""
+    got = docs.select("doc_id", score_column(model, F.col("text")).alias("score"))
+    return got.select("doc_id", (fold(F.col("doc_id"), MOD) == HELD).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
