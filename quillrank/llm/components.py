@@ -20,7 +20,7 @@ def _smallest(pairs: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """edges(a long, b long) -> (node, component), the smallest node reachable.
 
-    Nodes without an edge are not returned. Large-star and small-star steps
+    Every node with an edge to another is returned, the smallest included. Large-star and small-star steps
     alternate until every node points straight at its smallest one.
     """
     now = written(edges.where("a <> b").select("a", "b").distinct())
@@ -37,5 +37,6 @@ def components(edges: DataFrame) -> DataFrame:
         new = written(small.distinct())
         same = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if same(new) == same(now):
-            return new.select(F.col("a").alias("node"), F.col("b").alias("component"))
+            roots = new.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+            return new.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(roots)
         now = new

@@ -187,12 +187,14 @@ def links(fps: DataFrame, tau: int = TAU, m: int | None = None) -> DataFrame:
     spread = fps.select("fp", F.explode(values).alias("v")).select("fp", "v.part", "v.value")
     sizes = spread.groupBy("part", "value").agg(F.count("*").alias("n"))
     sizes = written(sizes.where("n > 1"))
-    stats = {r["part"]: r for r in sizes.groupBy("part").agg(F.sum(F.col("n").cast("double") * F.least(F.col("n"), F.lit(HOT))).alias("pairs")).collect()}
+    stats = {r["part"]: r for r in sizes.groupBy("part").agg(F.sum(F.col("n").cast("double") * F.least(F.col("n"), F.lit(HOT))).alias("pairs"), F.max("n").alias("most")).collect()}
     n = float(fps.count())
     costs = []
     for i, p in enumerate(parts):
         met = stats[i]["pairs"] if i in stats else 0.0
-        costs.append([0.0] + [comb_sum(len(p), t) * (n + met) for t in range(tau + 1)])
+        # Radius probes meet whole values, so they are for partitions without a hot one.
+        reach = tau if i not in stats or stats[i]["most"] <= HOT else 0
+        costs.append([0.0] + [comb_sum(len(p), t) * (n + met) for t in range(reach + 1)])
     thresholds = allocate(costs, tau)
     probed = [i for i, t in enumerate(thresholds) if t >= 0]
     sizes = sizes.where(F.col("part").isin(probed))
