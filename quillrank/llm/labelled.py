@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,9 +19,10 @@ def fold(doc_id: Column, mod: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % mod
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, held: int, rows: tuple[int, int] = SAMPLE_ROWS) -> tuple[pa.Array, list[int]]:
+def sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, held: int, rows: tuple[int, int] = SAMPLE_ROWS) -> tuple[pa.Array, list[int], float]:
     """Texts and labels of at most ``rows`` training documents of label 0 and 1: the
-    ones first in an order by hash, so reruns agree. Only ids travel to the
+    ones first in an order by hash, so reruns agree. Third, how far the log odds
+    of label 1 among all labels lie above those of the sample. Only ids travel to the
     documents; bounded by rows, they are broadcast."""
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull())
     known = known.where(fold(F.col("doc_id"), mod) != held).groupBy("doc_id").agg(F.max("y").alias("y"))
@@ -30,4 +33,10 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, held: int,
     wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     got = wanted.where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y").toArrow()
     got = got.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    return got.column("text").combine_chunks(), got.column("y").to_pylist()
+    y = got.column("y").to_pylist()
+    all_n = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    own_n = {v: y.count(v) for v in (0, 1)}
+    shift = 0.0
+    if all(own_n.values()):
+        shift = math.log(all_n[1] / all_n[0]) - math.log(own_n[1] / own_n[0])
+    return got.column("text").combine_chunks(), y, shift

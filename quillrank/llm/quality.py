@@ -152,7 +152,7 @@ def train(x: np.ndarray, y: list[int], hidden: int = 32, epochs: int = 60, rate:
 def fit(docs: DataFrame, labels: DataFrame, mod: int = MOD, held: int = HELD, rows: tuple[int, int] = (4000, 4000)):
     """(word vectors over all documents, network, temperature)."""
     vectors = word_vectors(docs)
-    text, y = sample(docs, labels, "quality", mod, held, rows)
+    text, y, _ = sample(docs, labels, "quality", mod, held, rows)
     return (vectors, *train(pooled(text, vectors), y))
 
 
