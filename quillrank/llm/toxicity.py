@@ -36,6 +36,11 @@ DIM = 8
 GRAMS = (3, 4, 5)
 #: So many words of no weight are added to each average, which steadies short texts.
 PRIOR_WORDS = 20
+#: The average is multiplied by (words + PRIOR_WORDS) ** STRETCH: at 1/2 chance
+#: scores spread alike at every length, so long texts are not drowned.
+STRETCH = 0.5
+#: Shares are multiplied by this in training, to suit the step size.
+UNIT = 6
 THRESHOLD = 0.3
 MOD, HELD = 4, 2
 
@@ -100,7 +105,7 @@ def document_logits(text: pa.Array, table: np.ndarray, bias: float) -> np.ndarra
             total += np.where(own > 0, run[bag.starts - 1 + own] - run[bag.starts - 1], 0)
             count += own
         words = np.bincount(bag.doc, minlength=bag.n_docs)
-        out.append(bias + np.bincount(bag.doc, total / count, bag.n_docs) / (words + PRIOR_WORDS))
+        out.append(bias + np.bincount(bag.doc, total / count, bag.n_docs) * (words + PRIOR_WORDS) ** (STRETCH - 1))
     return np.concatenate(out) if out else np.empty(0)
 
 
@@ -111,20 +116,20 @@ def _bags(text: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
         bag = _bag(c)
         own = _counts(bag)
         words = np.bincount(bag.doc, minlength=bag.n_docs) + PRIOR_WORDS
-        share = 1 / (1 + sum(own)) / words[bag.doc]
+        share = 1 / (1 + sum(own)) * words[bag.doc] ** (STRETCH - 1)
         keys, shares = [bag.doc << BUCKET_BITS | bag.whole], [share]
         for buckets, n in zip(bag.grams, own):
             at = np.repeat(bag.starts - 1 - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
             keys.append(np.repeat(bag.doc, n) << BUCKET_BITS | buckets[at].astype(np.int64))
             shares.append(np.repeat(share, n))
         key, back = np.unique(np.concatenate(keys), return_inverse=True)
-        weight = (np.bincount(back, np.concatenate(shares)) * 100).astype(np.float16)  # a share of 1 % counts 1
+        weight = (np.bincount(back, np.concatenate(shares)) * UNIT).astype(np.float16)
         bounds = np.searchsorted(key, np.arange(bag.n_docs + 1) << BUCKET_BITS)
         bags += [((key[i:j] & ((1 << BUCKET_BITS) - 1)).astype(np.uint16), weight[i:j]) for i, j in zip(bounds[:-1], bounds[1:])]
     return bags
 
 
-def train(text: pa.Array, y: list[int], batch: int = 64, rate: float = 0.02, decay: float = 0.05, seed: int = 7) -> tuple[np.ndarray, float]:
+def train(text: pa.Array, y: list[int], batch: int = 64, rate: float = 0.02, decay: float = 0.05, damping: float = 1e-2, seed: int = 7) -> tuple[np.ndarray, float]:
     """The folded table and bias: logit of label 1 against label 0."""
     size, rng = 1 << BUCKET_BITS, np.random.default_rng(seed)
     y = np.asarray(y, np.int64)
@@ -158,9 +163,9 @@ def train(text: pa.Array, y: list[int], batch: int = 64, rate: float = 0.02, dec
                 v *= 0.999
                 v += 0.001 * g * g
                 w *= 1 - rate * decay
-                w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-2)
+                w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + damping)
     side = out[:, 1] - out[:, 0]
-    return ((emb @ side) * 100).astype(np.float32), float(bias[1] - bias[0])
+    return ((emb @ side) * UNIT).astype(np.float32), float(bias[1] - bias[0])
 
 
 def fit(docs: DataFrame, labels: DataFrame, mod: int = MOD, held: int = HELD, rows: tuple[int, int] = (8000, 2000)) -> tuple[np.ndarray, float]:
