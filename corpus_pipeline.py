@@ -12,7 +12,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillrank.llm import decontaminate, line_dedup, mixing, simhash_dedup, toxicity
+from quillrank.llm import decontaminate, line_dedup, mixing, near_copies, toxicity
 from quillrank.llm.store import broadcast_if_small, written
 
 
@@ -51,9 +51,9 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 @_apart
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of linked fingerprints, once. Rows
-    without a doc_id cannot stand for a group and stay."""
-    groups = simhash_dedup.simhash_groups(docs)
+    """The smallest doc_id of each group of texts with a similarity of 0.8 or
+    more, once. Rows without a doc_id cannot stand for a group and stay."""
+    groups = near_copies.near_copy_groups(docs)
     gone = written(groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
     left = docs.join(broadcast_if_small(gone, gone.count()), "doc_id", "left_anti")
     # Rows that repeat a doc_id: only those ids need an order.
@@ -91,7 +91,7 @@ STAGES = [
     ("mixing", mix_sources),
 ]
 
-#: Toxicity and SimHash (XXH64) have no SQL form; tests/llm holds run() against
+#: Toxicity and shingle similarity have no SQL form; tests/llm holds run() against
 #: a brute-force version instead.
 ORACLE_SQL = None
 
