@@ -10,8 +10,10 @@ Candidates of all tables are merged and reranked by exact cosine.
 Rows are kept in shards (one task's rows at a time, as they lie); each shard
 hashes its rows and answers blocks of queries, so vectors never move. A block
 of queries is bounded and sent to every shard; what moves is k rows per query
-and shard. The number of probes is set on a bounded sample so that measured
-recall reaches a goal above what is asked.
+and shard. The first number of probes is set on a bounded sample so that measured
+recall reaches a goal above what is asked. Each query then goes on until a row
+as near as its k-th one is met with that probability, by the normal law of the
+projections; where probes cannot reach that, the shard is searched whole.
 
 Cases: vectors that are null, zero, or hold null or non-finite components, and
 rows with a null id, take no part; equal scores go to the smaller id; repeated
@@ -33,6 +35,8 @@ TABLES, HASHES, CELL = 8, 4, 1.0
 SEED = 5
 #: Rows of a shard, queries sent at once, rows of the recall sample.
 SHARD, BLOCK, SAMPLE = 65_536, 20_000, 4_000
+#: Queries whose buckets are held at once.
+QUERIES = 512
 GOAL = 0.97
 
 
@@ -56,13 +60,34 @@ class Hashes:
         """One number per bucket; cells of unit vectors are far below 1024."""
         return (cells + 1024) @ (4096 ** np.arange(cells.shape[-1]))
 
-    def probes(self, unit: np.ndarray, t: int, n: int) -> np.ndarray:
-        """Codes of the n buckets of best estimated success, for each query."""
+    def probes(self, unit: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes of the buckets around each query by estimated success, their
+        numbers in steps, and the query's place within its cells."""
         cells, place = self.cells(unit, t)
         cost = np.stack([np.zeros_like(place), place**2, (1 - place) ** 2], 2)
         total = sum(cost[:, j, :][:, np.where(self.steps[:, j] == 0, 0, np.where(self.steps[:, j] < 0, 1, 2))] for j in range(self.steps.shape[1]))
-        order = np.argsort(total, axis=1, kind="stable")[:, :n]
-        return self.code(cells[:, None, :] + self.steps[order])
+        order = np.argsort(total, axis=1, kind="stable")
+        return self.code(cells[:, None, :] + self.steps[order]), order, place
+
+    def needed(self, order: np.ndarray, place: np.ndarray, distance: float, goal: float) -> int | None:
+        """Probes with which a row at that distance of one query is met in some
+        table with probability goal; None if all of them are too few."""
+        spread = max(distance, 1e-9) / self.cell
+        below = _normal((np.array([-1.0, 0.0, 1.0, 2.0]) - place[..., None]) / spread)
+        step = np.diff(below)  # tables x functions x (down, stay, up)
+        met = np.ones(order.shape)
+        for j in range(self.steps.shape[1]):
+            met *= np.take_along_axis(step[:, j, :], self.steps[order, j] + 1, 1)
+        missed = np.prod(1 - np.minimum(np.cumsum(met, 1), 1), axis=0)
+        enough = np.flatnonzero(missed <= 1 - goal)
+        return int(enough[0]) + 1 if len(enough) else None
+
+
+def _normal(x: np.ndarray) -> np.ndarray:
+    """Distribution function of the normal law, to 1e-7 (Abramowitz, Stegun 26.2.17)."""
+    t = 1 / (1 + 0.2316419 * np.abs(x))
+    tail = np.exp(-x * x / 2) / np.sqrt(2 * np.pi) * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    return np.where(x < 0, tail, 1 - tail)
 
 
 def _clean(ids, vectors: pa.Array):
@@ -80,33 +105,51 @@ def _norms(x: np.ndarray) -> np.ndarray:
     return np.sqrt((x * x).sum(1))
 
 
-def search_shard(h: Hashes, ids, x, q_ids, q, k: int, probes: int):
-    """k best (query, row, score) of one shard for each query."""
+def search_shard(h: Hashes, ids, x, q_ids, q, k: int, probes: int, goal: float = GOAL):
+    """k best (query, row, score) of one shard for each query. Every query
+    starts with the same number of probes; its k-th row then tells how many it
+    needs, and where no number is enough, or k rows are not found, the whole
+    shard is its candidates."""
     norm, q_norm = _norms(x), _norms(q)
     unit, q_unit = x / norm[:, None], q / q_norm[:, None]
     tables = []
     for t in range(len(h.a)):
         codes = h.code(h.cells(unit, t)[0])
         order = np.argsort(codes, kind="stable")
-        wanted = h.probes(q_unit, t, probes)
-        tables.append((order, np.searchsorted(codes[order], wanted), np.searchsorted(codes[order], wanted, "right")))
+        tables.append((order, codes[order]))
     out = []
-    for i in range(len(q)):
-        seen = np.zeros(len(x), bool)
-        for order, lo, hi in tables:
-            for a, b in zip(lo[i], hi[i]):
-                if a < b:
-                    seen[order[a:b]] = True
-        at = np.flatnonzero(seen & (ids != q_ids[i]))
-        if len(at) > k:
-            near = unit[at] @ q_unit[i]
-            at = at[near >= np.partition(near, -k)[-k] - 1e-9]
-        if not len(at):
-            continue
-        # The same sums in the same order for equal vectors, so ties are ties.
-        exact = (x[at] * q[i]).sum(1) / (norm[at] * q_norm[i])
-        best = np.lexsort((ids[at], -exact))[:k]
-        out.append((np.full(len(best), q_ids[i]), ids[at[best]], exact[best]))
+    for start in range(0, len(q), QUERIES):
+        asked = [h.probes(q_unit[start : start + QUERIES], t) for t in range(len(tables))]
+        places = [(np.searchsorted(c, a[0]), np.searchsorted(c, a[0], "right")) for (_, c), a in zip(tables, asked)]
+        for i in range(start, min(start + QUERIES, len(q))):
+            own = i - start
+            seen = np.zeros(len(x), bool)
+
+            def visit(first, last, seen=seen, own=own, places=places):
+                for (order, _), (lo, hi) in zip(tables, places):
+                    for a, b in zip(lo[own, first:last], hi[own, first:last]):
+                        if a < b:
+                            seen[order[a:b]] = True
+                return np.flatnonzero(seen & (ids != q_ids[i]))
+
+            at = visit(0, probes)
+            need = None
+            if len(at) >= k:
+                kth = np.partition(unit[at] @ q_unit[i], -k)[-k]
+                need = h.needed(np.stack([a[1][own] for a in asked]), np.stack([a[2][own] for a in asked]), float(np.sqrt(max(2 - 2 * kth, 0))), goal)
+            if need is None:
+                at = np.flatnonzero(ids != q_ids[i])
+            elif need > probes:
+                at = visit(probes, need)
+            if len(at) > k:
+                near = unit[at] @ q_unit[i]
+                at = at[near >= np.partition(near, -k)[-k] - 1e-9]
+            if not len(at):
+                continue
+            # The same sums in the same order for equal vectors, so ties are ties.
+            exact = (x[at] * q[i]).sum(1) / (norm[at] * q_norm[i])
+            best = np.lexsort((ids[at], -exact))[:k]
+            out.append((np.full(len(best), q_ids[i]), ids[at[best]], exact[best]))
     return out
 
 
