@@ -37,8 +37,9 @@ WINDOW = 20
 #: Character class (tested in order) and the entropy in bits its windows need.
 CLASSES = (("^[0-9a-fA-F]+$", 3.01), ("^[A-Za-z0-9]+$", 3.51), ("", 3.61))
 #: Runs that are not secrets: no digit or no letter, words joined by signs,
-#: and identifiers such as UUIDs. Matched against the whole candidate.
-ALLOW = ("^[^0-9]*$", "^[^A-Za-z]*$", "^([A-Za-z]+|[0-9]+)([-_/+=]+([A-Za-z]+|[0-9]+))*[-_/+=]*$", "^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")
+#: (no letter touches a digit; a repeated group would recurse in Java) and
+#: identifiers such as UUIDs. Matched against the whole candidate.
+ALLOW = ("^[^0-9]*$", "^[^A-Za-z]*$", "^(?!.*[A-Za-z][0-9])(?!.*[0-9][A-Za-z])[A-Za-z0-9][A-Za-z0-9+/_=-]*$", "^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")
 
 
 def _located(text: Column, pattern: str) -> Column:
