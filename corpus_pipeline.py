@@ -52,19 +52,21 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 @_apart
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest doc_id of each group of texts with a similarity of 0.8 or
-    more, once. Rows without a doc_id cannot stand for a group and stay."""
-    groups = near_copies.near_copy_groups(docs)
-    gone = written(groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
-    left = docs.join(broadcast_if_small(gone, gone.count()), "doc_id", "left_anti")
-    # Rows that repeat a doc_id: only those ids need an order.
-    twice = written(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    more, once; of its texts, one. Rows are told apart by doc_id and shingle
+    set, so another text under a dropped id stays. Rows without a doc_id cannot
+    stand for a group and stay."""
+    groups, key = near_copies.near_copy_groups(docs), ["doc_id", "node"]
+    gone = written(groups.where(F.col("doc_id").isNotNull() & ~F.col("keep")).select(*key).distinct())
+    left = near_copies.numbered(docs).join(broadcast_if_small(gone, gone.count()), key, "left_anti")
+    # Rows that repeat a doc_id and its text: only those need an order.
+    twice = written(groups.where("keep").groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key))
     n = twice.count()
     if n == 0:
         return left.select(*docs.columns)
     mark = broadcast_if_small(twice, n)
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64(*[c for c in _OWN if c in docs.columns]))
-    once = left.join(mark, "doc_id", "left_semi").withColumn("__n", F.row_number().over(order)).where("__n = 1")
-    return left.join(mark, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
+    order = Window.partitionBy(*key).orderBy(F.xxhash64("text"), F.xxhash64(*[c for c in _OWN if c in docs.columns]))
+    once = left.join(mark, key, "left_semi").withColumn("__n", F.row_number().over(order)).where("__n = 1")
+    return left.join(mark, key, "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
 
 
 @_apart

@@ -182,7 +182,8 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 
 def near_copy_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, node, component_id: the smallest doc_id reachable over links."""
+    """doc_id, node, component_id: the smallest doc_id reachable over links, and
+    keep: whether the row's doc_id and node are the component's smallest."""
     texts = written(numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")))
     rows = texts.select("doc_id", "node")
     nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
@@ -193,7 +194,8 @@ def near_copy_groups(docs: DataFrame) -> DataFrame:
     one = texts.join(mark, "node", "left_anti").select("node", "text").unionByName(one)
     joined = components(links(written(one)))
     named = joined.join(nodes, "node").select("node", "component", "rep")
-    low = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    moved = named.join(low, "component").select("node", "component_id")
-    table = written(nodes.join(moved, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id")))
-    return rows.join(table, "node").select("doc_id", "node", "component_id")
+    low = named.groupBy("component").agg(F.min(F.when(F.col("rep").isNotNull(), F.struct("rep", "node"))).alias("low"))
+    moved = named.join(low, "component").select("node", "low")
+    low = F.coalesce("low", F.struct("rep", "node"))
+    table = written(nodes.join(moved, "node", "left").select("node", low["rep"].alias("component_id"), (low["node"] == F.col("node")).alias("own")))
+    return rows.join(table, "node").select("doc_id", "node", "component_id", (F.col("own") & (F.col("doc_id") == F.col("component_id"))).alias("keep"))

@@ -4,7 +4,7 @@ import random
 
 import corpus_pipeline
 import pytest
-from common import frame, lower, words
+from common import DOCS, frame, lower, words
 
 from quillrank.llm import near_copies
 
@@ -61,3 +61,11 @@ def test_a_large_group_of_near_copies_grows_in_proportion(spark, monkeypatch):
     left = corpus_pipeline.drop_near_copies(spark, frame(spark, texts), "")
     assert [r["doc_id"] for r in left.collect()] == [0]
     assert sum(held) < 20 * n  # of 179,700 pairs
+
+
+def test_ids_that_repeat_with_other_texts(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    texts = [(1, a), (2, a), (2, b), (3, c), (3, d), (3, d + " end"), (4, c), (None, a), (None, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], DOCS)
+    left = [(r["doc_id"], r["text"][0]) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
+    assert sorted(left, key=repr) == sorted([(1, "a"), (2, "b"), (3, "c"), (3, "d"), (None, "a"), (None, "a")], key=repr)
