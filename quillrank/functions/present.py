@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from quillrank.functions.text import strip
 
+# Where a quote looks for a header in capitals, how long it may
+# be, and what a header is.
 QUOTE_HEAD, QUOTE_LIMIT = 220, 320
 _HEADER = r"(?U)\b[A-ZÁÉÍÓÚÑ]{2,}(?:\s+[A-ZÁÉÍÓÚÑ]{2,})*\b"
 
@@ -38,4 +40,17 @@ def escape(text: Column) -> Column:
 
 
 def notice(avisos: Column) -> Column:
-    return F.array_join(F.coalesce(avisos, F.array().cast("array<string>")), " · ")
+    """Why a candidate has gone down, escaped for HTML; '' if nothing is said."""
+    return escape(F.array_join(F.coalesce(avisos, F.array().cast("array<string>")), " · "))
+
+
+def percent(score: Column) -> Column:
+    """Width of a score's bar; scores below 0 have none."""
+    return F.greatest(score, F.lit(0.0)) * 100
+
+
+def console_row(position: Column, name: Column, score: Column, width: Column) -> Column:
+    """A line of the console ranking: place, name (as wide as the widest),
+    score with four decimals and its bar."""
+    number = F.lpad(F.format_string("%.4f", score), 10, " ")
+    return F.concat(F.rpad(position.cast("string"), 4, " "), F.rpad(name, width + 4, F.lit(" ")), number, F.lit("  "), bar(score))

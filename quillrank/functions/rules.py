@@ -49,6 +49,8 @@ PHRASE = rf"\b({_N})\s*\+?\s*anos?\s+(?:de\s+experiencia|\w+ando|\w+iendo|of\s+e
 # Penalty per missing unit and its cap.
 PENALTIES = {"anios": (0.05, 0.20), "titulacion": (0.04, 0.08), "ingles": (0.03, 0.09)}
 DEGREE_NAMES = {1: "FP o Grado Superior", 2: "Grado", 3: "Máster"}
+# The short names of degrees in the measurement reports.
+DEGREE_SHORT = {1: "FP", 2: "Grado", 3: "Master"}
 
 
 def chosen(key: Column, table: dict, kind: str = "int") -> Column:
@@ -84,10 +86,35 @@ def offer_section(line: Column) -> Column:
     return F.coalesce(chosen(offer_title(line), OFFER_HEADERS, "string"), F.lit("otros"))
 
 
+def plain_text(text: Column) -> Column:
+    """What the rules below read. They take it from here, so that a text that
+    several of them read can be normalised once, in a projection of its own."""
+    return normalise(F.coalesce(text, F.lit("")))
+
+
 def english_level(text: Column) -> Column:
+    return english_level_of(plain_text(text))
+
+
+def degree_level(text: Column) -> Column:
+    return degree_level_of(plain_text(text))
+
+
+def years_by_ranges(text: Column, this_year: int) -> Column:
+    return years_by_ranges_of(plain_text(text), this_year)
+
+
+def years_by_phrase(text: Column) -> Column:
+    return years_by_phrase_of(plain_text(text))
+
+
+def cv_years(experience: Column, whole: Column, this_year: int) -> Column:
+    return cv_years_of(plain_text(experience), plain_text(whole), this_year)
+
+
+def english_level_of(plain: Column) -> Column:
     """1 to 6 by the first mention of English that a level follows within 80
     characters and before another language; null if none."""
-    plain = normalise(F.coalesce(text, F.lit("")))
     windows = F.transform(located(plain, r"\bingles\b|\benglish\b"), lambda e: F.substr(plain, e + 1, F.lit(80)))
     windows = F.transform(windows, lambda w: F.regexp_extract(w, rf"(?s)^(.*?)(?:{OTHER_LANGUAGES}|\z)", 1))
 
@@ -98,9 +125,8 @@ def english_level(text: Column) -> Column:
     return F.get(F.filter(F.transform(windows, level), lambda x: x.isNotNull()), F.lit(0))
 
 
-def degree_level(text: Column) -> Column:
+def degree_level_of(plain: Column) -> Column:
     """3 master, 2 degree, 1 vocational: the highest named; null if none."""
-    plain = normalise(F.coalesce(text, F.lit("")))
     rest = F.regexp_replace(plain, r"\bgrado superior\b", " ")
     return F.greatest(F.when(plain.rlike(VOCATIONAL), 1), F.when(rest.rlike(MASTER), 3), F.when(rest.rlike(DEGREE), 2))
 
@@ -114,8 +140,7 @@ def union_years(spans: Column) -> Column:
     return F.when(F.size(spans) > 0, F.aggregate(F.array_sort(spans), start, step, lambda a: a["n"]))
 
 
-def years_by_ranges(text: Column, this_year: int) -> Column:
-    plain = normalise(F.coalesce(text, F.lit("")))
+def years_by_ranges_of(plain: Column, this_year: int) -> Column:
     spans = F.zip_with(
         F.regexp_extract_all(plain, F.lit(RANGE), F.lit(1)), F.regexp_extract_all(plain, F.lit(RANGE), F.lit(2)),
         lambda a, b: F.struct(a.cast("int").alias("start"), F.coalesce(b.try_cast("int"), F.lit(this_year)).alias("end")),
@@ -123,16 +148,22 @@ def years_by_ranges(text: Column, this_year: int) -> Column:
     return union_years(F.filter(spans, lambda s: s["end"] >= s["start"]))
 
 
-def years_by_phrase(text: Column) -> Column:
-    plain = normalise(F.coalesce(text, F.lit("")))
+def years_by_phrase_of(plain: Column) -> Column:
     n = F.coalesce(*[F.nullif(F.regexp_extract(plain, PHRASE, i), F.lit("")) for i in (1, 2)])
     return F.coalesce(n.try_cast("int"), chosen(n, NUMBER_WORDS))
 
 
-def cv_years(experience: Column, whole: Column, this_year: int) -> Column:
+def cv_years_of(experience: Column, whole: Column, this_year: int) -> Column:
     """Ranges of the experience section if they add up to anything, else the
     phrase anywhere; a total of 0 counts as no ranges."""
-    return F.coalesce(F.nullif(years_by_ranges(experience, this_year), F.lit(0)), years_by_phrase(whole))
+    return F.coalesce(F.nullif(years_by_ranges_of(experience, this_year), F.lit(0)), years_by_phrase_of(whole))
+
+
+def asked_label(anios: Column, titulacion: Column, ingles: Column) -> Column:
+    """What an offer asks for, in short: '5a,Grado,B2'; '-' if nothing."""
+    level = F.get(F.array(*[F.lit(k.upper()) for k in LEVELS]), ingles - 1)
+    said = F.concat_ws(",", F.concat(anios.cast("string"), F.lit("a")), chosen(titulacion, DEGREE_SHORT, "string"), level)
+    return F.when(said == "", F.lit("-")).otherwise(said)
 
 
 def verdict(asked: dict[str, Column], has: dict[str, Column]) -> Column:

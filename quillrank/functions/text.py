@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillrank.functions import spans
+
 # Accented Latin letters and their bases, and the pairs that
 # accent repair composes.
 ACCENTED = "ÁÀÄÂÃÅÉÈËÊÍÌÏÎÓÒÖÔÕÚÙÜÛÑÇáàäâãåéèëêíìïîóòöôõúùüûñç"
@@ -80,8 +82,4 @@ def fingerprint(c: Column) -> Column:
 
 def located(text: Column, pattern: str) -> Column:
     """End positions (code points) of all matches."""
-    hits = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits))
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends"))
-    step = lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["ends"], F.array(a["at"] + n)).alias("ends"))
-    return F.aggregate(F.zip_with(gaps, hits, lambda g, h: F.length(g) + F.length(h)), state, step, lambda a: a["ends"])
+    return F.transform(spans.matches(text, pattern), lambda x: x["start"] + F.length(x["match"]))

@@ -30,13 +30,14 @@ def argmax(scores: Column) -> Column:
     return F.greatest(F.coalesce(F.array_position(scores, F.array_max(scores)), F.lit(1)) - 1, F.lit(0)).cast("int")
 
 
-def pooled(scores: Column, kind: str) -> Column:
-    """Ways to turn fragment scores into one: mean, max, top2, top3, or a blend
-    such as 'mean70' (70 % mean and 30 % max)."""
-    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x, lambda s: s / F.size(a))
+def pooled(mean: Column, top: Column, kind: str) -> Column:
+    """Ways to turn fragment scores into one, from their mean and the best of
+    them, best first: mean, max, top2, top3, or a blend such as 'mean70' (70 %
+    mean and 30 % max)."""
     if kind == "max":
-        return F.array_max(scores)
+        return F.get(top, F.lit(0))
     if kind.startswith("top"):
-        return mean(F.slice(F.sort_array(scores, asc=False), 1, int(kind[3:])))
+        best = F.slice(top, 1, int(kind[3:]))
+        return F.aggregate(best, F.lit(0.0), lambda s, x: s + x, lambda s: s / F.size(best))
     share = int(kind[4:] or 100) / 100
-    return mean(scores) if share == 1 else mean(scores) * share + F.array_max(scores) * (1 - share)
+    return mean if share == 1 else mean * share + F.get(top, F.lit(0)) * (1 - share)

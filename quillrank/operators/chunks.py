@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 
 from quillrank.functions.text import strip
 
-_UNIT = re.compile(r"(?<=[.!?])\s+|\n+")
+# Fixed value: units end behind . ! ? and at line ends.
+UNIT_END = r"(?<=[.!?])\s+|\n+"
+_UNIT = re.compile(UNIT_END)
+_BLANK = r"(?U)\s+"
 
 
 def units(text: Column) -> Column:
     """Sentences and lines, stripped, without blanks."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])\s+|\n+"), strip), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), UNIT_END), strip), lambda x: x != "")
 
 
 def window_limit(max_length: int = 128) -> int:
@@ -48,30 +51,121 @@ def chunk(text: str | None, limit: int, count: Callable[[str], int] = count_word
     return pack(fine, limit, count) or [text or ""]
 
 
-def chunks(docs: DataFrame, limit: int | None = None, count: Callable[[str], int] = count_words, key: str = "doc_id", text: str = "texto") -> DataFrame:
-    """(key, pos, chunk). Packing is sequential within a text, so it runs in an
-    Arrow UDF, texts in and lists out."""
+def packed(text: Column, limit: int) -> Column:
+    """chunk() with words as tokens, as an expression: word counts add up, so a
+    running count tells whether a unit still fits."""
+    worded = F.transform(units(text), lambda u: F.struct(u.alias("u"), F.split(u, _BLANK).alias("w")))
+    piece = lambda w, i: F.slice(w, i * limit + 1, F.lit(limit))
+    last = lambda w: F.floor((F.size(w) - 1) / limit).cast("int")
+    pieces = lambda w: F.transform(F.sequence(F.lit(0), last(w)), lambda i: F.struct(F.array_join(piece(w, i), " ").alias("u"), F.size(piece(w, i)).alias("n")))
+    whole = lambda x: F.array(F.struct(x["u"].alias("u"), F.size(x["w"]).alias("n")))
+    fine = F.flatten(F.transform(worded, lambda x: F.when(F.size(x["w"]) <= limit, whole(x)).otherwise(pieces(x["w"]))))
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"), F.lit(0).alias("n"))
+
+    def step(acc, x):
+        fits = (acc["n"] > 0) & (acc["n"] + x["n"] <= limit)
+        done = F.when(fits | (acc["n"] == 0), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["cur"])))
+        cur = F.when(fits, F.concat_ws(" ", acc["cur"], x["u"])).otherwise(x["u"])
+        return F.struct(done.alias("done"), cur.alias("cur"), F.when(fits, acc["n"] + x["n"]).otherwise(x["n"]).alias("n"))
+
+    found = F.aggregate(fine, start, step, lambda acc: F.when(acc["n"] > 0, F.concat(acc["done"], F.array(acc["cur"]))))
+    return F.coalesce(found, F.array(F.coalesce(text, F.lit(""))))
+
+
+def chunks(docs: DataFrame, limit: int | None = None, count: Callable[[str], int] | None = None, key: str = "doc_id", text: str = "texto") -> DataFrame:
+    """(key, pos, chunk). Without a counter tokens are words and all stays in
+    the JVM; a model's own counter runs in an Arrow UDF, texts in, lists out."""
     limit = limit or window_limit()
 
     def run(texts: pa.Array) -> pa.Array:
         return pa.array([chunk(t, limit, count) for t in texts.to_pylist()], pa.list_(pa.string()))
 
-    parts = docs.select(key, F.arrow_udf(run, "array<string>")(F.col(text)).alias("parts"))
-    return parts.select(key, F.posexplode("parts").alias("pos", "chunk"))
+    found = packed(F.col(text), limit) if count is None else F.arrow_udf(run, "array<string>")(F.col(text))
+    return docs.select(key, found.alias("parts")).select(key, F.posexplode("parts").alias("pos", "chunk"))
 
 
 def hashed_terms(docs: DataFrame, dim: int = 384, key: str = "doc_id", text: str = "texto") -> DataFrame:
-    """Sparse lexical vectors (key, dim, x) of unit length: token counts in
-    buckets by the token's MD5."""
-    tokens = docs.select(key, F.explode(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z]+")).alias("t")).where("t <> ''")
+    """Sparse lexical vectors (key, dims, xs) of unit length: token counts in
+    buckets by the token's MD5; tokens are runs of letters and digits of any
+    script. At most dim entries a row; texts without tokens have no row."""
+    tokens = docs.select(key, F.explode(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")).alias("t")).where("t <> ''")
     bucket = (F.conv(F.substring(F.md5(F.col("t").cast("binary")), 1, 8), 16, 10).cast("long") % dim).cast("int")
     counts = tokens.groupBy(key, bucket.alias("dim")).agg(F.count("*").cast("double").alias("n"))
-    return counts.select(key, "dim", (F.col("n") / F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(key)))).alias("x"))
+    per = counts.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("dim", "n"))).alias("v"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("len"))
+    return per.select(key, F.col("v.dim").alias("dims"), F.transform("v.n", lambda n: n / F.col("len")).alias("xs"))
+
+
+def top_scores(offers: DataFrame, docs: DataFrame, k: int, dim: int = 384, block: int = 10_000) -> DataFrame:
+    """(offer_id, doc_id, score): per offer a superset of its k best documents of
+    those that share a bucket, a few rows per task. Offers go out in blocks of
+    checked size and meet each document once, as a matrix product; of documents
+    with equal scores the k smallest ids are kept."""
+    n = offers.count()
+    blocks, found = max(1, -(-n // block)), None
+    spark = docs.sparkSession
+    for i in range(blocks):
+        part = offers if blocks == 1 else offers.where(F.pmod(F.xxhash64("offer_id"), F.lit(blocks)) == i)
+        got = part.select("offer_id", "dims", "xs").toArrow()
+        sent = spark.sparkContext.broadcast((got.column("offer_id").to_numpy(), _dense(got.column("dims"), got.column("xs"), dim)))
+
+        def run(batches, sent=sent):
+            ids, weights = sent.value
+            for b in batches:
+                rows = max(1, (1 << 22) // max(1, len(ids)))
+                for lo in range(0, b.num_rows, rows):
+                    own = b.slice(lo, rows)
+                    yield _best_of(ids, own.column(0).to_numpy(), _dense(own.column(1), own.column(2), dim) @ weights.T, k)
+
+        more = docs.select("doc_id", "dims", "xs").mapInArrow(run, "offer_id long, doc_id long, score double")
+        found = more if found is None else found.unionAll(more)
+    return found
+
+
+def _dense(dims, xs, dim: int):
+    import numpy as np
+
+    if isinstance(dims, pa.ChunkedArray):
+        dims, xs = dims.combine_chunks(), xs.combine_chunks()
+    out = np.zeros((len(dims), dim))
+    row = np.repeat(np.arange(len(dims)), np.diff(dims.offsets.to_numpy()))
+    out[row, dims.flatten().to_numpy()] = xs.flatten().to_numpy()
+    return out
+
+
+def _best_of(offers, docs, scores, k: int) -> pa.RecordBatch:
+    """Of each column of scores, the rows that can be among the k best once
+    scores are rounded to six places."""
+    import numpy as np
+
+    cols: list[list] = [[], [], []]
+    for j in range(scores.shape[1]):
+        s = scores[:, j]
+        own = np.flatnonzero(s > 0)
+        if len(own) > k:
+            own = own[s[own] >= np.partition(s[own], -k)[-k] - 2e-6]
+        own = own[np.lexsort((docs[own], -s[own]))]
+        new = np.diff(s[own], prepend=np.inf) != 0
+        first = np.flatnonzero(new)
+        own = own[np.arange(len(own)) - first[np.cumsum(new) - 1] < k] if len(own) else own
+        cols[0].append(np.full(len(own), offers[j], np.int64))
+        cols[1].append(docs[own])
+        cols[2].append(s[own])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.empty(0)).cast(t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()))], ["offer_id", "doc_id", "score"])
+
+
+_MODELS: dict = {}
+
+
+def loaded(name: str, load: Callable[[], Callable]) -> Callable:
+    """The model of that name, loaded on first use, once per Python process."""
+    if name not in _MODELS:
+        _MODELS[name] = load()
+    return _MODELS[name]
 
 
-def sparse_scores(offers: DataFrame, docs: DataFrame) -> DataFrame:
-    """(offer_id, doc_id, score) of pairs that share a bucket."""
-    return offers.join(docs.withColumnRenamed("x", "y"), "dim").groupBy("offer_id", "doc_id").agg(F.sum(F.col("x") * F.col("y")).alias("score"))
+def lazy(name: str, load: Callable[[], Callable]) -> Callable[[list[str]], list[list[float]]]:
+    """An encoder for embed() whose model each worker loads when it first needs it."""
+    return lambda texts: loaded(name, load)(texts)
 
 
 def embed(chunked: DataFrame, encoder: Callable[[list[str]], list[list[float]]], key: str = "doc_id") -> DataFrame:

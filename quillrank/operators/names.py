@@ -9,6 +9,7 @@ from quillrank.functions.text import strip
 
 # Headings that are not names.
 HEADINGS = ("curriculum", "curriculum vitae", "cv", "resume", "resumen", "hoja de vida", "datos personales")
+# Fixed value: what a word of a name may look like.
 _WORD = r"^[A-Za-zÁÉÍÓÚÜÑáéíóúüñ][A-Za-zÁÉÍÓÚÜÑáéíóúüñ'’.\-]*$"
 
 
@@ -52,3 +53,14 @@ def candidate_name(file: Column, text: Column, alias: dict[str, str] | None = No
     name, title = name_from_text(text), title_from_text(text)
     known = [F.get(F.array(*[F.lit(v) for v in alias.values()]), F.nullif(F.array_position(F.array(*[F.lit(k) for k in alias]), file), F.lit(0).cast("long")).cast("int") - 1)] if alias else []
     return F.coalesce(*known, F.when(name.isNotNull(), F.concat_ws(" - ", name, title)), name_from_file(file))
+
+
+def preview(text: Column, words: int = 8, width: int = 60) -> Column:
+    """The first words of a text, cut to a width; '' for one without text."""
+    found = F.filter(F.split(F.coalesce(text, F.lit("")), r"(?U)\s+"), lambda w: w != "")
+    return F.substring(F.array_join(F.slice(found, 1, words), " "), 1, width)
+
+
+def is_named(name: Column, first_names: tuple[str, ...]) -> Column:
+    """Whether the first word of a name is one of these, as for controls."""
+    return F.get(F.filter(F.split(F.coalesce(name, F.lit("")), r"(?U)\s+"), lambda w: w != ""), F.lit(0)).isin(*first_names)

@@ -6,20 +6,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillrank.functions import rules
+from quillrank.functions.present import percent
 from quillrank.functions.vectors import cosine, norm
 
-#: Offers that may be broadcast against all candidates.
+#: Offers that may be broadcast against all candidates at once.
 OFFER_ROWS = 10_000
+#: Cells per unit of score in which positions are counted.
+CELLS = 1 << 16
 
 
-def score_pairs(offers: DataFrame, candidates: DataFrame, offer_rows: int | None = None) -> DataFrame:
+def few(df: DataFrame, rows: int = OFFER_ROWS) -> bool:
+    """Whether df has at most so many rows; reads no more than are needed."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def hinted(df: DataFrame, rows: int = OFFER_ROWS) -> DataFrame:
+    """Broadcast where a count has shown that df is small."""
+    return F.broadcast(df) if few(df, rows) else df
+
+
+def score_pairs(offers: DataFrame, candidates: DataFrame, block: int = OFFER_ROWS) -> DataFrame:
     """(offer_id, cand_id, score). offers(offer_id, v) go to every candidate
-    row: broadcast where a count shows they are few."""
-    n = offers.count() if offer_rows is None else offer_rows
+    row, in blocks that may be broadcast."""
     left = offers.select("offer_id", F.col("v").alias("o"), norm(F.col("v")).alias("on"))
     right = candidates.select("cand_id", "v", norm(F.col("v")).alias("cn"))
-    left = F.broadcast(left) if n <= OFFER_ROWS else left
-    return right.crossJoin(left).select("offer_id", "cand_id", cosine(F.col("o"), F.col("v"), F.col("on"), F.col("cn")).alias("score"))
+    blocks = 1 if few(offers, block) else -(-offers.count() // block)
+    out = None
+    for i in range(blocks):
+        own = left if blocks == 1 else left.where(F.pmod(F.xxhash64("offer_id"), F.lit(blocks)) == i)
+        part = right.crossJoin(F.broadcast(own)).select("offer_id", "cand_id", cosine(F.col("o"), F.col("v"), F.col("on"), F.col("cn")).alias("score"))
+        out = part if out is None else out.unionAll(part)
+    return out
 
 
 def position(by: Column, tie: str, per: str = "offer_id") -> Column:
@@ -35,13 +52,42 @@ def adjust(scored: DataFrame, requirements: DataFrame, profiles: DataFrame) -> D
     """Adds penalizacion, avisos and score_ajustado; the score stays as it is.
     requirements(offer_id, ...) and profiles(cand_id, ...)."""
     names = list(rules.PENALTIES)
+    requirements = hinted(requirements)
     both = scored.join(requirements.withColumnsRenamed({n: f"r_{n}" for n in names}), "offer_id", "left").join(profiles, "cand_id", "left")
     found = rules.verdict({n: F.col(f"r_{n}") for n in names}, {n: F.col(n) for n in names})
     both = both.withColumn("v", found).withColumns({"penalizacion": F.col("v.penalizacion"), "avisos": F.col("v.avisos")})
     return both.withColumn("score_ajustado", F.col("score") - F.col("penalizacion")).drop("v")
 
 
+def positions(scored: DataFrame, by: str, name: str, tie: str = "cand_id", per: str = "offer_id") -> DataFrame:
+    """scored with each row's place by score, from 1. Rows are ordered within
+    narrow cells of the score only; the rows in better cells are counted, so no
+    offer's candidates meet in one task."""
+    held = scored.withColumn("__cell", F.floor(-F.col(by) * CELLS).cast("long"))
+    better = Window.partitionBy(per).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = held.groupBy(per, "__cell").agg(F.count("*").alias("__n"))
+    cells = cells.select(per, "__cell", F.coalesce(F.sum("__n").over(better), F.lit(0)).alias("__before"))
+    within = F.row_number().over(Window.partitionBy(per, "__cell").orderBy(F.col(by).desc(), F.col(tie)))
+    out = held.join(cells, [per, "__cell"]).withColumn(name, (F.col("__before") + within).cast("int"))
+    return out.drop("__cell", "__before")
+
+
 def rank_shift(adjusted: DataFrame) -> DataFrame:
     """Positions by raw and by adjusted score, and the places lost."""
-    out = adjusted.withColumns({"raw_pos": position(F.col("score"), "cand_id"), "adj_pos": position(F.col("score_ajustado"), "cand_id")})
+    out = positions(positions(adjusted, "score", "raw_pos"), "score_ajustado", "adj_pos")
     return out.withColumn("shift", F.col("adj_pos") - F.col("raw_pos"))
+
+
+def leader(ranked: DataFrame, score: str = "score_ajustado") -> DataFrame:
+    """ranked with es_lider for the first of each offer and percent, the width
+    of a score's bar."""
+    return ranked.withColumns({"es_lider": F.col("posicion") == 1, "percent": percent(F.col(score))})
+
+
+def best_scores(scored: DataFrame, keys: tuple[str, ...], k: int, tie: str = "cand_id", score: str = "score") -> DataFrame:
+    """(keys, n, mean, top): of each group the mean score and its k best ones,
+    best first, without gathering the group."""
+    mean = scored.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(score).alias("mean"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(score).desc(), F.col(tie)))
+    top = scored.withColumn("__p", place).where(F.col("__p") <= k).groupBy(*keys).agg(F.sort_array(F.collect_list(score), asc=False).alias("top"))
+    return mean.join(top, list(keys))

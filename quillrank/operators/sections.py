@@ -14,7 +14,7 @@ from quillrank.functions.text import strip
 def segment(docs: DataFrame, header: Callable[[Column], Column], section: Callable[[Column], Column], key: str = "doc_id", text: str = "texto") -> DataFrame:
     """(key, section, text): header lines drop out, lines before any header and
     under unknown ones go to 'otros'. One shuffle, by key."""
-    lines = docs.select(key, F.posexplode(F.split(F.coalesce(text, F.lit("")), r"\R", -1)).alias("pos", "line"))
+    lines = docs.select(key, F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n", -1)).alias("pos", "line"))
     lines = lines.withColumn("is_header", header(F.col("line"))).withColumn("opens", F.when(F.col("is_header"), section(F.col("line"))))
     so_far = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     lines = lines.withColumn("section", F.coalesce(F.last("opens", ignorenulls=True).over(so_far), F.lit("otros"))).where(~F.col("is_header"))
@@ -39,13 +39,15 @@ def offer_sections(docs: DataFrame) -> DataFrame:
 def cv_profiles(docs: DataFrame, this_year: int) -> DataFrame:
     """doc_id, anios, titulacion, ingles; null means unknown."""
     held = wide(docs.select("doc_id", "texto"), cv_sections(docs), ("experiencia", "formacion", "idiomas"))
+    # One normalisation of each text, read by all rules.
+    held = held.select("doc_id", *[rules.plain_text(F.col(c)).alias(c) for c in ("texto", "experiencia", "formacion", "idiomas")])
     return held.select(
-        "doc_id", rules.cv_years(F.col("experiencia"), F.col("texto"), this_year).alias("anios"), rules.degree_level(F.col("formacion")).alias("titulacion"), rules.english_level(F.col("idiomas")).alias("ingles")
+        "doc_id", rules.cv_years_of(F.col("experiencia"), F.col("texto"), this_year).alias("anios"), rules.degree_level_of(F.col("formacion")).alias("titulacion"), rules.english_level_of(F.col("idiomas")).alias("ingles")
     )
 
 
 def offer_requirements(docs: DataFrame) -> DataFrame:
     """doc_id, anios, titulacion, ingles; null means not asked."""
-    held = wide(docs.select("doc_id"), offer_sections(docs), ("requisitos",))
-    r = F.col("requisitos")
-    return held.select("doc_id", rules.years_by_phrase(r).alias("anios"), rules.degree_level(r).alias("titulacion"), rules.english_level(r).alias("ingles"))
+    held = wide(docs.select("doc_id"), offer_sections(docs), ("requisitos",)).select("doc_id", rules.plain_text(F.col("requisitos")).alias("r"))
+    r = F.col("r")
+    return held.select("doc_id", rules.years_by_phrase_of(r).alias("anios"), rules.degree_level_of(r).alias("titulacion"), rules.english_level_of(r).alias("ingles"))

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from quillrank.functions import present, rules, text, vectors
 from quillrank.operators import chunks, names, ranking, sections
-from quillrank.plans import fixtures
+from quillrank.plans import fixtures, profiles, service
 from quillrank.plans.sql import SQL
-from quillrank.sources import tables
+from quillrank.sources import files, tables
 
 __all__ = ["QUERIES", "SQL"]
 QUERIES: dict = {}
@@ -37,7 +37,7 @@ def _pairs(spark, d):
     """Offers are the first vectors, a fixed number; the rest are candidates."""
     e = _t(spark, d, "embeddings").withColumnRenamed("embedding", "v")
     offers = e.where(F.col("vec_id") < N_OFFERS).select(F.col("vec_id").alias("offer_id"), "v")
-    return ranking.score_pairs(offers, e.where(F.col("vec_id") >= N_OFFERS).withColumnRenamed("vec_id", "cand_id"), N_OFFERS)
+    return ranking.score_pairs(offers, e.where(F.col("vec_id") >= N_OFFERS).withColumnRenamed("vec_id", "cand_id"))
 
 
 def _required(spark, d):
@@ -57,7 +57,7 @@ def _profiles(spark, d):
 def _adjusted(spark, d):
     """Scores rounded first, so that both engines order the same numbers."""
     scored = _pairs(spark, d).withColumn("score", F.round("score", PLACES))
-    out = ranking.adjust(scored, F.broadcast(_required(spark, d)), _profiles(spark, d))
+    out = ranking.adjust(scored, _required(spark, d), _profiles(spark, d))
     return out.withColumn("score_ajustado", F.round("score_ajustado", PLACES))
 
 
@@ -91,9 +91,9 @@ def fragment_centroid(spark, d):
 @query
 def pooling_ablation(spark, d):
     scored = _pairs(spark, d).join(_fragments(spark, d).select("label", F.col("vec_id").alias("cand_id")), "cand_id")
-    per = scored.groupBy("offer_id", "label").agg(F.sort_array(F.collect_list("score")).alias("s"))
-    kinds = {"mean": "mean", "mean70": "mean70", "mean50": "mean50", "mean30": "mean30", "top3": "top3", "top2": "top2", "max": "max"}
-    return per.select("offer_id", "label", *[F.round(vectors.pooled(F.col("s"), k), PLACES).alias(n) for n, k in kinds.items()])
+    per = ranking.best_scores(scored, ("offer_id", "label"), 3)
+    kinds = ("mean", "mean70", "mean50", "mean30", "top3", "top2", "max")
+    return per.select("offer_id", "label", *[F.round(vectors.pooled(F.col("mean"), F.col("top"), k), PLACES).alias(k) for k in kinds])
 
 
 @query
@@ -141,7 +141,7 @@ def angle_degrees(spark, d):
 @query
 def rank_bar(spark, d):
     s = F.round("score", PLACES)
-    return _pairs(spark, d).select("offer_id", "cand_id", present.bar(s).alias("bar"), F.round(F.greatest(s, F.lit(0.0)) * 100, 4).alias("percent"))
+    return _pairs(spark, d).select("offer_id", "cand_id", present.bar(s).alias("bar"), F.round(present.percent(s), 4).alias("percent"))
 
 
 @query
@@ -229,7 +229,7 @@ def chunk_pack(spark, d):
 def hashed_embedding_score(spark, d):
     offers = _t(spark, d, "benchmark").select(F.col("item_id").alias("offer_id"), F.col("text").alias("texto"))
     docs = _t(spark, d, "documents").select("doc_id", F.col("text").alias("texto"))
-    scored = chunks.sparse_scores(chunks.hashed_terms(offers, key="offer_id"), chunks.hashed_terms(docs))
+    scored = chunks.top_scores(chunks.hashed_terms(offers, key="offer_id"), chunks.hashed_terms(docs), K)
     return ranking.top_k(scored.withColumn("score", F.round("score", PLACES)), K, tie="doc_id").select("offer_id", "posicion", "doc_id", "score")
 
 
@@ -262,17 +262,256 @@ def cascade_delete(spark, d):
     return tables.cascade(_t(spark, d, "orders"), gone, "o_custkey", "c_custkey").groupBy("o_custkey").agg(F.count("*").alias("n"))
 
 
+def _candidates(spark, d):
+    """Stored candidates: some without a vector, some without fragments, some
+    whose text is null. Vectors are those of the driver's table, each used often."""
+    e = _t(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<float>").alias("e"))
+    i = F.col("doc_id").cast("long")
+    held = _cvs(spark, d).withColumns({"a": i % 480 + 6, "b": i % 480 + 7})
+    held = held.join(e.withColumnsRenamed({"vec_id": "a", "e": "v"}), "a").join(e.withColumnsRenamed({"vec_id": "b", "e": "w"}), "b")
+    day = F.timestamp_seconds(F.lit(1_700_000_000) + i * 3600)
+    return held.select(
+        i.cast("int").alias("id"), F.concat(F.lit("cand "), i.cast("string")).alias("nombre"), F.concat(i.cast("string"), F.lit("_"), "archivo").alias("archivo"),
+        F.when(i % 13 != 4, F.col("texto")).alias("texto_cv"), F.when(i % 7 != 3, F.col("v")).alias("embedding"),
+        F.when(i % 5 != 2, F.array("v", "w")).alias("fragmentos"), day.alias("fecha_alta"),
+    )
+
+
+def _files(spark, d):
+    return _candidates(spark, d).where("id % 4 <> 1").select("archivo")
+
+
 @query
 def candidate_listing(spark, d):
-    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("nombre"), "source", F.char_length("text").alias("caracteres"))
-    return docs.select("id", "nombre", F.concat("source", F.lit(".pdf")).alias("archivo"), F.coalesce("caracteres", F.lit(0)).alias("caracteres"))
+    return tables.listing(_candidates(spark, d))
 
 
 @query
 def candidate_detail(spark, d):
-    docs = _t(spark, d, "documents").where("doc_id = 7").select(F.col("doc_id").alias("id"), F.lit("doc").alias("nombre"), F.col("source").alias("archivo"), F.col("text").alias("texto_cv"), F.lit(None).cast("array<float>").alias("embedding"))
-    out = tables.detail(docs, _t(spark, d, "documents").select(F.col("source").alias("archivo")), 7)
-    return out.select("id", "archivo", F.md5(F.col("texto").cast("binary")).alias("h"), "indexado", "pdf_disponible")
+    out = tables.with_files(_candidates(spark, d), _files(spark, d))
+    return out.select("id", "nombre", "archivo", F.md5(F.col("texto").cast("binary")).alias("h"), "caracteres", "fecha_alta", "indexado", "pdf_disponible")
+
+
+@query
+def candidate_by_id(spark, d):
+    return tables.detail(_candidates(spark, d), _files(spark, d), 7).select("id", "archivo", "indexado", "pdf_disponible")
+
+
+@query
+def candidate_pdf(spark, d):
+    """Every third id and some that do not exist; one name leaves the folder."""
+    c = _candidates(spark, d).withColumn("archivo", F.when(F.col("id") == 9, "../x.pdf").otherwise(F.col("archivo")))
+    asked = c.where("id % 3 = 0").select("id").unionAll(c.where("id % 50 = 0").select(-F.col("id") - 1))
+    return tables.pdf_lookup(asked, c, _files(spark, d))
+
+
+@query
+def vector_scan(spark, d):
+    out = tables.scan_vectors(_candidates(spark, d))
+    return out.select("id", "nombre", F.size("embedding").alias("dimension"), F.size("fragmentos").alias("n"), F.round(F.get("embedding", F.lit(0)).cast("double"), 5).alias("x0"))
+
+
+@query
+def upload_statuses(spark, d):
+    i = F.col("doc_id")
+    name = F.concat("source", F.when(i % 4 == 0, ".pdf").when(i % 4 == 1, ".PDF").when(i % 4 == 2, ".docx").otherwise(""))
+    docs = _t(spark, d, "documents").select("doc_id", name.alias("file"), F.when(i % 5 != 0, F.col("text")).otherwise("  ").alias("text"))
+    return docs.select("doc_id", files.upload_status(F.col("file"), F.col("text")).alias("status"))
+
+
+@query
+def json_requests(spark, d):
+    """Requests with some of their fields, as they come in."""
+    i = F.col("item_id").cast("int")
+    body = F.to_json(F.struct(
+        F.when(i % 5 == 0, " ").when(i % 7 != 0, F.col("text")).alias("texto"), F.when(i % 2 == 0, F.concat(F.lit("Oferta "), i.cast("string"))).alias("titulo"), F.when(i % 3 == 0, i % 4).alias("top"), F.when(i % 4 == 0, F.lit(False)).alias("guardar"),
+    ))
+    got = files.requests(_t(spark, d, "benchmark").select(body.alias("body")))
+    return got.select(F.md5(F.col("texto").cast("binary")).alias("h"), "titulo", "top", "guardar", "status")
+
+
+@query
+def stdin_offer(spark, d):
+    """Texts as bytes, with some that are no UTF-8 behind them."""
+    raw = F.concat(F.col("text").cast("binary"), F.unhex(F.lit("FF41FE")))
+    return _t(spark, d, "benchmark").select("item_id", F.md5(files.decoded(raw).cast("binary")).alias("h"))
+
+
+@query
+def offer_titles(spark, d):
+    name = F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.when(F.col("p_partkey") % 2 == 0, "_o'neil-SQL.txt").otherwise(".txt"))
+    return _t(spark, d, "part").select("p_partkey", files.offer_title(name).alias("titulo"))
+
+
+@query
+def table_schemas(spark, d):
+    return tables.described(spark)
+
+
+def _at(seconds: int):
+    return F.timestamp_seconds(F.lit(1_800_000_000 + seconds))
+
+
+def _stamp(c):
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+
+
+@query
+def save_candidates(spark, d):
+    """Known files come again with a new name and text, twice, and new ones come."""
+    stored = _candidates(spark, d).where("id % 2 = 0").select("id", "archivo", "nombre", "texto_cv", "fecha_alta")
+    come = _candidates(spark, d).where("id % 3 = 0").select("archivo", F.concat("nombre", F.lit(" bis")).alias("nombre"), F.lit("texto").alias("texto_cv"))
+    new = come.withColumn("fecha_alta", _at(9)).unionByName(come.withColumns({"nombre": F.lit("viejo"), "fecha_alta": _at(5)}))
+    out = tables.save("candidatos", stored, new)
+    return out.select("id", "archivo", "nombre", F.md5(F.coalesce("texto_cv", F.lit("")).cast("binary")).alias("h"), _stamp("fecha_alta").alias("fecha_alta"))
+
+
+@query
+def save_offers(spark, d):
+    """An offer that comes again keeps its description, not its title."""
+    b = _t(spark, d, "benchmark").groupBy(F.col("text").alias("texto")).agg(F.min("item_id").cast("int").alias("id"))
+    row = lambda df, title, at: service.offer_row(df).select("id", F.lit(title).alias("titulo"), F.concat(F.lit(title), F.lit(": "), "texto").alias("descripcion"), "huella", at.alias("fecha_alta"))
+    stored = row(b.where("id % 2 = 0"), "Uno", _at(0))
+    new = row(b.where("id % 3 = 0").withColumn("texto", F.concat(F.lit("\n "), "texto", F.lit(" "))), "Dos", _at(7)).drop("id")
+    out = tables.save("puestos", stored, new)
+    return out.select("id", "titulo", F.md5(F.regexp_replace("descripcion", r"\s", "").cast("binary")).alias("h"), "huella", _stamp("fecha_alta").alias("fecha_alta"))
+
+
+@query
+def save_matches(spark, d):
+    """Ranking again updates score and time of a pair, and adds new pairs."""
+    got = service.matches(ranking.score_pairs(_offer_rows(spark, d), _ranked_candidates(spark, d).where("v is not null")), _at(0))
+    stored = got.where("(candidato_id + puesto_id) % 2 = 0")
+    again = got.where("candidato_id % 3 = 0").withColumns({"score": (F.col("score") / 2).cast("float"), "fecha": _at(60)})
+    out = tables.save("matches", stored, again)
+    return out.select("candidato_id", "puesto_id", F.round(F.col("score").cast("double"), 5).alias("score"), _stamp("fecha").alias("fecha"))
+
+
+def _offer_rows(spark, d):
+    v = _t(spark, d, "embeddings").select((F.col("vec_id") + 1).alias("doc_id"), F.col("embedding").alias("v"))
+    return _offers(spark).join(v, "doc_id").select(F.col("doc_id").cast("int").alias("offer_id"), F.concat(F.lit("Oferta "), F.col("doc_id").cast("string")).alias("titulo"), "v", "texto")
+
+
+def _ranked_candidates(spark, d):
+    c = _candidates(spark, d)
+    pieces = F.array(*[F.concat(F.lit(f"{x} de "), "nombre") for x in ("inicio", "final")])
+    return c.select(F.col("id").alias("cand_id"), "nombre", F.col("embedding").alias("v"), F.coalesce("fragmentos", F.array().cast("array<array<float>>")).alias("fragmentos"), pieces.alias("trozos"), F.col("texto_cv").alias("texto"))
+
+
+def _ranking(spark, d, top=None):
+    return service.rank_detailed(_offer_rows(spark, d), _ranked_candidates(spark, d), fixtures.THIS_YEAR, top)
+
+
+@query
+def rank_detailed(spark, d):
+    out = _ranking(spark, d)
+    return out.select("offer_id", "posicion", "cand_id", "nombre", F.round("score", PLACES).alias("score"), "penalizacion", F.round("score_ajustado", PLACES).alias("score_ajustado"), F.array_join("avisos", " · ").alias("avisos"), "extracto")
+
+
+@query
+def rank(spark, d):
+    return service.rank(_offer_rows(spark, d), _ranked_candidates(spark, d), fixtures.THIS_YEAR).select("offer_id", "posicion", "nombre", F.round("score", PLACES).alias("score"))
+
+
+@query
+def match_response(spark, d):
+    """The answer to each offer: the first three rows, or why there are none. A
+    blank offer and one for which no candidate has a vector come along."""
+    offers = _offer_rows(spark, d)
+    odd = spark.createDataFrame([(7, "Vacía", " "), (8, "Sin nadie", "Requisitos")], "offer_id int, titulo string, texto string")
+    out = service.response(_ranking(spark, d, 3), offers.select("offer_id", "titulo", "texto").unionByName(odd))
+    get = lambda path: F.get_json_object("body", path)
+    return out.select(
+        "offer_id", "status", get("$.titulo").alias("titulo"), get("$.total_candidatos").cast("int").alias("total"), get("$.ranking[0].candidato").alias("primero"),
+        get("$.ranking[2].candidato").alias("tercero"), get("$.ranking[0].avisos[0]").alias("aviso"), get("$.ranking[1].posicion").cast("int").alias("segunda"), get("$.detail").alias("detail"),
+    )
+
+
+@query
+def top_zero(spark, d):
+    """top 0 or less still gives one row."""
+    return _ranking(spark, d, 0).select("offer_id", "posicion", "nombre")
+
+
+@query
+def shown_ranking(spark, d):
+    out = service.shown(_ranking(spark, d, 8))
+    return out.select("offer_id", "posicion", "es_lider", "nombre", F.round("grados", 4).alias("grados"), "aviso", "cita", F.round("percent", 4).alias("percent"))
+
+
+@query
+def console_table(spark, d):
+    return service.console(_ranking(spark, d, 8))
+
+
+@query
+def ranking_measurement(spark, d):
+    """Controls are told by the first word of the name."""
+    rows = _ranking(spark, d).withColumn("nombre", F.concat(F.when(F.col("cand_id") % 20 == 0, "Beatriz ").when(F.col("cand_id") % 20 == 1, "Javier ").otherwise("Otra "), F.col("cand_id").cast("string")))
+    asks = sections.offer_requirements(_offers(spark)).withColumn("offer_id", F.col("doc_id").cast("int"))
+    return service.measured(rows, asks, ("Beatriz", "Javier"))
+
+
+@query
+def fragment_index(spark, d):
+    """The place of the fragment closest to the first offer; none gives 0."""
+    offer = _offer_rows(spark, d).where("offer_id = 1").select(F.col("v").alias("o"))
+    c = _ranked_candidates(spark, d).withColumn("one", F.lit(1)).join(offer.withColumn("one", F.lit(1)), "one")
+    return c.select("cand_id", vectors.argmax(F.transform("fragmentos", lambda f: vectors.dot(f, F.col("o")))).alias("indice"))
+
+
+@query
+def ingest_batch(spark, d):
+    """Texts, some blank, go in; each says what became of it."""
+    texts = _candidates(spark, d).select("archivo", "texto_cv").withColumnRenamed("texto_cv", "texto")
+    encode = chunks.lazy("lengths", lambda: lambda parts: [[float(len(p)), 1.0] for p in parts])
+    empty = spark.createDataFrame([], "id int, nombre string, archivo string, texto_cv string, embedding array<float>, fecha_alta timestamp")
+    new = service.ingest(texts, encode).select("nombre", "archivo", "texto_cv", "embedding").withColumn("fecha_alta", _at(0))
+    report = service.ingest_report(texts, tables.save("candidatos", empty, new))
+    return report.select("archivo", "status", "id", "nombre", "caracteres", "dimension", "aviso")
+
+
+@query
+def ingest_count(spark, d):
+    texts = _candidates(spark, d).select("archivo", F.col("texto_cv").alias("texto"))
+    saved = _candidates(spark, d).select("archivo", "id", "nombre", "embedding")
+    return service.ingested(service.ingest_report(texts, saved))
+
+
+@query
+def text_preview(spark, d):
+    return _t(spark, d, "documents").select("doc_id", names.preview(F.col("text")).alias("inicio"), F.coalesce(F.char_length("text"), F.lit(0)).alias("chars"))
+
+
+@query
+def nfc_compose(spark, d):
+    """Texts whose accents have come apart are put together again."""
+    apart = F.col("text")
+    for plain, accented in text.ACUTE.items():
+        apart = F.replace(apart, F.lit(accented), F.lit(plain + "\u0301"))
+    return _t(spark, d, "documents").select("doc_id", F.md5(text.compose(apart).cast("binary")).alias("h"))
+
+
+@query
+def plain_text(spark, d):
+    """Lower case without accents, by decomposition (any script) and by table."""
+    return _t(spark, d, "documents").select("doc_id", F.md5(text.normalise_any(F.col("text")).cast("binary")).alias("por_formas"), F.md5(text.normalise(F.col("text")).cast("binary")).alias("por_tabla"))
+
+
+@query
+def profile_extraction(spark, d):
+    """Sixteen candidates, from their parts to a text and back to a profile."""
+    docs = profiles.profiles(spark).select(F.col("archivo").alias("doc_id"), profiles.profile_text().alias("texto"))
+    return sections.cv_profiles(docs, fixtures.THIS_YEAR)
+
+
+@query
+def coverage_report(spark, d):
+    """The extractor's findings per candidate, '-' where a text tells nothing."""
+    p = sections.cv_profiles(_cvs(spark, d), fixtures.THIS_YEAR)
+    level = F.get(F.array(*[F.lit(k.upper()) for k in rules.LEVELS]), F.col("ingles") - 1)
+    said = {"anios": F.col("anios").cast("string"), "titulacion": rules.chosen(F.col("titulacion"), rules.DEGREE_SHORT, "string"), "ingles": level}
+    return p.select("doc_id", *[F.coalesce(v, F.lit("-")).alias(k) for k, v in said.items()])
 
 
 @query

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from quillrank.functions import rules
-from quillrank.plans import fixtures
+from quillrank.plans import fixtures, profiles
 
 _CV = fixtures.CVS.replace("{customer}", "customer").replace("{orders}", "orders")
 _OFFERS = fixtures.OFFERS
@@ -110,6 +110,43 @@ _FLAT = r"regexp_replace(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'), '^
 _EDGE = r"[^\p{L}\p{N}_]"
 _CAPS = rf"[A-ZÁÉÍÓÚÑ]{{2,}}(?:{_EDGE}|$)"
 
+_CAND = f"""cv AS ({_CV}),
+cand AS (SELECT doc_id::INT AS id, 'cand ' || doc_id AS nombre, doc_id || '_' || archivo AS archivo, CASE WHEN doc_id % 13 <> 4 THEN texto END AS texto_cv,
+  CASE WHEN doc_id % 7 <> 3 THEN a.embedding END AS embedding, CASE WHEN doc_id % 5 <> 2 THEN [a.embedding, b.embedding] END AS fragmentos,
+  make_timestamp((1700000000 + doc_id * 3600) * 1000000) AS fecha_alta
+  FROM cv JOIN embeddings a ON a.vec_id = doc_id % 480 + 6 JOIN embeddings b ON b.vec_id = doc_id % 480 + 7),
+fil AS (SELECT DISTINCT archivo FROM cand WHERE id % 4 <> 1)"""
+_ISO = "strftime({0}, '%Y-%m-%dT%H:%M:%S')"
+_SECOND = "strftime({0}, '%Y-%m-%d %H:%M:%S')"
+_AT = "make_timestamp((1800000000 + {0})::BIGINT * 1000000)"
+_DOT = "list_inner_product({0}::DOUBLE[], {1}::DOUBLE[])"
+_COSINE = "{0} / (sqrt({1}) * sqrt({2}))".format(_DOT.format("o.v", "c.embedding"), _DOT.format("o.v", "o.v"), _DOT.format("c.embedding", "c.embedding"))
+_DEGREES = _in(rules.DEGREE_NAMES.values())
+_CODES = _in(k.upper() for k in rules.LEVELS)
+_RANKED = f"""{_CAND},
+off AS (SELECT o.doc_id::INT AS offer_id, 'Oferta ' || o.doc_id AS titulo, e.embedding AS v FROM ({_OFFERS}) o JOIN embeddings e ON e.vec_id = o.doc_id - 1),
+prof AS (SELECT * FROM (WITH {_PROFILE} SELECT * FROM profile)),
+ask AS (SELECT * FROM (WITH {_OF_SEC}, q AS (SELECT src.doc_id, coalesce(text, '') AS t FROM src LEFT JOIN sec ON sec.doc_id = src.doc_id AND section = 'requisitos')
+  SELECT doc_id AS offer_id, {_years('t')} AS ra, {_degree('t')} AS rt, {_english('t')} AS ri FROM q)),
+sc AS (SELECT o.offer_id, o.titulo, c.id, c.nombre, {_COSINE} AS score, p.anios AS pa, p.titulacion AS pt, p.ingles AS pi, ra, rt, ri,
+  CASE WHEN c.fragmentos IS NULL OR {_DOT.format("c.fragmentos[1]", "o.v")} >= {_DOT.format("c.fragmentos[2]", "o.v")} THEN 'inicio de ' ELSE 'final de ' END || c.nombre AS extracto
+  FROM off o CROSS JOIN cand c JOIN ask ON ask.offer_id = o.offer_id LEFT JOIN prof p ON p.doc_id = c.id AND c.texto_cv IS NOT NULL WHERE c.embedding IS NOT NULL),
+pn AS (SELECT *, round(CASE WHEN pa < ra THEN least((ra - pa) * 0.05::DOUBLE, 0.2::DOUBLE) ELSE 0 END + CASE WHEN pt < rt THEN least((rt - pt) * 0.04::DOUBLE, 0.08::DOUBLE) ELSE 0 END
+  + CASE WHEN pi < ri THEN least((ri - pi) * 0.03::DOUBLE, 0.09::DOUBLE) ELSE 0 END, 4) AS penalizacion, list_filter([
+  CASE WHEN pa < ra THEN 'pide ' || ra || ' años de experiencia, se le calculan ' || pa END,
+  CASE WHEN pt < rt THEN 'pide ' || ([{_DEGREES}])[rt::INT] || ', acredita ' || ([{_DEGREES}])[pt::INT] END,
+  CASE WHEN pi < ri THEN 'pide inglés ' || ([{_CODES}])[ri::INT] || ', acredita ' || ([{_CODES}])[pi::INT] END], lambda x: x IS NOT NULL) AS avisos FROM sc),
+rk AS (SELECT *, score - penalizacion AS score_ajustado, row_number() OVER (PARTITION BY offer_id ORDER BY score - penalizacion DESC, id)::INT AS posicion,
+  row_number() OVER (PARTITION BY offer_id ORDER BY score DESC, id)::INT AS raw_pos FROM pn)"""
+_BAR = "rpad(repeat('#', round_even(greatest({0}, 0) * 20, 0)::INT), 20, '.')"
+_TITLE = "array_to_string(list_transform(regexp_extract_all(lower({0}), '[a-z]+|[^a-z]+'), lambda w: upper(w[1]) || w[2:]), '')"
+_UNITS = r"list_filter(list_transform(regexp_split_to_array(regexp_replace(coalesce(text, ''), '([.!?])\s+', '\1' || chr(10), 'g'), '\n+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"
+_COLUMNS = {
+    "candidatos": "id int, nombre string, archivo string, texto_cv string, embedding array<float>, fragmentos array<array<float>>, fecha_alta timestamp",
+    "puestos": "id int, titulo string, descripcion string, huella string, embedding array<float>, fecha_alta timestamp",
+    "matches": "candidato_id int, puesto_id int, score float, fecha timestamp",
+}
+
 SQL = {
     "cosine_rank_topk": f"WITH {_PAIRS} SELECT offer_id, posicion, cand_id, score FROM (SELECT *, row_number() OVER (PARTITION BY offer_id ORDER BY score DESC, cand_id)::INT AS posicion FROM pairs) WHERE posicion <= 5",
     "offer_candidate_matrix": f"WITH {_PAIRS} SELECT offer_id, cand_id, score FROM pairs",
@@ -147,10 +184,10 @@ SELECT o_custkey, sum(greatest(0, e - greatest(s, upto)))::INT AS anios FROM hw
     "clean_text": f"SELECT doc_id, md5({_CLEAN}) AS h FROM documents",
     "candidate_name": f"WITH {_NAMES} SELECT doc_id, CASE WHEN archivo = 'CV1.pdf' THEN 'CV1' WHEN nombre IS NOT NULL THEN nombre || coalesce(' - ' || puesto, '') ELSE {_FILE} END AS nombre, {_FILE} AS de_archivo FROM tt",
     "candidate_title": f"WITH {_NAMES} SELECT doc_id, nombre, puesto FROM tt",
-    "sentence_units": r"""WITH u AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(coalesce(text, ''), '([.!?])\s+', '\1' || chr(10), 'g'), '\n+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS l FROM documents)
+    "sentence_units": f"""WITH u AS (SELECT doc_id, {_UNITS} AS l FROM documents)
 SELECT doc_id, (generate_subscripts(l, 1) - 1)::INT AS pos, md5(unnest(l)) AS h FROM u""",
-    "hashed_embedding_score": """WITH t AS (SELECT 'o' AS k, item_id AS id, text FROM benchmark UNION ALL SELECT 'd', doc_id, text FROM documents),
-tok AS (SELECT k, id, unnest(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z]+')) AS w FROM t),
+    "hashed_embedding_score": r"""WITH t AS (SELECT 'o' AS k, item_id AS id, text FROM benchmark UNION ALL SELECT 'd', doc_id, text FROM documents),
+tok AS (SELECT k, id, unnest(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+')) AS w FROM t),
 c AS (SELECT k, id, (('0x' || substr(md5(w), 1, 8))::UBIGINT % 384)::INT AS dim, count(*)::DOUBLE AS n FROM tok WHERE w <> '' GROUP BY ALL),
 x AS (SELECT *, n / sqrt(sum(n * n) OVER (PARTITION BY k, id)) AS x FROM c),
 s AS (SELECT o.id AS offer_id, d.id AS doc_id, round(sum(o.x * d.x), 6) AS score FROM x o JOIN x d ON o.dim = d.dim AND o.k = 'o' AND d.k = 'd' GROUP BY ALL)
@@ -162,8 +199,69 @@ n AS (SELECT c_custkey + 1000000 AS id, c_name AS archivo, c_acctbal::DOUBLE + 1
 SELECT coalesce(s.id, n.id) AS id, coalesce(s.archivo, n.archivo) AS archivo, round(coalesce(n.saldo, s.saldo), 2) AS saldo FROM s FULL JOIN n ON s.archivo = n.archivo""",
     "offer_fingerprint": r"SELECT item_id, sha256(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS huella FROM benchmark",
     "cascade_delete": "SELECT o_custkey, count(*) AS n FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 0) GROUP BY o_custkey",
-    "candidate_listing": "SELECT doc_id AS id, 'doc ' || doc_id AS nombre, source || '.pdf' AS archivo, coalesce(length(text), 0)::INT AS caracteres FROM documents",
-    "candidate_detail": "SELECT doc_id AS id, source AS archivo, md5(coalesce(text, '')) AS h, false AS indexado, true AS pdf_disponible FROM documents WHERE doc_id = 7",
+    "candidate_listing": f"WITH {_CAND} SELECT id, nombre, archivo, coalesce(length(texto_cv), 0)::INT AS caracteres, {_ISO.format('fecha_alta')} AS fecha_alta FROM cand",
+    "candidate_detail": f"""WITH {_CAND} SELECT id, nombre, archivo, md5(coalesce(texto_cv, '')) AS h, length(coalesce(texto_cv, ''))::INT AS caracteres, {_ISO.format('fecha_alta')} AS fecha_alta,
+  embedding IS NOT NULL AS indexado, archivo IN (SELECT archivo FROM fil) AS pdf_disponible FROM cand""",
+    "candidate_by_id": f"WITH {_CAND} SELECT id, archivo, embedding IS NOT NULL AS indexado, archivo IN (SELECT archivo FROM fil) AS pdf_disponible FROM cand WHERE id = 7",
+    "candidate_pdf": f"""WITH {_CAND}, c AS (SELECT id, CASE WHEN id = 9 THEN '../x.pdf' ELSE archivo END AS archivo FROM cand),
+a AS (SELECT id FROM c WHERE id % 3 = 0 UNION ALL SELECT -id - 1 FROM c WHERE id % 50 = 0)
+SELECT a.id, c.archivo, CASE WHEN c.id IS NULL THEN 404 WHEN contains(c.archivo, '/') THEN 400 WHEN c.archivo NOT IN (SELECT archivo FROM fil) THEN 404 ELSE 200 END AS status FROM a LEFT JOIN c ON c.id = a.id""",
+    "vector_scan": f"WITH {_CAND} SELECT id, nombre, len(embedding)::INT AS dimension, coalesce(len(fragmentos), 0)::INT AS n, round(embedding[1]::DOUBLE, 5) AS x0 FROM cand WHERE embedding IS NOT NULL",
+    "upload_statuses": "SELECT doc_id, CASE WHEN doc_id % 4 > 1 THEN 400 WHEN doc_id % 5 = 0 OR trim(coalesce(text, '')) = '' THEN 422 ELSE 200 END AS status FROM documents",
+    "json_requests": """WITH r AS (SELECT CASE WHEN item_id % 5 = 0 THEN ' ' WHEN item_id % 7 <> 0 THEN text ELSE '' END AS texto, item_id AS i FROM benchmark)
+SELECT md5(texto) AS h, CASE WHEN i % 2 = 0 THEN 'Oferta ' || i ELSE 'Oferta via API' END AS titulo, CASE WHEN i % 3 = 0 THEN (i % 4)::INT END AS top, i % 4 <> 0 AS guardar,
+  CASE WHEN trim(texto) = '' THEN 400 ELSE 200 END AS status FROM r""",
+    "stdin_offer": "SELECT item_id, md5(text || chr(65533) || 'A' || chr(65533)) AS h FROM benchmark",
+    "offer_titles": f"""WITH n AS (SELECT p_partkey, replace(replace(p_name, ' ', '_') || CASE WHEN p_partkey % 2 = 0 THEN '_o''neil-SQL' ELSE '' END, '_', ' ') AS x FROM part)
+SELECT p_partkey, {_TITLE.format('x')} AS titulo FROM n""",
+    "table_schemas": "SELECT * FROM (VALUES " + ", ".join(f"('{t}', {i}, '{c.split(' ')[0]}', '{c.split(' ')[1]}')" for t, cols in _COLUMNS.items() for i, c in enumerate(cols.split(", "))) + ") AS t(tabla, pos, columna, tipo)",
+    "save_candidates": f"""WITH {_CAND}, s AS (SELECT * FROM cand WHERE id % 2 = 0), n AS (SELECT archivo, nombre || ' bis' AS nombre FROM cand WHERE id % 3 = 0)
+SELECT coalesce(s.id, (SELECT max(id) FROM s) + row_number() OVER (PARTITION BY s.id IS NULL ORDER BY n.archivo))::INT AS id, coalesce(s.archivo, n.archivo) AS archivo, coalesce(n.nombre, s.nombre) AS nombre,
+  md5(CASE WHEN n.archivo IS NOT NULL THEN 'texto' ELSE coalesce(s.texto_cv, '') END) AS h, {_SECOND.format('coalesce(s.fecha_alta, ' + _AT.format(9) + ')')} AS fecha_alta FROM s FULL JOIN n ON n.archivo = s.archivo""",
+    "save_offers": rf"""WITH b AS (SELECT text, min(item_id)::INT AS id, sha256({_TRIM.format('text')}) AS huella FROM benchmark GROUP BY text),
+s AS (SELECT * FROM b WHERE id % 2 = 0), n AS (SELECT * FROM b WHERE id % 3 = 0)
+SELECT coalesce(s.id, (SELECT max(id) FROM s) + row_number() OVER (PARTITION BY s.id IS NULL ORDER BY n.huella))::INT AS id, CASE WHEN n.id IS NULL THEN 'Uno' ELSE 'Dos' END AS titulo,
+  md5(regexp_replace(CASE WHEN s.id IS NULL THEN 'Dos: ' || n.text ELSE 'Uno: ' || s.text END, '\s', '', 'g')) AS h, coalesce(s.huella, n.huella) AS huella,
+  {_SECOND.format('CASE WHEN s.id IS NULL THEN ' + _AT.format(7) + ' ELSE ' + _AT.format(0) + ' END')} AS fecha_alta FROM s FULL JOIN n ON n.huella = s.huella""",
+    "save_matches": f"""WITH {_RANKED} SELECT id AS candidato_id, offer_id AS puesto_id, round((CASE WHEN id % 3 = 0 THEN score::FLOAT / 2 ELSE score::FLOAT END)::FLOAT::DOUBLE, 5) AS score,
+  {_SECOND.format('CASE WHEN id % 3 = 0 THEN ' + _AT.format(60) + ' ELSE ' + _AT.format(0) + ' END')} AS fecha FROM sc WHERE id % 3 = 0 OR (id + offer_id) % 2 = 0""",
+    "rank_detailed": f"WITH {_RANKED} SELECT offer_id, posicion, id AS cand_id, nombre, round(score, 6) AS score, penalizacion, round(score_ajustado, 6) AS score_ajustado, array_to_string(avisos, ' · ') AS avisos, extracto FROM rk",
+    "rank": f"WITH {_RANKED} SELECT offer_id, posicion, nombre, round(score, 6) AS score FROM rk",
+    "match_response": f"""WITH {_RANKED}, t AS (SELECT * FROM rk WHERE posicion <= 3)
+SELECT offer_id, 200 AS status, any_value(titulo) AS titulo, count(*)::INT AS total, max(nombre) FILTER (posicion = 1) AS primero, max(nombre) FILTER (posicion = 3) AS tercero,
+  max(avisos[1]) FILTER (posicion = 1) AS aviso, 2 AS segunda, NULL AS detail FROM t GROUP BY offer_id
+UNION ALL SELECT 7, 400, NULL, NULL, NULL, NULL, NULL, NULL, 'El campo ''texto'' esta vacio.' UNION ALL SELECT 8, 409, NULL, NULL, NULL, NULL, NULL, NULL, 'No hay candidatos con embedding.'""",
+    "top_zero": f"WITH {_RANKED} SELECT offer_id, posicion, nombre FROM rk WHERE posicion = 1",
+    "shown_ranking": f"""WITH {_RANKED} SELECT offer_id, posicion, posicion = 1 AS es_lider, nombre, round(degrees(acos(greatest(-1, least(1, score)))), 4) AS grados, array_to_string(avisos, ' · ') AS aviso,
+  extracto AS cita, round(greatest(score_ajustado, 0) * 100, 4) AS percent FROM rk WHERE posicion <= 8""",
+    "console_table": f"""WITH {_RANKED}, t AS (SELECT *, greatest(max(length(nombre)) OVER (PARTITION BY offer_id), 9) AS w FROM rk WHERE posicion <= 8)
+SELECT offer_id, posicion, rpad(posicion::VARCHAR, 4, ' ') || rpad(nombre, (w + 4)::INT, ' ') || lpad(printf('%.4f', score), 10, ' ') || '  ' || {_BAR.format('score')} AS linea FROM t""",
+    "ranking_measurement": f"""WITH {_RANKED}, t AS (SELECT *, CASE id % 20 WHEN 0 THEN 'Beatriz ' WHEN 1 THEN 'Javier ' ELSE 'Otra ' END || id AS quien, id % 20 < 2 AS control FROM rk),
+m AS (SELECT offer_id, max(quien) FILTER (posicion = 1) AS ganador, max(quien) FILTER (raw_pos = 1) AS antes, count(*) FILTER (control) AS controles,
+  (sum(raw_pos) FILTER (control))::BIGINT AS sin_filtro, (sum(posicion) FILTER (control))::BIGINT AS con_filtro FROM t GROUP BY offer_id)
+SELECT m.offer_id, ganador, nullif(antes, ganador) AS antes, controles, sin_filtro, con_filtro,
+  coalesce(nullif(concat_ws(',', ra || 'a', (['FP', 'Grado', 'Master'])[rt::INT], ([{_CODES}])[ri::INT]), ''), '-') AS pide FROM m JOIN ask ON ask.offer_id = m.offer_id""",
+    "fragment_index": f"""WITH {_RANKED} SELECT c.id AS cand_id, CASE WHEN c.fragmentos IS NULL OR {_DOT.format("c.fragmentos[1]", "o.v")} >= {_DOT.format("c.fragmentos[2]", "o.v")} THEN 0 ELSE 1 END AS indice
+FROM cand c, off o WHERE o.offer_id = 1""",
+    "ingest_batch": f"""WITH {_CAND}, nam AS (SELECT * FROM (WITH {_NAMES}, z AS (SELECT doc_id, nombre, puesto, doc_id || '_' || archivo AS archivo FROM tt)
+  SELECT doc_id, CASE WHEN nombre IS NOT NULL THEN nombre || coalesce(' - ' || puesto, '') ELSE {_FILE} END AS nombre FROM z)),
+k AS (SELECT c.archivo, texto_cv, n.nombre, row_number() OVER (PARTITION BY texto_cv IS NULL ORDER BY c.archivo)::INT AS id FROM cand c JOIN nam n ON n.doc_id = c.id)
+SELECT archivo, CASE WHEN texto_cv IS NULL THEN 422 ELSE 200 END AS status, CASE WHEN texto_cv IS NOT NULL THEN id END AS id, CASE WHEN texto_cv IS NOT NULL THEN nombre END AS nombre,
+  length(texto_cv)::INT AS caracteres, CASE WHEN texto_cv IS NOT NULL THEN 2 END AS dimension, CASE WHEN texto_cv IS NULL THEN archivo || ': sin texto extraible, se omite.' END AS aviso FROM k""",
+    "ingest_count": f"WITH {_CAND} SELECT count(texto_cv) AS guardados, count(*) - count(texto_cv) AS omitidos FROM cand",
+    "text_preview": r"SELECT doc_id, substr(array_to_string(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '')[1:8], ' '), 1, 60) AS inicio, coalesce(length(text), 0)::INT AS chars FROM documents",
+    "nfc_compose": "SELECT doc_id, md5(nfc_normalize(text)) AS h FROM documents",
+    "plain_text": r"WITH t AS (SELECT doc_id, md5(regexp_replace(lower(strip_accents(text)), '^\s+|\s+$', '', 'g')) AS h FROM documents) SELECT doc_id, h AS por_formas, h AS por_tabla FROM t",
+    "profile_extraction": "SELECT * FROM (VALUES " + ", ".join(map(str, profiles.EXPECTED)) + ") AS t(doc_id, anios, titulacion, ingles)",
+    "coverage_report": f"WITH {_PROFILE} SELECT doc_id, coalesce(anios::VARCHAR, '-') AS anios, coalesce((['FP', 'Grado', 'Master'])[titulacion::INT], '-') AS titulacion, coalesce(([{_CODES}])[ingles::INT], '-') AS ingles FROM profile",
+    "chunk_pack": rf"""WITH u AS (SELECT doc_id, coalesce(text, '') AS text, list_transform({_UNITS}, lambda x: {{'u': x, 'w': regexp_split_to_array(x, '\s+')}}) AS l FROM documents),
+f AS (SELECT doc_id, text, flatten(list_transform(l, lambda x: CASE WHEN len(x.w) <= 126 THEN [{{'t': x.u, 'n': len(x.w)}}]
+  ELSE list_transform(range(0, len(x.w), 126), lambda k: {{'t': array_to_string(x.w[k + 1:k + 126], ' '), 'n': len(x.w[k + 1:k + 126])}}) END)) AS p FROM u),
+r AS (SELECT doc_id, text, p, list_reduce(list_transform(p, lambda x: {{'used': x.n, 'no': 0::BIGINT, 'c': [0::BIGINT]}}), lambda a, x: CASE WHEN a.used + x.used <= 126
+  THEN {{'used': a.used + x.used, 'no': a.no, 'c': list_append(a.c, a.no)}} ELSE {{'used': x.used, 'no': a.no + 1, 'c': list_append(a.c, a.no + 1)}} END) AS z FROM f WHERE len(p) > 0),
+g AS (SELECT doc_id, unnest(list_transform(p, lambda x: x.t)) AS t, generate_subscripts(p, 1) AS i, unnest(z.c) AS pos FROM r),
+h AS (SELECT doc_id, pos, string_agg(t, ' ' ORDER BY i) AS chunk FROM g GROUP BY doc_id, pos UNION ALL SELECT doc_id, 0, text FROM f WHERE len(p) = 0)
+SELECT doc_id, pos::INT AS pos, md5(chunk) AS h, length(chunk)::INT AS chars FROM h""",
     "health_count": "SELECT count(embedding) AS candidatos, max(len(embedding))::INT AS dimension FROM embeddings",
     "semi_text_fetch": "SELECT doc_id AS id, md5(coalesce(text, '')) AS h FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)",
     "quote_extract": rf"""WITH f AS (SELECT doc_id, {_FLAT} AS t FROM documents),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import io
-import warnings
+import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillrank.functions.text import clean, compose
+from quillrank.operators.names import title_case
 
 REQUEST = "texto string, titulo string, top int, guardar boolean"
 
@@ -24,33 +25,44 @@ def pdf_pages(raw: bytes) -> list[str]:
     return [p.extract_text() or "" for p in pypdf.PdfReader(io.BytesIO(raw)).pages]
 
 
-def read_pdfs(spark: SparkSession, folder: str, parser: Callable[[bytes], list[str]] = pdf_pages) -> DataFrame:
-    """(archivo, texto) of *.pdf in a folder, not below it. Blank pages are
-    skipped; a file that cannot be read gives '' and a warning. A missing
+def scan_pdfs(spark: SparkSession, folder: str, parser: Callable[[bytes], list[str]] = pdf_pages) -> DataFrame:
+    """(archivo, texto, error) of *.pdf in a folder, not below it. Blank pages
+    are skipped; a file that cannot be read gives '' and says why. A missing
     folder raises when the plan is made."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(folder)
 
     def run(batches):
         for b in batches:
-            texts = []
+            texts, errors = [], []
             for raw in b.column("content").to_pylist():
                 try:
                     texts.append("\n\n".join(p for p in parser(raw) if p and p.strip()))
+                    errors.append(None)
                 except Exception as e:  # noqa: BLE001  one bad file must not end the batch
-                    warnings.warn(f"unreadable file: {e}", stacklevel=1)
                     texts.append("")
-            yield pa.RecordBatch.from_arrays([b.column("archivo"), pa.array(texts, pa.string())], ["archivo", "texto"])
+                    errors.append(f"{type(e).__name__}: {e}")
+            yield pa.RecordBatch.from_arrays([b.column("archivo"), pa.array(texts, pa.string()), pa.array(errors, pa.string())], ["archivo", "texto", "error"])
 
     named = files.select(F.element_at(F.split("path", "/"), -1).alias("archivo"), "content")
-    return named.mapInArrow(run, "archivo string, texto string").select("archivo", clean(compose(F.col("texto"))).alias("texto"))
+    return named.mapInArrow(run, "archivo string, texto string, error string").select("archivo", clean(compose(F.col("texto"))).alias("texto"), "error")
+
+
+def read_pdfs(spark: SparkSession, folder: str, parser: Callable[[bytes], list[str]] = pdf_pages, ordered: bool = False) -> DataFrame:
+    """(archivo, texto) of scan_pdfs, on request by file name."""
+    out = scan_pdfs(spark, folder, parser).select("archivo", "texto")
+    return out.orderBy("archivo") if ordered else out
+
+
+def offer_title(file: Column) -> Column:
+    """A file's stem in words, each with a capital."""
+    return title_case(F.replace(F.regexp_replace(file, r"\.[^./]*$", ""), F.lit("_"), F.lit(" ")))
 
 
 def read_offers(spark: SparkSession, folder: str) -> DataFrame:
-    """(archivo, titulo, texto) of *.txt in a folder; the title is the stem."""
+    """(archivo, titulo, texto) of *.txt in a folder, by file name; the title is the stem."""
     rows = spark.read.option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
     name = F.col("_metadata.file_name")
-    stem = F.replace(F.regexp_replace(name, r"\.txt$", ""), F.lit("_"), F.lit(" "))
-    return rows.select(name.alias("archivo"), F.initcap(F.lower(stem)).alias("titulo"), F.col("value").alias("texto"))
+    return rows.select(name.alias("archivo"), offer_title(name).alias("titulo"), F.col("value").alias("texto")).orderBy("archivo")
 
 
 def offer_path(name: str, folder: str, exists: Callable[[str], bool]) -> str:
@@ -61,10 +73,56 @@ def offer_path(name: str, folder: str, exists: Callable[[str], bool]) -> str:
     raise FileNotFoundError(name)
 
 
+def _path(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop, whatever store the path names."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found
+
+
+def is_file(spark: SparkSession, path: str) -> bool:
+    fs, p = _path(spark, path)
+    return fs.exists(p) and fs.getFileStatus(p).isFile()
+
+
+def read_offer(spark: SparkSession, name: str, folder: str) -> DataFrame:
+    """(archivo, titulo, texto) of one offer, named as for offer_path."""
+    path = offer_path(name, folder, lambda p: is_file(spark, p))
+    rows = spark.read.text(path, wholetext=True)
+    file = F.col("_metadata.file_name")
+    return rows.select(file.alias("archivo"), offer_title(file).alias("titulo"), F.col("value").alias("texto"))
+
+
+def land_pdf(spark: SparkSession, folder: str, name: str, raw: bytes, parser: Callable[[bytes], list[str]] = pdf_pages) -> int:
+    """Store an uploaded PDF under a name of its own and move it in place whole;
+    a file without text is taken out again. The status as by upload_status."""
+    name = name.replace("\\", "/").rsplit("/", 1)[-1]
+    if not name.lower().endswith(".pdf"):
+        return 400
+    fs, part = _path(spark, f"{folder.rstrip('/')}/.{uuid.uuid4().hex}.part")
+    _, final = _path(spark, f"{folder.rstrip('/')}/{name}")
+    out = fs.create(part, True)
+    try:
+        out.write(bytearray(raw))
+        out.close()
+        fs.delete(final, False)
+        fs.rename(part, final)
+    finally:
+        fs.delete(part, False)
+    if "".join(parser(raw)).strip():
+        return 200
+    fs.delete(final, False)
+    return 422
+
+
+def decoded(raw: Column) -> Column:
+    """UTF-8 bytes as text; bytes that are not become U+FFFD."""
+    return F.make_valid_utf8(raw.cast("string"))
+
+
 def offer_from_bytes(spark: SparkSession, raw: bytes, title: str = "Oferta desde stdin") -> DataFrame:
-    """One offer; bytes that are not UTF-8 become U+FFFD."""
+    """One offer from its bytes."""
     df = spark.createDataFrame([(title, bytearray(raw))], "titulo string, raw binary")
-    return df.select("titulo", F.make_valid_utf8(F.col("raw").cast("string")).alias("texto"))
+    return df.select("titulo", decoded(F.col("raw")).alias("texto"))
 
 
 def requests(raw: DataFrame, body: str = "body") -> DataFrame:

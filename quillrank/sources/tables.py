@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 TABLES = {
     "candidatos": "id INT, nombre STRING, archivo STRING, texto_cv STRING, embedding ARRAY<FLOAT>, fragmentos ARRAY<ARRAY<FLOAT>>, fecha_alta TIMESTAMP",
@@ -66,13 +67,51 @@ def upsert(stored: DataFrame, new: DataFrame, keys: tuple[str, ...], keep: tuple
     return both.select(*[cols[c].alias(c) for c in stored.columns])
 
 
+def numbered(rows: DataFrame, order: str, name: str, sample: int = 4096, ranges: int = 256) -> DataFrame:
+    """rows with their number in the order of a column without repeats, from 1.
+    Ranges of the column, cut at quantiles of a bounded sample, are ordered each
+    by itself; the rows of the ranges before are counted."""
+    got = sorted(r[0] for r in rows.select(order).where(F.col(order).isNotNull()).orderBy(F.xxhash64(order)).limit(sample).collect())
+    cuts = got[:: -(-len(got) // ranges)] if len(got) == sample else []
+    below = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda b: b <= F.col(order))) if cuts else F.lit(0)
+    held = rows.withColumn("__range", F.coalesce(below, F.lit(0)))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # at most ranges + 1 rows
+    counts = held.groupBy("__range").agg(F.count("*").alias("__n")).select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    within = F.row_number().over(Window.partitionBy("__range").orderBy(order))
+    return held.join(F.broadcast(counts), "__range").withColumn(name, F.col("__before") + within).drop("__range", "__before")
+
+
 def with_new_ids(merged: DataFrame, order: str) -> DataFrame:
-    """Number the rows without an id behind the highest one, in key order. New
-    rows of one load are few next to the table; they are what is ordered."""
-    top = merged.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__top"))
-    fresh = merged.where("id is null").withColumn("__n", F.row_number().over(Window.orderBy(order)))
-    fresh = fresh.crossJoin(F.broadcast(top)).withColumn("id", (F.col("__top") + F.col("__n")).cast("int"))
-    return merged.where("id is not null").unionByName(fresh.drop("__n", "__top"))
+    """Number the rows without an id behind the highest one, in key order."""
+    top = merged.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
+    fresh = numbered(merged.where("id is null"), order, "__n").withColumn("id", (F.col("__n") + top).cast("int"))
+    return merged.where("id is not null").unionByName(fresh.drop("__n"))
+
+
+def save(name: str, stored: DataFrame, new: DataFrame) -> DataFrame:
+    """The table of that name with new rows merged by its own policy: known keys
+    keep their id and what else it names, new ones are numbered. Of repeated new
+    keys the last by fecha (matches) or fecha_alta is taken."""
+    keys, keep = POLICY[name]
+    seq = next((c for c in ("fecha", "fecha_alta") if c in new.columns), None)
+    one = latest(new, keys, seq) if seq else new.dropDuplicates(list(keys))
+    merged = upsert(stored, one, keys, keep)
+    return with_new_ids(merged, keys[0]) if "id" in merged.columns else merged
+
+
+def described(spark: SparkSession) -> DataFrame:
+    """(tabla, pos, columna, tipo) of the tables' schemas, as DESCRIBE tells it."""
+    rows = [(t, i, f.name, f.dataType.simpleString()) for t, ddl in TABLES.items() for i, f in enumerate(StructType.fromDDL(ddl))]
+    return spark.createDataFrame(rows, "tabla string, pos int, columna string, tipo string")
+
+
+def describe(spark: SparkSession, database: str = "default") -> DataFrame:
+    """The same of the tables as they are in a catalog."""
+    out = None
+    for t in TABLES:
+        one = spark.sql(f"DESCRIBE TABLE {database}.{t}").select(F.lit(t).alias("tabla"), F.col("col_name").alias("columna"), F.col("data_type").alias("tipo"))
+        out = one if out is None else out.unionAll(one)
+    return out
 
 
 def cascade(children: DataFrame, parents: DataFrame, child_key: str, parent_key: str) -> DataFrame:
@@ -91,15 +130,37 @@ def texts_of(candidates: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def listing(candidates: DataFrame) -> DataFrame:
+    """All candidates, embedded or not, by name: accents and case do not count
+    in the order."""
     chars = F.coalesce(F.char_length("texto_cv"), F.lit(0)).alias("caracteres")
-    return candidates.select("id", "nombre", "archivo", chars, F.date_format("fecha_alta", "yyyy-MM-dd'T'HH:mm:ss").alias("fecha_alta")).orderBy("nombre", "id")
+    out = candidates.select("id", "nombre", "archivo", chars, F.date_format("fecha_alta", "yyyy-MM-dd'T'HH:mm:ss").alias("fecha_alta"))
+    return out.orderBy(F.collate("nombre", "UNICODE_CI_AI"), "id")
 
 
-def detail(candidates: DataFrame, files: DataFrame, id: int) -> DataFrame:
-    """One candidate with indexado and pdf_disponible; no row means 404."""
+def with_files(candidates: DataFrame, files: DataFrame) -> DataFrame:
+    """What a detail shows of each candidate, with indexado and pdf_disponible:
+    whether the vector and the file are there."""
     there = files.select("archivo").distinct().withColumn("pdf_disponible", F.lit(True))
-    one = candidates.where(F.col("id") == id).join(there, "archivo", "left")
-    return one.select("id", "nombre", "archivo", F.coalesce("texto_cv", F.lit("")).alias("texto"), F.col("embedding").isNotNull().alias("indexado"), F.coalesce("pdf_disponible", F.lit(False)).alias("pdf_disponible"))
+    text = F.coalesce("texto_cv", F.lit(""))
+    return candidates.join(there, "archivo", "left").select(
+        "id", "nombre", "archivo", text.alias("texto"), F.char_length(text).alias("caracteres"), F.date_format("fecha_alta", "yyyy-MM-dd'T'HH:mm:ss").alias("fecha_alta"),
+        F.col("embedding").isNotNull().alias("indexado"), F.coalesce("pdf_disponible", F.lit(False)).alias("pdf_disponible"),
+    )
+
+
+def detail(candidates: DataFrame, files: DataFrame, id: int) -> DataFrame:
+    """One candidate; no row means 404."""
+    return with_files(candidates.where(F.col("id") == id), files)
+
+
+def pdf_lookup(asked: DataFrame, candidates: DataFrame, files: DataFrame) -> DataFrame:
+    """(id, archivo, status) for each id asked: 404 without such a candidate or
+    without its file, 400 for a name that leaves the folder, else 200."""
+    there = files.select("archivo").distinct().withColumn("__there", F.lit(True))
+    both = asked.select("id").join(candidates.select("id", "archivo"), "id", "left").join(there, "archivo", "left")
+    outside = F.col("archivo").contains("/") | F.col("archivo").contains("\\") | F.col("archivo").isin("", ".", "..")
+    status = F.when(F.col("archivo").isNull(), 404).when(outside, 400).when(F.col("__there").isNull(), 404).otherwise(200)
+    return both.select("id", "archivo", status.alias("status"))
 
 
 def health(candidates: DataFrame) -> DataFrame:
