@@ -1,11 +1,14 @@
 """Numpy kernels over Arrow text: word spans and rolling hashes.
 
 Text is cut into chunks of whole documents of about a megabyte, so that the
-64-bit work arrays stay small whatever the batch size is.
+64-bit work arrays stay small whatever the batch size is. A longer document is a
+chunk of its own; its bytes are hashed in stretches, and what is kept of it whole
+is a few bytes for each of its own and some numbers for each word.
 """
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -63,6 +66,43 @@ def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: in
     return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 
+def word_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """span_hash of the bytes of every word. Words are taken in stretches of
+    about CHUNK_BYTES, so a very long document needs no wide array of its own
+    size; a hash does not depend on where the stretch begins."""
+    table, out, i = byte_table(seed), np.empty(len(starts), np.uint64), 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + CHUNK_BYTES, "right")))
+        lo = int(starts[i])
+        out[i:j] = span_hash(table[data[lo : int(ends[j - 1])]], starts[i:j] - lo, ends[i:j] - lo, seed)
+        i = j
+    return out
+
+
+def release() -> None:
+    """Give freed memory back to the system: workers stay when their task ends,
+    and what allocators keep for them counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+def trimmed(run):
+    """A function over batches that releases memory at its end."""
+
+    def own(batches):
+        yield from run(batches)
+        release()
+
+    return own
+
+
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library
+    _LIBC = None
+
+
 class Chunk(NamedTuple):
     """Whole documents: rows [first, last) of the batch, their bytes, and the
     byte offset of each document within the chunk (one more than documents)."""
