@@ -1,11 +1,14 @@
 """Quality classifier: random-indexing word vectors, pooled, and a small net.
 
-Every token bucket has a fixed sparse index vector; a bucket's word vector is
-the sum of the index vectors of its neighbours (two words each way) over all
-documents, one distributed pass with a bounded table (buckets x dimensions)
-per task. A document pools its words' vectors by mean and mean square; a
-two-layer numpy network on top is trained on a bounded labelled sample and a
-temperature fitted on a part kept from training calibrates its probabilities.
+Each of the WORDS most frequent words, counted over all documents, has a fixed
+sparse index vector and a word vector of its own: the sum of the index vectors
+of its neighbours (two words each way) over all documents, one distributed pass
+with a table of bounded size per task. Rarer words, of which each has met too
+few neighbours to tell much, share TAIL further vectors by hash. A document
+pools its words' vectors by mean and mean square; a two-layer numpy network on
+top is trained on a bounded labelled sample. A temperature fitted on a part kept
+from training, and the classes' shares among all labels, calibrate its
+probabilities.
 
 Tokens are runs of letters and digits, runs of other marks, and, for words in
 capitals, the one token that stands for capitals.
@@ -17,6 +20,8 @@ extra columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,8 +29,11 @@ from pyspark.sql import functions as F
 
 from quillrank.llm import textnum as tn
 from quillrank.llm.labelled import fold, sample
+from quillrank.llm.store import written
+from quillrank.llm.vocabulary import Frequent, counted, frequent
 
-BUCKETS = 4096
+#: Words with a vector of their own, and vectors that all others share.
+WORDS, TAIL = 1 << 16, 1 << 12
 DIM = 64
 REACH = 2
 THRESHOLD = 0.5
@@ -34,14 +42,14 @@ MOD, HELD = 3, 1
 _KIND = np.zeros(256, np.uint8)  # 0 mark, 1 letter or digit, 2 space
 _KIND[48:58] = _KIND[65:91] = _KIND[97:123] = _KIND[128:] = 1
 _KIND[[9, 10, 11, 12, 13, 32]] = 2
-_CAPS = 1
+_CAPS = np.uint64(1)
 
 
 def _tokens(c: tn.Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """Token buckets of the chunk and each document's first token."""
+    """Token hashes of the chunk and each document's first token."""
     data = c.data
     if not len(data):
-        return np.empty(0, np.int64), np.zeros(len(c.offsets), np.int64)
+        return np.empty(0, np.uint64), np.zeros(len(c.offsets), np.int64)
     kind = _KIND[data]
     new = np.ones(len(data), bool)
     new[1:] = kind[1:] != kind[:-1]
@@ -50,63 +58,87 @@ def _tokens(c: tn.Chunk) -> tuple[np.ndarray, np.ndarray]:
     ends = np.append(starts[1:], len(data))
     solid = kind[starts] != 2
     starts, ends = starts[solid], ends[solid]
-    h = tn.span_hash(tn.byte_table(0)[tn.ascii_lower(data)], starts, ends, 0)
+    h = tn.word_hash(tn.ascii_lower(data), starts, ends, 0)
     upper = np.concatenate([[0], np.cumsum((data >= 65) & (data <= 90))])
-    caps = (upper[ends] - upper[starts] == ends - starts) & (ends - starts >= 2)
-    buckets = (h % np.uint64(BUCKETS - 2)).astype(np.int64) + 2
-    buckets[caps] = _CAPS
-    return buckets, np.searchsorted(starts, c.offsets)
+    h[(upper[ends] - upper[starts] == ends - starts) & (ends - starts >= 2)] = _CAPS
+    return h, np.searchsorted(starts, c.offsets)
+
 
+def _ids(words: Frequent, h: np.ndarray) -> np.ndarray:
+    """Vector of each hash: its own, or one that rare words share."""
+    at = words.places(h)
+    return np.where(at < len(words.keys), at, len(words.keys) + (h % np.uint64(TAIL)).astype(np.int64))
 
-def index_vectors() -> tuple[np.ndarray, np.ndarray]:
-    """Two signed places per bucket, from its number."""
-    h = tn.mix(np.arange(2 * BUCKETS, dtype=np.uint64) + np.uint64(17)).reshape(BUCKETS, 2)
+
+def index_vectors(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two signed places per vector, from its number."""
+    h = tn.mix(np.arange(2 * n, dtype=np.uint64) + np.uint64(17)).reshape(n, 2)
     return (h % np.uint64(DIM)).astype(np.int64), np.where((h >> np.uint64(40)) & np.uint64(1), 1.0, -1.0)
 
 
-def _contexts(batches):
-    place, sign = index_vectors()
-    total = np.zeros(BUCKETS * DIM)
-    for b in batches:
-        for c in tn.chunks(b.column(0)):
-            w, first = _tokens(c)
-            doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-            for step in range(1, REACH + 1):
-                near = np.flatnonzero(doc[step:] == doc[:-step])
-                for a, z in ((near, near + step), (near + step, near)):
-                    for k in range(2):
-                        total += np.bincount(w[a] * DIM + place[w[z], k], weights=sign[w[z], k], minlength=len(total))
-    table = total.reshape(BUCKETS, DIM)
-    used = np.flatnonzero(np.abs(table).sum(1))
-    if len(used):
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *[pa.array(table[used, i].astype(np.float32)) for i in range(DIM)]], ["bucket", *[f"v{i}" for i in range(DIM)]])
-
-
-def word_vectors(docs: DataFrame) -> np.ndarray:
-    """BUCKETS x DIM unit rows, from the contexts of all documents."""
+def _contexts(sent):
+    def run(batches):
+        words = sent.value
+        size = len(words.keys) + TAIL
+        place, sign = index_vectors(size)
+        table = np.zeros((size, DIM), np.float32)
+        for b in batches:
+            for c in tn.chunks(b.column(0)):
+                h, first = _tokens(c)
+                u, back = np.unique(h, return_inverse=True)
+                own = _ids(words, u)
+                met = np.zeros(len(u) * DIM)
+                doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+                for step in range(1, REACH + 1):
+                    near = np.flatnonzero(doc[step:] == doc[:-step])
+                    for a, z in ((near, near + step), (near + step, near)):
+                        for k in range(2):
+                            z_id = own[back[z]]
+                            met += np.bincount(back[a] * DIM + place[z_id, k], weights=sign[z_id, k], minlength=len(met))
+                np.add.at(table, own, met.reshape(-1, DIM).astype(np.float32))
+        used = np.flatnonzero(np.abs(table).sum(1))
+        if len(used):
+            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *[pa.array(table[used, i]) for i in range(DIM)]], ["word", *[f"v{i}" for i in range(DIM)]])
+
+    return run
+
+
+class Vectors(NamedTuple):
+    """Unit rows: of the frequent words in the order of their keys, then TAIL shared ones."""
+
+    words: Frequent
+    table: np.ndarray
+
+
+def word_vectors(docs: DataFrame, limit: int = WORDS) -> Vectors:
+    """Counted and summed over all documents."""
+    words = frequent(written(counted(docs, lambda c: _tokens(c)[0])), limit)
+    sent = docs.sparkSession.sparkContext.broadcast(words)
     names = [f"v{i}" for i in range(DIM)]
-    rows = docs.select("text").mapInArrow(_contexts, "bucket int, " + ", ".join(f"{n} float" for n in names))
-    got = rows.groupBy("bucket").agg(*[F.round(F.sum(F.col(n).cast("double")), 3).cast("float").alias(n) for n in names]).toArrow()
-    table = np.zeros((BUCKETS, DIM))
-    table[got.column("bucket").to_numpy()] = np.column_stack([got.column(n).to_numpy() for n in names])
+    rows = docs.select("text").mapInArrow(tn.trimmed(_contexts(sent)), "word int, " + ", ".join(f"{n} float" for n in names))
+    got = rows.groupBy("word").agg(*[F.sum(F.col(n).cast("double")).cast("float").alias(n) for n in names]).toArrow()
+    table = np.zeros((len(words.keys) + TAIL, DIM))
+    table[got.column("word").to_numpy()] = np.column_stack([got.column(n).to_numpy() for n in names])
     norm = np.linalg.norm(table, axis=1, keepdims=True)
-    return (table / np.where(norm > 0, norm, 1)).astype(np.float32)
+    return Vectors(words, (table / np.where(norm > 0, norm, 1)).astype(np.float32))
 
 
-def pooled(text: pa.Array, vectors: np.ndarray) -> np.ndarray:
-    """Mean and mean square of the word vectors of each document."""
-    both = np.hstack([vectors, vectors**2 * 4])
+def pooled(text: pa.Array, vectors: Vectors) -> np.ndarray:
+    """Mean and mean square (times 4) of the word vectors of each document."""
     out = []
     for c in tn.chunks(text):
-        w, first = _tokens(c)
-        n = len(first) - 1
-        for lo in range(0, n, 256):
-            hi = min(lo + 256, n)
-            own = w[first[lo] : first[hi]]
-            doc = np.repeat(np.arange(hi - lo), np.diff(first[lo : hi + 1]))
-            bag = np.bincount(doc * BUCKETS + own, minlength=(hi - lo) * BUCKETS).reshape(hi - lo, BUCKETS).astype(np.float32)
-            out.append((bag @ both) / np.maximum(np.diff(first[lo : hi + 1]), 1)[:, None])
-    return np.vstack(out) if out else np.zeros((0, 2 * DIM), np.float32)
+        h, first = _tokens(c)
+        n = np.diff(first)
+        u, back = np.unique(h, return_inverse=True)
+        rows = vectors.table[_ids(vectors.words, u)]
+        rows = np.hstack([rows, rows**2 * 4])
+        doc, total = np.repeat(np.arange(len(n)), n), np.zeros((len(n), 2 * DIM))
+        for lo in range(0, len(h), 1 << 14):
+            own = doc[lo : lo + (1 << 14)]
+            cuts = np.flatnonzero(np.diff(own, prepend=-1))
+            total[own[cuts]] += np.add.reduceat(rows[back[lo : lo + (1 << 14)]], cuts, axis=0)
+        out.append(total / np.maximum(n, 1)[:, None])
+    return np.vstack(out) if out else np.zeros((0, 2 * DIM))
 
 
 def _forward(x, net):
@@ -150,21 +182,29 @@ def train(x: np.ndarray, y: list[int], hidden: int = 32, epochs: int = 60, rate:
 
 
 def fit(docs: DataFrame, labels: DataFrame, mod: int = MOD, held: int = HELD, rows: tuple[int, int] = (4000, 4000)):
-    """(word vectors over all documents, network, temperature)."""
+    """(word vectors over all documents, network, temperature, shift): the last is
+    added to the logit, as the classes' shares are those of all labels."""
     vectors = word_vectors(docs)
-    text, y, _ = sample(docs, labels, "quality", mod, held, rows)
-    return (vectors, *train(pooled(text, vectors), y))
+    sent = docs.sparkSession.sparkContext.broadcast(vectors)
+
+    def learn(text: pa.Array) -> dict:
+        x = pooled(text, sent.value).astype(np.float32)
+        return {"x": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32()))}
+
+    got, y, shift = sample(docs, labels, "quality", mod, held, rows, learn, "x array<float>")
+    x = np.array(got.column("x").to_pylist(), np.float32).reshape(len(y), 2 * DIM)
+    return (vectors, *train(x, y), shift)
 
 
 def score(docs: DataFrame, model) -> DataFrame:
     """doc_id, held_out, score, predicted."""
-    vectors, net, temperature = model
+    sent, net, temperature, shift = docs.sparkSession.sparkContext.broadcast(model[0]), *model[1:]
 
     def run(batches):
         for b in batches:
-            z = _forward(pooled(b.column(1), vectors), net)[1][:, 0] / temperature
+            z = _forward(pooled(b.column(1), sent.value), net)[1][:, 0] / temperature + shift
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], ["doc_id", "score"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    got = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    got = docs.select("doc_id", "text").mapInArrow(tn.trimmed(run), f"doc_id {kind}, score double")
     return got.select("doc_id", (fold(F.col("doc_id"), MOD) == HELD).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
