@@ -80,8 +80,9 @@ FROM d LEFT JOIN per ON per.r = d.r
 """
 
 OP10 = rf"""
-WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size,
-  ((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13))::UBIGINT)::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM documents),
+WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size, coalesce(doc_id::VARCHAR, '') || '|' || substr(md5(coalesce(text, '')), 1, 16) AS name FROM documents),
+k AS (SELECT *, CASE WHEN size > 0 THEN length(bin(size)) ELSE 0 END::BIGINT AS grade, name || '|' || (row_number() OVER (PARTITION BY source, name) - 1) AS key FROM d),
+r AS (SELECT *, ((('0x' || substr(md5(key), 1, 13))::UBIGINT)::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM k),
 s AS (SELECT source, sum(size)::BIGINT AS source_size,
   [1.0, 2.0, 3.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w FROM d GROUP BY source),
 c AS (SELECT *, source_size::DOUBLE * 3 AS cap FROM s),
@@ -89,16 +90,22 @@ l AS (SELECT *, ((sum(source_size) OVER ())::DOUBLE - coalesce(sum(cap) OVER bef
   FROM c WINDOW before AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 v AS (SELECT arg_min(level, cap / w) AS level FROM l WHERE level * w <= cap),
 t AS (SELECT source, source_size, coalesce(least(cap, v.level * w), 0) AS target FROM c, v),
-p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size + 1e-9)::BIGINT ELSE 0 END AS whole FROM t),
-q AS (SELECT *, greatest(target - whole * source_size, 0.0) AS missing FROM p),
-x AS (SELECT d.doc_id, d.size, q.source_size, q.target, q.whole, q.missing, d.source,
-  CASE WHEN q.missing > 0 AND d.size > 0 THEN (d.u / (1 - d.u)) / ((q.missing / q.source_size) / (1 - q.missing / q.source_size)) END AS rank
-  FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
-y AS (SELECT *, coalesce(sum(CASE WHEN rank IS NOT NULL THEN size END) OVER (PARTITION BY source ORDER BY rank NULLS LAST, doc_id NULLS FIRST, size
-  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS so_far FROM x)
-SELECT doc_id, size, source_size, target, ((whole + CASE WHEN rank IS NOT NULL AND so_far + size / 2.0 <= missing THEN 1 ELSE 0 END) * size)::BIGINT AS taken,
-  (whole + CASE WHEN rank IS NOT NULL AND so_far + size / 2.0 <= missing THEN 1 ELSE 0 END)::BIGINT AS copies
-FROM y
+g AS (SELECT r.source, r.grade, sum(r.size)::BIGINT AS words, any_value(t.target) AS target
+  FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source WHERE r.size > 0 GROUP BY r.source, r.grade),
+h AS (SELECT *, (target - coalesce(sum(words) OVER higher, 0)::DOUBLE * 3) / (sum(grade * words) OVER lower)::DOUBLE AS level FROM g
+  WINDOW higher AS (PARTITION BY source ORDER BY grade DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+    lower AS (PARTITION BY source ORDER BY grade DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+e AS (SELECT *, coalesce(least(3.0, grade * max_by(level, grade) FILTER (level * grade <= 3) OVER (PARTITION BY source)), 3.0) AS expected FROM h),
+f AS (SELECT *, floor(expected + 1e-9)::BIGINT AS whole FROM e),
+p AS (SELECT source, grade, whole, CASE WHEN expected - whole > 1e-9 THEN expected - whole ELSE 0 END AS p,
+  greatest(target - sum(whole * words) OVER (PARTITION BY source), 0.0) AS missing FROM f),
+x AS (SELECT r.doc_id, r.size, r.source, r.key, t.source_size, t.target, coalesce(p.whole, 0) AS whole, p.missing,
+  CASE WHEN p.p > 0 THEN (r.u / (1 - r.u)) / (p.p / (1 - p.p)) END AS rank
+  FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source LEFT JOIN p ON r.source IS NOT DISTINCT FROM p.source AND r.grade = p.grade),
+y AS (SELECT *, coalesce(sum(CASE WHEN rank IS NOT NULL THEN size END) OVER (PARTITION BY source ORDER BY rank NULLS LAST, key
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS so_far FROM x),
+z AS (SELECT *, (whole + CASE WHEN rank IS NOT NULL AND so_far + size / 2.0 <= missing THEN 1 ELSE 0 END)::BIGINT AS copies FROM y)
+SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM z
 """
 
 SQL = {
