@@ -1,21 +1,24 @@
 """Benchmark decontamination with a positional inverted index.
 
-The index holds postings (term, document, position) of training tokens, each
-with the words around it. Only terms that some test window is looked up by are
-stored: a window's rarest terms, by document tokens counted over the whole
-corpus. A lookup starts at the rarest term's list, shifts it by the term's
-offset in the window and intersects it with what stands at the other offsets,
-which the posting carries, so no list of a frequent term is ever built.
+The index is a stored table of postings (term, document, position) of training
+tokens. It holds the terms that some test window or item is looked up by: its
+rarest ones, by document tokens counted over the whole corpus, so no list of a
+term is built that is frequent where a rarer one would do. A lookup starts from
+a window's rarest term, shifts its list by the term's offset in the window, and
+intersects it with the shifted list of the next rarest one: what stays are
+starts at which both stand in place. Windows with further words are then held
+against the document's words at these starts.
 
 Exact phrases mark the document words of every occurrence. Proximity matches
-count the documents' stretches that hold all of an item's rarest terms, in any
-order, within a span.
+are items whose three rarest terms stand within a span of 30 words of a
+document, in any order. They are found from the same index.
 
 Cases: null and empty texts have no words; items without words match nothing;
 an item shorter than the window is one window; items or documents that repeat
 are each reported (rows that share doc_id and text share their hits, which
-are the same); null ids are kept; extra columns are ignored; an empty table of
-either kind gives no hits.
+are the same); null ids are kept, and the items without an id count as one with
+an empty id; extra columns are ignored; an empty table of either kind gives no
+hits; a text of any length is read whole.
 """
 
 from __future__ import annotations
@@ -23,9 +26,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillrank.llm.store import broadcast_if_small, written
+from quillrank.llm.store import broadcast_if_small, scratch, written
 
 WINDOW = 13
+#: Terms whose lists are intersected for a window; terms of an item that must
+#: stand together for a proximity match, and within how many words.
+RAREST, TOGETHER, SPAN = 2, 3, 30
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -42,13 +48,25 @@ def words(text: Column) -> Column:
 
 def test_windows(benchmark: DataFrame, size: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Distinct windows (win, words), and which items hold them (win, item_id)."""
-    items = benchmark.select(F.col(id_col).alias("item_id"), words(F.col(text_col)).alias("w")).where(F.size("w") > 0)
+    items = benchmark.select(_item(id_col), words(F.col(text_col)).alias("w")).where(F.size("w") > 0)
     last = F.greatest(F.size("w") - size, F.lit(0))
     cut = items.select("item_id", "w", F.explode(F.sequence(F.lit(0), last)).alias("at"))
     cut = cut.select("item_id", F.slice("w", F.col("at") + 1, F.lit(size)).alias("words"))
     # The joined words identify a window; words hold no spaces.
-    cut = written(cut.select("item_id", "words", F.sha2(F.array_join("words", " "), 256).alias("win")))
-    return written(cut.select("win", "words").dropDuplicates(["win"])), written(cut.select("win", "item_id").distinct())
+    cut = written(cut.select("item_id", F.array_join("words", " ").alias("joined"), "words"))
+    windows = written(cut.select("joined", "words").dropDuplicates(["joined"]).withColumn("win", F.monotonically_increasing_id()))
+    holders = cut.select("joined", "item_id").distinct().join(windows.select("joined", "win"), "joined")
+    return windows.select("win", "words"), written(holders.select("win", "item_id"))
+
+
+def _item(id_col: str) -> Column:
+    return F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item_id")
+
+
+def whole_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(win, item_id, words): each item's text as one window, for proximity."""
+    items = benchmark.select(_item(id_col), words(F.col(text_col)).alias("words")).where(F.size("words") > 0).distinct()
+    return written(items.select(F.monotonically_increasing_id().alias("win"), "item_id", "words"))
 
 
 def term_counts(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
@@ -58,75 +76,129 @@ def term_counts(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> Da
     return terms.join(tokens.join(terms, "term").groupBy("term").agg(F.count("*").alias("n")), "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def lookups(windows: DataFrame, counts: DataFrame, rarest: int = 1) -> DataFrame:
-    """(win, words, term, offset, place): each window's rarest terms in order.
-    A window with a term that the corpus lacks occurs nowhere and is left out."""
+def lookups(windows: DataFrame, counts: DataFrame, rarest: int = RAREST, whole: bool = True) -> DataFrame:
+    """(win, term, offset, place, need): each window's rarest terms, the rarest
+    at place 0, and how many are taken. With whole, a window with a term that the
+    corpus lacks occurs nowhere and is left out; else such terms are passed over,
+    and a window that has too few others is left out."""
     spread = windows.select("win", F.posexplode("words").alias("offset", "term"))
     spread = spread.groupBy("win", "term").agg(F.min("offset").alias("offset")).join(counts, "term", "left")
-    spread = spread.withColumn("least", F.min(F.coalesce("n", F.lit(0))).over(Window.partitionBy("win"))).where("least > 0")
-    place = F.row_number().over(Window.partitionBy("win").orderBy("n", "offset"))
-    return spread.withColumn("place", place).where(F.col("place") <= rarest).join(windows, "win").select("win", "words", "term", "offset", "place")
+    own = Window.partitionBy("win")
+    spread = spread.withColumns({"least": F.min(F.coalesce("n", F.lit(0))).over(own), "need": F.least(F.count("*").over(own), F.lit(rarest)).cast("int")})
+    spread = spread.where("least > 0" if whole else "n > 0")
+    spread = spread.withColumns({"place": F.row_number().over(own.orderBy("n", "offset")) - 1, "have": F.count("*").over(own)})
+    return spread.where((F.col("place") < rarest) & (F.col("have") >= F.col("need"))).select("win", "term", "offset", "place", "need")
 
 
-def postings(docs: DataFrame, terms: DataFrame, context: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The index: (_id, _text, term, pos, before, around), positions from 0.
-    around holds the words from pos - before on, up to context on each side."""
+def postings(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The index of these terms: (_id, _text, term, pos), positions from 0."""
     held = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_text"), words(F.col(text_col)).alias("w"))
-    # explode and join run in one stage: the array is only read for matching rows.
-    at = held.select("_id", "_text", "w", F.posexplode_outer("w").alias("pos", "term")).join(terms, "term")
-    before = F.least(F.col("pos"), F.lit(context))
-    return at.select("_id", "_text", "term", "pos", before.alias("before"), F.slice("w", F.col("pos") - before + 1, before + context + 1).alias("around"))
+    return held.select("_id", "_text", F.posexplode_outer("w").alias("pos", "term")).join(terms, "term").select("_id", "_text", "term", "pos")
+
+
+def intersected(index: DataFrame, looked: DataFrame) -> DataFrame:
+    """(_id, _text, win, start): starts at which all of a window's terms stand
+    at their offsets."""
+    at = index.join(_small(looked), "term").withColumn("start", F.col("pos") - F.col("offset")).where("start >= 0")
+    # Rows that repeat (id, text) give the same postings, so places count as bits.
+    both = at.groupBy("_id", "_text", "win", "start").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("place"))).alias("met"), F.max("need").alias("need"))
+    return both.where(F.col("met") == F.call_function("shiftleft", F.lit(1), F.col("need")) - 1).select("_id", "_text", "win", "start")
+
+
+def _small(table: DataFrame, limit: int = 20_000) -> DataFrame:
+    return broadcast_if_small(table, table.count(), limit)
 
 
-def phrase_matches(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW) -> DataFrame:
+def _same(a: DataFrame, b: DataFrame):
+    return a["_id"].eqNullSafe(b["_id"]) & (a["_text"] == b["_text"])
+
+
+def phrase_matches(docs: DataFrame, windows: DataFrame, index: DataFrame, looked: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_id, _text, win, start, len): every exact occurrence of a window."""
-    terms = written(windows.select(F.explode("words").alias("term")).distinct())
-    terms = broadcast_if_small(terms, terms.count())
-    looked = written(lookups(windows, term_counts(docs, terms, text_col)))
-    keys = looked.select("term").distinct()
-    index = postings(docs, broadcast_if_small(keys, looked.count()), size - 1, id_col, text_col)
-    met = index.join(broadcast_if_small(looked, looked.count(), 20_000), "term")
-    fits = (F.col("before") >= F.col("offset")) & (F.slice("around", F.col("before") - F.col("offset") + 1, F.size("words")) == F.col("words"))
-    return met.where(fits).select("_id", "_text", "win", (F.col("pos") - F.col("offset")).alias("start"), F.size("words").alias("len"))
-
-
-def proximity_matches(docs: DataFrame, benchmark: DataFrame, span: int = 30, rarest: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, item_id, pos): the rarest terms of an item, all within span
-    words from the rarest one, in any order."""
-    items = benchmark.select(F.sha2(F.col("item_id").cast("string"), 256).alias("win"), "item_id", words(F.col("text")).alias("words"))
-    items = written(items.where(F.size("words") > 0).dropDuplicates(["win"]))
-    terms = items.select(F.explode("words").alias("term")).distinct()
-    looked = written(lookups(items.select("win", "words"), term_counts(docs, terms, text_col), rarest))
-    need = looked.groupBy("win").agg(F.collect_set("term").alias("need"), F.min_by("term", "place").alias("term"))
-    index = postings(docs, looked.select("term").distinct(), span, id_col, text_col)
-    met = index.join(need, "term").where(F.size(F.array_except("need", "around")) == 0)
-    return met.join(items.select("win", "item_id"), "win").select(F.col("_id").alias("doc_id"), "item_id", "pos")
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", keep: tuple = ()) -> DataFrame:
-    """doc_id, n_words, n_hit, items (sorted ids as strings), contaminated, and
-    the columns in keep."""
-    windows, holders = test_windows(benchmark, size)
-    found = written(phrase_matches(docs, windows, id_col, text_col, size))
-    # Words under any occurrence: the union of the spans, in order.
-    spans = found.groupBy("_id", "_text").agg(F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("len")).alias("end")))).alias("spans"))
-    step = lambda acc, x: F.struct(
-        (acc["n"] + F.greatest(x["end"] - F.greatest(x["start"], acc["upto"]), F.lit(0))).alias("n"), F.greatest(acc["upto"], x["end"]).alias("upto")
+    sizes = windows.select("win", F.size("words").alias("len"), F.size(F.array_distinct("words")).alias("terms"))
+    found = written(intersected(index, looked).join(_small(written(sizes)), "win"))
+    # Windows that the lookup covers word by word need no further look.
+    covered = (F.col("terms") == F.col("len")) & (F.col("len") <= RAREST)
+    sure = found.where(covered).select("_id", "_text", "win", "start", "len")
+    rest = written(found.where(~covered).groupBy("_id", "_text").agg(F.collect_list(F.struct("win", "start", "len")).alias("c")))
+    own = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_text"), F.col(text_col).alias("_t"))
+    own = own.join(_small(rest), _same(own, rest)).select(rest["_id"], rest["_text"], "c", F.array(words(F.col("_t"))).alias("w"))
+    # The outer generators add no filters, which would split all texts, and keep
+    # the split out of what is done per candidate.
+    own = own.select("_id", "_text", "c", F.explode_outer("w").alias("w"))
+    said = lambda x: F.struct(x["win"].alias("win"), x["start"].alias("start"), x["len"].alias("len"), F.array_join(F.slice(F.col("w"), x["start"] + 1, x["len"]), " ").alias("said"))
+    own = own.select("_id", "_text", F.explode_outer(F.transform("c", said)).alias("x")).select("_id", "_text", "x.*")
+    spelled = written(windows.select("win", F.array_join("words", " ").alias("joined")))
+    own = own.join(_small(spelled), "win").where("said = joined").select("_id", "_text", "win", "start", "len").distinct()
+    return sure.unionAll(own)
+
+
+def near_items(index: DataFrame, looked: DataFrame, span: int = SPAN) -> DataFrame:
+    """(_id, _text, win): items whose looked-up terms all stand within span
+    words, in any order."""
+    at = index.join(_small(looked), "term").groupBy("_id", "_text", "win").agg(
+        F.sort_array(F.collect_set(F.struct("pos", "place"))).alias("at"), F.max("need").alias("need")
     )
-    covered = F.aggregate("spans", F.struct(F.lit(0).alias("n"), F.lit(0).alias("upto")), step, lambda acc: acc["n"])
-    spans = spans.select("_id", "_text", covered.cast("long").alias("n_hit"))
-    held = broadcast_if_small(holders, holders.count(), 20_000)
-    items = found.select("_id", "_text", "win").distinct().join(held, "win")
-    items = items.groupBy("_id", "_text").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    same = lambda a, b: a["_id"].eqNullSafe(b["_id"]) & (a["_text"] == b["_text"])
-    hits = written(spans.join(items, same(spans, items)).select(spans["_id"], spans["_text"], "n_hit", "items"))
+    never = -(1 << 30)
+    start = F.struct(F.array_repeat(F.lit(never), TOGETHER).alias("last"), F.lit(1 << 30).alias("best"))
+
+    def step(acc, x):
+        # The last position of every term so far; unused places follow along.
+        last = F.transform(acc["last"], lambda v, i: F.when(i == x["place"], x["pos"]).otherwise(v))
+        return F.struct(last.alias("last"), F.least(acc["best"], x["pos"] - F.array_min(F.slice(last, F.lit(1), F.col("need"))) + 1).alias("best"))
+
+    best = F.aggregate("at", start, step, lambda acc: acc["best"])
+    return at.where(best <= span).select("_id", "_text", "win")
+
+
+def proximity_matches(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, item_id): items whose rarest terms all stand within span words."""
+    items = whole_items(benchmark)
+    terms = items.select(F.explode("words").alias("term")).distinct()
+    looked = written(lookups(items.select("win", "words"), term_counts(docs, terms, text_col), TOGETHER, whole=False))
+    index = written(postings(docs, _small(looked.select("term").distinct()), id_col, text_col))
+    found = near_items(index, looked, span).join(items.select("win", "item_id"), "win")
+    return found.select(F.col("_id").alias("doc_id"), F.col("item_id").cast(dict(benchmark.dtypes)["item_id"]).alias("item_id")).distinct()
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", keep: tuple = (), proximity: bool = True) -> DataFrame:
+    """doc_id, n_words, n_hit, items (sorted ids as strings), contaminated, near
+    (sorted ids of items with a proximity match; none are looked for without
+    proximity), and the columns in keep."""
+    with scratch() as tables:
+        windows, holders = test_windows(benchmark, size)
+        items = whole_items(benchmark)
+        terms = written(items.select(F.explode("words").alias("term")).distinct())
+        counts = written(term_counts(docs, broadcast_if_small(terms, terms.count()), text_col))
+        looked = written(lookups(windows, counts))
+        by_item = written(lookups(items.select("win", "words"), counts, TOGETHER, whole=False)) if proximity else looked.where("false")
+        keys = written(looked.select("term").unionAll(by_item.select("term")).distinct())
+        index = written(postings(docs, broadcast_if_small(keys, keys.count()), id_col, text_col))
+        found = written(phrase_matches(docs, windows, index, looked, id_col, text_col))
+        # Words under any occurrence: the union of the spans, in order.
+        spans = found.groupBy("_id", "_text").agg(F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("len")).alias("end")))).alias("spans"))
+        step = lambda acc, x: F.struct(
+            (acc["n"] + F.greatest(x["end"] - F.greatest(x["start"], acc["upto"]), F.lit(0))).alias("n"), F.greatest(acc["upto"], x["end"]).alias("upto")
+        )
+        covered = F.aggregate("spans", F.struct(F.lit(0).alias("n"), F.lit(0).alias("upto")), step, lambda acc: acc["n"])
+        spans = spans.select("_id", "_text", covered.cast("long").alias("n_hit"))
+        ids = lambda df, by, name: df.select("_id", "_text", "win").distinct().join(_small(by), "win").groupBy("_id", "_text").agg(F.sort_array(F.collect_set("item_id")).alias(name))
+        nothing = lambda kind: F.lit(None).cast(kind)
+        parts = spans.select("_id", "_text", "n_hit", nothing("array<string>").alias("items"), nothing("array<string>").alias("near"))
+        parts = parts.unionAll(ids(found, holders, "items").select("_id", "_text", nothing("long"), "items", nothing("array<string>")))
+        if proximity:
+            close = near_items(index, by_item)
+            parts = parts.unionAll(ids(close, items.select("win", "item_id"), "near").select("_id", "_text", nothing("long"), nothing("array<string>"), "near"))
+        # One of the (at most three) rows of a document has each column.
+        hits = tables.keep(written(parts.groupBy("_id", "_text").agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("n_hit", "items", "near")])))
     # Where the hits are few, rows stay where they are read.
     base = docs.select(
         F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_text"), F.size(words(F.col(text_col))).cast("long").alias("n_words"), *[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)]
     )
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     hits = broadcast_if_small(hits, hits.count())
-    return base.join(hits, same(base, hits), "left").select(
-        base["_id"].alias("doc_id"), "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"),
-        ((n_hit > 0) & (n_hit * 20 >= F.col("n_words"))).alias("contaminated"), *[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)],
+    listed = lambda c: F.coalesce(c, F.array().cast("array<string>")).alias(c)
+    return base.join(hits, _same(base, hits), "left").select(
+        base["_id"].alias("doc_id"), "n_words", n_hit.alias("n_hit"), listed("items"), ((n_hit > 0) & (n_hit * 20 >= F.col("n_words"))).alias("contaminated"), listed("near"),
+        *[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)],
     )

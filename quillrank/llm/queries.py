@@ -48,7 +48,8 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return out.select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), _sha(F.array_join("items", ",")).alias("items_sha256"), "contaminated"
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), _sha(F.array_join("items", ",")).alias("items_sha256"), "contaminated",
+        F.size("near").cast("long").alias("n_near"), F.array_join("near", ",").alias("near"),
     )
 
 

@@ -55,17 +55,30 @@ _BWORDS = rf"list_filter(regexp_split_to_array({_LOW}, '[\x00-\x2F\x3A-\x60\x7B-
 
 OP6 = rf"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_BWORDS} AS ws FROM documents),
-i AS (SELECT item_id, {_BWORDS} AS ws FROM benchmark),
+i AS (SELECT coalesce(item_id::VARCHAR, '') AS item_id, {_BWORDS} AS ws FROM benchmark),
 iw AS (SELECT DISTINCT item_id, least(len(ws), 13) AS n, array_to_string(ws[k:k + least(len(ws), 13) - 1], ' ') AS win
   FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 12, 1) + 1)) AS k FROM i WHERE len(ws) > 0)),
 dw AS (SELECT r, k, n, array_to_string(ws[k:k + n - 1], ' ') AS win
   FROM (SELECT r, ws, n, unnest(range(1, len(ws) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM iw))),
 hit AS (SELECT dw.r, dw.k, dw.n, iw.item_id FROM dw JOIN iw ON iw.n = dw.n AND iw.win = dw.win),
-per AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM hit GROUP BY r),
-cov AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS j FROM hit) GROUP BY r)
+per AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS items FROM hit GROUP BY r),
+cov AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS j FROM hit) GROUP BY r),
+ik AS (SELECT row_number() OVER () AS q, item_id, ws FROM (SELECT DISTINCT item_id, ws FROM i WHERE len(ws) > 0)),
+tt AS (SELECT q, term, min(o) AS o FROM (SELECT q, unnest(ws) AS term, generate_subscripts(ws, 1) AS o FROM ik) GROUP BY q, term),
+dt AS (SELECT r, unnest(ws) AS term, generate_subscripts(ws, 1) AS p FROM d),
+cn AS (SELECT term, count(*) AS n FROM dt WHERE term IN (SELECT term FROM tt) GROUP BY term),
+nd AS (SELECT q, least(count(*), 3) AS need FROM tt GROUP BY q),
+rk AS (SELECT tt.q, tt.term, nd.need, row_number() OVER (PARTITION BY tt.q ORDER BY cn.n, tt.o) AS place, count(*) OVER (PARTITION BY tt.q) AS have
+  FROM tt JOIN cn ON cn.term = tt.term JOIN nd ON nd.q = tt.q),
+ev AS (SELECT dt.r, rk.q, rk.need, dt.p, max(CASE WHEN place = 1 THEN dt.p END) OVER w AS a, max(CASE WHEN place = 2 THEN dt.p END) OVER w AS b, max(CASE WHEN place = 3 THEN dt.p END) OVER w AS c
+  FROM dt JOIN rk ON rk.term = dt.term AND rk.place <= 3 AND rk.have >= rk.need WINDOW w AS (PARTITION BY dt.r, rk.q ORDER BY dt.p ROWS UNBOUNDED PRECEDING)),
+nr AS (SELECT DISTINCT ev.r, ik.item_id FROM ev JOIN ik ON ik.q = ev.q
+  WHERE (a IS NOT NULL)::INT + (b IS NOT NULL)::INT + (c IS NOT NULL)::INT = need AND p - least(a, b, c) + 1 <= 30),
+np AS (SELECT r, count(*) AS n_near, string_agg(item_id, ',' ORDER BY item_id) AS near FROM nr GROUP BY r)
 SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(c.n_hit, 0)::BIGINT AS n_hit, coalesce(p.n_items, 0)::BIGINT AS n_items,
-  sha256(coalesce(p.items, '')) AS items_sha256, (coalesce(c.n_hit, 0) > 0 AND 20 * coalesce(c.n_hit, 0) >= len(d.ws)) AS contaminated
-FROM d LEFT JOIN per p ON p.r = d.r LEFT JOIN cov c ON c.r = d.r
+  sha256(coalesce(p.items, '')) AS items_sha256, (coalesce(c.n_hit, 0) > 0 AND 20 * coalesce(c.n_hit, 0) >= len(d.ws)) AS contaminated,
+  coalesce(np.n_near, 0)::BIGINT AS n_near, coalesce(np.near, '') AS near
+FROM d LEFT JOIN per p ON p.r = d.r LEFT JOIN cov c ON c.r = d.r LEFT JOIN np ON np.r = d.r
 """
 
 OP8 = r"""
