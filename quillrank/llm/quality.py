@@ -191,8 +191,8 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int = MOD, held: int = HELD, ro
         x = pooled(text, sent.value).astype(np.float32)
         return {"x": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32()))}
 
-    got, y, shift = sample(docs, labels, "quality", mod, held, rows, learn, "x array<float>")
-    x = np.array(got.column("x").to_pylist(), np.float32).reshape(len(y), 2 * DIM)
+    got, order, y, shift = sample(docs, labels, "quality", mod, held, rows, learn, "x array<float>")
+    x = got.column("x").combine_chunks().flatten().to_numpy().reshape(len(y), 2 * DIM)[order]
     return (vectors, *train(x, y), shift)
 
 

@@ -25,6 +25,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -173,9 +174,26 @@ def _bags(text: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def _learned(text: pa.Array) -> dict:
-    """The bags as columns: at most 2 ** BUCKET_BITS entries a text."""
-    bags = _bags(text)
-    return {"buckets": pa.array([b.tobytes() for b, _ in bags], pa.binary()), "shares": pa.array([w.tobytes() for _, w in bags], pa.binary())}
+    """The bags as a column: at most 2 ** BUCKET_BITS entries a text, the steps
+    between buckets and then the shares, compressed."""
+    squeeze = zstandard.ZstdCompressor(level=3)
+    pack = lambda b, w: squeeze.compress(np.diff(b, prepend=np.uint16(0)).tobytes() + w.tobytes())
+    return {"bag": pa.array([pack(b, w) for b, w in _bags(text)], pa.binary())}
+
+
+class _Packed:
+    """Bags that are unpacked when they are read."""
+
+    def __init__(self, packed: list[bytes]):
+        self.packed = packed
+
+    def __len__(self) -> int:
+        return len(self.packed)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        raw = zstandard.ZstdDecompressor().decompress(self.packed[i])
+        half = len(raw) // 2
+        return np.cumsum(np.frombuffer(raw[:half], np.uint16), dtype=np.uint16), np.frombuffer(raw[half:], np.float16)
 
 
 def train(text: pa.Array, y: list[int], **settings) -> tuple[np.ndarray, float]:
@@ -183,7 +201,7 @@ def train(text: pa.Array, y: list[int], **settings) -> tuple[np.ndarray, float]:
     return train_bags(_bags(text), y, **settings)
 
 
-def train_bags(bags: list, y: list[int], batch: int = 64, rate: float = 0.02, decay: float = 0.05, damping: float = 1e-2, steady: float = STEADY, seed: int = 7) -> tuple[np.ndarray, float]:
+def train_bags(bags, y: list[int], batch: int = 64, rate: float = 0.02, decay: float = 0.05, damping: float = 1e-2, steady: float = STEADY, seed: int = 7) -> tuple[np.ndarray, float]:
     """train(), from the texts' bags."""
     size, rng = 1 << BUCKET_BITS, np.random.default_rng(seed)
     y = np.asarray(y, np.int64)
@@ -191,7 +209,7 @@ def train_bags(bags: list, y: list[int], batch: int = 64, rate: float = 0.02, de
         rest = 0.0 if not len(y) else (4.0 if y[0] else -4.0)
         return np.zeros(size, np.float32), rest
     # The shares of a text add up to UNIT times the root of its words.
-    words = np.array([(w.sum(dtype=np.float64) / UNIT) ** 2 for _, w in bags])
+    words = np.array([(bags[i][1].sum(dtype=np.float64) / UNIT) ** 2 for i in range(len(bags))])
     weight = (1 / (1 + words / steady)).astype(np.float32)
     weight /= weight.mean()
     emb = rng.normal(0, 0.1, (size, DIM)).astype(np.float32)
@@ -206,7 +224,8 @@ def train_bags(bags: list, y: list[int], batch: int = 64, rate: float = 0.02, de
             own = order[lo : lo + batch]
             x = np.zeros((len(own), size), np.float32)
             for i, j in enumerate(own):
-                x[i, bags[j][0]] = bags[j][1]
+                at, share = bags[j]
+                x[i, at] = share
             vec = x @ emb
             z = vec @ out + bias
             p = np.exp(z - z.max(1, keepdims=True))
@@ -229,9 +248,11 @@ def train_bags(bags: list, y: list[int], batch: int = 64, rate: float = 0.02, de
 
 def fit(docs: DataFrame, labels: DataFrame, mod: int = MOD, held: int = HELD, rows: tuple[int, int] = (8000, 2000)) -> tuple[np.ndarray, float]:
     """Train on at most ``rows`` labelled documents of label 0 and 1."""
-    got, y, shift = sample(docs, labels, "toxic", mod, held, rows, _learned, "buckets binary, shares binary")
-    bags = [(np.frombuffer(b, np.uint16), np.frombuffer(w, np.float16)) for b, w in zip(got.column("buckets").to_pylist(), got.column("shares").to_pylist())]
-    table, bias = train_bags(bags, y)
+    got, order, y, shift = sample(docs, labels, "toxic", mod, held, rows, _learned, "bag binary")
+    packed = got.column("bag").to_pylist()
+    table, bias = train_bags(_Packed([packed[i] for i in order]), y)
+    del got, packed
+    tn.release()
     lean = LEAN if len(set(y)) == 2 else 0.0
     return table, bias + shift + lean  # the classes' shares are those of all labels
 

@@ -51,8 +51,12 @@ def compare(sf_dir: str, workers: int = 4):
     """(log loss, recall, false alarm share, setting) of every setting."""
     settings = [dict(zip(GRID, v)) for v in itertools.product(*GRID.values())]
     jobs = [(sf_dir, s, r) for s in settings for r in FOLDS]
-    with ProcessPoolExecutor(workers) as pool:
-        got = np.array(list(pool.map(_fold, jobs))).reshape(len(settings), len(FOLDS), -1).sum(1)
+    if workers == 1:
+        got = list(map(_fold, jobs))
+    else:
+        with ProcessPoolExecutor(workers) as pool:
+            got = list(pool.map(_fold, jobs))
+    got = np.array(got).reshape(len(settings), len(FOLDS), -1).sum(1)
     return [(g[0] / g[1], g[2] / g[3], g[4] / g[5], s) for g, s in zip(got, settings)]
 
 
