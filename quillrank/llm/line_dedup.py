@@ -61,7 +61,11 @@ def boilerplate_lines(docs: DataFrame, min_sites: int = MIN_SITES, text_col: str
 
 def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
     """The columns of docs with the text cleaned (an untouched text stays as it
-    is, null included), and n_lines, n_removed."""
+    is, null included), and n_lines, n_removed, which win over further columns
+    of these names."""
+    # Further columns go by names of their own meanwhile.
+    extra = {c: f"__extra_{i}" for i, c in enumerate(docs.columns) if c not in (id_col, text_col, site_col)}
+    docs = docs.withColumnsRenamed(extra)
     bad = boilerplate_lines(docs, min_sites, text_col, site_col).select("h", F.col("line").alias("__line"))
     bad = broadcast_if_small(bad, bad.count())
     # Rows are known by id and text: equal rows lose equal lines.
@@ -79,10 +83,13 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str
     both = both.withColumn("__edges", F.when(F.col("__gone").isNotNull(), edges))
     cut = lambda j: F.slice("__lines", F.get("__edges", j) + 2, F.get("__edges", j + 1) - F.get("__edges", j) - 1)
     kept = F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size("__edges") - 2), cut)), "\n")
-    return both.withColumns(
+    both = both.withColumns(
         {
             "n_lines": F.size("__lines").cast("long"),
             "n_removed": F.coalesce(F.size("__gone"), F.lit(0)).cast("long"),
             text_col: F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept),
         }
-    ).drop("__gone", "__lines", "__edges")
+    )
+    won = ("n_lines", "n_removed")
+    both = both.drop("__gone", "__lines", "__edges", *[v for k, v in extra.items() if k in won])
+    return both.withColumnsRenamed({v: k for k, v in extra.items() if k not in won})
