@@ -5,7 +5,8 @@ from collections import Counter
 
 import corpus_pipeline
 from common import DOCS, with_extra, words
-from test_text_operators import cleaned, fingerprint, groups, hits
+from test_near_copies import roots
+from test_text_operators import cleaned, hits
 
 from quillrank.llm import toxicity
 
@@ -37,8 +38,8 @@ def test_stages(spark):
     assert [(r["text"], r["n_chars"]) for r in after] == [(w[2], len(w[2]) if w[1] else r["n_chars"]) for r, w in zip(before, want)]
 
     before, after = at["simhash_dedup"]
-    roots = groups([fingerprint(r["text"]) for r in before])
-    assert after == [r for i, r in enumerate(before) if roots[i] == i] and len(after) < len(before)
+    first = roots([r["text"] for r in before])
+    assert after == [r for i, r in enumerate(before) if first[i] == i] and len(after) < len(before)
 
     before, after = at["decontamination"]
     assert after == [r for r in before if not hits(r["text"], bench)[3]] and len(after) < len(before)
