@@ -1,12 +1,14 @@
 """LM scoring: a hashed maximum-entropy model with a class-factored softmax.
 
-Token counts of all training documents are gathered by 64-bit token hash. The
-most frequent tokens form word classes; all others share one rare class, within
-which a token has its smoothed unigram share. P(token | history) is
-P(class | history) * P(token | class, history), both maximum-entropy models
-over hashed features: the previous token, the one before it (a skip), and the
-pair. Biases start at the smoothed unigram model, so training can only move
-away from it where the data say so.
+Token counts of all training documents are gathered by 64-bit token hash. Every
+token has a class: the TOP most frequent ones are parted by frequency, all
+others by a hash of their last letters, or into one class if they hold none.
+P(token | history) is P(class | history) * P(token | class, history). The class
+of every token, however rare, is predicted by a maximum-entropy model over hashed
+features: the previous token, the one before it (a skip), and the pair. Within a
+class of frequent tokens a second such model tells the token; within the others a
+token has its smoothed share of the class's counts. Biases start at the smoothed
+unigram model, so training can only move away from it where the data say so.
 
 Training: every task runs adaptive gradient steps over its training documents
 from the shared weights and returns the change; changes are averaged by tokens
@@ -33,24 +35,44 @@ from pyspark.sql import functions as F
 from quillrank.llm import textnum as tn
 from quillrank.llm.labelled import fold
 from quillrank.llm.store import written
+from quillrank.llm.vocabulary import counted, frequent
 
 MOD, HELD = 5, 1
-CLASSES, PER_CLASS = 16, 32
-TOP = CLASSES * PER_CLASS
+#: Classes of frequent tokens and their size, and classes by last letters. The
+#: class behind these takes rare tokens without letters.
+WORD_CLASSES, PER_CLASS, ENDINGS = 16, 32, 15
+CLASSES = WORD_CLASSES + ENDINGS
+TOP = WORD_CLASSES * PER_CLASS
 #: Most entries of the table of frequent tokens that every task gets.
 FREQUENT = 1 << 17
-HISTORY, PAIRS, WORD_BITS = 1024, 4096, 17
-ROUNDS, RATE, BATCH = 1, 0.05, 8192
-_END = np.uint64(0x1F83D9ABFB41BD6B)
+HISTORY, PAIR_BITS, WORD_BITS = 2048, 13, 17
+PAIRS = 1 << PAIR_BITS
+ROUNDS, RATE, BATCH = 1, 0.5, 1024
+_END = np.uint64(0x1F83D9ABFB41BD6F)
+_LOW = np.uint64(15)
 _NO_ID = -(1 << 63)
 _WIDE = 64
 _SPLIT = (CLASSES + 1, TOP, (2 * HISTORY + PAIRS) * (CLASSES + 1), 1 << WORD_BITS)
 
 
+def _endings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """0 to 14 by a word's last three bytes; 15 where it has no letter."""
+    letter = ((data >= 97) & (data <= 122)) | (data >= 128)
+    seen = np.concatenate([[0], np.cumsum(letter)])
+    last = np.zeros(len(starts), np.uint64)
+    for k in range(1, 4):
+        at = ends - k
+        last = (last << np.uint64(8)) | np.where(at >= starts, data[np.maximum(at, 0)], 0).astype(np.uint64)
+    return np.where(seen[ends] > seen[starts], tn.mix(last + np.uint64(3)) % np.uint64(ENDINGS), np.uint64(ENDINGS))
+
+
 def _tokens(c: tn.Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words and end marks of a chunk, and each document's first."""
+    """Hashes of the words and end marks of a chunk, and each document's first.
+    The last four bits of a hash tell the word's ending."""
     w = tn.words_of(c)
-    h = tn.span_hash(tn.byte_table(0)[tn.ascii_lower(c.data)], w.starts, w.ends, 0)
+    data = tn.ascii_lower(c.data)
+    h = tn.word_hash(data, w.starts, w.ends, 0)
+    h = (h & ~_LOW) | _endings(data, w.starts, w.ends)
     n = np.diff(w.doc_start) + 1
     first = np.concatenate([[0], np.cumsum(n)])
     out = np.full(int(first[-1]), _END, np.uint64)
@@ -60,64 +82,39 @@ def _tokens(c: tn.Chunk) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
-def _merged(parts):
-    h = np.concatenate([p[0] for p in parts])
-    c = np.concatenate([p[1] for p in parts])
-    keys, back = np.unique(h, return_inverse=True)
-    return keys, np.bincount(back, c).astype(np.int64)
-
-
-def _count(batches):
-    parts, held = [], 0
-    for b in batches:
-        for c in tn.chunks(b.column(0)):
-            parts.append(np.unique(_tokens(c)[0], return_counts=True))
-            held += len(parts[-1][0])
-            if held > 1 << 21:  # merge, and give away what stays too large
-                parts = [_merged(parts)]
-                held = len(parts[0][0])
-                if held > 1 << 20:
-                    yield _rows(*parts[0])
-                    parts, held = [], 0
-    if parts:
-        yield _rows(*_merged(parts))
-
-
-def _rows(h, c):
-    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "c"])
-
-
 def token_counts(docs: DataFrame) -> DataFrame:
     """(h, c) over all tokens of the documents, end marks included."""
-    return docs.select("text").mapInArrow(_count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    return counted(docs, lambda c: _tokens(c)[0])
 
 
 class Vocabulary(NamedTuple):
     """n: tokens; v: distinct; keys, counts: frequent ones, keys sorted; top:
-    places of the modelled words in keys, most frequent first."""
+    places of the modelled words in keys, most frequent first; endings: smoothed
+    counts of all words by their ending."""
 
     n: int
     v: int
     keys: np.ndarray
     counts: np.ndarray
     top: np.ndarray
+    endings: np.ndarray | None = None
+
+    def rare(self) -> np.ndarray:
+        """Smoothed counts of each class that is not one of frequent words."""
+        whole = self.endings
+        if whole is None:
+            whole = np.full(ENDINGS + 1, (self.n + 0.5 * (self.v + 1)) / (ENDINGS + 1))
+        own = (self.keys[self.top] & _LOW).astype(np.int64)
+        return np.maximum(whole - np.bincount(own, self.counts[self.top] + 0.5, ENDINGS + 1), 1e-9)
 
 
 def vocabulary(counts: DataFrame, limit: int = FREQUENT) -> Vocabulary:
-    bins = counts.groupBy(F.floor(F.log2("c") * 16).alias("bin")).agg(F.count("*").alias("v"), F.sum("c").alias("n"), F.min("c").alias("least")).collect()
-    total, distinct, seen, least = sum(r["n"] for r in bins), sum(r["v"] for r in bins), 0, None
-    for r in sorted(bins, key=lambda r: -r["bin"]):  # a few hundred bins
-        seen += r["v"]
-        if seen > limit:
-            break
-        least = r["least"]
-    if least is None:
-        return Vocabulary(total, distinct, np.empty(0, np.uint64), np.empty(0), np.empty(0, np.int64))
-    got = counts.where(F.col("c") >= least).toArrow()
-    keys, c = got.column("h").to_numpy().view(np.uint64), got.column("c").to_numpy()
-    order = np.argsort(keys)
-    keys, c = keys[order], c[order].astype(np.float64)
-    return Vocabulary(total, distinct, keys, c, np.lexsort((keys, -c))[:TOP])
+    got = frequent(counts, limit)
+    # What is never seen counts once, half, as part of every class.
+    endings = np.full(ENDINGS + 1, 0.5 / (ENDINGS + 1))
+    for r in counts.groupBy(F.col("h").bitwiseAND(F.lit(int(_LOW))).alias("e")).agg(F.sum(F.col("c") + 0.5).alias("n")).collect():
+        endings[r["e"]] += r["n"]
+    return Vocabulary(*got, np.lexsort((got.keys, -got.counts))[:TOP], endings)
 
 
 class Model(NamedTuple):
@@ -132,19 +129,18 @@ def start_model(vocab: Vocabulary) -> Model:
     """Weights at which the model is the smoothed unigram model."""
     top = np.full(TOP, 0.0)
     top[: len(vocab.top)] = vocab.counts[vocab.top] + 0.5
-    mass = top.reshape(CLASSES, PER_CLASS).sum(1)
-    rare = vocab.n + 0.5 * (vocab.v + 1) - top.sum()
+    mass = top.reshape(WORD_CLASSES, PER_CLASS).sum(1)
     floor = 1e-9
-    word = np.log(np.maximum(top.reshape(CLASSES, PER_CLASS), floor) / np.maximum(mass, floor)[:, None])
+    word = np.log(np.maximum(top.reshape(WORD_CLASSES, PER_CLASS), floor) / np.maximum(mass, floor)[:, None])
     weights = np.zeros(sum(_SPLIT), np.float32)
-    weights[: CLASSES + 1] = np.log(np.maximum(np.append(mass, rare), floor))
+    weights[: CLASSES + 1] = np.log(np.maximum(np.append(mass, vocab.rare()), floor))
     weights[CLASSES + 1 : CLASSES + 1 + TOP] = word.ravel()
     return Model(vocab, weights)
 
 
 class _Events(NamedTuple):
     cls: np.ndarray
-    word: np.ndarray  # within its class; 0 for rare
+    word: np.ndarray  # within its class; 0 where a class has shares
     feats: np.ndarray  # three class-feature rows per token
     history: np.ndarray  # previous token's bucket
     skip: np.ndarray
@@ -159,9 +155,10 @@ def _events(h: np.ndarray, first: np.ndarray, ids: np.ndarray) -> _Events:
     start = first[:-1]
     prev[:, start] = HISTORY - 1
     prev[1, start[start + 1 < len(h)] + 1] = HISTORY - 1
-    pair = ((prev[0] * HISTORY + prev[1]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 12)
+    pair = ((prev[0] * HISTORY + prev[1]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PAIR_BITS)
     feats = np.stack([prev[0], HISTORY + prev[1], 2 * HISTORY + pair.astype(np.int64)])
-    return _Events(np.where(ids >= 0, ids // PER_CLASS, CLASSES), np.where(ids >= 0, ids % PER_CLASS, 0), feats, prev[0], prev[1])
+    rare = WORD_CLASSES + (h & _LOW).astype(np.int64)
+    return _Events(np.where(ids >= 0, ids // PER_CLASS, rare), np.where(ids >= 0, ids % PER_CLASS, 0), feats, prev[0], prev[1])
 
 
 def _softmax(z):
@@ -184,10 +181,10 @@ def _probabilities(parts, e: _Events, own: np.ndarray):
     feats = feats.reshape(-1, CLASSES + 1)
     f = e.feats[:, own]
     p = _softmax(bias + feats[f[0]] + feats[f[1]] + feats[f[2]])
-    seen = np.flatnonzero(e.cls[own] < CLASSES)
+    seen = np.flatnonzero(e.cls[own] < WORD_CLASSES)
     cls = e.cls[own[seen]]
     at = _slots(e.history[own[seen]], e.skip[own[seen]], cls)
-    q = _softmax(words.reshape(CLASSES, PER_CLASS)[cls] + hashed[at[0]] + hashed[at[1]])
+    q = _softmax(words.reshape(WORD_CLASSES, PER_CLASS)[cls] + hashed[at[0]] + hashed[at[1]])
     return p, seen, q, f, at
 
 
@@ -289,6 +286,7 @@ def _keys(c: tn.Chunk) -> np.ndarray:
 def _score_task(model: Model):
     """Per document, what the frequent table and the weights settle."""
     vocab, parts = model.vocab, model.parts()
+    share = np.append(np.zeros(WORD_CLASSES), np.log10(vocab.rare()))
 
     def run(batches):
         for b in batches:
@@ -308,17 +306,17 @@ def _score_task(model: Model):
                     lp = np.log10(np.maximum(p[np.arange(len(own)), e.cls[own]], 1e-30)).astype(np.float64)
                     lp[seen] += np.log10(np.maximum(q[np.arange(len(seen)), e.word[own[seen]]], 1e-30))
                     model_log[own] = lp
-                rare = np.where((e.cls == CLASSES) & frequent, log_c, 0)
+                # A token without weights of its own has its count's share of its class.
+                rare = np.where((e.cls >= WORD_CLASSES) & frequent, log_c, 0) - share[e.cls]
                 sums = lambda x: np.add.reduceat(x, first[:-1])  # noqa: E731  no document is without its end token
                 cols[0].append(_keys(c))
                 cols[1].append(np.diff(first))
-                cols[2].append(sums(np.stack([frequent.astype(np.int64), (e.cls == CLASSES).astype(np.int64)], 1)))
+                cols[2].append(sums(frequent.astype(np.int64)))
                 cols[3].append(sums(np.where(frequent, log_c, 0)))
                 cols[4].append(sums(model_log + rare))
             if cols[0]:
-                k, n, two, base, score = map(np.concatenate, cols)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).fill_null(_NO_ID), *map(pa.array, (k, n, two[:, 0].copy(), two[:, 1].copy(), base, score))], ["did", "k", "n_tokens", "known", "rare", "base", "score"]
+                    [b.column(0).fill_null(_NO_ID), *[pa.array(np.concatenate(c)) for c in cols]], ["did", "k", "n_tokens", "known", "base", "score"]
                 )
 
     return run
@@ -354,25 +352,24 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     vocab = model.vocab
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    near = rows.mapInArrow(_shared(docs, model, _score_task), "did long, k long, n_tokens long, known long, rare long, base double, score double")
+    near = rows.mapInArrow(_shared(docs, model, _score_task), "did long, k long, n_tokens long, known long, base double, score double")
     far = rows.mapInArrow(_shared(docs, model, _rare_task), "h long, did long, k long, tf int")
     c = F.coalesce("c", F.lit(0))
     far = far.join(counts, "h", "left").select("did", "k", "tf", (F.col("tf") * F.log10(c + 0.5)).alias("log_c"), F.when(c > 0, F.col("tf")).otherwise(0).alias("known"))
     far = far.groupBy("did", "k").agg(F.sum("log_c").alias("log_c"), F.sum("known").alias("known_far"))
     # One aggregation joins both; m rows that repeat (doc_id, text) share sums.
     nothing = lambda kind: F.lit(None).cast(kind)
-    near = near.select("did", "k", "n_tokens", "known", "rare", "base", "score", F.lit(1).alias("m"), nothing("double").alias("log_c"), nothing("long").alias("known_far"))
-    far = far.select("did", "k", *[nothing(t).alias(n) for n, t in near.dtypes[2:7]], F.lit(0).alias("m"), "log_c", "known_far")
-    both = near.unionAll(far).groupBy("did", "k").agg(*[F.max(n).alias(n) for n in ("n_tokens", "known", "rare", "base", "score", "log_c", "known_far")], F.sum("m").cast("int").alias("m"))
+    near = near.select("did", "k", "n_tokens", "known", "base", "score", F.lit(1).alias("m"), nothing("double").alias("log_c"), nothing("long").alias("known_far"))
+    far = far.select("did", "k", *[nothing(t).alias(n) for n, t in near.dtypes[2:6]], F.lit(0).alias("m"), "log_c", "known_far")
+    both = near.unionAll(far).groupBy("did", "k").agg(*[F.max(n).alias(n) for n in ("n_tokens", "known", "base", "score", "log_c", "known_far")], F.sum("m").cast("int").alias("m"))
     log_c = F.coalesce("log_c", F.lit(0.0)) / F.col("m")
-    top = float(np.sum(vocab.counts[vocab.top] + 0.5))
     whole = vocab.n + 0.5 * (vocab.v + 1)
     doc_id = F.when(F.col("did") != _NO_ID, F.col("did"))
     both = both.withColumn("again", F.explode(F.sequence(F.lit(1), "m")))
     return both.select(
         doc_id.alias("doc_id"), (fold(doc_id, MOD) == HELD).alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("known_far", F.lit(0)) / F.col("m")).cast("long").alias("n_known"),
         F.lit(int(vocab.n)).cast("long").alias("train_tokens"), (F.col("base") + log_c - F.col("n_tokens") * float(np.log10(whole))).alias("base_score"),
-        (F.col("score") + log_c - F.col("rare") * float(np.log10(max(whole - top, 1e-9)))).alias("score"),
+        (F.col("score") + log_c).alias("score"),
     )
 
 
