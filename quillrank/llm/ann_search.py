@@ -7,18 +7,24 @@ down by one), in the order of their estimated success: the sum of squared
 distances from the query's projections to the cell borders it would cross.
 Candidates of all tables are merged and reranked by exact cosine.
 
-Rows are kept in shards (one task's rows at a time, as they lie); each shard
-hashes its rows and answers blocks of queries, so vectors never move. A block
-of queries is bounded and sent to every shard; what moves is k rows per query
-and shard. The first number of probes is set on a bounded sample so that measured
-recall reaches a goal above what is asked. Each query then goes on until a row
-as near as its k-th one is met with that probability, by the normal law of the
-projections; where probes cannot reach that, the shard is searched whole.
+Rows and probes meet by a shuffle on (table, bucket). Equal vectors are one
+class, which goes through the search once, with as many of its ids as a result
+can need; of a bucket that many classes or many queries share, blocks of bounded
+size meet. A block keeps each query's best only, so no pairs are emitted.
+
+The first number of probes is set on a bounded sample so that measured recall
+reaches a goal above what is asked. What a query then has found tells how many
+probes meet a row as near as its last one with that probability, by the normal
+law of the projections, and it goes round once more with these. Queries for which
+no number of probes is enough, or which have found too few rows, are held in
+blocks against all rows.
 
 Cases: vectors that are null, zero, or hold null or non-finite components, and
-rows with a null id, take no part; equal scores go to the smaller id; repeated
-rows are candidates of their own; fewer candidates than k are all returned;
-extra columns are ignored; an empty table gives an empty result.
+rows with a null id, take no part; vectors are compared with those of their own
+length; equal scores go to the smaller id; a query's own row is left out once, so
+repeated rows are candidates of each other and repeated ids have a list each;
+fewer candidates than k are all returned; extra columns are ignored; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,13 +36,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillrank.llm.store import broadcast_if_small, scratch, written
+
 K = 5
 TABLES, HASHES, CELL = 8, 4, 1.0
 SEED = 5
-#: Rows of a shard, queries sent at once, rows of the recall sample.
-SHARD, BLOCK, SAMPLE = 65_536, 20_000, 4_000
-#: Queries whose buckets are held at once.
+#: Queries sent to all rows at once, rows of the recall sample.
+BLOCK, SAMPLE = 20_000, 4_000
+#: Queries whose buckets, or scores, are held at once.
 QUERIES = 512
+#: Classes and queries of one bucket that meet in one block, and entries of a group.
+ROWS, ASKED, GROUP = 8192, 4096, 50_000
 GOAL = 0.97
 
 
@@ -186,53 +196,209 @@ def search_everything(ids, x, q_ids, q, k: int):
     return out
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest rows found of each query."""
-    spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))
-    asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).where("id is not null")
-    some = rows.where("v is not null").orderBy(F.xxhash64("id")).limit(SAMPLE).toArrow()
-    _, x = _clean(some.column("id").to_pylist(), some.column("v").combine_chunks())
-    schema = "query_id long, vec_id long, score double"
-    if not len(x):
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    h = Hashes(x.shape[1])
-    probes = measured_probes(h, x, k)
-    n = asked.count()
-    blocks = -(-n // BLOCK)
-    found = None
-    for i in range(blocks):  # each collects at most about BLOCK queries
-        own = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i)
-        got = own.toArrow()
-        sent = spark.sparkContext.broadcast((h, *_clean(got.column("id").to_pylist(), got.column("v").combine_chunks())))
-
-        def run(batches, sent=sent):
-            h, q_ids, q = sent.value
-            held, size = [], 0
-
-            def answer():
-                ids, x = np.concatenate([p[0] for p in held]), np.vstack([p[1] for p in held])
-                parts = search_shard(h, ids, x, q_ids, q, k, probes)
-                if parts:
-                    cols = [np.concatenate(c) for c in zip(*parts)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["query_id", "vec_id", "score"])
-
-            if not len(q):
-                return
-            for b in batches:
-                part = _clean(b.column(0).to_pylist(), b.column(1))
-                if len(part[0]):
-                    held.append(part)
-                    size += len(part[0])
-                if size >= SHARD:
-                    yield from answer()
-                    held, size = [], 0
-            if held:
-                yield from answer()
-
-        more = rows.mapInArrow(run, schema)
-        found = more if found is None else found.unionAll(more)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+def _usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """(id, v, k1, k2): what takes part; equal vectors have equal keys."""
+    fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    v = F.col("v")
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).where("id is not null and v is not null")
+    rows = rows.where(F.forall(v, fine) & F.exists(v, lambda x: x != 0))
+    return rows.select("id", "v", F.xxhash64("v").alias("k1"), F.xxhash64(F.reverse(v), F.lit(1)).alias("k2"))
+
+
+def _by_length(v: pa.Array):
+    """(places, matrix) of the vectors of each length."""
+    if isinstance(v, pa.ChunkedArray):
+        v = v.combine_chunks()
+    sizes, flat = np.diff(v.offsets.to_numpy()), v.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    first = np.cumsum(sizes) - sizes
+    for n in np.unique(sizes):
+        at = np.flatnonzero(sizes == n)
+        yield at, flat[first[at][:, None] + np.arange(n)]
+
+
+_HASHES: dict = {}
+
+
+def _hashes(dim: int) -> Hashes:
+    if dim not in _HASHES:
+        _HASHES[dim] = Hashes(dim)
+    return _HASHES[dim]
+
+
+def _bucket(dim: int, t: int, codes: np.ndarray) -> np.ndarray:
+    """One number per vector length, table and bucket."""
+    x = codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(dim * 4096 + t)
+    x ^= x >> np.uint64(31)
+    return (x * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
+
+
+def _index(batches):
+    """(bucket, cls, low, v) of every table."""
+    for b in batches:
+        for at, x in _by_length(b.column(2)):
+            h, unit = _hashes(x.shape[1]), x / _norms(x)[:, None]
+            rows = b.take(pa.array(at))
+            for t in range(len(h.a)):
+                yield pa.RecordBatch.from_arrays([pa.array(_bucket(x.shape[1], t, h.code(h.cells(unit, t)[0]))), *rows.columns], ["bucket", "cls", "low", "v"])
+
+
+def _probes(batches):
+    """(bucket, q, v) of each query's first n probes in every table."""
+    for b in batches:
+        n = b.column(2).to_numpy()
+        for at, x in _by_length(b.column(1)):
+            h, unit = _hashes(x.shape[1]), x / _norms(x)[:, None]
+            for lo in range(0, len(at), QUERIES):
+                own = at[lo : lo + QUERIES]
+                for t in range(len(h.a)):
+                    codes = h.probes(unit[lo : lo + QUERIES], t)[0]
+                    wanted = np.arange(codes.shape[1]) < n[own][:, None]
+                    row = pa.array(own[np.nonzero(wanted)[0]])
+                    yield pa.RecordBatch.from_arrays([pa.array(_bucket(x.shape[1], t, codes[wanted])), b.column(0).take(row), b.column(1).take(row)], ["bucket", "q", "v"])
+
+
+def _needs(goal: float):
+    """(q, n) from (q, v, kth): the probes a query needs, 0 where none are enough."""
+
+    def run(batches):
+        for b in batches:
+            kth, n = b.column(2).to_numpy(zero_copy_only=False), np.zeros(b.num_rows, np.int32)
+            for at, x in _by_length(b.column(1)):
+                h, unit = _hashes(x.shape[1]), x / _norms(x)[:, None]
+                for i, place in enumerate(at):
+                    if np.isfinite(kth[place]):
+                        asked = [h.probes(unit[i : i + 1], t) for t in range(len(h.a))]
+                        found = h.needed(np.stack([a[1][0] for a in asked]), np.stack([a[2][0] for a in asked]), float(np.sqrt(max(2 - 2 * kth[place], 0))), goal)
+                        n[place] = found or 0
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n)], ["q", "n"])
+
+    return run
+
+
+_FOUND = "q long, cls long, low long, score double"
+
+
+def _best(q, qx, cls, low, x, k: int):
+    """Columns of _FOUND: the k best classes of each query, equal scores by low."""
+    norm, q_norm = _norms(x), _norms(qx)
+    unit, out = x / norm[:, None], [[], [], [], []]
+    for lo in range(0, len(q), QUERIES):
+        near = unit @ (qx[lo : lo + QUERIES] / q_norm[lo : lo + QUERIES, None]).T
+        for i in range(near.shape[1]):
+            s = near[:, i]
+            at = np.flatnonzero(s >= np.partition(s, -k)[-k] - 1e-9) if len(s) > k else np.arange(len(s))
+            # The same sums in the same order for equal vectors, so ties are ties.
+            exact = (x[at] * qx[lo + i]).sum(1) / (norm[at] * q_norm[lo + i])
+            best = np.lexsort((low[at], -exact))[:k]
+            for to, c in zip(out, (np.full(len(best), q[lo + i]), cls[at[best]], low[at[best]], exact[best])):
+                to.append(c)
+    return [np.concatenate(c) if c else np.empty(0, t) for c, t in zip(out, (np.int64, np.int64, np.int64, np.float64))]
+
+
+def _table(cols) -> pa.Table:
+    return pa.table({n: pa.array(c) for n, c in zip(("q", "cls", "low", "score"), cols)})
+
+
+def _meet(k: int):
+    """What the queries of a group find in the buckets that they probe."""
+
+    def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        if not rows.num_rows or not asked.num_rows:
+            return _table(_best(np.empty(0), np.empty((0, 1)), None, None, np.empty((0, 1)), k))
+        sub, cls, low = (rows.column(c).to_numpy() for c in ("sub", "cls", "low"))
+        q_sub, q = asked.column("sub").to_numpy(), asked.column("q").to_numpy()
+        v, qv, parts = rows.column("v").combine_chunks(), asked.column("v").combine_chunks(), []
+        order, q_order = np.argsort(sub, kind="stable"), np.argsort(q_sub, kind="stable")
+        for one in np.intersect1d(sub, q_sub):
+            own = order[np.searchsorted(sub[order], one) : np.searchsorted(sub[order], one, "right")]
+            own_q = q_order[np.searchsorted(q_sub[q_order], one) : np.searchsorted(q_sub[q_order], one, "right")]
+            x, qx = (next(_by_length(a.take(pa.array(i))))[1] for a, i in ((v, own), (qv, own_q)))
+            parts.append(_best(q[own_q], qx, cls[own], low[own], x, k))
+        return _table([np.concatenate(c) for c in zip(*parts)] if parts else _best(np.empty(0), np.empty((0, 1)), None, None, np.empty((0, 1)), k))
+
+    return run
+
+
+def _scan(sent, k: int):
+    """What a block of queries finds among all of a task's rows."""
+
+    def run(batches):
+        q, qv = sent.value
+        asked = {x.shape[1]: (q[at], x) for at, x in _by_length(qv)}
+        for b in batches:
+            cls, low = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for at, x in _by_length(b.column(2)):
+                if x.shape[1] in asked:
+                    yield from _table(_best(*asked[x.shape[1]], cls[at], low[at], x, k)).to_batches()
+
+    return run
+
+
+def _top(found: DataFrame, k: int) -> DataFrame:
+    """The k best classes of each query, each once."""
+    order = Window.partitionBy("q").orderBy(F.col("score").desc(), "low")
+    one = found.groupBy("q", "cls").agg(F.max("low").alias("low"), F.max("score").alias("score"))
+    return one.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+
+
+def probed(classes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """_FOUND for queries (q, v, n): a shuffle on the bucket. Blocks of a bucket
+    that is too large for one meet each with each."""
+    kind = dict(classes.dtypes)["v"]
+    index = classes.select("cls", "low", "v").mapInArrow(_index, f"bucket long, cls long, low long, v {kind}")
+    asked = queries.select("q", "v", "n").mapInArrow(_probes, f"bucket long, q long, v {kind}")
+    sizes = written(index.groupBy("bucket").agg(F.count("*").alias("rows")).join(asked.groupBy("bucket").agg(F.count("*").alias("asked")), "bucket"))
+    entries = sizes.agg(F.sum(F.col("rows") + F.col("asked"))).first()[0] or 0
+    parts = F.greatest(F.ceil(F.col("rows") / ROWS), F.lit(1)).cast("int"), F.greatest(F.ceil(F.col("asked") / ASKED), F.lit(1)).cast("int")
+    # Buckets that no query probes stay at home.
+    met = broadcast_if_small(written(sizes.select("bucket", parts[0].alias("r"), parts[1].alias("a"))), sizes.count())
+    salt = lambda id, n: F.pmod(F.xxhash64(id), F.col(n)).cast("int")
+    each = lambda n, body: F.explode(F.transform(F.sequence(F.lit(0), F.col(n) - 1), body)).alias("sub")
+    groups = max(1, -(-int(entries) // GROUP))
+    group = F.pmod(F.col("sub"), F.lit(groups)).alias("g")
+    rows = index.join(met, "bucket").select(each("a", lambda j: F.xxhash64("bucket", salt("cls", "r"), j)), "cls", "low", "v").select(group, "sub", "cls", "low", "v")
+    own = asked.join(met, "bucket").select(each("r", lambda i: F.xxhash64("bucket", i, salt("q", "a"))), "q", "v").select(group, "sub", "q", "v")
+    return rows.groupBy("g").cogroup(own.groupBy("g")).applyInArrow(_meet(k), _FOUND)
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", goal: float = GOAL) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest rows found of each query.
+    queries are rows of vectors."""
+    spark, more = vectors.sparkSession, k + 1
+    with scratch() as tables:
+        key = ["k1", "k2"]
+        first = F.row_number().over(Window.partitionBy(*key).orderBy("id"))
+        held = _usable(vectors, id_col, vec_col).withColumn("nth", first).where(F.col("nth") <= more)
+        held = tables.keep(written(held.select(*key, "nth", "id", F.when(F.col("nth") == 1, F.col("v")).alias("v"), F.monotonically_increasing_id().alias("cls"))))
+        classes = held.where("nth = 1").select("cls", F.col("id").alias("low"), "v", *key)
+        asked = tables.keep(written(_usable(queries, id_col, vec_col).select("id", *key, F.monotonically_increasing_id().alias("a"), "v")))
+        own = written(asked.groupBy(*key).agg(F.min_by("v", "a").alias("v"), F.min("a").alias("q")))
+        some = classes.orderBy(F.xxhash64("k1")).limit(SAMPLE).select("v").toArrow().column(0)
+        if not len(some):
+            return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        x = max((x for _, x in _by_length(some)), key=len)
+        start = measured_probes(_hashes(x.shape[1]), x, k, goal)
+        near = written(_top(probed(classes, own.withColumn("n", F.lit(start)), more), more))
+        last = near.groupBy("q").agg(F.count("*").alias("m"), F.min("score").alias("kth")).where(F.col("m") == more)
+        kth = own.join(last, "q", "left").select("q", "v", F.coalesce("kth", F.lit(float("nan"))).alias("kth"))
+        need = written(kth.mapInArrow(_needs(goal), "q long, n int").join(own, "q"))
+        again = need.where(F.col("n") > start)
+        if not again.isEmpty():
+            near = written(_top(near.select("q", "cls", "low", "score").unionAll(probed(classes, again, more)), more))
+        rest = need.where("n = 0").select("q", "v")
+        n = rest.count()
+        for i in range(-(-n // BLOCK)):  # about BLOCK queries at a time, each block's result written before the next
+            part = rest.where(F.pmod(F.xxhash64("q"), F.lit(-(-n // BLOCK))) == i).toArrow()
+            sent = spark.sparkContext.broadcast((part.column("q").to_numpy(), part.column("v").combine_chunks()))
+            all_rows = classes.select("cls", "low", "v").mapInArrow(_scan(sent, more), _FOUND)
+            near = written(_top(near.select("q", "cls", "low", "score").unionAll(all_rows), more))
+        near = tables.keep(near if hasattr(near, "_shared_path") else written(near))
+    # From classes back to rows: those of a class that has the query's vector leave out its own row, once.
+    ids = held.select(*key, "nth", "id")
+    of = near.join(classes.select("cls", *key), "cls").join(ids, key).select("q", "score", *[F.col(c).alias(f"c_{c}") for c in key], F.col("id").alias("vec_id"))
+    lists = asked.select("a", F.col("id").alias("query_id"), *key).join(asked.groupBy(*key).agg(F.min("a").alias("q")), key).join(of, "q")
+    mine = (F.col("k1") == F.col("c_k1")) & (F.col("k2") == F.col("c_k2")) & (F.col("query_id") == F.col("vec_id"))
+    lists = lists.withColumn("mine", mine).withColumn("nth", F.row_number().over(Window.partitionBy("a", "mine").orderBy(F.col("score").desc(), "vec_id")))
+    order = Window.partitionBy("a").orderBy(F.col("score").desc(), "vec_id")
+    out = lists.where(~(F.col("mine") & (F.col("nth") == 1))).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return out.select("query_id", "rank", "vec_id", "score")
