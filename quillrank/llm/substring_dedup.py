@@ -4,8 +4,9 @@ A repeated window of ``width`` words always holds one whole block of
 ``(width + 1) // 2`` words that is aligned in its other copy. So every
 document's aligned blocks are the index, every rolling window of that length
 is a probe, and a probe that meets a block at another place is a hit. Windows
-of full width around hits are then compared exactly (by 64 further hash bits)
-and runs of repeated windows are the maximal exact repeats.
+of full width around hits are then compared by 96 hash bits of their words, from
+two independent hashes of each word, beside the partition's, and runs of repeated
+windows are the maximal exact repeats.
 
 Both comparisons move packed (hash, position) lists, one per chunk of
 documents and hash partition. A chunk first resolves what it can see itself
@@ -13,7 +14,9 @@ and sends one entry per such hash, so a passage that half the corpus holds
 costs an entry per chunk. Texts move once, compressed.
 
 Chunks are numbered by task and ordinal: the input must give the same rows to
-the same task when it is recomputed, as files do.
+the same task when it is recomputed, as files do; the second comparison reads
+rows in the order of the join before it. The number of hash partitions follows
+the input's bytes.
 
 Cases: null text has no words; a document shorter than the width keeps all;
 repeated rows count as other places; rows that repeat (doc_id, text) are all
@@ -35,17 +38,22 @@ from quillrank.llm import textnum as tn
 from quillrank.llm.store import shuffle_parts
 
 WIDTH = 35
+#: Bytes of input for each hash partition, and most partitions.
+PART_BYTES, MOST_PARTS = 16 << 20, 1 << 17
 _NO_ID = -(1 << 63)
 _PACKED = "part int, chunk long, kind int, body binary"
 _HITS = "did long, k long, hits binary"
 
 
-def _entries(part, rest, flag, pos, n_parts, key_bytes, chunk):
-    """Packed lists per hash partition, and the positions resolved here."""
-    order = np.lexsort((rest, part))
+def _entries(part, rest, flag, pos, n_parts, key_bytes, chunk, more=None):
+    """Packed lists per hash partition, and the positions resolved here. more
+    holds four further bytes of each key."""
+    order = np.lexsort((rest, part) if more is None else (more, rest, part))
     p, r, f = part[order], rest[order], flag[order]
     new = np.ones(len(p), bool)
     new[1:] = (p[1:] != p[:-1]) | (r[1:] != r[:-1])
+    if more is not None:
+        new[1:] |= more[order][1:] != more[order][:-1]
     first = np.flatnonzero(new)
     group = np.cumsum(new) - 1
     aligned = np.add.reduceat(f.astype(np.int64), first)
@@ -64,7 +72,8 @@ def _entries(part, rest, flag, pos, n_parts, key_bytes, chunk):
             kind = np.uint16 if gaps.max() < 1 << 16 else np.uint32
             keys = rest[own].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :key_bytes]
             head = np.array([len(own), np.dtype(kind).itemsize], np.uint32).tobytes()
-            rows.append((q, chunk, 0, head + gaps.astype(kind).tobytes() + keys.tobytes()))
+            tail = b"" if more is None else more[own].astype("<u4").tobytes()
+            rows.append((q, chunk, 0, head + gaps.astype(kind).tobytes() + keys.tobytes() + tail))
     if len(found):
         rows.append((chunk % n_parts, chunk, 1, found.astype(np.uint32).tobytes()))
     return rows
@@ -111,7 +120,7 @@ def _probe(width: int, n_parts: int):
                 ok = np.flatnonzero(w.doc[:n] == w.doc[block - 1 :]) if n > 0 else np.empty(0, np.int64)
                 if not len(ok):
                     continue
-                words = tn.span_hash(tn.byte_table(0)[c.data], w.starts, w.ends, 0)
+                words = tn.word_hash(c.data, w.starts, w.ends, 0)
                 h = tn.span_hash(words, ok, ok + block, 1)
                 flag = (ok - w.doc_start[w.doc[ok]]) % block == 0
                 chunk = _number(count)
@@ -125,14 +134,14 @@ def _probe(width: int, n_parts: int):
     return run
 
 
-def _meet(key_bytes: int):
+def _meet(key_bytes: int, more: bool):
     """All lists of one hash partition: entries that meet a block elsewhere."""
 
     def run(group: pa.Table) -> pa.Table:
         chunk, kind = group.column("chunk").to_numpy(), group.column("kind").to_numpy()
         body = group.column("body").to_pylist()
         rows = [(int(c), int(k), x) for c, k, x in zip(chunk, kind, body) if k]
-        keys, flags, pos, at, owner = [], [], [], [], []
+        keys, tails, flags, pos, at, owner = [], [], [], [], [], []
         for i in np.flatnonzero(kind == 0):
             n, size = np.frombuffer(body[i], np.uint32, 2)
             n, size = int(n), int(size)
@@ -140,16 +149,21 @@ def _meet(key_bytes: int):
             wide = np.zeros((n, 8), np.uint8)
             wide[:, :key_bytes] = np.frombuffer(body[i], np.uint8, n * key_bytes, 8 + n * size).reshape(n, key_bytes)
             keys.append(wide.view("<u8")[:, 0])
+            if more:
+                tails.append(np.frombuffer(body[i], "<u4", n, 8 + n * (size + key_bytes)))
             flags.append((gaps & 1).astype(bool))
             pos.append(np.cumsum(gaps >> 1).astype(np.uint32))
             at.append(np.full(n, len(owner), np.int32))
             owner.append(int(chunk[i]))
         if keys:
             keys, flags, pos, at = map(np.concatenate, (keys, flags, pos, at))
-            order = np.argsort(keys, kind="stable")
+            tails = np.concatenate(tails) if more else None
+            order = np.lexsort((tails, keys)) if more else np.argsort(keys, kind="stable")
             sk = keys[order]
             new = np.ones(len(sk), bool)
             new[1:] = sk[1:] != sk[:-1]
+            if more:
+                new[1:] |= tails[order][1:] != tails[order][:-1]
             first = np.flatnonzero(new)
             aligned = np.add.reduceat(flags[order].astype(np.int64), first)
             hit = np.zeros(len(keys), bool)
@@ -180,8 +194,8 @@ def _by_document(group: pa.Table) -> pa.Table:
     return pa.table({"did": pa.array(out["did"], pa.int64()), "k": pa.array(out["k"], pa.int64()), "hits": pa.array(out["hits"], pa.binary())})
 
 
-def _exchange(packed: DataFrame, key_bytes: int) -> DataFrame:
-    met = packed.groupBy("part").applyInArrow(_meet(key_bytes), "chunk long, kind int, body binary")
+def _exchange(packed: DataFrame, key_bytes: int, more: bool = False) -> DataFrame:
+    met = packed.groupBy("part").applyInArrow(_meet(key_bytes, more), "chunk long, kind int, body binary")
     by_doc = met.groupBy("chunk").applyInArrow(_by_document, _HITS)
     # Repeated (doc_id, text) rows have the same positions.
     return by_doc.groupBy("did", "k").agg(F.max("hits").alias("hits"))
@@ -211,10 +225,13 @@ def _windows(width: int, n_parts: int):
                     ok = np.flatnonzero((np.cumsum(near)[:n] > 0) & (w.doc[:n] == w.doc[width - 1 :]))
                     if not len(ok):
                         continue
-                    h = [tn.span_hash(tn.span_hash(tn.byte_table(s)[c.data], w.starts, w.ends, s), ok, ok + width, 1 - s) for s in (0, 1)]
+                    words = [tn.word_hash(c.data, w.starts, w.ends, s) for s in (0, 1)]
+                    h = [tn.span_hash(words[s], ok, ok + width, 1 - s) for s in (0, 1)]
+                    # A third hash mixes both kinds of word hashes.
+                    third = tn.span_hash(tn.mix(words[0] + (words[1] << np.uint64(1))), ok, ok + width, 0) >> np.uint64(32)
                     chunk = _number(count)
                     count += 1
-                    rows = _entries((h[0] % np.uint64(n_parts)).astype(np.int64), h[1], np.ones(len(ok), bool), ok, n_parts, 8, chunk)
+                    rows = _entries((h[0] % np.uint64(n_parts)).astype(np.int64), h[1], np.ones(len(ok), bool), ok, n_parts, 8, chunk, third)
                     rows.append(_about(chunk, did[c.first : c.last], keys[c.first : c.last], w.doc_start, n_parts))
                     yield _batch(rows, _PACKED_COLS)
 
@@ -261,15 +278,23 @@ def _finish(width: int):
     return run
 
 
+def _parts(docs: DataFrame) -> int:
+    """Hash partitions: enough that one takes what PART_BYTES of input give, by
+    Spark's estimate of its size, so that a task's lists stay small however
+    large the input is."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(4 * shuffle_parts(docs.sparkSession), min(size // PART_BYTES, MOST_PARTS))
+
+
 def substring_dedup(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, spans (word ranges removed), kept_text."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    n_parts = 4 * shuffle_parts(docs.sparkSession)
+    n_parts = _parts(docs)
     hits = _exchange(docs.mapInArrow(_probe(width, n_parts), _PACKED), 5)
     # Both joins ask for the same rows and columns, so the texts move once.
     packed = docs.mapInArrow(_pack, "did long, k long, z binary").where("did is not null and k is not null")
     near = packed.join(hits.hint("merge"), ["did", "k"]).select("did", "k", "z", "hits")
-    repeats = _exchange(near.mapInArrow(_windows(width, n_parts), _PACKED), 8)
+    repeats = _exchange(near.mapInArrow(_windows(width, n_parts), _PACKED), 8, True)
     whole = packed.join(repeats.hint("merge"), ["did", "k"], "left").select("did", "z", "hits")
     return whole.mapInArrow(
         _finish(width), "doc_id long, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept_text string"
