@@ -3,17 +3,25 @@
 Fingerprints: 64 bits, each set if over half of a document's 3-word shingle
 hashes have it. The link search works on distinct fingerprints:
 
-* bits are grouped into partitions by their correlation, measured over all
+* bits are grouped into m partitions by their correlation, measured over all
   fingerprints;
 * thresholds t_i with sum(t_i + 1) = tau + 1 are allocated to partitions by
-  dynamic programming on candidate counts estimated from the partitions' value
-  histograms, so a partition may be probed within a radius or not at all;
+  dynamic programming on estimated candidate counts, so a partition may be
+  probed within a radius or not at all. Numbers of partitions are weighed up the
+  same way: few fingerprints are best met by exact values of narrow partitions,
+  many by wide ones within a radius, where a narrow value would be shared by
+  many fingerprints that are far apart;
 * probes meet the index on (partition, value) and pairs are verified.
 
+Candidate counts are estimated from a sample of fingerprints, and from what
+evenly spread ones would give where the sample is too small to tell. They only
+steer the plan; any allocation finds all links.
+
 A value that many fingerprints share is not paired up. Two fingerprints are
 within 2 bits exactly if some 64-bit value lies within 1 bit of both, so its
-members send their 65 neighbours (for tau = 2) and meet in stars: 65 rows a
-fingerprint, however large the group, and no link is lost.
+members, and those whose probes meet it, send their 65 neighbours (for tau = 2)
+and meet in stars: 65 rows a fingerprint, however large the group, and no link
+is lost.
 
 Cases: null and blank texts have fingerprint 0 and are linked like any other;
 a text of one or two words is one shingle; repeated rows are linked to
@@ -44,6 +52,8 @@ SHINGLE = 3
 SEED = 42
 #: Members of a (partition, value) beyond which stars replace pairs.
 HOT = 32
+#: Fingerprints from which candidate counts are estimated.
+SAMPLE = 1 << 14
 
 
 def _shingle_hashes(chunk: tn.Chunk, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,7 +79,7 @@ def _shingle_hashes(chunk: tn.Chunk, n: int) -> tuple[np.ndarray, np.ndarray]:
     return out, np.append(first, len(out))
 
 
-def _majority(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def majority(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Fingerprint of each document from its run of hashes."""
     out = np.zeros(len(bounds) - 1, np.uint64)
     if not len(hashes):
@@ -91,7 +101,7 @@ def _majority(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 def _fingerprints(n: int):
     def run(batches):
         for b in batches:
-            found = [_majority(*_shingle_hashes(c, n)) for c in tn.chunks(b.column(1))]
+            found = [majority(*_shingle_hashes(c, n)) for c in tn.chunks(b.column(1))]
             fp = np.concatenate(found) if found else np.empty(0, np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
@@ -101,7 +111,7 @@ def _fingerprints(n: int):
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long)."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        _fingerprints(shingle), "doc_id long, fp long"
+        tn.trimmed(_fingerprints(shingle)), "doc_id long, fp long"
     )
 
 
@@ -177,43 +187,70 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def links(fps: DataFrame, tau: int = TAU, m: int | None = None) -> DataFrame:
+def expected_pairs(sample: np.ndarray, bits: list[int], radius: int, n: float) -> float:
+    """Pairs among n fingerprints that agree in these bits but for radius of
+    them: what the sample shows, scaled up, or even spread if that is more."""
+    even = n * n / 2 * comb_sum(len(bits), radius) / 2.0 ** len(bits)
+    s = len(sample)
+    if s < 2 or radius > 1:  # wider radii: even spread, times what radius 1 shows beyond it
+        if s < 2:
+            return even
+        near = n * n / 2 * comb_sum(len(bits), 1) / 2.0 ** len(bits)
+        return even * max(1.0, expected_pairs(sample, bits, 1, n) / near)
+    values, counts = np.unique(sample & np.uint64(sum(1 << b for b in bits)), return_counts=True)
+    met = float((counts * (counts - 1.0)).sum() / 2)
+    if radius:
+        for b in bits:
+            flipped = values ^ np.uint64(1 << b)
+            at = np.minimum(np.searchsorted(values, flipped), len(values) - 1)
+            met += float((counts * counts[at] * (values[at] == flipped)).sum() / 2)
+    return max(even, met * n * (n - 1) / (s * (s - 1.0)))
+
+
+def plan(corr: np.ndarray, sample: np.ndarray, n: float, tau: int, sizes=None) -> tuple[list[list[int]], list[int]]:
+    """Partitions and thresholds of the least estimated cost: rows of index and
+    probes, and candidates."""
+    best = None
+    for m in sizes or range(1, tau + 3):
+        parts = group_bits(corr, m)
+        costs = [[0.0] + [n + comb_sum(len(p), t) * n + expected_pairs(sample, p, t, n) for t in range(tau + 1)] for p in parts]
+        chosen = allocate(costs, tau)
+        cost = sum(c[t + 1] for c, t in zip(costs, chosen))
+        if best is None or cost < best[0]:
+            best = (cost, parts, chosen)
+    return best[1:]
+
+
+def links(fps: DataFrame, tau: int = TAU, m: int | None = None, found=None) -> DataFrame:
     """Edges (a, b) between fingerprints whose components are those of all
-    links at tau or fewer bits. fps holds distinct fingerprints (fp)."""
-    m = m or tau + 1
-    parts = group_bits(bit_correlation(fps), m)
+    links at tau or fewer bits. fps holds distinct fingerprints (fp). m fixes the
+    number of partitions, found partitions and thresholds."""
+    if found is None:
+        sample = fps.orderBy(F.xxhash64("fp")).limit(SAMPLE).toArrow().column(0).to_numpy().view(np.uint64)
+        found = plan(bit_correlation(fps), sample, float(fps.count()), tau, [m] if m else None)
+    parts, thresholds = found
+    probed = [i for i, t in enumerate(thresholds) if t >= 0]
     masks = [_signed(sum(1 << b for b in p)) for p in parts]
-    values = F.array(*[F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(x)).alias("value")) for i, x in enumerate(masks)])
+    values = F.array(*[F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(masks[i])).alias("value")) for i in probed])
     spread = fps.select("fp", F.explode(values).alias("v")).select("fp", "v.part", "v.value")
-    sizes = spread.groupBy("part", "value").agg(F.count("*").alias("n"))
-    sizes = written(sizes.where("n > 1"))
-    stats = {r["part"]: r for r in sizes.groupBy("part").agg(F.sum(F.col("n").cast("double") * F.least(F.col("n"), F.lit(HOT))).alias("pairs"), F.max("n").alias("most")).collect()}
-    n = float(fps.count())
-    costs = []
-    for i, p in enumerate(parts):
-        met = stats[i]["pairs"] if i in stats else 0.0
-        # Radius probes meet whole values, so they are for partitions without a hot one.
-        reach = tau if i not in stats or stats[i]["most"] <= HOT else 0
-        costs.append([0.0] + [comb_sum(len(p), t) * (n + met) for t in range(reach + 1)])
-    thresholds = allocate(costs, tau)
-    probed = [i for i, t in enumerate(thresholds) if t >= 0]
-    sizes = sizes.where(F.col("part").isin(probed))
+    sizes = written(spread.groupBy("part", "value").agg(F.count("*").alias("n")).where("n > 1"))
     # Values shared by a few: pair up within the value. Shared by many: stars.
-    own = spread.where(F.col("part").isin(probed)).join(sizes, ["part", "value"])
-    own = written(own.select("fp", "part", "value", "n"))
+    own = written(spread.join(sizes, ["part", "value"]).select("fp", "part", "value", "n"))
     near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= tau
     few = own.where(F.col("n") <= HOT)
     left, right = few.select(F.col("fp").alias("a"), "part", "value"), few.select(F.col("fp").alias("b"), "part", "value")
-    found = left.join(right, ["part", "value"]).where((F.col("a") < F.col("b")) & near("a", "b")).select("a", "b")
-    hot = own.where(F.col("n") > HOT).select("fp").distinct()
-    found = found.unionAll(stars(hot, tau))
+    out = left.join(right, ["part", "value"]).where((F.col("a") < F.col("b")) & near("a", "b")).select("a", "b")
+    hot = own.where(F.col("n") > HOT).select("fp")
     for i in probed:
         if thresholds[i] > 0:  # a radius: probe the index with flipped values
-            masks_i = F.array(*[F.lit(x) for x in flips(tuple(parts[i]), thresholds[i]) if x])
-            probes = fps.select(F.col("fp").alias("a"), F.explode(masks_i).alias("flip")).select("a", F.col("a").bitwiseAND(F.lit(masks[i])).bitwiseXOR(F.col("flip")).alias("value"))
-            index = fps.select(F.col("fp").alias("b"), F.col("fp").bitwiseAND(F.lit(masks[i])).alias("value"))
-            found = found.unionAll(probes.join(index, "value").where((F.col("a") < F.col("b")) & near("a", "b")).select("a", "b"))
-    return found
+            flipped = F.array(*[F.lit(x) for x in flips(tuple(parts[i]), thresholds[i]) if x])
+            probes = fps.select(F.col("fp").alias("a"), F.explode(flipped).alias("flip")).select("a", F.col("a").bitwiseAND(F.lit(masks[i])).bitwiseXOR(F.col("flip")).alias("value"))
+            crowded = sizes.where((F.col("part") == i) & (F.col("n") > HOT)).select("value")
+            index = fps.select(F.col("fp").alias("b"), F.col("fp").bitwiseAND(F.lit(masks[i])).alias("value")).join(crowded, "value", "left_anti")
+            out = out.unionAll(probes.join(index, "value").where((F.col("a") < F.col("b")) & near("a", "b")).select("a", "b"))
+            # A link into a crowded value has its other end among its probers.
+            hot = hot.unionAll(probes.join(crowded, "value", "left_semi").select("a"))
+    return out.unionAll(stars(hot.distinct(), tau))
 
 
 def comb_sum(width: int, radius: int) -> int:
