@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillrank.llm.store import written
+from quillrank.llm.store import discard, written
 
 
 def _smallest(pairs: DataFrame) -> DataFrame:
@@ -24,6 +24,7 @@ def components(edges: DataFrame) -> DataFrame:
     alternate until every node points straight at its smallest one.
     """
     now = written(edges.where("a <> b").select("a", "b").distinct())
+    mark = None
     while True:
         # Large star: larger neighbours of a node join its smallest neighbour.
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -35,8 +36,10 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(low, "a")
         small = small.where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")).unionAll(low.select("a", F.col("low").alias("b")))
         new = written(small.distinct())
-        same = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if same(new) == same(now):
+        last, mark = mark, new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if mark == last:
             roots = new.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
             return new.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(roots)
+        discard(now)
+        discard(large)
         now = new
