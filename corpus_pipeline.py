@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillrank.llm import decontaminate, line_dedup, mixing, near_copies, toxicity
-from quillrank.llm.store import broadcast_if_small, written
+from quillrank.llm.store import broadcast_if_small, discard, scratch, written
 
 
 _OWN = ("doc_id", "text", "lang", "source", "n_chars")
@@ -73,7 +73,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth repeats benchmark windows."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.contamination(docs, benchmark, keep=tuple(c for c in docs.columns if c != "doc_id"))
+    found = decontaminate.contamination(docs, benchmark, keep=tuple(c for c in docs.columns if c != "doc_id"), proximity=False)
     return found.where(~F.col("contaminated")).select(*docs.columns)
 
 
@@ -99,7 +99,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages in turn. A stage's tables go as soon as its result is written,
+    and that once the next one's is; the last result still reads its own."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        with scratch() as tables:
+            docs = tables.keep(written(stage(spark, docs, sf_dir)))
+        if last is not None:
+            discard(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
