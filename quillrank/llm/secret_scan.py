@@ -2,12 +2,14 @@
 
 Base findings are regular expressions (assignments, access keys, hex runs).
 The method adds candidate strings: runs of one character class over which a
-20-character window slides. Each step puts one character in and takes one out,
-so only two counts change and the window's entropy follows from the sum of
-c * log2(c) kept from the step before. A candidate is reported if its highest
-window reaches the class's limit and no allow-list pattern explains it.
+20-character window slides. The window's character counts are carried along,
+five bits each in a few longs; a step puts one character in and takes one out,
+so two counts change and the sum of c * log2(c), kept in fixed point so that
+nothing drifts, changes by four table entries. A candidate is reported if its
+highest window reaches the class's limit and no allow-list pattern explains it.
 
-Everything is SQL functions over the row: no shuffle, no Python.
+Everything is SQL functions over the row: no shuffle, no Python. Time is linear
+in a candidate's length and, up to millions, in a text's number of matches.
 
 Cases: null text counts as empty and has no spans; offsets are code points;
 repeated rows are scanned alike; null ids are kept; extra columns are ignored;
@@ -16,9 +18,13 @@ an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillrank.functions.spans import let, matches
+
 # The base patterns and their least lengths.
 ASSIGN = (
     "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
@@ -34,6 +40,11 @@ KINDS = ("assign", "access", "hex", "entropy")
 #: Candidates of the method: a whole run of this alphabet, of this length on.
 CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
+#: Counts of the characters from + to z: bits of each, how many in a long, longs.
+_FIRST, _BITS, _LANES = ord("+"), 5, 12
+_WORDS = (ord("z") - _FIRST) // _LANES + 1
+#: Fixed point of c * log2(c).
+_UNIT, _NEVER = 1 << 40, (1 << 63) - 1
 #: Character class (tested in order) and the entropy in bits its windows need.
 CLASSES = (("^[0-9a-fA-F]+$", 3.01), ("^[A-Za-z0-9]+$", 3.51), ("", 3.61))
 #: Runs that are not secrets: no digit or no letter, words joined by signs,
@@ -42,22 +53,6 @@ CLASSES = (("^[0-9a-fA-F]+$", 3.01), ("^[A-Za-z0-9]+$", 3.51), ("", 3.61))
 ALLOW = ("^[^0-9]*$", "^[^A-Za-z]*$", "^(?!.*[A-Za-z][0-9])(?!.*[0-9][A-Za-z])[A-Za-z0-9][A-Za-z0-9+/_=-]*$", "^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")
 
 
-def _located(text: Column, pattern: str) -> Column:
-    """struct(start, match) of all matches: what split() leaves between them
-    gives their places."""
-    hits = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    gaps = F.split(text, pattern, -1)
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,match:string>>").alias("out"))
-
-    def step(acc, x):
-        start = acc["at"] + F.length(x["gap"])
-        return F.struct((start + F.length(x["hit"])).alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), x["hit"].alias("match")))).alias("out"))
-
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    found = F.aggregate(pairs, state, step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast("array<struct<start:int,match:string>>"))
-
-
 def _spans(found: Column, kind: str, keep=None) -> Column:
     kept = found if keep is None else F.filter(found, keep)
     return F.transform(
@@ -65,26 +60,42 @@ def _spans(found: Column, kind: str, keep=None) -> Column:
     )
 
 
+def _window_steps(s: Column, window: int) -> Column:
+    """For each character, where its count lies and where that of the character
+    lies which leaves the window with it (-1: none yet)."""
+    code = lambda ch: F.ascii(ch) - _FIRST
+    place = lambda n: F.struct((n / _LANES).cast("int").alias("word"), (n % _LANES * _BITS).alias("shift"))
+    none = F.array_repeat(F.struct(F.lit(-1).alias("word"), F.lit(0).alias("shift")), window)
+    chars = F.transform(F.split(s, ""), lambda ch: place(code(ch)))
+    left = lambda c: F.slice(F.concat(none, c), F.lit(1), F.size(c))
+    return let(chars, lambda c: F.zip_with(c, left(c), lambda x, y: F.struct(x.alias("new"), y.alias("old"))))
+
+
 def peak_entropy(s: Column, window: int = WINDOW) -> Column:
-    """Highest entropy in bits of any window of the string (of the whole
-    string if it is shorter), by incremental counts."""
-    count = lambda part, ch: F.length(part) - F.length(F.replace(part, ch, F.lit("")))
-    weight = lambda c: F.when(c > 1, c * F.log2(F.greatest(c, F.lit(1)).cast("double"))).otherwise(F.lit(0.0))
-
-    def step(acc, i):
-        new, old = F.substr(s, i, F.lit(1)), F.substr(s, i - window, F.lit(1))
-        before = F.substr(s, F.greatest(i - window, F.lit(1)), F.least(i - 1, F.lit(window)))
-        full = i > window
-        leave = F.when(full, count(before, old)).otherwise(F.lit(0))
-        enter = count(before, new) - F.when(full & (old == new), F.lit(1)).otherwise(F.lit(0))
-        total = acc["total"] + F.when(full, weight(leave - 1) - weight(leave)).otherwise(F.lit(0.0)) + weight(enter + 1) - weight(enter)
-        n = F.least(i, F.lit(window)).cast("double")
-        bits = F.log2(n) - total / n
-        seen = (i >= window) | (i == F.length(s))
-        return F.struct(total.alias("total"), F.when(seen, F.greatest(acc["peak"], bits)).otherwise(acc["peak"]).alias("peak"))
-
-    start = F.struct(F.lit(0.0).alias("total"), F.lit(0.0).alias("peak"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(s)), start, step, lambda acc: acc["peak"])
+    """Highest entropy in bits of any window of the string (of the whole string
+    if it is shorter), by incremental counts. For windows of up to 31 characters
+    from + to z."""
+    weights = F.array(*[F.lit(round(c * math.log2(c) * _UNIT) if c else 0).cast("long") for c in range(window + 2)])
+    weight = lambda c: F.get(weights, c.cast("int"))
+    count = lambda acc, x: F.call_function("shiftright", F.get(acc["counts"], x["word"]), x["shift"]).bitwiseAND(F.lit((1 << _BITS) - 1))
+    one = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x["shift"])
+
+    def step(acc, x):
+        new, old = x["new"], x["old"]
+        full = old["word"] >= 0
+        same = (new["word"] == old["word"]) & (new["shift"] == old["shift"])
+        change = lambda v, j: v + F.when(new["word"] == j, one(new)).otherwise(F.lit(0)) - F.when(old["word"] == j, one(old)).otherwise(F.lit(0))
+        moved = weight(count(acc, new) + 1) - weight(count(acc, new)) + F.when(full, weight(count(acc, old) - 1) - weight(count(acc, old))).otherwise(F.lit(0))
+        total = F.when(same, acc["total"]).otherwise(acc["total"] + moved)
+        n = acc["n"] + 1
+        least = F.when((n < window) | (acc["least"] <= total), acc["least"]).otherwise(total)
+        return F.struct(n.alias("n"), total.alias("total"), least.alias("least"), F.transform(acc["counts"], change).alias("counts"))
+
+    zero = F.lit(0).cast("long")
+    start = F.struct(F.lit(0).alias("n"), zero.alias("total"), F.lit(_NEVER).alias("least"), F.array_repeat(zero, _WORDS).alias("counts"))
+    wide = lambda acc: F.least(acc["n"], F.lit(window)).cast("double")
+    sum_of = lambda acc: F.when(acc["n"] < window, acc["total"]).otherwise(acc["least"])
+    return F.aggregate(_window_steps(s, window), start, step, lambda acc: F.log2(wide(acc)) - sum_of(acc) / _UNIT / wide(acc))
 
 
 def suspicious(s: Column) -> Column:
@@ -105,8 +116,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = F.coalesce(F.col("_t"), F.lit(""))
     value = lambda x: F.length(F.regexp_extract(x["match"], ASSIGN, 2)) >= LEAST
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t"))
-    base = F.concat(_spans(_located(text, ASSIGN), "assign", value), _spans(_located(text, ACCESS), "access"), _spans(_located(text, HEX), "hex"))
-    extra = _spans(_located(text, CANDIDATE), "entropy", lambda x: suspicious(x["match"]))
+    base = F.concat(_spans(matches(text, ASSIGN), "assign", value), _spans(matches(text, ACCESS), "access"), _spans(matches(text, HEX), "hex"))
+    extra = _spans(matches(text, CANDIDATE), "entropy", lambda x: suspicious(x["match"]))
     rows = rows.select("doc_id", base.alias("base"), extra.alias("extra"))
     return rows.select("doc_id", F.sort_array("base").alias("base"), F.sort_array(F.concat("base", "extra")).alias("spans"))
 
