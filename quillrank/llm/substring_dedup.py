@@ -121,7 +121,7 @@ def _probe(width: int, n_parts: int):
                 if not len(ok):
                     continue
                 words = tn.word_hash(c.data, w.starts, w.ends, 0)
-                h = tn.span_hash(words, ok, ok + block, 1)
+                h = tn.window_hash(words, block, 1)[ok]
                 flag = (ok - w.doc_start[w.doc[ok]]) % block == 0
                 chunk = _number(count)
                 count += 1
@@ -226,9 +226,9 @@ def _windows(width: int, n_parts: int):
                     if not len(ok):
                         continue
                     words = [tn.word_hash(c.data, w.starts, w.ends, s) for s in (0, 1)]
-                    h = [tn.span_hash(words[s], ok, ok + width, 1 - s) for s in (0, 1)]
-                    # A third hash mixes both kinds of word hashes.
-                    third = tn.span_hash(tn.mix(words[0] + (words[1] << np.uint64(1))), ok, ok + width, 0) >> np.uint64(32)
+                    h = [tn.window_hash(words[s], width, s)[ok] for s in (0, 1)]
+                    # The partition comes from the low bits of the first, so its high ones go along.
+                    third = h[0] >> np.uint64(32)
                     chunk = _number(count)
                     count += 1
                     rows = _entries((h[0] % np.uint64(n_parts)).astype(np.int64), h[1], np.ones(len(ok), bool), ok, n_parts, 8, chunk, third)

@@ -15,10 +15,15 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 CHUNK_BYTES = 1 << 20
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-_MASK = (1 << 64) - 1
+_LENGTH = np.uint64(0xA24BAED4963EE407)
+#: Bytes from which a word is hashed by itself.
+LONG = 256
+#: Masks of the first bytes of eight.
+_KEEP = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -58,27 +63,63 @@ def powers(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
-    """Position-independent hash of values[start:end] for every span."""
+    """Position-independent hash of values[start:end] for every span: a polynomial,
+    for buckets of short spans only, as arrangements of equal parts can cancel out."""
     up, down = powers(seed, len(values) + 1)
     pre = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * up[: len(values)], out=pre[1:])
     h = (pre[ends] - pre[starts]) * down[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+    return mix(h + (ends - starts).astype(np.uint64) * _LENGTH)
 
 
 def word_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
-    """span_hash of the bytes of every word. Words are taken in stretches of
-    about CHUNK_BYTES, so a very long document needs no wide array of its own
-    size; a hash does not depend on where the stretch begins."""
-    table, out, i = byte_table(seed), np.empty(len(starts), np.uint64), 0
+    """64-bit hash of the bytes of every word, eight bytes a step with a full
+    avalanche between steps, so that no arrangement of equal parts cancels out;
+    words of LONG bytes and more by XXH64. Words are taken in stretches of about
+    CHUNK_BYTES, so a very long document needs no wide array of its own size; a
+    hash does not depend on where the stretch begins."""
+    out, i, first = np.empty(len(starts), np.uint64), 0, np.uint64(_BASES[seed % 2])
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + CHUNK_BYTES, "right")))
-        lo = int(starts[i])
-        out[i:j] = span_hash(table[data[lo : int(ends[j - 1])]], starts[i:j] - lo, ends[i:j] - lo, seed)
+        lo, hi = int(starts[i]), int(ends[j - 1])
+        size = ends[i:j] - starts[i:j]
+        h = mix(size.astype(np.uint64) * _LENGTH + first)
+        live = np.flatnonzero(size < LONG)
+        raw = np.zeros(hi - lo + 8, np.uint8)
+        raw[: hi - lo] = data[lo:hi]
+        eight = np.ndarray((hi - lo + 1,), "<u8", raw, strides=(1,))  # the eight bytes at every place
+        at = starts[i:j] - lo
+        for done in range(0, LONG, 8):
+            live = live[size[live] > done]
+            if not len(live):
+                break
+            more = np.minimum(size[live] - done, 8)
+            h[live] = mix(h[live] ^ (eight[at[live] + done] & _KEEP[more]))
+        for k in np.flatnonzero(size >= LONG):
+            h[k] = xxhash.xxh64_intdigest(raw[at[k] : at[k] + size[k]].tobytes(), int(h[k]))
+        out[i:j] = h
         i = j
     return out
 
 
+def window_hash(values: np.ndarray, width: int, seed: int) -> np.ndarray:
+    """Hash of values[i : i + width] for every i. Hashes of twice the width come
+    from two of the width, mixed at each step."""
+    n = len(values) - width + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    odd = np.uint64(_BASES[(seed + 1) % 2] | 1)
+    level, size, out, done = mix(values ^ np.uint64(_BASES[seed % 2])), 1, None, 0
+    while True:
+        if width & size:
+            own = level[done : done + n]
+            out = own if out is None else mix(out * odd + own)
+            done += size
+        if done == width:
+            return out
+        level, size = mix(level[:-size] * odd + level[size:]), 2 * size
+
+
 def release() -> None:
     """Give freed memory back to the system: workers stay when their task ends,
     and what allocators keep for them counts against the executor."""
