@@ -9,15 +9,8 @@ each. The order puts rare shingles first, by counts in a table that shingles sha
 by hash. All pairs are verified on the sets themselves.
 
 Only shingles that stand in the prefixes of two sets go on: smallest and largest
-set per shingle tell, which combines before the shuffle. The members of a shingle
-are first held against the smallest of them, the same one for most shingles of a
-group, and then only across the components this gives, each outside the largest
-against all. So a large group of copies costs rows in proportion to its members,
-and no link between components is left out. Lengths, places and parity sketches
-rule out pairs before their sets are read: every shingle that only one of two sets
-has flips one of a sketch's bits, so their sketches differ in no more bits than
-the sets in shingles. A short sketch goes along with the members of a shingle; a
-long one, of at least two bits a shingle, leaves few pairs that are not links.
+set per shingle tell, which combines before the shuffle. How the members of a
+shingle meet, and how pairs are ruled out, is said in shingle_sets.
 
 Cases: shingles are known by 64-bit hashes of words in lower case (ASCII), equal
 sets are one node; a text of less than five words is one shingle; null and blank
@@ -27,17 +20,15 @@ smallest; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from typing import NamedTuple
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillrank.llm import shingle_sets as ss
 from quillrank.llm import simhash_dedup
 from quillrank.llm import textnum as tn
-from quillrank.llm.components import components
-from quillrank.llm.store import broadcast_if_small, scratch, written
+from quillrank.llm.store import scratch, written
 
 SHINGLE = 5
 #: Least similarity: NUM / DEN.
@@ -46,97 +37,36 @@ NUM, DEN = 4, 5
 COUNTERS = 1 << 17
 #: Bits in which fingerprints of linked texts may differ.
 TAU = 2
-#: Longs of the short parity sketch, and least longs of the long one.
-SKETCH = 4
-#: Most shared shingles, or sets to verify, whose keys are sent to every task;
-#: beyond it they are joined.
-SENT = 1 << 21
-#: Members of a shingle beyond which the smallest is held against the others first.
-HOT = 2
-_ODD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA24BAED4963EE407, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
-
-
-def _sets(c: tn.Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of each document, and each one's first."""
-    w = tn.words_of(c)
-    h = tn.word_hash(tn.ascii_lower(c.data), w.starts, w.ends, 0)
-    per_doc = np.diff(w.doc_start)
-    count = np.where(per_doc == 0, 0, np.maximum(per_doc - SHINGLE + 1, 1))
-    doc = np.repeat(np.arange(len(count)), count)
-    first = np.cumsum(count) - count
-    at = np.arange(len(doc)) + np.repeat(w.doc_start[:-1] - first, count)
-    end = np.repeat(w.doc_start[1:], count)
-    total = np.zeros(len(doc), np.uint64)
-    for j, odd in enumerate(_ODD):
-        inside = at + j < end
-        total[inside] += h[at[inside] + j] * np.uint64(odd)
-    total = tn.mix(total)
-    order = np.lexsort((total, doc))
-    total, doc = total[order], doc[order]
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (total[1:] != total[:-1])
-    total, doc = total[new], doc[new]
-    return total, np.searchsorted(doc, np.arange(len(count) + 1))
-
-
-def _nodes(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """One number per set, from the sum of its mixed hashes and its size."""
-    run = np.append(np.uint64(0), np.cumsum(tn.mix(hashes ^ np.uint64(_ODD[0])), dtype=np.uint64))
-    return tn.mix(run[bounds[1:]] - run[bounds[:-1]] + np.diff(bounds).astype(np.uint64) * np.uint64(_ODD[1])).view(np.int64)
+RULE = ss.Rule(SHINGLE, NUM, DEN)
 
 
 def _number(batches):
     """The batch's columns with the node behind them; text is the last one."""
     for b in batches:
-        found = [_nodes(*_sets(c)) for c in tn.chunks(b.column(b.num_columns - 1))]
+        found = [ss.nodes_of(*ss.sets_of(c, SHINGLE)) for c in tn.chunks(b.column(b.num_columns - 1))]
         node = np.concatenate(found) if found else np.empty(0, np.int64)
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(node)], [*b.schema.names, "node"])
 
 
-_INFO = [f"s{i}" for i in range(SKETCH)]
-
-
-def _sketches(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The parity sketches of all sets in a row, and each one's first long. Lengths
-    are powers of two, so a longer one folds onto a shorter one."""
-    size = np.diff(bounds)
-    longs = SKETCH << np.ceil(np.log2(np.maximum(size / (32 * SKETCH), 1))).astype(np.int64)
-    first = np.concatenate([[0], np.cumsum(longs)])
-    where = tn.mix(hashes ^ np.uint64(_ODD[2])) & np.repeat((64 * longs - 1).astype(np.uint64), size)
-    odd = np.bincount(np.repeat(64 * first[:-1], size) + where.astype(np.int64), minlength=int(64 * first[-1])) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8"), first
-
-
-def _folded(longs: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """SKETCH longs of each sketch."""
-    n = np.diff(first) // SKETCH
-    at = first[:-1][:, None] + np.arange(SKETCH)
-    out = np.zeros((len(n), SKETCH), np.int64)
-    for k in range(int(n.max(initial=0))):
-        own = n > k
-        out[own] ^= longs[at[own] + k * SKETCH]
-    return out
-
-
 def _inform(batches):
     """(doc_id, node, size, fp, short sketch, long sketch) of every row."""
     for b in batches:
-        cols, big = [[] for _ in range(3 + SKETCH)], []
+        cols, big = [[] for _ in range(3 + ss.SKETCH)], []
         for c in tn.chunks(b.column(1)):
-            h, bounds = _sets(c)
-            longs, first = _sketches(h, bounds)
+            h, bounds = ss.sets_of(c, SHINGLE)
+            longs, first = ss.sketches(h, bounds)
             big.append(pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(longs)))
-            for to, x in zip(cols, (_nodes(h, bounds), np.diff(bounds).astype(np.int32), simhash_dedup.majority(h, bounds).view(np.int64), *_folded(longs, first).T)):
+            for to, x in zip(cols, (ss.nodes_of(h, bounds), np.diff(bounds).astype(np.int32), simhash_dedup.majority(h, bounds).view(np.int64), *ss.folded(longs, first).T)):
                 to.append(x)
         if big:
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(np.concatenate(x)) for x in cols], pa.concat_arrays(big)], ["doc_id", "node", "size", "fp", *_INFO, "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(np.concatenate(x)) for x in cols], pa.concat_arrays(big)], ["doc_id", "node", "size", "fp", *ss.INFO, "sketch"])
 
 
 def _count(batches):
     total = np.zeros(COUNTERS, np.int64)
     for b in batches:
         for c in tn.chunks(b.column(0)):
-            total += np.bincount((_sets(c)[0] % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+            total += np.bincount((ss.sets_of(c, SHINGLE)[0] % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
 
@@ -149,13 +79,6 @@ def _levels(docs: DataFrame) -> np.ndarray:
     return out
 
 
-def _held(x: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Whether each value is among the sorted keys."""
-    if not len(keys):
-        return np.zeros(len(x), bool)
-    return keys[np.minimum(np.searchsorted(keys, x), len(keys) - 1)] == x
-
-
 def _prefixes(sent, shared=None):
     """(h, node, size, place) of each set's first shingles in the order; only
     those that are shared, where these are given."""
@@ -164,8 +87,8 @@ def _prefixes(sent, shared=None):
         levels = sent.value
         for b in batches:
             for c in tn.chunks(b.column(0)):
-                h, bounds = _sets(c)
-                size, node = np.diff(bounds), _nodes(h, bounds)
+                h, bounds = ss.sets_of(c, SHINGLE)
+                size, node = np.diff(bounds), ss.nodes_of(h, bounds)
                 _, once = np.unique(node, return_index=True)
                 doc = np.repeat(np.arange(len(size)), size)
                 order = np.lexsort((h, levels[(h % np.uint64(COUNTERS)).astype(np.int64)], doc))
@@ -175,7 +98,7 @@ def _prefixes(sent, shared=None):
                 own = np.flatnonzero(place < most[doc])
                 key = h[order][own].view(np.int64)
                 if shared is not None:
-                    hit = _held(key, shared.value)
+                    hit = ss.held(key, shared.value)
                     own, key = own[hit], key[hit]
                 cols = (key, node[doc[own]], size[doc[own]].astype(np.int32), place[own].astype(np.int32))
                 yield pa.RecordBatch.from_arrays([*map(pa.array, cols)], ["h", "node", "size", "place"])
@@ -183,32 +106,6 @@ def _prefixes(sent, shared=None):
     return run
 
 
-def _spelled(wanted):
-    """(node, sh) with the set itself: of the wanted nodes, or of all."""
-
-    def run(batches):
-        for b in batches:
-            for c in tn.chunks(b.column(0)):
-                h, bounds = _sets(c)
-                node = _nodes(h, bounds)
-                _, own = np.unique(node, return_index=True)
-                if wanted is not None:
-                    own = own[_held(node[own], wanted.value)]
-                if len(own):
-                    sets = pa.array([h[bounds[i] : bounds[i + 1]].view(np.int64) for i in own], pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_arrays([pa.array(node[own]), sets], ["node", "sh"])
-
-    return run
-
-
-class _Texts(NamedTuple):
-    """docs (doc_id, text); nodes: a row per node with rep, its smallest doc_id,
-    size, fp and sketches."""
-
-    docs: DataFrame
-    nodes: DataFrame
-
-
 def _may_link(x, y):
     """Whether two members of a shingle can still be similar enough: the
     shared shingles are those behind it at most. A node is not its own copy."""
@@ -216,64 +113,6 @@ def _may_link(x, y):
     return ((F.least(x["place"], y["place"]) + behind) * (NUM + DEN) >= (x["size"] + y["size"]) * NUM) & (x["node"] != y["node"])
 
 
-def _within(bits, x, y):
-    """Whether sizes, and bits in which sketches differ, allow two sets to be
-    similar enough: they differ in at most (DEN - NUM) / (DEN + NUM) of both sizes."""
-    sizes = F.least(x["size"], y["size"]) * DEN >= F.greatest(x["size"], y["size"]) * NUM
-    return sizes & (bits * (NUM + DEN) <= (x["size"] + y["size"]) * (DEN - NUM))
-
-
-def _near(x, y):
-    """_within by the short sketches."""
-    return _within(sum((F.bit_count(x[s].bitwiseXOR(y[s])) for s in _INFO[1:]), F.bit_count(x[_INFO[0]].bitwiseXOR(y[_INFO[0]]))), x, y)
-
-
-def _close(x, y):
-    """_within by the long ones: sizes that may be linked have sketches of the
-    same length, or one of twice the other's."""
-    n = F.least(F.size(x["sketch"]), F.size(y["sketch"]))
-    half = lambda v, at: F.slice(v, at, n)
-    fold = lambda v: F.when(F.size(v) > n, F.zip_with(half(v, F.lit(1)), half(v, n + 1), lambda a, b: a.bitwiseXOR(b))).otherwise(v)
-    bits = F.aggregate(F.zip_with(fold(x["sketch"]), fold(y["sketch"]), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, c: s + c)
-    return F.when(F.least(x["size"], y["size"]) * DEN >= F.greatest(x["size"], y["size"]) * NUM, _within(bits, x, y)).otherwise(F.lit(False))
-
-
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def _keys_sent(df: DataFrame, name: str):
-    """The sorted distinct values of a long column as a broadcast, or None
-    where they are too many."""
-    if df.count() > SENT:
-        return None
-    got = np.sort(df.select(name).toArrow().column(0).to_numpy())
-    return df.sparkSession.sparkContext.broadcast(got)
-
-
-def _verified(pairs: DataFrame, texts: _Texts) -> DataFrame:
-    """The pairs (a, b), each once, whose sets are similar enough."""
-    docs, nodes = texts
-    info = F.struct("size", "sketch")
-    side = lambda key, name: nodes.select(F.col("node").alias(key), info.alias(name))
-    pairs = written(pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").where(_close(F.col("x"), F.col("y"))).select("a", "b"))
-    wanted = written(pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct())
-    n = wanted.count()
-    reps = written(wanted.join(nodes.select("node", "rep"), "node").select(F.col("rep").alias("doc_id")).distinct())
-    sent = _keys_sent(wanted, "node")
-    # Of each node the rows of its smallest id are spelled out, or those without one.
-    some = docs.join(broadcast_if_small(reps, n), "doc_id", "left_semi")
-    if reps.where("doc_id is null").count():
-        some = some.unionByName(docs.where("doc_id is null"))
-    sets = some.select("text").mapInArrow(tn.trimmed(_spelled(sent)), "node long, sh array<long>")
-    sets = written(sets if sent is not None else sets.join(wanted, "node", "left_semi"))
-    if sets.count() > n:
-        sets = written(sets.dropDuplicates(["node"]))
-    left, right = sets.select(F.col("node").alias("a"), F.col("sh").alias("x")), sets.select(F.col("node").alias("b"), F.col("sh").alias("y"))
-    shared = F.size(F.array_intersect("x", "y"))
-    return pairs.join(left, "a").join(right, "b").where(shared * (NUM + DEN) >= (F.size("x") + F.size("y")) * NUM).select("a", "b")
-
-
 def _proposed(nodes: DataFrame) -> DataFrame:
     """Pairs of nodes whose SimHash fingerprints are linked, through the
     smallest node of each fingerprint."""
@@ -285,41 +124,23 @@ def _proposed(nodes: DataFrame) -> DataFrame:
     return same.unionAll(linked)
 
 
-def _members(texts: _Texts) -> DataFrame:
+def _members(texts: ss.Texts) -> DataFrame:
     """(h, x): for every prefix shingle of several nodes, each of them."""
-    docs, nodes = texts
+    docs, nodes, _ = texts
     sent = docs.sparkSession.sparkContext.broadcast(_levels(docs))
     schema = "h long, node long, size int, place int"
     entries = docs.select("text").mapInArrow(tn.trimmed(_prefixes(sent)), schema)
     ends = entries.groupBy("h").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     shared = written(ends.select("h"))
-    keys = _keys_sent(shared, "h")
+    keys = ss.keys_sent(shared, "h")
     own = docs.select("text").mapInArrow(tn.trimmed(_prefixes(sent, keys)), schema) if keys is not None else entries.join(shared, "h", "left_semi")
     own = own.dropDuplicates(["h", "node"])
-    return own.join(nodes.select("node", *_INFO), "node").select("h", F.struct("node", "size", "place", *_INFO).alias("x"))
+    return own.join(nodes.select("node", *ss.INFO), "node").select("h", F.struct("node", "size", "place", *ss.INFO).alias("x"))
 
 
-def links(texts: _Texts) -> DataFrame:
+def links(texts: ss.Texts) -> DataFrame:
     """Edges (a, b) between nodes whose components are those of all links."""
-    members = written(_members(texts))
-    groups = written(members.groupBy("h").agg(F.count("*").alias("n"), F.min("x.node").alias("low")))
-    few, hot = groups.where(F.col("n") <= HOT).select("h"), groups.where(F.col("n") > HOT)
-    pairs = lambda df: df.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    own = members.join(few, "h", "left_semi")
-    x, y = F.col("x"), F.col("y")
-    direct = own.join(own.withColumnRenamed("x", "y"), "h").where((x["node"] < y["node"]) & _may_link(x, y) & _near(x, y))
-    star = members.join(hot, "h").where("x.node <> low").select(F.col("low").alias("a"), F.col("x.node").alias("b"))
-    found = written(_verified(_ordered(pairs(direct).unionAll(star).unionAll(_proposed(texts.nodes))), texts))
-    if hot.isEmpty():
-        return found
-    known = components(found)
-    held = members.join(hot.select("h"), "h", "left_semi").withColumn("node", F.col("x.node"))
-    held = written(held.join(known, "node", "left").select("h", "x", F.coalesce("component", "node").alias("of")))
-    main = held.groupBy("h", "of").agg(F.count("*").alias("n")).groupBy("h").agg(F.max_by("of", F.struct("n", "of")).alias("main"), F.count("*").alias("parts"))
-    main = written(main.where("parts > 1"))
-    stray = held.join(main, "h").where("of <> main").select("h", F.col("x").alias("y"), F.col("of").alias("its"))
-    across = stray.join(held.join(main.select("h"), "h", "left_semi"), "h").where((F.col("of") != F.col("its")) & _may_link(x, y) & _near(x, y))
-    return found.unionAll(_verified(_ordered(pairs(across)), texts))
+    return ss.links(written(_members(texts)), texts, _may_link, _proposed(texts.nodes))
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -333,15 +154,10 @@ def near_copy_groups(docs: DataFrame) -> DataFrame:
     """doc_id, node, component_id: the smallest doc_id reachable over links, and
     keep: whether the row's doc_id and node are the component's smallest."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "doc_id long, node long, size int, fp long, " + ", ".join(f"{s} long" for s in _INFO) + ", sketch array<long>"
+    schema = "doc_id long, node long, size int, fp long, " + ", ".join(f"{s} long" for s in ss.INFO) + ", sketch array<long>"
     with scratch() as tables:
         rows = tables.keep(written(docs.mapInArrow(tn.trimmed(_inform), schema)))
         # A node's rows agree in size, fingerprint and sketches.
-        nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("size", "fp", *_INFO, "sketch")]))
-        joined = components(links(_Texts(docs, nodes)))
-        named = joined.join(nodes, "node").select("node", "component", "rep")
-        low = named.groupBy("component").agg(F.min(F.when(F.col("rep").isNotNull(), F.struct("rep", "node"))).alias("low"))
-        moved = named.join(low, "component").select("node", "low")
-        low = F.coalesce("low", F.struct("rep", "node"))
-        table = tables.keep(written(nodes.join(moved, "node", "left").select("node", low["rep"].alias("component_id"), (low["node"] == F.col("node")).alias("own"))))
+        nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("size", "fp", *ss.INFO, "sketch")]))
+        table = tables.keep(ss.grouped(nodes, links(ss.Texts(docs, nodes, RULE))))
     return rows.select("doc_id", "node").join(table, "node").select("doc_id", "node", "component_id", (F.col("own") & (F.col("doc_id") == F.col("component_id"))).alias("keep"))

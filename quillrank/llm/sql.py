@@ -121,10 +121,51 @@ z AS (SELECT *, (whole + CASE WHEN rank IS NOT NULL AND so_far + size / 2.0 <= m
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM z
 """
 
+OP13 = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS.replace("coalesce(text, '')", _LOW)} AS ws FROM documents),
+s AS (SELECT r, doc_id, list_sort(list_distinct(list_transform(range(1, greatest(len(ws) - 3, 1) + 1), lambda i: array_to_string(ws[i:i + 3], ' ')))) AS sh FROM w WHERE len(ws) > 0),
+n AS MATERIALIZED (SELECT row_number() OVER () AS q, sh, len(sh) AS size FROM (SELECT DISTINCT sh FROM s)),
+x AS MATERIALIZED (SELECT q, size, unnest(sh) AS g FROM n),
+p AS (SELECT a.q AS a, b.q AS b, a.size + b.size AS total, count(*) AS shared FROM x a JOIN x b ON a.g = b.g AND a.q <> b.q AND a.size * 100 >= b.size * 85 AND b.size * 100 >= a.size * 85 GROUP BY a.q, b.q, a.size, b.size),
+l AS MATERIALIZED (SELECT a, b FROM p WHERE 100 * shared >= 85 * (total - shared)),
+reach(a, b) AS (SELECT q, q FROM n UNION SELECT reach.a, l.b FROM reach JOIN l ON l.a = reach.b),
+rep AS (SELECT n.q, min(s.doc_id) AS doc_id FROM n JOIN s ON s.sh = n.sh GROUP BY n.q),
+low AS (SELECT reach.a AS q, min(rep.doc_id) AS component_id FROM reach JOIN rep ON rep.q = reach.b GROUP BY reach.a)
+SELECT w.doc_id, coalesce(n.size, 0)::BIGINT AS n_shingles, CASE WHEN n.q IS NULL THEN w.doc_id ELSE low.component_id END AS component_id
+FROM w LEFT JOIN s ON s.r = w.r LEFT JOIN n ON n.sh = s.sh LEFT JOIN low ON low.q = n.q
+"""
+
+_FAR = "list_sum(list_transform(range(1, 65), lambda i: (k.v[i] - c.v[i]) * (k.v[i] - c.v[i])))::HUGEINT"
+
+
+def _turn(i: int) -> str:
+    """Assignment to the centroids of round i; what they move to."""
+    return f"""a{i} AS MATERIALIZED (SELECT r, min(d * 16 + c) AS m FROM (SELECT k.r, c.c, {_FAR} AS d FROM k, c{i} c) GROUP BY r),
+s{i} AS (SELECT c, i, sum(x)::HUGEINT AS s, count(*) AS n FROM (SELECT (m % 16)::INT AS c, unnest(k.v) AS x, generate_subscripts(k.v, 1) AS i FROM a{i} JOIN k USING (r)) GROUP BY c, i),
+m{i} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i)::BIGINT[] AS v FROM s{i} GROUP BY c),
+c{i + 1} AS MATERIALIZED (SELECT c.c, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN m{i} m ON m.c = c.c)"""
+
+
+OP12 = f"""
+WITH k AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, v) - 1)::INT AS c, v FROM k QUALIFY c < 16),
+{_turn(0)},
+{_turn(1)},
+{_turn(2)},
+{_turn(3).split(",\ns3")[0]},
+f AS (SELECT r, (m % 16)::INT AS cluster, (m // 16)::BIGINT AS distance FROM a3)
+SELECT k.vec_id, f.cluster, f.distance, (sum(f.distance) OVER (PARTITION BY f.cluster))::BIGINT AS cluster_inertia, (sum(f.distance) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM f JOIN k USING (r) JOIN c3 c ON c.c = f.cluster
+"""
+
 SQL = {
     "op1_substring_dedup": OP1,
     "op2_secret_scan": OP2,
     "op6_benchmark_decontamination": OP6,
     "op8_line_dedup": OP8,
     "op10_mixing": OP10,
+    "op12_centroid_clustering": OP12,
+    "op13_ngram_jaccard_join": OP13,
 }

@@ -6,7 +6,7 @@ import corpus_pipeline
 import pytest
 from common import DOCS, frame, lower, words
 
-from quillrank.llm import near_copies
+from quillrank.llm import shingle_sets
 
 
 def shingles(text):
@@ -41,7 +41,7 @@ def edited(n=40, copies=4, seed=3):
 
 @pytest.mark.parametrize("hot", [2, 32])
 def test_near_copies(spark, monkeypatch, hot):
-    monkeypatch.setattr(near_copies, "HOT", hot)
+    monkeypatch.setattr(shingle_sets, "HOT", hot)
     texts = edited()
     want = roots(texts)
     left = corpus_pipeline.drop_near_copies(spark, frame(spark, texts), "")
@@ -49,13 +49,13 @@ def test_near_copies(spark, monkeypatch, hot):
 
 
 def test_a_large_group_of_near_copies_grows_in_proportion(spark, monkeypatch):
-    rng, held, verified = random.Random(5), [], near_copies._verified
+    rng, held, verified = random.Random(5), [], shingle_sets.verified
 
     def counted(pairs, texts):
         held.append(pairs.count())
         return verified(pairs, texts)
 
-    monkeypatch.setattr(near_copies, "_verified", counted)
+    monkeypatch.setattr(shingle_sets, "verified", counted)
     body, n = [f"w{i}" for i in range(120)], 600
     texts = [" ".join(f"x{i}" if j == at else w for j, w in enumerate(body)) for i in range(n) for at in [rng.randrange(120)]]
     left = corpus_pipeline.drop_near_copies(spark, frame(spark, texts), "")
