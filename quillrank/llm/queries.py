@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillrank.llm import ann_search, clustering, decontaminate, line_dedup, lm_scoring, mixing, ngram_join, quality, secret_scan, simhash_dedup, substring_dedup, toxicity
+from quillrank.llm import ann_search, clustering, decontaminate, importance, line_dedup, lm_scoring, mixing, ngram_join, quality, secret_scan, simhash_dedup, substring_dedup, toxicity
 from quillrank.llm.sql import SQL
 
 __all__ = ["QUERIES", "SQL"]
@@ -73,6 +73,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.elkan(_table(spark, sf_dir, "embeddings")).drop("n_distances")
 
@@ -85,6 +89,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_secret_scan, op3_toxicity, op4_nearest_neighbours, op5_quality, op6_benchmark_decontamination,
-        op7_lm_scoring, op8_line_dedup, op9_simhash_dedup, op10_mixing, op12_centroid_clustering, op13_ngram_jaccard_join,
+        op7_lm_scoring, op8_line_dedup, op9_simhash_dedup, op10_mixing, op11_importance_resampling, op12_centroid_clustering, op13_ngram_jaccard_join,
     )
 }

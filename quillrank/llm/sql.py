@@ -135,6 +135,29 @@ SELECT w.doc_id, coalesce(n.size, 0)::BIGINT AS n_shingles, CASE WHEN n.q IS NUL
 FROM w LEFT JOIN s ON s.r = w.r LEFT JOIN n ON n.sh = s.sh LEFT JOIN low ON low.q = n.q
 """
 
+# CRC-32 of a word: the table by its rule, then a byte at a time from the word's hex digits.
+_CRC_TABLE = "SELECT list(list_reduce(range(0, 9), lambda c, i: CASE WHEN i = 0 THEN c WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) ORDER BY b) AS t FROM range(256) AS x(b)"
+_CRC = "xor(list_reduce(list_transform(range(1, (length(x) // 2) + 1), lambda i: ('0x' || substr(x, 2 * i - 1, 2))::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295)"
+
+OP11 = rf"""
+WITH d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS r, {_BWORDS} AS ws FROM documents),
+b AS (SELECT unnest({_BWORDS}) AS w FROM benchmark),
+e AS MATERIALIZED (SELECT r, w, count(*) AS n FROM (SELECT r, unnest(ws) AS w FROM d) GROUP BY r, w),
+t AS (SELECT w, count(*) AS n FROM b GROUP BY w),
+s AS (SELECT w, sum(n)::BIGINT AS n FROM e GROUP BY w),
+k AS MATERIALIZED (SELECT w, {_CRC} % 10000 AS bucket FROM (SELECT w, hex(encode(w)) AS x FROM (SELECT w FROM s UNION SELECT w FROM t)), ({_CRC_TABLE})),
+o AS (SELECT coalesce(sum(n), 0)::BIGINT AS all_s FROM s),
+p AS (SELECT coalesce(sum(n), 0)::BIGINT AS all_t FROM t),
+g AS (SELECT k.bucket, floor(1000 * ln((coalesce(sum(t.n), 0) + 1)::DOUBLE * (any_value(all_t.s) + 10000)::DOUBLE / ((coalesce(sum(s.n), 0) + 1)::DOUBLE * (any_value(all_t.t) + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM k LEFT JOIN s ON s.w = k.w LEFT JOIN t ON t.w = k.w, (SELECT all_s AS s, all_t AS t FROM o, p) AS all_t GROUP BY k.bucket),
+wt AS (SELECT e.r, sum(e.n * g.gain)::BIGINT AS weight FROM e JOIN k ON k.w = e.w JOIN g ON g.bucket = k.bucket GROUP BY e.r),
+f AS (SELECT d.doc_id, d.r, len(d.ws)::BIGINT AS n_features, coalesce(wt.weight, 0)::BIGINT AS weight,
+  floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(d.doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS luck FROM d LEFT JOIN wt ON wt.r = d.r),
+z AS (SELECT *, weight + luck AS score FROM f),
+y AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, weight, n_features) AS rank, count(*) OVER () AS n FROM z WHERE n_features >= 20)
+SELECT z.doc_id, z.n_features, z.weight, z.score, CASE WHEN y.rank <= 10 * y.n // 100 THEN y.rank END AS rank FROM z LEFT JOIN y ON y.r = z.r
+"""
+
 _FAR = "list_sum(list_transform(range(1, 65), lambda i: (k.v[i] - c.v[i]) * (k.v[i] - c.v[i])))::HUGEINT"
 
 
@@ -166,6 +189,7 @@ SQL = {
     "op6_benchmark_decontamination": OP6,
     "op8_line_dedup": OP8,
     "op10_mixing": OP10,
+    "op11_importance_resampling": OP11,
     "op12_centroid_clustering": OP12,
     "op13_ngram_jaccard_join": OP13,
 }
