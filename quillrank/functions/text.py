@@ -17,11 +17,19 @@ PLAIN = "AAAAAAEEEEIIIIOOOOOUUUUNCaaaaaaeeeeiiiiooooouuuunc"
 ACUTE = dict(zip("aeiouAEIOU", "áéíóúÁÉÍÓÚ"))
 TILDE = dict(zip("nN", "ñÑ"))
 BULLETS = "•◦●▪·"
+#: White space in Unicode's sense, and the four ASCII separators before the blank.
+BLANKS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def strip(c: Column) -> Column:
-    """Unicode white space off both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Unicode white space off both ends, in linear time whatever runs of it a
+    text holds."""
+    return F.btrim(c, F.lit(BLANKS))
+
+
+def is_blank(c: Column) -> Column:
+    """Null, or nothing but Unicode white space."""
+    return strip(F.coalesce(c, F.lit(""))) == ""
 
 
 def normalise(c: Column) -> Column:

@@ -6,9 +6,10 @@ import re
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillrank.functions.spans import BLOCK, let
 from quillrank.functions.text import strip
 
 # Fixed value: units end behind . ! ? and at line ends.
@@ -51,25 +52,49 @@ def chunk(text: str | None, limit: int, count: Callable[[str], int] = count_word
     return pack(fine, limit, count) or [text or ""]
 
 
+def openings(sizes: Column, limit: int) -> Column:
+    """Places (from 0) of the units that open a chunk. sizes: array<struct(head,
+    tail)>, the tokens of a unit that opens a chunk and of one behind another.
+    Units are taken in blocks, so that arrays that grow are short: linear time."""
+    flags = lambda: F.array().cast("array<boolean>")
+
+    def step(acc, x):
+        more = (acc["n"] >= 0) & (acc["n"] + x["tail"] <= limit)
+        return F.struct(F.when(more, acc["n"] + x["tail"]).otherwise(x["head"]).alias("n"), F.concat(acc["out"], F.array(~more)).alias("out"))
+
+    def block(acc, some):
+        got = F.aggregate(some, F.struct(acc["n"].alias("n"), flags().alias("out")), step)
+        return let(got, lambda g: F.struct(g["n"].alias("n"), F.concat(acc["out"], F.array(g["out"])).alias("out")))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / BLOCK).cast("int")), lambda i: F.slice(sizes, i * BLOCK + 1, F.lit(BLOCK)))
+    start = F.struct(F.lit(-1).alias("n"), F.array().cast("array<array<boolean>>").alias("out"))
+    found = F.flatten(F.aggregate(blocks, start, block, lambda acc: acc["out"]))
+    return let(found, lambda f: F.filter(F.sequence(F.lit(0), F.size(f) - 1), lambda i: F.get(f, i)))
+
+
+def joined(fine: Column, opens: Column) -> Column:
+    """The units (u) between one opening and the next, joined by blanks."""
+    end = lambda o, i: F.coalesce(F.get(o, i + 1), F.size(fine))
+    piece = lambda o, i: F.slice(fine, F.get(o, i) + 1, end(o, i) - F.get(o, i))
+    return let(opens, lambda o: F.transform(F.sequence(F.lit(0), F.size(o) - 1), lambda i: F.array_join(F.transform(piece(o, i), lambda x: x["u"]), " ")))
+
+
+def _packed(fine: Column, limit: int, text: Column) -> Column:
+    """Chunks of units array<struct(u, head, tail)>; the text itself if it has none."""
+    whole = F.array(F.coalesce(text, F.lit("")))
+    return let(fine, lambda f: F.when(F.size(f) > 0, joined(f, openings(f, limit))).otherwise(whole))
+
+
 def packed(text: Column, limit: int) -> Column:
     """chunk() with words as tokens, as an expression: word counts add up, so a
     running count tells whether a unit still fits."""
     worded = F.transform(units(text), lambda u: F.struct(u.alias("u"), F.split(u, _BLANK).alias("w")))
     piece = lambda w, i: F.slice(w, i * limit + 1, F.lit(limit))
     last = lambda w: F.floor((F.size(w) - 1) / limit).cast("int")
-    pieces = lambda w: F.transform(F.sequence(F.lit(0), last(w)), lambda i: F.struct(F.array_join(piece(w, i), " ").alias("u"), F.size(piece(w, i)).alias("n")))
-    whole = lambda x: F.array(F.struct(x["u"].alias("u"), F.size(x["w"]).alias("n")))
-    fine = F.flatten(F.transform(worded, lambda x: F.when(F.size(x["w"]) <= limit, whole(x)).otherwise(pieces(x["w"]))))
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"), F.lit(0).alias("n"))
-
-    def step(acc, x):
-        fits = (acc["n"] > 0) & (acc["n"] + x["n"] <= limit)
-        done = F.when(fits | (acc["n"] == 0), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["cur"])))
-        cur = F.when(fits, F.concat_ws(" ", acc["cur"], x["u"])).otherwise(x["u"])
-        return F.struct(done.alias("done"), cur.alias("cur"), F.when(fits, acc["n"] + x["n"]).otherwise(x["n"]).alias("n"))
-
-    found = F.aggregate(fine, start, step, lambda acc: F.when(acc["n"] > 0, F.concat(acc["done"], F.array(acc["cur"]))))
-    return F.coalesce(found, F.array(F.coalesce(text, F.lit(""))))
+    sized = lambda u, n: F.struct(u.alias("u"), n.alias("head"), n.alias("tail"))
+    pieces = lambda w: F.transform(F.sequence(F.lit(0), last(w)), lambda i: sized(F.array_join(piece(w, i), " "), F.size(piece(w, i))))
+    fine = F.flatten(F.transform(worded, lambda x: F.when(F.size(x["w"]) <= limit, F.array(sized(x["u"], F.size(x["w"])))).otherwise(pieces(x["w"]))))
+    return _packed(fine, limit, text)
 
 
 def chunks(docs: DataFrame, limit: int | None = None, count: Callable[[str], int] | None = None, key: str = "doc_id", text: str = "texto") -> DataFrame:

@@ -8,19 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillrank.functions import present, rules
-from quillrank.functions.text import fingerprint
+from quillrank.functions.text import fingerprint, is_blank
 from quillrank.functions.vectors import argmax, dot
 from quillrank.operators import chunks, names, ranking, sections
 
 
-def _blank(text):
-    return F.trim(F.coalesce(text, F.lit(""))) == ""
-
-
 def ingest(texts: DataFrame, encoder: Callable[[list[str]], list[list[float]]], limit: int | None = None, count: Callable[[str], int] | None = None) -> DataFrame:
     """(archivo, nombre, texto_cv, fragmentos, trozos, embedding) of texts
     (archivo, texto) that are not blank."""
-    docs = texts.where(~_blank(F.col("texto")))
+    docs = texts.where(~is_blank(F.col("texto")))
     parts = chunks.embed(chunks.chunks(docs, limit, count, "archivo"), encoder, "archivo")
     held = parts.groupBy("archivo").agg(F.sort_array(F.collect_list(F.struct("pos", "chunk", "vec"))).alias("f"))
     mean = F.transform(
@@ -37,7 +33,7 @@ def ingest_report(texts: DataFrame, saved: DataFrame) -> DataFrame:
     text that holds nothing (a scan, which would need OCR)."""
     text = F.coalesce("texto", F.lit(""))
     both = texts.select("archivo", text.alias("texto")).join(saved.select("archivo", "id", "nombre", "embedding"), "archivo", "left")
-    bad = _blank(F.col("texto"))
+    bad = is_blank(F.col("texto"))
     ok = lambda c: F.when(~bad, c)
     return both.select(
         "archivo", F.when(bad, 422).otherwise(200).alias("status"), ok(F.col("id")).alias("id"), ok(F.col("nombre")).alias("nombre"), ok(F.char_length("texto")).alias("caracteres"),
@@ -81,13 +77,13 @@ def response(ranking_rows: DataFrame, offers: DataFrame | None = None) -> DataFr
     text, 409 where no candidate has a vector; the body then says why. Without
     offers, one body for each offer that has rows. For rankings that top has cut
     short: a body holds all rows of its offer."""
-    row = F.struct("posicion", F.col("nombre").alias("candidato"), F.round("score", 4).alias("score"), F.round("score_ajustado", 4).alias("score_ajustado"), "penalizacion", "avisos", "extracto")
+    row = F.struct("posicion", F.col("nombre").alias("candidato"), F.bround("score", 4).alias("score"), F.bround("score_ajustado", 4).alias("score_ajustado"), "penalizacion", "avisos", "extracto")
     per = ranking_rows.groupBy("offer_id").agg(F.sort_array(F.collect_list(row)).alias("ranking"))
     total = F.size("ranking").alias("total_candidatos")
     if offers is None:
         return per.select("offer_id", F.lit(200).alias("status"), F.to_json(F.struct(total, "ranking")).alias("body"))
     both = offers.select("offer_id", "titulo", "texto").join(per, "offer_id", "left")
-    status = F.when(_blank(F.col("texto")), 400).when(F.col("ranking").isNull(), 409).otherwise(200)
+    status = F.when(is_blank(F.col("texto")), 400).when(F.col("ranking").isNull(), 409).otherwise(200)
     good = F.to_json(F.struct("titulo", total, "ranking"))
     bad = F.to_json(F.struct(F.when(F.col("status") == 400, "El campo 'texto' esta vacio.").otherwise("No hay candidatos con embedding.").alias("detail")))
     return both.withColumn("status", status).select("offer_id", "status", F.when(F.col("status") == 200, good).otherwise(bad).alias("body"))

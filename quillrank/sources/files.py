@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillrank.functions.text import clean, compose
+from quillrank.functions.text import clean, compose, is_blank
 from quillrank.operators.names import title_case
 
 REQUEST = "texto string, titulo string, top int, guardar boolean"
@@ -131,12 +131,12 @@ def requests(raw: DataFrame, body: str = "body") -> DataFrame:
     out = raw.select(
         F.coalesce(r["texto"], F.lit("")).alias("texto"), F.coalesce(r["titulo"], F.lit("Oferta via API")).alias("titulo"), r["top"].alias("top"), F.coalesce(r["guardar"], F.lit(True)).alias("guardar")
     )
-    return out.withColumn("status", F.when(F.trim("texto") == "", 400).otherwise(200))
+    return out.withColumn("status", F.when(is_blank(F.col("texto")), 400).otherwise(200))
 
 
 def upload_status(file: Column, text: Column) -> Column:
     """400 unless *.pdf in any case, 422 without text, else 200."""
-    return F.when(~F.lower(file).endswith(".pdf"), 400).when(F.trim(F.coalesce(text, F.lit(""))) == "", 422).otherwise(200)
+    return F.when(~F.lower(file).endswith(".pdf"), 400).when(is_blank(text), 422).otherwise(200)
 
 
 def pdf_bytes(spark: SparkSession, folder: str, file: str) -> DataFrame:
