@@ -53,4 +53,6 @@ def console_row(position: Column, name: Column, score: Column, width: Column) ->
     """A line of the console ranking: place, name (as wide as the widest),
     score with four decimals and its bar."""
     number = F.lpad(F.format_string("%.4f", score), 10, " ")
-    return F.concat(F.rpad(position.cast("string"), 4, " "), F.rpad(name, width + 4, F.lit(" ")), number, F.lit("  "), bar(score))
+    place = position.cast("string")
+    place = F.when(F.length(place) < 4, F.rpad(place, 4, " ")).otherwise(place)
+    return F.concat(place, F.rpad(name, width + 4, F.lit(" ")), number, F.lit("  "), bar(score))

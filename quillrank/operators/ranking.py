@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from quillrank.functions import rules
 from quillrank.functions.present import percent
 from quillrank.functions.vectors import cosine, norm
+from quillrank.sources.staging import written
 
 #: Offers that may be broadcast against all candidates at once.
 OFFER_ROWS = 10_000
-#: Cells per unit of score in which positions are counted.
-CELLS = 1 << 16
+#: Candidates of an offer that are ordered in one task.
+PLAIN_ROWS = 1 << 17
 
 
 def few(df: DataFrame, rows: int = OFFER_ROWS) -> bool:
@@ -59,22 +60,49 @@ def adjust(scored: DataFrame, requirements: DataFrame, profiles: DataFrame) -> D
     return both.withColumn("score_ajustado", F.col("score") - F.col("penalizacion")).drop("v")
 
 
+def ranged(scored: DataFrame, by: str, tie: str, per: str, parts: int) -> DataFrame:
+    """scored with __part and __at: its rows by range of (per, score, tie), cut at
+    quantiles of Spark's bounded sample, and each row's place in its range. Ties of
+    the score are cut as well, so a range is as large as the others whatever the
+    scores are. Written once, so both stay as they are."""
+    keys = [F.col(per), F.col(by).desc(), F.col(tie)]
+    own = scored.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("__id", F.monotonically_increasing_id())
+    return written(own.withColumns({"__part": F.shiftright("__id", 33), "__at": F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))}).drop("__id"))
+
+
+def _placed(scored: DataFrame, by: str, name: str, tie: str, per: str, parts: int) -> DataFrame:
+    held = ranged(scored, by, tie, per, parts)
+    # A range holds a run of offers: rows for parts and offers together.
+    runs = held.groupBy(per, "__part").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
+    before = Window.partitionBy(per).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(per, "__part", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first") + 1).alias("__shift"))
+    out = held.join(hinted(runs), [per, "__part"]).withColumn(name, (F.col("__at") + F.col("__shift")).cast("int"))
+    return out.drop("__part", "__at", "__shift")
+
+
+def places(scored: DataFrame, names: dict[str, str], tie: str = "cand_id", per: str = "offer_id", plain: int = PLAIN_ROWS, parts: int | None = None) -> DataFrame:
+    """scored with each row's place by one or more scores, from 1: names has the
+    new column of each. Rows are scored and written once. Where no offer has more
+    than ``plain`` of them, each offer is ordered in its task; beyond it rows are
+    ordered by ranges, so no offer's candidates, nor its ties, meet in one task."""
+    held = written(scored)
+    most = held.groupBy(per).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if most <= plain:
+        return held.withColumns({name: position(F.col(by), tie, per) for name, by in names.items()})
+    parts = parts or int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    for name, by in names.items():
+        held = _placed(held, by, name, tie, per, parts)
+    return held
+
+
 def positions(scored: DataFrame, by: str, name: str, tie: str = "cand_id", per: str = "offer_id") -> DataFrame:
-    """scored with each row's place by score, from 1. Rows are ordered within
-    narrow cells of the score only; the rows in better cells are counted, so no
-    offer's candidates meet in one task."""
-    held = scored.withColumn("__cell", F.floor(-F.col(by) * CELLS).cast("long"))
-    better = Window.partitionBy(per).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = held.groupBy(per, "__cell").agg(F.count("*").alias("__n"))
-    cells = cells.select(per, "__cell", F.coalesce(F.sum("__n").over(better), F.lit(0)).alias("__before"))
-    within = F.row_number().over(Window.partitionBy(per, "__cell").orderBy(F.col(by).desc(), F.col(tie)))
-    out = held.join(cells, [per, "__cell"]).withColumn(name, (F.col("__before") + within).cast("int"))
-    return out.drop("__cell", "__before")
+    """scored with each row's place by one score."""
+    return places(scored, {name: by}, tie, per)
 
 
 def rank_shift(adjusted: DataFrame) -> DataFrame:
     """Positions by raw and by adjusted score, and the places lost."""
-    out = positions(positions(adjusted, "score", "raw_pos"), "score_ajustado", "adj_pos")
+    out = places(adjusted, {"raw_pos": "score", "adj_pos": "score_ajustado"})
     return out.withColumn("shift", F.col("adj_pos") - F.col("raw_pos"))
 
 

@@ -11,6 +11,15 @@ OFFERS = """SELECT doc_id, replace(t, '~', chr(10)) AS texto FROM (VALUES
   (5, 'ML engineer~Requirements~- At least 3 years of experience.~- Bachelor''s degree.~- Minimum English level C1.~Nice to have~- 6 years of experience in research.'),
   (6, 'Tools~Requisitos :~- 1 año de experiencia.~Otras cosas:~- Grado')) AS o(doc_id, t)"""
 
+PART_OFFERS = """SELECT p_partkey + 100 AS doc_id, p_name
+  || chr(10) || CASE p_partkey % 3 WHEN 0 THEN 'Sobre el puesto' WHEN 1 THEN 'About the role' ELSE 'Tus funciones:' END || chr(10) || 'Equipo de ' || p_name || '.'
+  || chr(10) || CASE p_partkey % 5 WHEN 0 THEN 'Requisitos' WHEN 1 THEN 'REQUISITOS MÍNIMOS:' WHEN 2 THEN 'Qué buscamos:' WHEN 3 THEN 'Requirements' ELSE 'Requisitos :' END
+  || chr(10) || CASE p_partkey % 4 WHEN 0 THEN '- Mínimo ' || CAST(1 + p_size % 12 AS STRING) || ' años de experiencia.' WHEN 1 THEN '- Al menos tres años de experiencia.' WHEN 2 THEN '- 4+ years of experience.' ELSE '- Ganas.' END
+  || chr(10) || CASE p_partkey % 6 WHEN 0 THEN '- Grado en Informática.' WHEN 1 THEN '- Grado Superior o Máster.' WHEN 2 THEN '- FP.' WHEN 3 THEN '- PhD or degree.' ELSE '- Docker.' END
+  || chr(10) || CASE p_partkey % 7 WHEN 0 THEN '- Inglés B2.' WHEN 1 THEN '- Inglés y francés C1. Inglés: nivel alto.' WHEN 2 THEN '- English, then German B1, English C1' WHEN 3 THEN '- Inglés deseable; English a2 or b1' WHEN 4 THEN '- Inglés nativo o fluido' ELSE '- Idiomas.' END
+  || chr(10) || CASE p_partkey % 4 WHEN 0 THEN 'Se valorará' WHEN 1 THEN 'Nice to have:' WHEN 2 THEN 'Qué ofrecemos' ELSE 'Otras cosas:' END || chr(10) || '- Inglés C2 y diez años de experiencia.' AS texto
+FROM {part}"""
+
 CVS = """SELECT c_custkey AS doc_id,
   CASE c_custkey % 3 WHEN 0 THEN 'CV1.pdf' WHEN 1 THEN 'ana_ruiz-backend.pdf' ELSE 'RRHH_beatriz.pdf' END AS archivo,
   CASE c_custkey % 4 WHEN 0 THEN 'CURRICULUM VITAE' || chr(10) || 'MARCOS GUERRERO' WHEN 1 THEN 'Ana Ruiz Melgar' WHEN 2 THEN 'Tel 611408310' ELSE 'Lucía de la Cruz' END

@@ -33,6 +33,11 @@ def _offers(spark):
     return spark.sql(fixtures.OFFERS)
 
 
+def _all_offers(spark, d):
+    """The written offers, and one for each part."""
+    return _offers(spark).unionAll(spark.sql(fixtures.PART_OFFERS, part=_t(spark, d, "part")))
+
+
 def _pairs(spark, d):
     """Offers are the first vectors, a fixed number; the rest are candidates."""
     e = _t(spark, d, "embeddings").withColumnRenamed("embedding", "v")
@@ -151,7 +156,7 @@ def section_segment_cv(spark, d):
 
 @query
 def section_segment_offer(spark, d):
-    return sections.offer_sections(_offers(spark))
+    return sections.offer_sections(_all_offers(spark, d))
 
 
 @query
@@ -161,7 +166,7 @@ def cv_profile(spark, d):
 
 @query
 def offer_requirements(spark, d):
-    return sections.offer_requirements(_offers(spark))
+    return sections.offer_requirements(_all_offers(spark, d))
 
 
 @query
@@ -311,11 +316,16 @@ def vector_scan(spark, d):
     return out.select("id", "nombre", F.size("embedding").alias("dimension"), F.size("fragmentos").alias("n"), F.round(F.get("embedding", F.lit(0)).cast("double"), 5).alias("x0"))
 
 
+def _blank(i):
+    """Texts that hold nothing but white space, of one kind or another."""
+    return F.when(i % 3 == 0, "  ").when(i % 3 == 1, "\n\t").otherwise("\u00a0\u2003")
+
+
 @query
 def upload_statuses(spark, d):
     i = F.col("doc_id")
     name = F.concat("source", F.when(i % 4 == 0, ".pdf").when(i % 4 == 1, ".PDF").when(i % 4 == 2, ".docx").otherwise(""))
-    docs = _t(spark, d, "documents").select("doc_id", name.alias("file"), F.when(i % 5 != 0, F.col("text")).otherwise("  ").alias("text"))
+    docs = _t(spark, d, "documents").select("doc_id", name.alias("file"), F.when(i % 5 != 0, F.col("text")).otherwise(_blank(i)).alias("text"))
     return docs.select("doc_id", files.upload_status(F.col("file"), F.col("text")).alias("status"))
 
 
@@ -324,7 +334,7 @@ def json_requests(spark, d):
     """Requests with some of their fields, as they come in."""
     i = F.col("item_id").cast("int")
     body = F.to_json(F.struct(
-        F.when(i % 5 == 0, " ").when(i % 7 != 0, F.col("text")).alias("texto"), F.when(i % 2 == 0, F.concat(F.lit("Oferta "), i.cast("string"))).alias("titulo"), F.when(i % 3 == 0, i % 4).alias("top"), F.when(i % 4 == 0, F.lit(False)).alias("guardar"),
+        F.when(i % 5 == 0, _blank(i)).when(i % 7 != 0, F.col("text")).alias("texto"), F.when(i % 2 == 0, F.concat(F.lit("Oferta "), i.cast("string"))).alias("titulo"), F.when(i % 3 == 0, i % 4).alias("top"), F.when(i % 4 == 0, F.lit(False)).alias("guardar"),
     ))
     got = files.requests(_t(spark, d, "benchmark").select(body.alias("body")))
     return got.select(F.md5(F.col("texto").cast("binary")).alias("h"), "titulo", "top", "guardar", "status")
@@ -345,7 +355,11 @@ def offer_titles(spark, d):
 
 @query
 def table_schemas(spark, d):
-    return tables.described(spark)
+    """Of the stored tables, and of those given."""
+    out = tables.described(spark)
+    for name in ("documents", "embeddings", "benchmark", "labels"):
+        out = out.unionAll(tables.described(spark, {name: _t(spark, d, name).schema}))
+    return out
 
 
 def _at(seconds: int):
@@ -418,7 +432,7 @@ def match_response(spark, d):
     """The answer to each offer: the first three rows, or why there are none. A
     blank offer and one for which no candidate has a vector come along."""
     offers = _offer_rows(spark, d)
-    odd = spark.createDataFrame([(7, "Vacía", " "), (8, "Sin nadie", "Requisitos")], "offer_id int, titulo string, texto string")
+    odd = spark.createDataFrame([(7, "Vacía", " "), (8, "Sin nadie", "Requisitos"), (9, "Tabulador", "\n\t"), (10, "Fijo", "\u00a0"), (11, "Nula", None)], "offer_id int, titulo string, texto string")
     out = service.response(_ranking(spark, d, 3), offers.select("offer_id", "titulo", "texto").unionByName(odd))
     get = lambda path: F.get_json_object("body", path)
     return out.select(
@@ -460,10 +474,16 @@ def fragment_index(spark, d):
     return c.select("cand_id", vectors.argmax(F.transform("fragmentos", lambda f: vectors.dot(f, F.col("o")))).alias("indice"))
 
 
+def _batch(spark, d):
+    """Texts to take in; some are null, and some blank in other ways."""
+    i = F.col("id")
+    return _candidates(spark, d).select("archivo", F.when(i % 17 == 5, _blank(i)).otherwise(F.col("texto_cv")).alias("texto"))
+
+
 @query
 def ingest_batch(spark, d):
     """Texts, some blank, go in; each says what became of it."""
-    texts = _candidates(spark, d).select("archivo", "texto_cv").withColumnRenamed("texto_cv", "texto")
+    texts = _batch(spark, d)
     encode = chunks.lazy("lengths", lambda: lambda parts: [[float(len(p)), 1.0] for p in parts])
     empty = spark.createDataFrame([], "id int, nombre string, archivo string, texto_cv string, embedding array<float>, fecha_alta timestamp")
     new = service.ingest(texts, encode).select("nombre", "archivo", "texto_cv", "embedding").withColumn("fecha_alta", _at(0))
@@ -473,7 +493,7 @@ def ingest_batch(spark, d):
 
 @query
 def ingest_count(spark, d):
-    texts = _candidates(spark, d).select("archivo", F.col("texto_cv").alias("texto"))
+    texts = _batch(spark, d)
     saved = _candidates(spark, d).select("archivo", "id", "nombre", "embedding")
     return service.ingested(service.ingest_report(texts, saved))
 
@@ -547,4 +567,5 @@ def vector_json(spark, d):
     """Vectors to JSON text and back keep every float."""
     e = _t(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<float>").alias("v"))
     back = e.select("vec_id", "v", F.from_json(F.to_json("v"), "array<float>").alias("b"))
-    return back.select("vec_id", F.size("b").cast("long").alias("dim"), (F.col("v") == F.col("b")).alias("same"))
+    total = F.aggregate("b", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return back.select("vec_id", F.size("b").cast("long").alias("dim"), (F.col("v") == F.col("b")).alias("same"), F.round(total, 5).alias("suma"))

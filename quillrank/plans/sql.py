@@ -7,6 +7,9 @@ from quillrank.plans import fixtures, profiles
 
 _CV = fixtures.CVS.replace("{customer}", "customer").replace("{orders}", "orders")
 _OFFERS = fixtures.OFFERS
+_ALL_OFFERS = fixtures.OFFERS + " UNION ALL " + fixtures.PART_OFFERS.replace("{part}", "part")
+_HOLLOW = r"NOT regexp_matches(coalesce({0}, ''), '[^\s\x{{85}}\p{{Z}}]')"
+_BLANKS = "CASE {0} % 3 WHEN 0 THEN '  ' WHEN 1 THEN chr(10) || chr(9) ELSE chr(160) || chr(8195) END"
 _COS = "list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])))"
 _PAIRS = f"pairs AS (SELECT a.vec_id AS offer_id, b.vec_id AS cand_id, b.label, round({_COS}, 6) AS score, {_COS} AS raw FROM embeddings a, embeddings b WHERE a.vec_id < 5 AND b.vec_id >= 5)"
 _ADJ = f"""{_PAIRS},
@@ -43,11 +46,11 @@ sec AS (SELECT doc_id, section, {_TRIM.format("string_agg(line, chr(10) ORDER BY
 _CV_SEC = _sections(
     _CV, "(x <> '' AND length(x) <= 40 AND NOT ends_with(x, '.') AND NOT regexp_matches(x, '[0-9(]') AND x = upper(x) AND regexp_matches(x, '[A-ZÁÉÍÓÚÑ]{3}'))", _case("title", rules.CV_HEADERS)
 )
-_OF_SEC = _sections(
-    _OFFERS,
+_OF_SEC, _ALL_SEC = (_sections(
+    source,
     f"(x <> '' AND length(x) <= 60 AND NOT regexp_matches(x, '^[-*•]') AND (title IN ({_in([*rules.OFFER_HEADERS, *rules.OFFER_CLOSERS])}) OR (ends_with(x, ':') AND NOT contains(x, '.') AND NOT contains(x, ','))))",
     _case("title", rules.OFFER_HEADERS),
-)
+) for source in (_OFFERS, _ALL_OFFERS))
 _NUM = "|".join(rules.NUMBER_WORDS)
 
 
@@ -66,11 +69,15 @@ def _degree(t: str) -> str:
 
 
 def _english(t: str) -> str:
-    """One mention per fixture text."""
-    w = rf"regexp_extract(substr(regexp_extract({_NORM.format(t)}, '(?s)(?:\bingles\b|\benglish\b)(.*)', 1), 1, 80), '(?s)^(.*?)(?:{rules.OTHER_LANGUAGES}|$)', 1)"
-    phrases = " ".join(f"WHEN contains({w}, '{p}') THEN {n}" for p, n in rules.LEVEL_PHRASES.items())
-    code = rf"regexp_extract({w}, '\b([abc][12])\b', 1)"
-    return f"coalesce({_case(code, rules.LEVELS)}, CASE {phrases} END)"
+    """The first mention with a level, among all mentions of a text."""
+    n, mention = _NORM.format(t), r"\b(?:ingles|english)\b"
+    lengths = lambda x: f"list_sum(list_transform({x}[1:k], lambda y: length(y)))"
+    end = f"({lengths(f'string_split_regex({n}, {chr(39)}{mention}{chr(39)})')} + {lengths(f'regexp_extract_all({n}, {chr(39)}{mention}{chr(39)})')})::BIGINT"
+    w = rf"regexp_extract(substr({n}, {end} + 1, 80), '(?s)^(.*?)(?:{rules.OTHER_LANGUAGES}|$)', 1)"
+    phrases = " ".join(f"WHEN contains(w, '{p}') THEN {x}" for p, x in rules.LEVEL_PHRASES.items())
+    level = f"coalesce({_case(r"regexp_extract(w, '\b([abc][12])\b', 1)", rules.LEVELS)}, CASE {phrases} END)"
+    windows = f"list_transform(range(1, len(regexp_extract_all({n}, '{mention}')) + 1), lambda k: {w})"
+    return f"list_filter(list_transform({windows}, lambda w: {level}), lambda x: x IS NOT NULL)[1]"
 
 
 def _sect(name: str) -> str:
@@ -170,9 +177,9 @@ SELECT offer_id, label, round(m, 6) AS mean, round(m * 0.7::DOUBLE + x * (1 - 0.
     "angle_degrees": f"WITH {_PAIRS} SELECT offer_id, cand_id, round(degrees(acos(greatest(-1, least(1, raw)))), 4) AS grados FROM pairs",
     "rank_bar": f"WITH {_PAIRS} SELECT offer_id, cand_id, rpad(repeat('#', round_even(greatest(score, 0) * 20, 0)::INT), 20, '.') AS bar, round(greatest(score, 0) * 100, 4) AS percent FROM pairs",
     "section_segment_cv": f"WITH {_CV_SEC} SELECT doc_id, section, text FROM sec",
-    "section_segment_offer": f"WITH {_OF_SEC} SELECT doc_id, section, text FROM sec",
+    "section_segment_offer": f"WITH {_ALL_SEC} SELECT doc_id, section, text FROM sec",
     "cv_profile": f"WITH {_PROFILE} SELECT * FROM profile",
-    "offer_requirements": f"WITH {_OF_SEC}, q AS (SELECT src.doc_id, coalesce(text, '') AS t FROM src LEFT JOIN sec ON sec.doc_id = src.doc_id AND section = 'requisitos') SELECT doc_id, {_years('t')} AS anios, {_degree('t')} AS titulacion, {_english('t')} AS ingles FROM q",
+    "offer_requirements": f"WITH {_ALL_SEC}, q AS (SELECT src.doc_id, coalesce(text, '') AS t FROM src LEFT JOIN sec ON sec.doc_id = src.doc_id AND section = 'requisitos') SELECT doc_id, {_years('t')} AS anios, {_degree('t')} AS titulacion, {_english('t')} AS ingles FROM q",
     "years_interval_union": """WITH iv AS (SELECT DISTINCT o_custkey, year(o_orderdate) AS s, year(o_orderdate) + 1 + o_custkey % 3 AS e FROM orders),
 hw AS (SELECT *, coalesce(max(e) OVER (PARTITION BY o_custkey ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -9999) AS upto FROM iv)
 SELECT o_custkey, sum(greatest(0, e - greatest(s, upto)))::INT AS anios FROM hw GROUP BY o_custkey""",
@@ -207,14 +214,16 @@ SELECT coalesce(s.id, n.id) AS id, coalesce(s.archivo, n.archivo) AS archivo, ro
 a AS (SELECT id FROM c WHERE id % 3 = 0 UNION ALL SELECT -id - 1 FROM c WHERE id % 50 = 0)
 SELECT a.id, c.archivo, CASE WHEN c.id IS NULL THEN 404 WHEN contains(c.archivo, '/') THEN 400 WHEN c.archivo NOT IN (SELECT archivo FROM fil) THEN 404 ELSE 200 END AS status FROM a LEFT JOIN c ON c.id = a.id""",
     "vector_scan": f"WITH {_CAND} SELECT id, nombre, len(embedding)::INT AS dimension, coalesce(len(fragmentos), 0)::INT AS n, round(embedding[1]::DOUBLE, 5) AS x0 FROM cand WHERE embedding IS NOT NULL",
-    "upload_statuses": "SELECT doc_id, CASE WHEN doc_id % 4 > 1 THEN 400 WHEN doc_id % 5 = 0 OR trim(coalesce(text, '')) = '' THEN 422 ELSE 200 END AS status FROM documents",
-    "json_requests": """WITH r AS (SELECT CASE WHEN item_id % 5 = 0 THEN ' ' WHEN item_id % 7 <> 0 THEN text ELSE '' END AS texto, item_id AS i FROM benchmark)
+    "upload_statuses": "SELECT doc_id, CASE WHEN doc_id % 4 > 1 THEN 400 WHEN doc_id % 5 = 0 OR " + _HOLLOW.format("text") + " THEN 422 ELSE 200 END AS status FROM documents",
+    "json_requests": f"""WITH r AS (SELECT CASE WHEN item_id % 5 = 0 THEN {_BLANKS.format('item_id')} WHEN item_id % 7 <> 0 THEN text ELSE '' END AS texto, item_id AS i FROM benchmark)
 SELECT md5(texto) AS h, CASE WHEN i % 2 = 0 THEN 'Oferta ' || i ELSE 'Oferta via API' END AS titulo, CASE WHEN i % 3 = 0 THEN (i % 4)::INT END AS top, i % 4 <> 0 AS guardar,
-  CASE WHEN trim(texto) = '' THEN 400 ELSE 200 END AS status FROM r""",
+  CASE WHEN {_HOLLOW.format('texto')} THEN 400 ELSE 200 END AS status FROM r""",
     "stdin_offer": "SELECT item_id, md5(text || chr(65533) || 'A' || chr(65533)) AS h FROM benchmark",
     "offer_titles": f"""WITH n AS (SELECT p_partkey, replace(replace(p_name, ' ', '_') || CASE WHEN p_partkey % 2 = 0 THEN '_o''neil-SQL' ELSE '' END, '_', ' ') AS x FROM part)
 SELECT p_partkey, {_TITLE.format('x')} AS titulo FROM n""",
-    "table_schemas": "SELECT * FROM (VALUES " + ", ".join(f"('{t}', {i}, '{c.split(' ')[0]}', '{c.split(' ')[1]}')" for t, cols in _COLUMNS.items() for i, c in enumerate(cols.split(", "))) + ") AS t(tabla, pos, columna, tipo)",
+    "table_schemas": "SELECT * FROM (VALUES " + ", ".join(f"('{t}', {i}, '{c.split(' ')[0]}', '{c.split(' ')[1]}')" for t, cols in _COLUMNS.items() for i, c in enumerate(cols.split(", "))) + ") AS t(tabla, pos, columna, tipo)"
+    + " UNION ALL SELECT table_name, ordinal_position - 1, column_name, CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'FLOAT[]' THEN 'array<float>' ELSE data_type END"
+    + " FROM information_schema.columns WHERE table_name IN ('documents', 'embeddings', 'benchmark', 'labels')",
     "save_candidates": f"""WITH {_CAND}, s AS (SELECT * FROM cand WHERE id % 2 = 0), n AS (SELECT archivo, nombre || ' bis' AS nombre FROM cand WHERE id % 3 = 0)
 SELECT coalesce(s.id, (SELECT max(id) FROM s) + row_number() OVER (PARTITION BY s.id IS NULL ORDER BY n.archivo))::INT AS id, coalesce(s.archivo, n.archivo) AS archivo, coalesce(n.nombre, s.nombre) AS nombre,
   md5(CASE WHEN n.archivo IS NOT NULL THEN 'texto' ELSE coalesce(s.texto_cv, '') END) AS h, {_SECOND.format('coalesce(s.fecha_alta, ' + _AT.format(9) + ')')} AS fecha_alta FROM s FULL JOIN n ON n.archivo = s.archivo""",
@@ -230,7 +239,7 @@ SELECT coalesce(s.id, (SELECT max(id) FROM s) + row_number() OVER (PARTITION BY
     "match_response": f"""WITH {_RANKED}, t AS (SELECT * FROM rk WHERE posicion <= 3)
 SELECT offer_id, 200 AS status, any_value(titulo) AS titulo, count(*)::INT AS total, max(nombre) FILTER (posicion = 1) AS primero, max(nombre) FILTER (posicion = 3) AS tercero,
   max(avisos[1]) FILTER (posicion = 1) AS aviso, 2 AS segunda, NULL AS detail FROM t GROUP BY offer_id
-UNION ALL SELECT 7, 400, NULL, NULL, NULL, NULL, NULL, NULL, 'El campo ''texto'' esta vacio.' UNION ALL SELECT 8, 409, NULL, NULL, NULL, NULL, NULL, NULL, 'No hay candidatos con embedding.'""",
+UNION ALL SELECT unnest([7, 9, 10, 11]), 400, NULL, NULL, NULL, NULL, NULL, NULL, 'El campo ''texto'' esta vacio.' UNION ALL SELECT 8, 409, NULL, NULL, NULL, NULL, NULL, NULL, 'No hay candidatos con embedding.'""",
     "top_zero": f"WITH {_RANKED} SELECT offer_id, posicion, nombre FROM rk WHERE posicion = 1",
     "shown_ranking": f"""WITH {_RANKED} SELECT offer_id, posicion, posicion = 1 AS es_lider, nombre, round(degrees(acos(greatest(-1, least(1, score)))), 4) AS grados, array_to_string(avisos, ' · ') AS aviso,
   extracto AS cita, round(greatest(score_ajustado, 0) * 100, 4) AS percent FROM rk WHERE posicion <= 8""",
@@ -245,10 +254,11 @@ SELECT m.offer_id, ganador, nullif(antes, ganador) AS antes, controles, sin_filt
 FROM cand c, off o WHERE o.offer_id = 1""",
     "ingest_batch": f"""WITH {_CAND}, nam AS (SELECT * FROM (WITH {_NAMES}, z AS (SELECT doc_id, nombre, puesto, doc_id || '_' || archivo AS archivo FROM tt)
   SELECT doc_id, CASE WHEN nombre IS NOT NULL THEN nombre || coalesce(' - ' || puesto, '') ELSE {_FILE} END AS nombre FROM z)),
-k AS (SELECT c.archivo, texto_cv, n.nombre, row_number() OVER (PARTITION BY texto_cv IS NULL ORDER BY c.archivo)::INT AS id FROM cand c JOIN nam n ON n.doc_id = c.id)
+b AS (SELECT id, archivo, CASE WHEN id % 17 <> 5 THEN texto_cv END AS texto_cv FROM cand),
+k AS (SELECT c.archivo, texto_cv, n.nombre, row_number() OVER (PARTITION BY texto_cv IS NULL ORDER BY c.archivo)::INT AS id FROM b c JOIN nam n ON n.doc_id = c.id)
 SELECT archivo, CASE WHEN texto_cv IS NULL THEN 422 ELSE 200 END AS status, CASE WHEN texto_cv IS NOT NULL THEN id END AS id, CASE WHEN texto_cv IS NOT NULL THEN nombre END AS nombre,
   length(texto_cv)::INT AS caracteres, CASE WHEN texto_cv IS NOT NULL THEN 2 END AS dimension, CASE WHEN texto_cv IS NULL THEN archivo || ': sin texto extraible, se omite.' END AS aviso FROM k""",
-    "ingest_count": f"WITH {_CAND} SELECT count(texto_cv) AS guardados, count(*) - count(texto_cv) AS omitidos FROM cand",
+    "ingest_count": f"WITH {_CAND} SELECT count(texto_cv) FILTER (id % 17 <> 5) AS guardados, count(*) - count(texto_cv) FILTER (id % 17 <> 5) AS omitidos FROM cand",
     "text_preview": r"SELECT doc_id, substr(array_to_string(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '')[1:8], ' '), 1, 60) AS inicio, coalesce(length(text), 0)::INT AS chars FROM documents",
     "nfc_compose": "SELECT doc_id, md5(nfc_normalize(text)) AS h FROM documents",
     "plain_text": r"WITH t AS (SELECT doc_id, md5(regexp_replace(lower(strip_accents(text)), '^\s+|\s+$', '', 'g')) AS h FROM documents) SELECT doc_id, h AS por_formas, h AS por_tabla FROM t",
@@ -271,5 +281,5 @@ c AS (SELECT doc_id, CASE WHEN found THEN substr(t, before + 2) ELSE t END AS t
 SELECT doc_id, md5(CASE WHEN length(t) > 320 THEN regexp_replace(substr(t, 1, 320), '(?s)^(.*) .*$', '\1') || '...' ELSE t END) AS h FROM c""",
     "html_escape": "SELECT page_id, md5(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')) AS h FROM pages",
     "char_totals": "SELECT count(*) AS docs, sum(length(text))::BIGINT AS chars, floor(sum(length(text)) / count(*))::BIGINT AS mean_chars, max(length(source)) AS widest FROM documents",
-    "vector_json": "SELECT vec_id, len(embedding) AS dim, true AS same FROM embeddings",
+    "vector_json": "SELECT vec_id, len(embedding) AS dim, true AS same, round(list_sum(embedding::DOUBLE[]), 5) AS suma FROM embeddings",
 }

@@ -99,9 +99,11 @@ def save(name: str, stored: DataFrame, new: DataFrame) -> DataFrame:
     return with_new_ids(merged, keys[0]) if "id" in merged.columns else merged
 
 
-def described(spark: SparkSession) -> DataFrame:
-    """(tabla, pos, columna, tipo) of the tables' schemas, as DESCRIBE tells it."""
-    rows = [(t, i, f.name, f.dataType.simpleString()) for t, ddl in TABLES.items() for i, f in enumerate(StructType.fromDDL(ddl))]
+def described(spark: SparkSession, schemas: dict[str, StructType] | None = None) -> DataFrame:
+    """(tabla, pos, columna, tipo) of schemas, as DESCRIBE tells it; of the stored
+    tables unless others are given."""
+    schemas = schemas or {t: StructType.fromDDL(ddl) for t, ddl in TABLES.items()}
+    rows = [(t, i, f.name, f.dataType.simpleString()) for t, schema in schemas.items() for i, f in enumerate(schema)]
     return spark.createDataFrame(rows, "tabla string, pos int, columna string, tipo string")
 
 
