@@ -18,6 +18,7 @@ KEYS = {
     "cvs_dir": ("quillrank.cvs.dir", "CVS_DIR", "cvs"),
     "offers_dir": ("quillrank.offers.dir", "OFERTAS_DIR", "ofertas"),
     "model": ("quillrank.embedding.model", "EMBEDDING_MODEL", "hashed"),
+    "vocabulary": ("quillrank.vocabulary", "QUILLRANK_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.json"),
     "database": ("quillrank.database", "QUILLRANK_DATABASE", "default"),
     "this_year": ("quillrank.this.year", "QUILLRANK_YEAR", ""),
 }
@@ -30,6 +31,7 @@ class Settings:
     model: str
     database: str
     this_year: int
+    vocabulary: str
 
 
 def anchored(path: str, root: str) -> str:
@@ -46,4 +48,4 @@ def settings(spark: SparkSession, root: str) -> Settings:
         return spark.conf.get(key, None) or os.environ.get(variable) or default
 
     year = get("this_year")
-    return Settings(anchored(get("cvs_dir"), root), anchored(get("offers_dir"), root), get("model"), get("database"), int(year) if year else datetime.date.today().year)
+    return Settings(anchored(get("cvs_dir"), root), anchored(get("offers_dir"), root), get("model"), get("database"), int(year) if year else datetime.date.today().year, anchored(get("vocabulary"), root))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillrank.functions import present, rules, text, vectors
-from quillrank.operators import chunks, names, ranking, sections
-from quillrank.plans import fixtures, profiles, service
+from quillrank.operators import chunks, names, pruned, ranking, sections, subwords
+from quillrank.plans import config, fixtures, profiles, service
 from quillrank.plans.sql import SQL
-from quillrank.sources import files, tables
+from quillrank.sources import bucketed, files, staging, tables
 
 __all__ = ["QUERIES", "SQL"]
 QUERIES: dict = {}
@@ -71,6 +73,15 @@ def cosine_rank_topk(spark, d):
     return ranking.top_k(_pairs(spark, d).withColumn("score", F.round("score", PLACES)), K).select("offer_id", "posicion", "cand_id", "score")
 
 
+@query
+def pruned_rank_topk(spark, d):
+    """The best candidates of many offers, without meeting all pairs."""
+    e = _t(spark, d, "embeddings").withColumnRenamed("embedding", "v")
+    offers = e.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("offer_id"), "v")
+    found = pruned.top_k(offers, e.where(F.col("vec_id") % 20 != 0).withColumnRenamed("vec_id", "cand_id"), K, places=PLACES)
+    return found.rows.select("offer_id", "posicion", "cand_id", "score")
+
+
 @query
 def offer_candidate_matrix(spark, d):
     return _pairs(spark, d).select("offer_id", "cand_id", F.round("score", PLACES).alias("score"))
@@ -230,6 +241,14 @@ def chunk_pack(spark, d):
     return out.select("doc_id", "pos", F.md5(F.col("chunk").cast("binary")).alias("h"), F.length("chunk").alias("chars"))
 
 
+@query
+def chunk_pack_subword(spark, d):
+    """Chunks by the tokens of a vocabulary file."""
+    known = subwords.counter(spark, config.settings(spark, "/").vocabulary)
+    out = subwords.subword_chunks(_t(spark, d, "documents").select("doc_id", F.col("text").alias("texto")), known)
+    return out.select("doc_id", "pos", F.md5(F.col("chunk").cast("binary")).alias("h"), F.length("chunk").alias("chars"))
+
+
 @query
 def hashed_embedding_score(spark, d):
     offers = _t(spark, d, "benchmark").select(F.col("item_id").alias("offer_id"), F.col("text").alias("texto"))
@@ -370,13 +389,20 @@ def _stamp(c):
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
 
 
+def _saved(spark, name, stored, new, buckets=8):
+    """A stored table after a merge."""
+    table = bucketed.Table(spark, f"{staging.own_dir(spark)}/{name}-{uuid.uuid4().hex}", name).create(stored, buckets)
+    table.merge(new)
+    return table.read()
+
+
 @query
 def save_candidates(spark, d):
     """Known files come again with a new name and text, twice, and new ones come."""
     stored = _candidates(spark, d).where("id % 2 = 0").select("id", "archivo", "nombre", "texto_cv", "fecha_alta")
     come = _candidates(spark, d).where("id % 3 = 0").select("archivo", F.concat("nombre", F.lit(" bis")).alias("nombre"), F.lit("texto").alias("texto_cv"))
     new = come.withColumn("fecha_alta", _at(9)).unionByName(come.withColumns({"nombre": F.lit("viejo"), "fecha_alta": _at(5)}))
-    out = tables.save("candidatos", stored, new)
+    out = _saved(spark, "candidatos", stored, new)
     return out.select("id", "archivo", "nombre", F.md5(F.coalesce("texto_cv", F.lit("")).cast("binary")).alias("h"), _stamp("fecha_alta").alias("fecha_alta"))
 
 
@@ -387,7 +413,7 @@ def save_offers(spark, d):
     row = lambda df, title, at: service.offer_row(df).select("id", F.lit(title).alias("titulo"), F.concat(F.lit(title), F.lit(": "), "texto").alias("descripcion"), "huella", at.alias("fecha_alta"))
     stored = row(b.where("id % 2 = 0"), "Uno", _at(0))
     new = row(b.where("id % 3 = 0").withColumn("texto", F.concat(F.lit("\n "), "texto", F.lit(" "))), "Dos", _at(7)).drop("id")
-    out = tables.save("puestos", stored, new)
+    out = _saved(spark, "puestos", stored, new)
     return out.select("id", "titulo", F.md5(F.regexp_replace("descripcion", r"\s", "").cast("binary")).alias("h"), "huella", _stamp("fecha_alta").alias("fecha_alta"))
 
 
@@ -397,7 +423,7 @@ def save_matches(spark, d):
     got = service.matches(ranking.score_pairs(_offer_rows(spark, d), _ranked_candidates(spark, d).where("v is not null")), _at(0))
     stored = got.where("(candidato_id + puesto_id) % 2 = 0")
     again = got.where("candidato_id % 3 = 0").withColumns({"score": (F.col("score") / 2).cast("float"), "fecha": _at(60)})
-    out = tables.save("matches", stored, again)
+    out = _saved(spark, "matches", stored, again)
     return out.select("candidato_id", "puesto_id", F.round(F.col("score").cast("double"), 5).alias("score"), _stamp("fecha").alias("fecha"))
 
 

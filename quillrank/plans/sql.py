@@ -156,6 +156,8 @@ _COLUMNS = {
 
 SQL = {
     "cosine_rank_topk": f"WITH {_PAIRS} SELECT offer_id, posicion, cand_id, score FROM (SELECT *, row_number() OVER (PARTITION BY offer_id ORDER BY score DESC, cand_id)::INT AS posicion FROM pairs) WHERE posicion <= 5",
+    "pruned_rank_topk": f"""SELECT offer_id, posicion, cand_id, score FROM (SELECT *, row_number() OVER (PARTITION BY offer_id ORDER BY score DESC, cand_id)::INT AS posicion
+  FROM (SELECT a.vec_id AS offer_id, b.vec_id AS cand_id, round({_COS}, 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND b.vec_id % 20 <> 0)) WHERE posicion <= 5""",
     "offer_candidate_matrix": f"WITH {_PAIRS} SELECT offer_id, cand_id, score FROM pairs",
     "best_fragment": f"WITH {_PAIRS} SELECT offer_id, label, cand_id AS best, score FROM (SELECT *, row_number() OVER (PARTITION BY offer_id, label ORDER BY score DESC, cand_id) AS n FROM pairs) WHERE n = 1",
     "fragment_centroid": """WITH u AS (SELECT label, embedding::DOUBLE[] AS e, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings WHERE vec_id >= 5),

@@ -81,21 +81,30 @@ def numbered(rows: DataFrame, order: str, name: str, sample: int = 4096, ranges:
     return held.join(F.broadcast(counts), "__range").withColumn(name, F.col("__before") + within).drop("__range", "__before")
 
 
-def with_new_ids(merged: DataFrame, order: str) -> DataFrame:
-    """Number the rows without an id behind the highest one, in key order."""
-    top = merged.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
+def with_new_ids(merged: DataFrame, order: str, top: int | None = None) -> DataFrame:
+    """Number the rows without an id in key order, behind the highest one or the
+    one given."""
+    if top is None:
+        top = merged.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
     fresh = numbered(merged.where("id is null"), order, "__n").withColumn("id", (F.col("__n") + top).cast("int"))
     return merged.where("id is not null").unionByName(fresh.drop("__n"))
 
 
+def one_each(new: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Of repeated new keys the last by fecha (matches) or fecha_alta; without
+    either, or on equal ones, the same of them each time."""
+    seq = next((c for c in ("fecha", "fecha_alta") if c in new.columns), None)
+    rest = [F.col(c) for c in new.columns if c not in keys]
+    order = F.struct(*([F.col(seq)] if seq else []), F.xxhash64(*rest) if rest else F.lit(0))
+    return latest(new.withColumn("__order", order), keys, "__order").drop("__order")
+
+
 def save(name: str, stored: DataFrame, new: DataFrame) -> DataFrame:
     """The table of that name with new rows merged by its own policy: known keys
-    keep their id and what else it names, new ones are numbered. Of repeated new
-    keys the last by fecha (matches) or fecha_alta is taken."""
+    keep their id and what else it names, new ones are numbered. A new relation:
+    bucketed.Table stores what it says, and rewrites only what changes."""
     keys, keep = POLICY[name]
-    seq = next((c for c in ("fecha", "fecha_alta") if c in new.columns), None)
-    one = latest(new, keys, seq) if seq else new.dropDuplicates(list(keys))
-    merged = upsert(stored, one, keys, keep)
+    merged = upsert(stored, one_each(new, keys), keys, keep)
     return with_new_ids(merged, keys[0]) if "id" in merged.columns else merged
 
 
