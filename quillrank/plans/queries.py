@@ -11,7 +11,7 @@ from quillrank.functions import present, rules, text, vectors
 from quillrank.operators import chunks, names, pruned, ranking, sections, subwords
 from quillrank.plans import config, fixtures, profiles, service
 from quillrank.plans.sql import SQL
-from quillrank.sources import bucketed, files, staging, tables
+from quillrank.sources import bucketed, files, pdf, staging, tables
 
 __all__ = ["QUERIES", "SQL"]
 QUERIES: dict = {}
@@ -372,6 +372,13 @@ def offer_titles(spark, d):
     return _t(spark, d, "part").select("p_partkey", files.offer_title(name).alias("titulo"))
 
 
+@query
+def pdf_text(spark, d):
+    """Texts put on pages of PDF files and read from them again."""
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("archivo"), pdf.render(F.coalesce("text", F.lit(""))).alias("content"))
+    return files.pdf_texts(docs).select(F.col("archivo").alias("doc_id"), F.md5(F.col("texto").cast("binary")).alias("h"), "error")
+
+
 @query
 def table_schemas(spark, d):
     """Of the stored tables, and of those given."""

@@ -112,7 +112,8 @@ for _m, _table in (("´", dict(zip("aeiouAEIOU", "áéíóúÁÉÍÓÚ"))), ("˜
     for _p, _a in _table.items():
         _REPAIR = f"replace({_REPAIR}, '{_m}{_p}', '{_a}')"
 _DIRTY = "replace(replace(replace(text, '. ', '-' || chr(10) || ' '), ' de ', ' •' || chr(9) || chr(9) || ' '), ',' || chr(10), chr(10) || chr(10) || chr(10) || chr(10))"
-_CLEAN = rf"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate({_REPAIR.format(_DIRTY)}, '•◦●▪·', '     '), '-\s*\n\s*', '', 'g'), '[ \t\r\f\v]+', ' ', 'g'), '(?m)^ +| +$', '', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"""
+_TIDY = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate({0}, '•◦●▪·', '     '), '-\s*\n\s*', '', 'g'), '[ \t\r\f\v]+', ' ', 'g'), '(?m)^ +| +$', '', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"""
+_CLEAN = _TIDY.format(_REPAIR.format(_DIRTY))
 _FLAT = r"regexp_replace(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'), '^ | $', '', 'g')"
 _EDGE = r"[^\p{L}\p{N}_]"
 _CAPS = rf"[A-ZÁÉÍÓÚÑ]{{2,}}(?:{_EDGE}|$)"
@@ -223,6 +224,10 @@ SELECT md5(texto) AS h, CASE WHEN i % 2 = 0 THEN 'Oferta ' || i ELSE 'Oferta via
     "stdin_offer": "SELECT item_id, md5(text || chr(65533) || 'A' || chr(65533)) AS h FROM benchmark",
     "offer_titles": f"""WITH n AS (SELECT p_partkey, replace(replace(p_name, ' ', '_') || CASE WHEN p_partkey % 2 = 0 THEN '_o''neil-SQL' ELSE '' END, '_', ' ') AS x FROM part)
 SELECT p_partkey, {_TITLE.format('x')} AS titulo FROM n""",
+    "pdf_text": f"""WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+p AS (SELECT doc_id, list_filter(list_transform(range(0, len(ls), 50), lambda i: array_to_string(ls[i + 1:i + 50], chr(10))), lambda x: NOT ({_HOLLOW.format('x')})) AS ps FROM l),
+t AS (SELECT doc_id, nfc_normalize(array_to_string(ps, chr(10) || chr(10))) AS text FROM p)
+SELECT doc_id, md5({_TIDY.format(_REPAIR.format('text'))}) AS h, NULL::VARCHAR AS error FROM t""",
     "table_schemas": "SELECT * FROM (VALUES " + ", ".join(f"('{t}', {i}, '{c.split(' ')[0]}', '{c.split(' ')[1]}')" for t, cols in _COLUMNS.items() for i, c in enumerate(cols.split(", "))) + ") AS t(tabla, pos, columna, tipo)"
     + " UNION ALL SELECT table_name, ordinal_position - 1, column_name, CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'FLOAT[]' THEN 'array<float>' ELSE data_type END"
     + " FROM information_schema.columns WHERE table_name IN ('documents', 'embeddings', 'benchmark', 'labels')",

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import io
 import uuid
 from collections.abc import Callable
 
@@ -12,42 +11,39 @@ from pyspark.sql import functions as F
 
 from quillrank.functions.text import clean, compose, is_blank
 from quillrank.operators.names import title_case
+from quillrank.sources import pdf
 
 REQUEST = "texto string, titulo string, top int, guardar boolean"
 
 
-def pdf_pages(raw: bytes) -> list[str]:
-    """Page texts by whichever PDF library is installed."""
-    try:
-        import pypdf
-    except ImportError as e:
-        raise RuntimeError("no PDF library is installed; pass a parser") from e
-    return [p.extract_text() or "" for p in pypdf.PdfReader(io.BytesIO(raw)).pages]
-
-
-def scan_pdfs(spark: SparkSession, folder: str, parser: Callable[[bytes], list[str]] = pdf_pages) -> DataFrame:
-    """(archivo, texto, error) of *.pdf in a folder, not below it. Blank pages
-    are skipped; a file that cannot be read gives '' and says why. A missing
-    folder raises when the plan is made."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(folder)
+def pdf_texts(named: DataFrame, parser: Callable[[bytes], list[str]] = pdf.pages) -> DataFrame:
+    """(archivo, texto, error) of files (archivo, content). Blank pages are
+    skipped; a file that cannot be read gives '' and says why."""
 
     def run(batches):
         for b in batches:
             texts, errors = [], []
-            for raw in b.column("content").to_pylist():
+            for raw in b.column("content"):  # one file at a time
                 try:
-                    texts.append("\n\n".join(p for p in parser(raw) if p and p.strip()))
+                    texts.append("\n\n".join(p for p in parser(raw.as_py()) if p and p.strip()))
                     errors.append(None)
                 except Exception as e:  # noqa: BLE001  one bad file must not end the batch
                     texts.append("")
                     errors.append(f"{type(e).__name__}: {e}")
             yield pa.RecordBatch.from_arrays([b.column("archivo"), pa.array(texts, pa.string()), pa.array(errors, pa.string())], ["archivo", "texto", "error"])
 
-    named = files.select(F.element_at(F.split("path", "/"), -1).alias("archivo"), "content")
-    return named.mapInArrow(run, "archivo string, texto string, error string").select("archivo", clean(compose(F.col("texto"))).alias("texto"), "error")
+    found = named.select("archivo", "content").mapInArrow(run, f"archivo {dict(named.dtypes)['archivo']}, texto string, error string")
+    return found.select("archivo", clean(compose(F.col("texto"))).alias("texto"), "error")
+
+
+def scan_pdfs(spark: SparkSession, folder: str, parser: Callable[[bytes], list[str]] = pdf.pages) -> DataFrame:
+    """pdf_texts of *.pdf in a folder, not below it. A missing folder raises when
+    the plan is made."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(folder)
+    return pdf_texts(files.select(F.element_at(F.split("path", "/"), -1).alias("archivo"), "content"), parser)
 
 
-def read_pdfs(spark: SparkSession, folder: str, parser: Callable[[bytes], list[str]] = pdf_pages, ordered: bool = False) -> DataFrame:
+def read_pdfs(spark: SparkSession, folder: str, parser: Callable[[bytes], list[str]] = pdf.pages, ordered: bool = False) -> DataFrame:
     """(archivo, texto) of scan_pdfs, on request by file name."""
     out = scan_pdfs(spark, folder, parser).select("archivo", "texto")
     return out.orderBy("archivo") if ordered else out
@@ -92,7 +88,7 @@ def read_offer(spark: SparkSession, name: str, folder: str) -> DataFrame:
     return rows.select(file.alias("archivo"), offer_title(file).alias("titulo"), F.col("value").alias("texto"))
 
 
-def land_pdf(spark: SparkSession, folder: str, name: str, raw: bytes, parser: Callable[[bytes], list[str]] = pdf_pages) -> int:
+def land_pdf(spark: SparkSession, folder: str, name: str, raw: bytes, parser: Callable[[bytes], list[str]] = pdf.pages) -> int:
     """Store an uploaded PDF under a name of its own and move it in place whole;
     a file without text is taken out again. The status as by upload_status."""
     name = name.replace("\\", "/").rsplit("/", 1)[-1]
