@@ -11,7 +11,7 @@ from quillrank.functions import present, rules, text, vectors
 from quillrank.operators import chunks, names, pruned, ranking, sections, subwords
 from quillrank.plans import config, fixtures, profiles, service
 from quillrank.plans.sql import SQL
-from quillrank.sources import bucketed, files, pdf, staging, tables
+from quillrank.sources import bucketed, chunk_index, files, pdf, staging, tables
 
 __all__ = ["QUERIES", "SQL"]
 QUERIES: dict = {}
@@ -455,6 +455,22 @@ def rank_detailed(spark, d):
     return out.select("offer_id", "posicion", "cand_id", "nombre", F.round("score", PLACES).alias("score"), "penalizacion", F.round("score_ajustado", PLACES).alias("score_ajustado"), F.array_join("avisos", " · ").alias("avisos"), "extracto")
 
 
+def _chunk_index(spark, d):
+    """The chunks of the candidates' texts, stored with vectors of the driver's table."""
+    parts = chunks.chunks(_candidates(spark, d).select(F.col("id").alias("cand_id"), F.col("texto_cv").alias("texto")), 12, key="cand_id")
+    e = _t(spark, d, "embeddings").select(F.col("vec_id").alias("of"), F.col("embedding").alias("vec"))
+    held = parts.withColumn("of", (F.col("cand_id").cast("long") * 7 + F.col("pos") * 13) % 400).join(e, "of")
+    name = f"chunks_{uuid.uuid4().hex}"
+    return chunk_index.store(held, name, f"{staging.own_dir(spark)}/{name}", 8)
+
+
+@query
+def rank_explained(spark, d):
+    """Rankings explained from stored chunks."""
+    out = service.rank_detailed(_offer_rows(spark, d), _ranked_candidates(spark, d).drop("fragmentos", "trozos"), fixtures.THIS_YEAR, 20, _chunk_index(spark, d))
+    return out.select("offer_id", "posicion", "cand_id", "extracto")
+
+
 @query
 def rank(spark, d):
     return service.rank(_offer_rows(spark, d), _ranked_candidates(spark, d), fixtures.THIS_YEAR).select("offer_id", "posicion", "nombre", F.round("score", PLACES).alias("score"))

@@ -11,6 +11,7 @@ from quillrank.functions import present, rules
 from quillrank.functions.text import fingerprint, is_blank
 from quillrank.functions.vectors import argmax, dot
 from quillrank.operators import chunks, names, ranking, sections
+from quillrank.sources import chunk_index
 
 
 def ingest(texts: DataFrame, encoder: Callable[[list[str]], list[list[float]]], limit: int | None = None, count: Callable[[str], int] | None = None) -> DataFrame:
@@ -46,10 +47,11 @@ def ingested(report: DataFrame) -> DataFrame:
     return report.agg(F.count_if(F.col("status") == 200).alias("guardados"), F.count_if(F.col("status") == 422).alias("omitidos"))
 
 
-def rank_detailed(offers: DataFrame, candidates: DataFrame, this_year: int, top: int | None = None) -> DataFrame:
+def rank_detailed(offers: DataFrame, candidates: DataFrame, this_year: int, top: int | None = None, index: DataFrame | None = None) -> DataFrame:
     """The ranking of each offer (offer_id, v, texto) over candidates (cand_id,
     nombre, v, fragmentos, trozos, texto) that have a vector: position, raw and
-    adjusted score, penalty, notices, best chunk. top 0 or less gives one row."""
+    adjusted score, penalty, notices, best chunk. top 0 or less gives one row. With
+    a chunk_index its chunks explain, and candidates need no fragmentos and trozos."""
     live = candidates.where(F.col("v").isNotNull())
     scored = ranking.score_pairs(offers, live)
     asked = sections.offer_requirements(offers.select(F.col("offer_id").alias("doc_id"), "texto")).withColumnRenamed("doc_id", "offer_id")
@@ -60,10 +62,13 @@ def rank_detailed(offers: DataFrame, candidates: DataFrame, this_year: int, top:
     else:
         out = ranking.top_k(out, top, "score_ajustado")
     # Only rows that are shown look for the chunk that explains them.
+    shown = ("offer_id", "posicion", "cand_id", "nombre", "score", "penalizacion", "score_ajustado", "avisos", "extracto")
+    if index is not None:
+        return chunk_index.explained(out.join(live.select("cand_id", "nombre"), "cand_id"), offers, index).select(*shown)
     rest = out.join(live.select("cand_id", "nombre", "fragmentos", "trozos"), "cand_id").join(offers.select("offer_id", F.col("v").alias("o")), "offer_id")
     best = argmax(F.transform("fragmentos", lambda f: dot(f, F.col("o"))))
     rest = rest.withColumn("extracto", F.coalesce(F.get("trozos", best), F.lit("")))
-    return rest.select("offer_id", "posicion", "cand_id", "nombre", "score", "penalizacion", "score_ajustado", "avisos", "extracto")
+    return rest.select(*shown)
 
 
 def rank(offers: DataFrame, candidates: DataFrame, this_year: int) -> DataFrame:

@@ -155,6 +155,18 @@ _COLUMNS = {
     "matches": "candidato_id int, puesto_id int, score float, fecha timestamp",
 }
 
+def _chunks(source: str, limit: int) -> str:
+    """(doc_id, pos, chunk) of the texts of a source, words as tokens."""
+    return rf"""WITH u AS (SELECT doc_id, coalesce(text, '') AS text, list_transform({_UNITS}, lambda x: {{'u': x, 'w': regexp_split_to_array(x, '\s+')}}) AS l FROM {source}),
+f AS (SELECT doc_id, text, flatten(list_transform(l, lambda x: CASE WHEN len(x.w) <= {limit} THEN [{{'t': x.u, 'n': len(x.w)}}]
+  ELSE list_transform(range(0, len(x.w), {limit}), lambda k: {{'t': array_to_string(x.w[k + 1:k + {limit}], ' '), 'n': len(x.w[k + 1:k + {limit}])}}) END)) AS p FROM u),
+r AS (SELECT doc_id, text, p, list_reduce(list_transform(p, lambda x: {{'used': x.n, 'no': 0::BIGINT, 'c': [0::BIGINT]}}), lambda a, x: CASE WHEN a.used + x.used <= {limit}
+  THEN {{'used': a.used + x.used, 'no': a.no, 'c': list_append(a.c, a.no)}} ELSE {{'used': x.used, 'no': a.no + 1, 'c': list_append(a.c, a.no + 1)}} END) AS z FROM f WHERE len(p) > 0),
+g AS (SELECT doc_id, unnest(list_transform(p, lambda x: x.t)) AS t, generate_subscripts(p, 1) AS i, unnest(z.c) AS pos FROM r),
+h AS (SELECT doc_id, pos, string_agg(t, ' ' ORDER BY i) AS chunk FROM g GROUP BY doc_id, pos UNION ALL SELECT doc_id, 0, text FROM f WHERE len(p) = 0)
+SELECT doc_id, pos::INT AS pos, chunk FROM h"""
+
+
 SQL = {
     "cosine_rank_topk": f"WITH {_PAIRS} SELECT offer_id, posicion, cand_id, score FROM (SELECT *, row_number() OVER (PARTITION BY offer_id ORDER BY score DESC, cand_id)::INT AS posicion FROM pairs) WHERE posicion <= 5",
     "pruned_rank_topk": f"""SELECT offer_id, posicion, cand_id, score FROM (SELECT *, row_number() OVER (PARTITION BY offer_id ORDER BY score DESC, cand_id)::INT AS posicion
@@ -271,14 +283,11 @@ SELECT archivo, CASE WHEN texto_cv IS NULL THEN 422 ELSE 200 END AS status, CASE
     "plain_text": r"WITH t AS (SELECT doc_id, md5(regexp_replace(lower(strip_accents(text)), '^\s+|\s+$', '', 'g')) AS h FROM documents) SELECT doc_id, h AS por_formas, h AS por_tabla FROM t",
     "profile_extraction": "SELECT * FROM (VALUES " + ", ".join(map(str, profiles.EXPECTED)) + ") AS t(doc_id, anios, titulacion, ingles)",
     "coverage_report": f"WITH {_PROFILE} SELECT doc_id, coalesce(anios::VARCHAR, '-') AS anios, coalesce((['FP', 'Grado', 'Master'])[titulacion::INT], '-') AS titulacion, coalesce(([{_CODES}])[ingles::INT], '-') AS ingles FROM profile",
-    "chunk_pack": rf"""WITH u AS (SELECT doc_id, coalesce(text, '') AS text, list_transform({_UNITS}, lambda x: {{'u': x, 'w': regexp_split_to_array(x, '\s+')}}) AS l FROM documents),
-f AS (SELECT doc_id, text, flatten(list_transform(l, lambda x: CASE WHEN len(x.w) <= 126 THEN [{{'t': x.u, 'n': len(x.w)}}]
-  ELSE list_transform(range(0, len(x.w), 126), lambda k: {{'t': array_to_string(x.w[k + 1:k + 126], ' '), 'n': len(x.w[k + 1:k + 126])}}) END)) AS p FROM u),
-r AS (SELECT doc_id, text, p, list_reduce(list_transform(p, lambda x: {{'used': x.n, 'no': 0::BIGINT, 'c': [0::BIGINT]}}), lambda a, x: CASE WHEN a.used + x.used <= 126
-  THEN {{'used': a.used + x.used, 'no': a.no, 'c': list_append(a.c, a.no)}} ELSE {{'used': x.used, 'no': a.no + 1, 'c': list_append(a.c, a.no + 1)}} END) AS z FROM f WHERE len(p) > 0),
-g AS (SELECT doc_id, unnest(list_transform(p, lambda x: x.t)) AS t, generate_subscripts(p, 1) AS i, unnest(z.c) AS pos FROM r),
-h AS (SELECT doc_id, pos, string_agg(t, ' ' ORDER BY i) AS chunk FROM g GROUP BY doc_id, pos UNION ALL SELECT doc_id, 0, text FROM f WHERE len(p) = 0)
-SELECT doc_id, pos::INT AS pos, md5(chunk) AS h, length(chunk)::INT AS chars FROM h""",
+    "chunk_pack": f"SELECT doc_id, pos, md5(chunk) AS h, length(chunk)::INT AS chars FROM ({_chunks('documents', 126)})",
+    "rank_explained": f"""WITH {_RANKED}, ck AS ({_chunks('(SELECT id AS doc_id, texto_cv AS text FROM cand)', 12)}),
+x AS (SELECT rk.offer_id, rk.posicion, rk.id, ck.chunk, row_number() OVER (PARTITION BY rk.offer_id, rk.id ORDER BY {_DOT.format('e.embedding', 'o.v')} DESC, ck.pos) AS n
+  FROM rk JOIN off o ON o.offer_id = rk.offer_id JOIN ck ON ck.doc_id = rk.id JOIN embeddings e ON e.vec_id = (rk.id::BIGINT * 7 + ck.pos * 13) % 400 WHERE rk.posicion <= 20)
+SELECT offer_id, posicion, id AS cand_id, chunk AS extracto FROM x WHERE n = 1""",
     "health_count": "SELECT count(embedding) AS candidatos, max(len(embedding))::INT AS dimension FROM embeddings",
     "semi_text_fetch": "SELECT doc_id AS id, md5(coalesce(text, '')) AS h FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)",
     "quote_extract": rf"""WITH f AS (SELECT doc_id, {_FLAT} AS t FROM documents),

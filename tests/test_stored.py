@@ -172,3 +172,31 @@ def test_staging_leaves_nothing(spark):
     assert b.count() == 4
     with pytest.raises(Exception):
         a.count()
+
+
+def test_stored_chunks_stay_where_they_are(spark, tmp_path):
+    from quillrank.sources import chunk_index
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        parts = spark.createDataFrame([(c, p, f"{c}.{p}", [float(p == c % 3), float(p)]) for c in range(40) for p in range(3)], "cand_id int, pos int, chunk string, vec array<double>")
+        index = chunk_index.store(parts, "chunks_test", str(tmp_path / "index"), 4)
+        offers = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [0.0, 1.0])], "offer_id int, v array<double>")
+        ranked = spark.createDataFrame([(o, c, 1) for o in (1, 2, 3) for c in (*range(40), 77)], "offer_id int, cand_id int, posicion int")
+        out = chunk_index.explained(ranked, offers, index)
+        got = {(r["offer_id"], r["cand_id"]): r["extracto"] for r in out.collect()}
+        assert got == {(o, c): "" if c == 77 else f"{c}.{ {1: c % 3, 2: 0, 3: 2}[o]}" for o in (1, 2, 3) for c in (*range(40), 77)}
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        final = plan[: plan.find("== Initial Plan ==")] if "== Initial Plan ==" in plan else plan
+        scan = next(i for i, line in enumerate(final.splitlines()) if "FileScan" in line and "chunks_test" in line)
+        depth = lambda line: len(line) - len(line.lstrip(" :|+-*()0123456789"))
+        above, lines = [], final.splitlines()
+        for line in reversed(lines[:scan]):  # the scan's ancestors, up to the join
+            if depth(line) < depth(lines[scan] if not above else above[-1]):
+                above.append(line)
+            if "Join" in line:
+                break
+        assert not any("Exchange" in line for line in above) and "Bucketed: true" in final
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE IF EXISTS chunks_test")
