@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillrank.functions.spans import BLOCK, let
 from quillrank.functions.text import strip
+from quillrank.sources.staging import written
 
 # Fixed value: units end behind . ! ? and at line ends.
 UNIT_END = r"(?<=[.!?])\s+|\n+"
@@ -125,9 +126,12 @@ def top_scores(offers: DataFrame, docs: DataFrame, k: int, dim: int = 384, block
     those that share a bucket, a few rows per task. Offers go out in blocks of
     checked size and meet each document once, as a matrix product; of documents
     with equal scores the k smallest ids are kept."""
+    offers = written(offers.select("offer_id", "dims", "xs"))
     n = offers.count()
     blocks, found = max(1, -(-n // block)), None
     spark = docs.sparkSession
+    if blocks > 1:  # texts are turned into terms once
+        docs = written(docs.select("doc_id", "dims", "xs"))
     for i in range(blocks):
         part = offers if blocks == 1 else offers.where(F.pmod(F.xxhash64("offer_id"), F.lit(blocks)) == i)
         got = part.select("offer_id", "dims", "xs").toArrow()

@@ -12,6 +12,8 @@ from quillrank.sources.staging import written
 
 #: Offers that may be broadcast against all candidates at once.
 OFFER_ROWS = 10_000
+#: Numbers in the vectors of a block.
+OFFER_NUMBERS = 4 << 20
 #: Candidates of an offer that are ordered in one task.
 PLAIN_ROWS = 1 << 17
 
@@ -28,10 +30,11 @@ def hinted(df: DataFrame, rows: int = OFFER_ROWS) -> DataFrame:
 
 def score_pairs(offers: DataFrame, candidates: DataFrame, block: int = OFFER_ROWS) -> DataFrame:
     """(offer_id, cand_id, score). offers(offer_id, v) go to every candidate
-    row, in blocks that may be broadcast."""
+    row, in blocks that may be broadcast: so many rows, and numbers in them."""
     left = offers.select("offer_id", F.col("v").alias("o"), norm(F.col("v")).alias("on"))
     right = candidates.select("cand_id", "v", norm(F.col("v")).alias("cn"))
-    blocks = 1 if few(offers, block) else -(-offers.count() // block)
+    said = offers.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("wide")).first()
+    blocks = max(1, -(-said["n"] // max(1, min(block, OFFER_NUMBERS // max(said["wide"] or 1, 1)))))
     out = None
     for i in range(blocks):
         own = left if blocks == 1 else left.where(F.pmod(F.xxhash64("offer_id"), F.lit(blocks)) == i)

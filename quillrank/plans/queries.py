@@ -11,7 +11,7 @@ from quillrank.functions import present, rules, text, vectors
 from quillrank.operators import chunks, names, pruned, ranking, sections, subwords
 from quillrank.plans import config, fixtures, profiles, service
 from quillrank.plans.sql import SQL
-from quillrank.sources import bucketed, chunk_index, files, pdf, staging, tables
+from quillrank.sources import bucketed, chunk_index, files, landing, pdf, staging, tables
 
 __all__ = ["QUERIES", "SQL"]
 QUERIES: dict = {}
@@ -379,6 +379,19 @@ def pdf_text(spark, d):
     return files.pdf_texts(docs).select(F.col("archivo").alias("doc_id"), F.md5(F.col("texto").cast("binary")).alias("h"), "error")
 
 
+@query
+def landed_uploads(spark, d):
+    """Uploaded files, some of another kind or without text: what became of each,
+    and the text of what was stored."""
+    i = F.col("doc_id")
+    name = F.concat(F.lit("doc_"), i.cast("string"), F.when(i % 4 == 0, ".PDF").when(i % 4 == 3, ".docx").otherwise(".pdf"))
+    up = _t(spark, d, "documents").select(name.alias("archivo"), pdf.render(F.when(i % 5 == 0, _blank(i)).otherwise(F.coalesce("text", F.lit("")))).alias("content"))
+    table = bucketed.Table(spark, f"{staging.own_dir(spark)}/archivos-{uuid.uuid4().hex}", "archivos").create(landing.none(spark), 8)
+    said = landing.land(up, table)
+    held = files.pdf_texts(table.read()).select("archivo", F.md5(F.col("texto").cast("binary")).alias("h"))
+    return said.join(held, "archivo", "left").select("archivo", "status", "h")
+
+
 @query
 def table_schemas(spark, d):
     """Of the stored tables, and of those given."""
@@ -519,7 +532,7 @@ def ranking_measurement(spark, d):
 def fragment_index(spark, d):
     """The place of the fragment closest to the first offer; none gives 0."""
     offer = _offer_rows(spark, d).where("offer_id = 1").select(F.col("v").alias("o"))
-    c = _ranked_candidates(spark, d).withColumn("one", F.lit(1)).join(offer.withColumn("one", F.lit(1)), "one")
+    c = _ranked_candidates(spark, d).crossJoin(ranking.hinted(offer))
     return c.select("cand_id", vectors.argmax(F.transform("fragmentos", lambda f: vectors.dot(f, F.col("o")))).alias("indice"))
 
 

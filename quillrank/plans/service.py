@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillrank.functions import present, rules
@@ -13,6 +13,9 @@ from quillrank.functions.vectors import argmax, dot
 from quillrank.operators import chunks, names, ranking, sections
 from quillrank.sources import chunk_index
 
+#: Rows of a ranking in one response body.
+PAGE = 1000
+
 
 def ingest(texts: DataFrame, encoder: Callable[[list[str]], list[list[float]]], limit: int | None = None, count: Callable[[str], int] | None = None) -> DataFrame:
     """(archivo, nombre, texto_cv, fragmentos, trozos, embedding) of texts
@@ -76,22 +79,24 @@ def rank(offers: DataFrame, candidates: DataFrame, this_year: int) -> DataFrame:
     return rank_detailed(offers, candidates, this_year).select("offer_id", "posicion", "nombre", "score")
 
 
-def response(ranking_rows: DataFrame, offers: DataFrame | None = None) -> DataFrame:
-    """(offer_id, status, body): per offer (offer_id, titulo, texto) the ranking
-    as a JSON object; the total counts what is left after top. 400 for a blank
-    text, 409 where no candidate has a vector; the body then says why. Without
-    offers, one body for each offer that has rows. For rankings that top has cut
-    short: a body holds all rows of its offer."""
+def response(ranking_rows: DataFrame, offers: DataFrame | None = None, page: int = PAGE) -> DataFrame:
+    """(offer_id, pagina, status, body): per offer (offer_id, titulo, texto) the
+    ranking as JSON objects of up to ``page`` rows, one unless there are more; the
+    total counts what is left after top. 400 for a blank text, 409 where no candidate
+    has a vector; the body then says why. Without offers, bodies for each offer that
+    has rows."""
     row = F.struct("posicion", F.col("nombre").alias("candidato"), F.bround("score", 4).alias("score"), F.bround("score_ajustado", 4).alias("score_ajustado"), "penalizacion", "avisos", "extracto")
-    per = ranking_rows.groupBy("offer_id").agg(F.sort_array(F.collect_list(row)).alias("ranking"))
-    total = F.size("ranking").alias("total_candidatos")
+    number = F.floor((F.col("posicion") - 1) / page).cast("int").alias("pagina")
+    per = ranking_rows.groupBy("offer_id", number).agg(F.sort_array(F.collect_list(row)).alias("ranking"))
+    # Pages are few: their sizes add up to the total.
+    pages = per.withColumn("total_candidatos", F.sum(F.size("ranking")).over(Window.partitionBy("offer_id")).cast("int"))
     if offers is None:
-        return per.select("offer_id", F.lit(200).alias("status"), F.to_json(F.struct(total, "ranking")).alias("body"))
-    both = offers.select("offer_id", "titulo", "texto").join(per, "offer_id", "left")
+        return pages.select("offer_id", "pagina", F.lit(200).alias("status"), F.to_json(F.struct("total_candidatos", "ranking")).alias("body"))
+    both = offers.select("offer_id", "titulo", "texto").join(pages, "offer_id", "left")
     status = F.when(is_blank(F.col("texto")), 400).when(F.col("ranking").isNull(), 409).otherwise(200)
-    good = F.to_json(F.struct("titulo", total, "ranking"))
+    good = F.to_json(F.struct("titulo", "total_candidatos", "ranking"))
     bad = F.to_json(F.struct(F.when(F.col("status") == 400, "El campo 'texto' esta vacio.").otherwise("No hay candidatos con embedding.").alias("detail")))
-    return both.withColumn("status", status).select("offer_id", "status", F.when(F.col("status") == 200, good).otherwise(bad).alias("body"))
+    return both.withColumn("status", status).select("offer_id", F.coalesce("pagina", F.lit(0)).alias("pagina"), "status", F.when(F.col("status") == 200, good).otherwise(bad).alias("body"))
 
 
 def matches(ranking_rows: DataFrame, when=None) -> DataFrame:

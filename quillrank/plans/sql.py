@@ -155,6 +155,14 @@ _COLUMNS = {
     "matches": "candidato_id int, puesto_id int, score float, fecha timestamp",
 }
 
+def _pages(source: str) -> str:
+    """(doc_id, text) of the texts of a source, put on pages and read again."""
+    return f"""WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM {source}),
+p AS (SELECT doc_id, list_filter(list_transform(range(0, len(ls), 50), lambda i: array_to_string(ls[i + 1:i + 50], chr(10))), lambda x: NOT ({_HOLLOW.format('x')})) AS ps FROM l),
+t AS (SELECT doc_id, nfc_normalize(array_to_string(ps, chr(10) || chr(10))) AS text FROM p)
+SELECT doc_id, {_TIDY.format(_REPAIR.format('text'))} AS text FROM t"""
+
+
 def _chunks(source: str, limit: int) -> str:
     """(doc_id, pos, chunk) of the texts of a source, words as tokens."""
     return rf"""WITH u AS (SELECT doc_id, coalesce(text, '') AS text, list_transform({_UNITS}, lambda x: {{'u': x, 'w': regexp_split_to_array(x, '\s+')}}) AS l FROM {source}),
@@ -236,10 +244,10 @@ SELECT md5(texto) AS h, CASE WHEN i % 2 = 0 THEN 'Oferta ' || i ELSE 'Oferta via
     "stdin_offer": "SELECT item_id, md5(text || chr(65533) || 'A' || chr(65533)) AS h FROM benchmark",
     "offer_titles": f"""WITH n AS (SELECT p_partkey, replace(replace(p_name, ' ', '_') || CASE WHEN p_partkey % 2 = 0 THEN '_o''neil-SQL' ELSE '' END, '_', ' ') AS x FROM part)
 SELECT p_partkey, {_TITLE.format('x')} AS titulo FROM n""",
-    "pdf_text": f"""WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-p AS (SELECT doc_id, list_filter(list_transform(range(0, len(ls), 50), lambda i: array_to_string(ls[i + 1:i + 50], chr(10))), lambda x: NOT ({_HOLLOW.format('x')})) AS ps FROM l),
-t AS (SELECT doc_id, nfc_normalize(array_to_string(ps, chr(10) || chr(10))) AS text FROM p)
-SELECT doc_id, md5({_TIDY.format(_REPAIR.format('text'))}) AS h, NULL::VARCHAR AS error FROM t""",
+    "pdf_text": f"SELECT doc_id, md5(text) AS h, NULL::VARCHAR AS error FROM ({_pages('documents')})",
+    "landed_uploads": f"""SELECT 'doc_' || d.doc_id || CASE d.doc_id % 4 WHEN 0 THEN '.PDF' WHEN 3 THEN '.docx' ELSE '.pdf' END AS archivo,
+  CASE WHEN d.doc_id % 4 = 3 THEN 400 WHEN d.doc_id % 5 = 0 OR {_HOLLOW.format('d.text')} THEN 422 ELSE 200 END AS status,
+  CASE WHEN d.doc_id % 4 <> 3 AND NOT (d.doc_id % 5 = 0 OR {_HOLLOW.format('d.text')}) THEN md5(p.text) END AS h FROM documents d JOIN ({_pages('documents')}) p ON p.doc_id = d.doc_id""",
     "table_schemas": "SELECT * FROM (VALUES " + ", ".join(f"('{t}', {i}, '{c.split(' ')[0]}', '{c.split(' ')[1]}')" for t, cols in _COLUMNS.items() for i, c in enumerate(cols.split(", "))) + ") AS t(tabla, pos, columna, tipo)"
     + " UNION ALL SELECT table_name, ordinal_position - 1, column_name, CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'FLOAT[]' THEN 'array<float>' ELSE data_type END"
     + " FROM information_schema.columns WHERE table_name IN ('documents', 'embeddings', 'benchmark', 'labels')",

@@ -16,6 +16,7 @@ POLICY = {
     "candidatos": (("archivo",), ("id", "fecha_alta")),
     "puestos": (("huella",), ("id", "descripcion", "fecha_alta")),
     "matches": (("candidato_id", "puesto_id"), ()),
+    "archivos": (("archivo",), ()),
 }
 
 
