@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from quillrank.llm import textnum as tn
 from quillrank.llm.labelled import fold
-from quillrank.llm.store import written
+from quillrank.llm.store import scratch, written
 from quillrank.llm.vocabulary import counted, frequent
 
 MOD, HELD = 5, 1
@@ -376,5 +376,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
 def score_corpus(docs: DataFrame) -> DataFrame:
     """Train on the documents outside the held-out fold and score them all."""
     training = docs.where(fold(F.col("doc_id"), MOD) != HELD)
-    counts = written(token_counts(training))
-    return score(docs, train(training, counts), counts)
+    with scratch() as tables:
+        counts = tables.keep(written(token_counts(training)))
+        model = train(training, counts)
+    return score(docs, model, counts)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from quillrank.llm import textnum as tn
 from quillrank.llm.labelled import fold, sample
-from quillrank.llm.store import written
+from quillrank.llm.store import scratch, written
 from quillrank.llm.vocabulary import Frequent, counted, frequent
 
 #: Words with a vector of their own, and vectors that all others share.
@@ -112,7 +112,8 @@ class Vectors(NamedTuple):
 
 def word_vectors(docs: DataFrame, limit: int = WORDS) -> Vectors:
     """Counted and summed over all documents."""
-    words = frequent(written(counted(docs, lambda c: _tokens(c)[0])), limit)
+    with scratch():
+        words = frequent(written(counted(docs, lambda c: _tokens(c)[0])), limit)
     sent = docs.sparkSession.sparkContext.broadcast(words)
     names = [f"v{i}" for i in range(DIM)]
     rows = docs.select("text").mapInArrow(tn.trimmed(_contexts(sent)), "word int, " + ", ".join(f"{n} float" for n in names))
@@ -191,7 +192,8 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int = MOD, held: int = HELD, ro
         x = pooled(text, sent.value).astype(np.float32)
         return {"x": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32()))}
 
-    got, order, y, shift = sample(docs, labels, "quality", mod, held, rows, learn, "x array<float>")
+    with scratch():
+        got, order, y, shift = sample(docs, labels, "quality", mod, held, rows, learn, "x array<float>")
     x = got.column("x").combine_chunks().flatten().to_numpy().reshape(len(y), 2 * DIM)[order]
     return (vectors, *train(x, y), shift)
 

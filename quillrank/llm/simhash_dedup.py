@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from quillrank.llm import textnum as tn
 from quillrank.llm.components import components
-from quillrank.llm.store import written
+from quillrank.llm.store import broadcast_if_small, scratch, written
 
 BITS = 64
 TAU = 2
@@ -52,6 +52,9 @@ SHINGLE = 3
 SEED = 42
 #: Members of a (partition, value) beyond which stars replace pairs.
 HOT = 32
+#: Rows from which a fingerprint's component is sent to every task, and most such
+#: fingerprints; beyond it all are joined.
+MANY, SENT = 1000, 200_000
 #: Fingerprints from which candidate counts are estimated.
 SAMPLE = 1 << 14
 
@@ -271,13 +274,22 @@ def stars(fps: DataFrame, tau: int) -> DataFrame:
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id reachable over links."""
-    prints = written(fingerprints(docs, id_col, text_col, shingle))
-    # One node per fingerprint, however many copies it has.
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    joined = components(links(nodes.select("fp"), tau).distinct())
-    named = joined.join(nodes, joined["node"] == nodes["fp"]).select("fp", "component", "rep")
-    low = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    moved = named.join(low, "component").select("fp", "component_id")
-    table = nodes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
-    table = written(table)
-    return prints.join(table.hint("merge"), "fp").select("doc_id", "fp", "component_id")
+    with scratch() as tables:
+        prints = tables.keep(written(fingerprints(docs, id_col, text_col, shingle)))
+        # One node per fingerprint, however many copies it has.
+        nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
+        joined = components(links(nodes.select("fp"), tau).distinct())
+        named = joined.join(nodes, joined["node"] == nodes["fp"]).select("fp", "component", "rep")
+        low = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+        moved = named.join(low, "component").select("fp", "component_id")
+        found = nodes.join(moved, "fp", "left").select("fp", "n", F.coalesce("component_id", "rep").alias("component_id"))
+        found = tables.keep(written(found))
+        # Fingerprints of many rows, as that of all blank texts, are sent to the rows:
+        # there are fewer of them than their rows by a factor of MANY.
+        many = found.where(F.col("n") >= MANY)
+        count = many.count()
+    if not count or count > SENT:
+        return prints.join(found.hint("merge"), "fp").select("doc_id", "fp", "component_id")
+    often = broadcast_if_small(many.select("fp", "component_id"), count, SENT)
+    rest = prints.join(broadcast_if_small(many.select("fp"), count, SENT), "fp", "left_anti")
+    return prints.join(often, "fp").select("doc_id", "fp", "component_id").unionAll(rest.join(found.hint("merge"), "fp").select("doc_id", "fp", "component_id"))
