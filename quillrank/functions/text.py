@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import unicodedata
-
-import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillrank.functions import spans
+from quillrank.functions import forms, spans
 
 # Accented Latin letters and their bases, and the pairs that
 # accent repair composes.
@@ -33,31 +30,20 @@ def is_blank(c: Column) -> Column:
 
 
 def normalise(c: Column) -> Column:
-    """Lower case without accents, stripped: Latin letters, JVM only."""
-    bare = F.regexp_replace(F.translate(c, ACCENTED, PLAIN), "[̀-ͯ]", "")
-    return strip(F.lower(bare))
-
-
-def normalise_any(c: Column) -> Column:
-    """The same by full compatibility decomposition, for any script."""
+    """Lower case without accents, stripped: by full compatibility decomposition,
+    for any script."""
+    return strip(F.lower(forms.fold(c)))
 
-    def fold(text: pa.Array) -> pa.Array:
-        out = []
-        for x in text.to_pylist():
-            parts = None if x is None else unicodedata.normalize("NFKD", x)
-            out.append(None if parts is None else "".join(ch for ch in parts if not unicodedata.combining(ch)).lower().strip())
-        return pa.array(out, pa.string())
 
-    return F.arrow_udf(fold, "string")(c)
+def normalise_latin(c: Column) -> Column:
+    """The same for the accented letters of the table and loose marks alone."""
+    bare = F.regexp_replace(F.translate(c, ACCENTED, PLAIN), "[̀-ͯ]", "")
+    return strip(F.lower(bare))
 
 
 def compose(c: Column) -> Column:
     """Canonical composition (NFC) of any text."""
-
-    def nfc(text: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else unicodedata.normalize("NFC", x) for x in text.to_pylist()], pa.string())
-
-    return F.arrow_udf(nfc, "string")(c)
+    return forms.compose(c)
 
 
 def repair_accents(c: Column) -> Column:

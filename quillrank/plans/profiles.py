@@ -7,10 +7,9 @@ capitals with its body.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SCHEMA = "archivo string, nombre string, puesto string, detalle string, contacto string, secciones array<struct<titulo:string,cuerpo:string>>"
 _ROWS = (
     # file, name, job, years of each post, degree, English; then what is found
     ("alba_rios.pdf", "Alba Ríos", "Backend Developer", ((2014, 2018), (2018, 2022)), "Grado en Informática", "Inglés C1", (8, 2, 5)),
@@ -30,17 +29,26 @@ _ROWS = (
     ("olga_paz.pdf", "Olga Paz", "Data junior", ((2021, 2023),), "Máster", "Inglés B2", (2, 3, 4)),
     ("pau_sole.pdf", "Pau Solé", "Contabilidad", ((2006, 2020),), "Grado en ADE", "Inglés A2", (14, 2, 2)),
 )
-#: What the rules should find in each: (file, years, degree, English).
-EXPECTED = tuple((r[0], *r[6]) for r in _ROWS)
-
-
-def profiles(spark: SparkSession) -> DataFrame:
-    rows = []
-    for file, name, job, posts, degree, english, _ in _ROWS:
-        work = "\n".join(f"{job} ({a}-{b})." for a, b in posts)
-        parts = [("Perfil", f"{job}."), ("Experiencia", work), ("Formación", f"{degree}."), ("Idiomas", f"{english}.")]
-        rows.append((file, name, job, "Madrid", f"{file.split('.')[0]}@example.org", parts))
-    return spark.createDataFrame(rows, SCHEMA)
+#: What the rules should find in each: (place, years, degree, English).
+EXPECTED = tuple((i, *r[6]) for i, r in enumerate(_ROWS))
+#: Years by which posts are moved, exclusive: none then ends in the future.
+LATER = 4
+
+
+def peopled(ids: DataFrame) -> DataFrame:
+    """A profile for each id: the row that its remainder by sixteen names, the
+    posts moved by up to LATER - 1 years. The sixteen rows are broadcast."""
+    post = "struct<a:int,b:int>"
+    rows = [(i, file, name, job, [*posts], degree, english) for i, (file, name, job, posts, degree, english, _) in enumerate(_ROWS)]
+    sixteen = ids.sparkSession.createDataFrame(rows, f"n int, archivo string, nombre string, puesto string, posts array<{post}>, titulo string, ingles string")
+    later = F.pmod(F.floor(F.col("id") / len(_ROWS)), F.lit(LATER)).cast("int")
+    year = lambda y: (y + later).cast("string")
+    work = F.array_join(F.transform("posts", lambda p: F.concat("puesto", F.lit(" ("), year(p["a"]), F.lit("-"), year(p["b"]), F.lit(")."))), "\n")
+    parts = (("Perfil", F.concat("puesto", F.lit("."))), ("Experiencia", work), ("Formación", F.concat("titulo", F.lit("."))), ("Idiomas", F.concat("ingles", F.lit("."))))
+    sections = F.array(*[F.struct(F.lit(t).alias("titulo"), body.alias("cuerpo")) for t, body in parts])
+    found = ids.withColumn("n", F.pmod("id", F.lit(len(_ROWS))).cast("int")).join(F.broadcast(sixteen), "n")
+    contact = F.concat(F.split_part("archivo", F.lit("."), F.lit(1)), F.lit("@example.org"))
+    return found.select("id", "archivo", "nombre", "puesto", F.lit("Madrid").alias("detalle"), contact.alias("contacto"), sections.alias("secciones"))
 
 
 def profile_text() -> Column:

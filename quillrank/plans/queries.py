@@ -577,14 +577,15 @@ def nfc_compose(spark, d):
 @query
 def plain_text(spark, d):
     """Lower case without accents, by decomposition (any script) and by table."""
-    return _t(spark, d, "documents").select("doc_id", F.md5(text.normalise_any(F.col("text")).cast("binary")).alias("por_formas"), F.md5(text.normalise(F.col("text")).cast("binary")).alias("por_tabla"))
+    return _t(spark, d, "documents").select("doc_id", F.md5(text.normalise(F.col("text")).cast("binary")).alias("por_formas"), F.md5(text.normalise_latin(F.col("text")).cast("binary")).alias("por_tabla"))
 
 
 @query
 def profile_extraction(spark, d):
-    """Sixteen candidates, from their parts to a text and back to a profile."""
-    docs = profiles.profiles(spark).select(F.col("archivo").alias("doc_id"), profiles.profile_text().alias("texto"))
-    return sections.cv_profiles(docs, fixtures.THIS_YEAR)
+    """Candidates from their parts to a text and back to a profile: each customer
+    is one of the invented sixteen, some years later."""
+    docs = profiles.peopled(_t(spark, d, "customer").select(F.col("c_custkey").alias("id")))
+    return sections.cv_profiles(docs.select(F.col("id").alias("doc_id"), profiles.profile_text().alias("texto")), fixtures.THIS_YEAR)
 
 
 @query

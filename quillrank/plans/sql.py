@@ -289,7 +289,7 @@ SELECT archivo, CASE WHEN texto_cv IS NULL THEN 422 ELSE 200 END AS status, CASE
     "text_preview": r"SELECT doc_id, substr(array_to_string(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '')[1:8], ' '), 1, 60) AS inicio, coalesce(length(text), 0)::INT AS chars FROM documents",
     "nfc_compose": "SELECT doc_id, md5(nfc_normalize(text)) AS h FROM documents",
     "plain_text": r"WITH t AS (SELECT doc_id, md5(regexp_replace(lower(strip_accents(text)), '^\s+|\s+$', '', 'g')) AS h FROM documents) SELECT doc_id, h AS por_formas, h AS por_tabla FROM t",
-    "profile_extraction": "SELECT * FROM (VALUES " + ", ".join(map(str, profiles.EXPECTED)) + ") AS t(doc_id, anios, titulacion, ingles)",
+    "profile_extraction": "SELECT c_custkey AS doc_id, anios, titulacion, ingles FROM customer JOIN (VALUES " + ", ".join(map(str, profiles.EXPECTED)) + f") AS t(n, anios, titulacion, ingles) ON n = c_custkey % {len(profiles.EXPECTED)}",
     "coverage_report": f"WITH {_PROFILE} SELECT doc_id, coalesce(anios::VARCHAR, '-') AS anios, coalesce((['FP', 'Grado', 'Master'])[titulacion::INT], '-') AS titulacion, coalesce(([{_CODES}])[ingles::INT], '-') AS ingles FROM profile",
     "chunk_pack": f"SELECT doc_id, pos, md5(chunk) AS h, length(chunk)::INT AS chars FROM ({_chunks('documents', 126)})",
     "rank_explained": f"""WITH {_RANKED}, ck AS ({_chunks('(SELECT id AS doc_id, texto_cv AS text FROM cand)', 12)}),

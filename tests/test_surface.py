@@ -191,5 +191,5 @@ def test_reports(spark):
 
 
 def test_profile_text(spark):
-    t = profiles.profiles(spark).select("archivo", profiles.profile_text().alias("t")).orderBy("archivo").first()["t"].split("\n")
+    t = profiles.peopled(spark.range(16)).select("archivo", profiles.profile_text().alias("t")).orderBy("archivo").first()["t"].split("\n")
     assert t[:4] == ["Alba Ríos", "Backend Developer | Madrid", "alba_rios@example.org", "PERFIL"] and "EXPERIENCIA" in t
