@@ -79,11 +79,14 @@ def _complement(ranges) -> list[tuple[int, int]]:
 
 def _class(ranges, block: int = 16) -> str:
     """A character class whose blocks are passed over by their span: a character
-    is not held against each range."""
+    is not held against each range. A first range that begins at nought, which
+    holds the Latin letters, is tried before the others."""
+    if ranges[0][0] == 0:
+        return f"[\\x{{0}}-\\x{{{ranges[0][1]:X}}}{_class(ranges[1:], block)}]"
     groups = [ranges[i : i + block] for i in range(0, len(ranges), block)]
     span = lambda g: f"\\x{{{g[0][0]:X}}}-\\x{{{g[-1][1]:X}}}"
     one = lambda g: "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in g)
-    return "[" + "".join(f"[{span(g)}&&[{one(g)}]]" for g in groups) + "]"
+    return f"[{span(ranges)}&&[" + "".join(f"[{span(g)}&&[{one(g)}]]" for g in groups) + "]]"
 
 
 def _both(points) -> tuple[str, str]:
@@ -222,7 +225,11 @@ def compose(c: Column) -> Column:
     """Canonical composition (NFC); null stays null."""
     p = patterns()
     whole = lambda piece: F.array_join(F.transform(_all(_taken_apart(piece), p["clusters"]), _composed), "")
-    pieces = F.transform(_all(c, p["pieces"]), lambda x: F.when(x.rlike(p["touched"]), whole(x)).otherwise(x))
+    # Most pieces are a letter and its mark: their composite, if any, is the form.
+    two = lambda x: F.when(F.char_length(x) == 2, _pair(F.left(x, F.lit(1)), F.right(x, F.lit(1))))
+    # A piece to be taken apart is one whose last character is touched.
+    done = lambda x: F.when(F.right(x, F.lit(1)).rlike(p["touched"]), F.coalesce(two(x), whole(x))).otherwise(x)
+    pieces = F.transform(_all(c, p["pieces"]), done)
     return F.when(c.rlike(p["touched"]), F.array_join(pieces, "")).otherwise(c)
 
 
