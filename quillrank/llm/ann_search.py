@@ -15,7 +15,7 @@ size meet. A block keeps each query's best only, so no pairs are emitted.
 The first number of probes is set on a bounded sample so that measured recall
 reaches a goal above what is asked. What a query then has found tells how many
 probes meet a row as near as its last one with that probability, by the normal
-law of the projections, and it goes round once more with these. Queries for which
+law of the projections, and it goes round once more with those not yet done. Queries for which
 no number of probes is enough, or which have found too few rows, are held in
 blocks against all rows.
 
@@ -243,16 +243,18 @@ def _index(batches):
 
 
 def _probes(batches):
-    """(bucket, q, v) of each query's first n probes in every table."""
+    """(bucket, q, v) of each query's probes in every table, from the n-th before
+    which all are done, to the n-th wanted."""
     for b in batches:
-        n = b.column(2).to_numpy()
+        done, n = b.column(2).to_numpy(), b.column(3).to_numpy()
         for at, x in _by_length(b.column(1)):
             h, unit = _hashes(x.shape[1]), x / _norms(x)[:, None]
             for lo in range(0, len(at), QUERIES):
                 own = at[lo : lo + QUERIES]
                 for t in range(len(h.a)):
                     codes = h.probes(unit[lo : lo + QUERIES], t)[0]
-                    wanted = np.arange(codes.shape[1]) < n[own][:, None]
+                    place = np.arange(codes.shape[1])
+                    wanted = (place >= done[own][:, None]) & (place < n[own][:, None])
                     row = pa.array(own[np.nonzero(wanted)[0]])
                     yield pa.RecordBatch.from_arrays([pa.array(_bucket(x.shape[1], t, codes[wanted])), b.column(0).take(row), b.column(1).take(row)], ["bucket", "q", "v"])
 
@@ -342,11 +344,11 @@ def _top(found: DataFrame, k: int) -> DataFrame:
 
 
 def probed(classes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """_FOUND for queries (q, v, n): a shuffle on the bucket. Blocks of a bucket
-    that is too large for one meet each with each."""
+    """_FOUND for queries (q, v, done, n), of their probes from done to n: a shuffle
+    on the bucket. Blocks of a bucket that is too large for one meet each with each."""
     kind = dict(classes.dtypes)["v"]
     index = classes.select("cls", "low", "v").mapInArrow(_index, f"bucket long, cls long, low long, v {kind}")
-    asked = queries.select("q", "v", "n").mapInArrow(_probes, f"bucket long, q long, v {kind}")
+    asked = queries.select("q", "v", F.col("done").cast("int").alias("done"), F.col("n").cast("int").alias("n")).mapInArrow(_probes, f"bucket long, q long, v {kind}")
     sizes = written(index.groupBy("bucket").agg(F.count("*").alias("rows")).join(asked.groupBy("bucket").agg(F.count("*").alias("asked")), "bucket"))
     entries = sizes.agg(F.sum(F.col("rows") + F.col("asked"))).first()[0] or 0
     parts = F.greatest(F.ceil(F.col("rows") / ROWS), F.lit(1)).cast("int"), F.greatest(F.ceil(F.col("asked") / ASKED), F.lit(1)).cast("int")
@@ -378,13 +380,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "v
             return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
         x = max((x for _, x in _by_length(some)), key=len)
         start = measured_probes(_hashes(x.shape[1]), x, k, goal)
-        near = written(_top(probed(classes, own.withColumn("n", F.lit(start)), more), more))
+        near = written(_top(probed(classes, own.withColumn("done", F.lit(0)).withColumn("n", F.lit(start)), more), more))
         last = near.groupBy("q").agg(F.count("*").alias("m"), F.min("score").alias("kth")).where(F.col("m") == more)
         kth = own.join(last, "q", "left").select("q", "v", F.coalesce("kth", F.lit(float("nan"))).alias("kth"))
         need = written(kth.mapInArrow(_needs(goal), "q long, n int").join(own, "q"))
         again = need.where(F.col("n") > start)
         if not again.isEmpty():
-            near = written(_top(near.select("q", "cls", "low", "score").unionAll(probed(classes, again, more)), more))
+            near = written(_top(near.select("q", "cls", "low", "score").unionAll(probed(classes, again.withColumn("done", F.lit(start)), more)), more))
         rest = need.where("n = 0").select("q", "v")
         n = rest.count()
         for i in range(-(-n // BLOCK)):  # about BLOCK queries at a time, each block's result written before the next
