@@ -17,7 +17,8 @@ Cases: null and empty texts have no words; items without words match nothing;
 an item shorter than the window is one window; items or documents that repeat
 are each reported (rows that share doc_id and text share their hits, which
 are the same); null ids are kept, and the items without an id count as one with
-an empty id; extra columns are ignored; an empty table of either kind gives no
+an empty id; terms and windows of any frequency are dealt over tasks where they
+are not sent (dealt); extra columns are ignored; an empty table of either kind gives no
 hits; a text of any length is read whole.
 """
 
@@ -26,12 +27,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillrank.llm import dealt
 from quillrank.llm.store import broadcast_if_small, scratch, written
 
 WINDOW = 13
 #: Terms whose lists are intersected for a window; terms of an item that must
 #: stand together for a proximity match, and within how many words.
 RAREST, TOGETHER, SPAN = 2, 3, 30
+#: Rows of the test side that may be broadcast to the postings; terms, likewise, to
+#: the texts. Beyond it both are shuffled and hot terms or windows are dealt.
+LOOKUPS, TERMS = 20_000, 200_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -73,7 +78,10 @@ def term_counts(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> Da
     """(term, n): tokens of the whole corpus for each of the given terms."""
     # The outer form adds no filter on the array, which would split texts again.
     tokens = docs.select(words(F.col(text_col)).alias("w")).select(F.explode_outer("w").alias("term"))
-    return terms.join(tokens.join(terms, "term").groupBy("term").agg(F.count("*").alias("n")), "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n"))
+    sent, count = broadcast_if_small(terms, terms.count(), TERMS), F.count("*").alias("n")
+    # Terms that are too many to send meet counts, which combine before the shuffle.
+    own = tokens.groupBy("term").agg(count).join(terms, "term") if sent is terms else tokens.join(sent, "term").groupBy("term").agg(count)
+    return terms.join(own, "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def lookups(windows: DataFrame, counts: DataFrame, rarest: int = RAREST, whole: bool = True) -> DataFrame:
@@ -93,20 +101,31 @@ def lookups(windows: DataFrame, counts: DataFrame, rarest: int = RAREST, whole:
 def postings(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The index of these terms: (_id, _text, term, pos), positions from 0."""
     held = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_text"), words(F.col(text_col)).alias("w"))
-    return held.select("_id", "_text", F.posexplode_outer("w").alias("pos", "term")).join(terms, "term").select("_id", "_text", "term", "pos")
+    tokens = held.select("_id", "_text", F.posexplode_outer("w").alias("pos", "term"))
+    sent = broadcast_if_small(terms, terms.count(), TERMS)
+    return (dealt.join(tokens, terms, "term") if sent is terms else tokens.join(sent, "term")).select("_id", "_text", "term", "pos")
 
 
 def intersected(index: DataFrame, looked: DataFrame) -> DataFrame:
     """(_id, _text, win, start): starts at which all of a window's terms stand
     at their offsets."""
-    at = index.join(_small(looked), "term").withColumn("start", F.col("pos") - F.col("offset")).where("start >= 0")
+    at = _met(index, looked, "term").withColumn("start", F.col("pos") - F.col("offset")).where("start >= 0")
     # Rows that repeat (id, text) give the same postings, so places count as bits.
     both = at.groupBy("_id", "_text", "win", "start").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("place"))).alias("met"), F.max("need").alias("need"))
     return both.where(F.col("met") == F.call_function("shiftleft", F.lit(1), F.col("need")) - 1).select("_id", "_text", "win", "start")
 
 
-def _small(table: DataFrame, limit: int = 20_000) -> DataFrame:
-    return broadcast_if_small(table, table.count(), limit)
+def _small(table: DataFrame) -> DataFrame:
+    return broadcast_if_small(table, table.count(), LOOKUPS)
+
+
+def _met(many: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """The join of rows that grow with the documents and rows of the test side,
+    which are sent where they are few; else hot keys are dealt."""
+    sent = _small(few)
+    if sent is not few:
+        return many.join(sent, key)
+    return dealt.join(many if hasattr(many, "_shared_path") else written(many), few, key)
 
 
 def _same(a: DataFrame, b: DataFrame):
@@ -116,7 +135,7 @@ def _same(a: DataFrame, b: DataFrame):
 def phrase_matches(docs: DataFrame, windows: DataFrame, index: DataFrame, looked: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_id, _text, win, start, len): every exact occurrence of a window."""
     sizes = windows.select("win", F.size("words").alias("len"), F.size(F.array_distinct("words")).alias("terms"))
-    found = written(intersected(index, looked).join(_small(written(sizes)), "win"))
+    found = written(_met(intersected(index, looked), written(sizes), "win"))
     # Windows that the lookup covers word by word need no further look.
     covered = (F.col("terms") == F.col("len")) & (F.col("len") <= RAREST)
     sure = found.where(covered).select("_id", "_text", "win", "start", "len")
@@ -129,14 +148,14 @@ def phrase_matches(docs: DataFrame, windows: DataFrame, index: DataFrame, looked
     said = lambda x: F.struct(x["win"].alias("win"), x["start"].alias("start"), x["len"].alias("len"), F.array_join(F.slice(F.col("w"), x["start"] + 1, x["len"]), " ").alias("said"))
     own = own.select("_id", "_text", F.explode_outer(F.transform("c", said)).alias("x")).select("_id", "_text", "x.*")
     spelled = written(windows.select("win", F.array_join("words", " ").alias("joined")))
-    own = own.join(_small(spelled), "win").where("said = joined").select("_id", "_text", "win", "start", "len").distinct()
+    own = _met(own, spelled, "win").where("said = joined").select("_id", "_text", "win", "start", "len").distinct()
     return sure.unionAll(own)
 
 
 def near_items(index: DataFrame, looked: DataFrame, span: int = SPAN) -> DataFrame:
     """(_id, _text, win): items whose looked-up terms all stand within span
     words, in any order."""
-    at = index.join(_small(looked), "term").groupBy("_id", "_text", "win").agg(
+    at = _met(index, looked, "term").groupBy("_id", "_text", "win").agg(
         F.sort_array(F.collect_set(F.struct("pos", "place"))).alias("at"), F.max("need").alias("need")
     )
     never = -(1 << 30)
@@ -156,8 +175,8 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, i
     items = whole_items(benchmark)
     terms = items.select(F.explode("words").alias("term")).distinct()
     looked = written(lookups(items.select("win", "words"), term_counts(docs, terms, text_col), TOGETHER, whole=False))
-    index = written(postings(docs, _small(looked.select("term").distinct()), id_col, text_col))
-    found = near_items(index, looked, span).join(items.select("win", "item_id"), "win")
+    index = written(postings(docs, looked.select("term").distinct(), id_col, text_col))
+    found = _met(near_items(index, looked, span), items.select("win", "item_id"), "win")
     return found.select(F.col("_id").alias("doc_id"), F.col("item_id").cast(dict(benchmark.dtypes)["item_id"]).alias("item_id")).distinct()
 
 
@@ -169,11 +188,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, id_
         windows, holders = test_windows(benchmark, size)
         items = whole_items(benchmark)
         terms = written(items.select(F.explode("words").alias("term")).distinct())
-        counts = written(term_counts(docs, broadcast_if_small(terms, terms.count()), text_col))
+        counts = written(term_counts(docs, terms, text_col))
         looked = written(lookups(windows, counts))
         by_item = written(lookups(items.select("win", "words"), counts, TOGETHER, whole=False)) if proximity else looked.where("false")
         keys = written(looked.select("term").unionAll(by_item.select("term")).distinct())
-        index = written(postings(docs, broadcast_if_small(keys, keys.count()), id_col, text_col))
+        index = written(postings(docs, keys, id_col, text_col))
         found = written(phrase_matches(docs, windows, index, looked, id_col, text_col))
         # Words under any occurrence: the union of the spans, in order.
         spans = found.groupBy("_id", "_text").agg(F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("len")).alias("end")))).alias("spans"))
@@ -182,7 +201,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, id_
         )
         covered = F.aggregate("spans", F.struct(F.lit(0).alias("n"), F.lit(0).alias("upto")), step, lambda acc: acc["n"])
         spans = spans.select("_id", "_text", covered.cast("long").alias("n_hit"))
-        ids = lambda df, by, name: df.select("_id", "_text", "win").distinct().join(_small(by), "win").groupBy("_id", "_text").agg(F.sort_array(F.collect_set("item_id")).alias(name))
+        ids = lambda df, by, name: _met(df.select("_id", "_text", "win").distinct(), by, "win").groupBy("_id", "_text").agg(F.sort_array(F.collect_set("item_id")).alias(name))
         nothing = lambda kind: F.lit(None).cast(kind)
         parts = spans.select("_id", "_text", "n_hit", nothing("array<string>").alias("items"), nothing("array<string>").alias("near"))
         parts = parts.unionAll(ids(found, holders, "items").select("_id", "_text", nothing("long"), "items", nothing("array<string>")))
