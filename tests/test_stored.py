@@ -4,6 +4,7 @@ import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,6 +153,26 @@ def test_pruned_odd_tables(spark):
     assert pruned.top_k(offers.where("false"), few, 5).rows.count() == 0
 
 
+def test_pruned_meets_pairs_in_parts(spark, monkeypatch):
+    """A part gives few rows per offer, not one per pair; large blocks and many
+    offers are dealt, repeated ids and ties at the last place kept in order."""
+    for name, n in (("PART_NUMBERS", 8 * 40), ("OFFER_NUMBERS", 8 * 16), ("TABLE", 500)):
+        monkeypatch.setattr(pruned, name, n)
+    rng = np.random.default_rng(6)
+    cands = np.concatenate([np.tile(rng.normal(size=(1, 8)), (150, 1)), rng.normal(size=(400, 8)).round(1)])
+    offers = np.concatenate([cands[:20], rng.normal(size=(40, 8)).round(1)])
+    rows = lambda x: [(i, [float(y) for y in r]) for i, r in enumerate(x)]
+    left, right = spark.createDataFrame(rows(offers), "offer_id int, v array<double>"), spark.createDataFrame(rows(cands), "cand_id int, v array<double>")
+    found = pruned.top_k(left, right, 5, places=6)
+    assert sorted((r["offer_id"], r["cand_id"]) for r in found.rows.collect()) == [w[:2] for w in brute_top(offers, cands, 5, 6)]
+    parts = pruned.parted(np.array([10, 200, 0, 30, 20]), 40)
+    assert parts.first.tolist() == [0, 1, 6, 6, 7] and parts.count.tolist() == [1, 5, 1, 1, 1]
+    listed = lambda x: pa.array(list(x), pa.list_(pa.float64()))
+    visits = pa.table({"offer_id": range(60), "o": listed(offers), "least": pa.nulls(60, pa.float64()), "own": pa.array([[0]] * 60, pa.list_(pa.int32()))})
+    met = pruned._meet(5, 6, 1e-6)(visits, pa.table({"cand_id": range(550), "v": listed(cands), "block": np.zeros(550, np.int32)}))
+    assert 60 * 5 <= met.num_rows < 60 * 30
+
+
 def test_ties_are_spread_over_ranges(spark):
     """Equal scores of one offer, far more than the others'."""
     n = 200_000
