@@ -180,11 +180,18 @@ def _probabilities(parts, e: _Events, own: np.ndarray):
     bias, words, feats, hashed = parts
     feats = feats.reshape(-1, CLASSES + 1)
     f = e.feats[:, own]
-    p = _softmax(bias + feats[f[0]] + feats[f[1]] + feats[f[2]])
+    z = np.take(feats, f[0], axis=0)
+    z += bias
+    z += np.take(feats, f[1], axis=0)
+    z += np.take(feats, f[2], axis=0)
+    p = _softmax(z)
     seen = np.flatnonzero(e.cls[own] < WORD_CLASSES)
     cls = e.cls[own[seen]]
     at = _slots(e.history[own[seen]], e.skip[own[seen]], cls)
-    q = _softmax(words.reshape(WORD_CLASSES, PER_CLASS)[cls] + hashed[at[0]] + hashed[at[1]])
+    z = np.take(words.reshape(WORD_CLASSES, PER_CLASS), cls, axis=0)
+    z += np.take(hashed, at[0])
+    z += np.take(hashed, at[1])
+    q = _softmax(z)
     return p, seen, q, f, at
 
 
@@ -197,10 +204,15 @@ def _train_task(model: Model):
         power = [np.full(len(x), 1e-2, np.float32) for x in parts]
         tokens = 0
 
-        def step(i, at, grad):
-            """Adaptive step on the touched places of one parameter block."""
-            power[i][at] += grad * grad
-            parts[i][at] -= RATE * grad / np.sqrt(power[i][at])
+        def step(i, grad):
+            """Adaptive step on one parameter block."""
+            power[i] += grad * grad
+            grad *= RATE
+            grad /= np.sqrt(power[i])
+            parts[i] -= grad
+
+        table, cum = parts[2].reshape(-1, CLASSES + 1), power[2].reshape(-1, CLASSES + 1)
+        column, place = np.arange(CLASSES + 1), np.zeros(len(table), np.int64)
 
         for b in batches:
             for c in tn.chunks(b.column(0)):
@@ -212,19 +224,28 @@ def _train_task(model: Model):
                     p, seen, q, f, at = _probabilities(parts, e, own)
                     p[np.arange(len(own)), e.cls[own]] -= 1
                     q[np.arange(len(seen)), e.word[own[seen]]] -= 1
-                    step(0, slice(None), p.sum(0) / len(own))
+                    step(0, p.sum(0) / len(own))
                     word_at = (e.cls[own[seen]][:, None] * PER_CLASS + np.arange(PER_CLASS)).ravel()
-                    step(1, slice(None), np.bincount(word_at, q.ravel(), TOP).astype(np.float32) / len(own))
-                    rows, back = np.unique(f, return_inverse=True)
-                    order = np.argsort(back.ravel(), kind="stable")
-                    cuts = np.searchsorted(back.ravel()[order], np.arange(len(rows)))
-                    g = np.add.reduceat(p[order % len(own)], cuts, axis=0) / len(own)
-                    table, cum = parts[2].reshape(-1, CLASSES + 1), power[2].reshape(-1, CLASSES + 1)
-                    cum[rows] += g * g
-                    table[rows] -= RATE * g / np.sqrt(cum[rows])
+                    step(1, np.bincount(word_at, q.ravel(), TOP).astype(np.float32) / len(own))
+                    # Gradients of a feature row add up by counting, without a sort.
+                    place[:] = 0
+                    place[f.ravel()] = 1
+                    rows = np.flatnonzero(place)
+                    place[rows] = np.arange(len(rows)) * (CLASSES + 1)
+                    at_row = (np.take(place, f)[:, :, None] + column).ravel()
+                    g = np.bincount(at_row, np.broadcast_to(p, (3, *p.shape)).ravel(), len(rows) * (CLASSES + 1))
+                    g = g.astype(np.float32).reshape(len(rows), -1)
+                    g /= len(own)
+                    grown = np.take(cum, rows, axis=0)
+                    grown += g * g
+                    cum[rows] = grown
+                    g *= RATE
+                    g /= np.sqrt(grown)
+                    table[rows] -= g
                     if len(seen):
-                        g = np.bincount(np.concatenate([at[0].ravel(), at[1].ravel()]), np.tile(q.ravel(), 2), 1 << WORD_BITS).astype(np.float32) / len(own)
-                        step(3, slice(None), g)
+                        g = np.bincount(np.concatenate([at[0].ravel(), at[1].ravel()]), np.tile(q.ravel(), 2), 1 << WORD_BITS).astype(np.float32)
+                        g /= len(own)
+                        step(3, g)
         if tokens:
             moved = (w - model.weights) * tokens
             blocks = np.append(moved, np.zeros(-len(moved) % _WIDE, np.float32)).reshape(-1, _WIDE)

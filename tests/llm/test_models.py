@@ -116,6 +116,18 @@ def test_lm_probabilities_sum_to_one():
     assert total == pytest.approx(1, abs=1e-4)
 
 
+def test_lm_training_sorts_no_steps(monkeypatch):
+    """Gradients add up without a sort in every step."""
+    sorts, plain = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda *a, **k: sorts.append(1) or plain(*a, **k))
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(500)) for _ in range(40)]
+    found = Counter(" ".join(texts).split())
+    vocab = lm_scoring.Vocabulary(20_040, len(found), np.arange(0, dtype=np.uint64), np.arange(0), np.arange(0))
+    out = list(lm_scoring._train_task(lm_scoring.start_model(vocab))([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])]))
+    assert sum(b.num_rows for b in out) > 1 and len(sorts) < 5
+
+
 def test_nearest_recall(spark):
     v = spark.read.parquet(f"{MEDIUM}/embeddings.parquet")
     got = ann_search.nearest(v, v.where("vec_id % 50 = 0")).collect()
