@@ -67,3 +67,10 @@ def test_folder(spark, tmp_path):
     assert files.land_pdf(spark, str(tmp_path), "hueca.pdf", pdf.rendered("\n")) == 422
     df = spark.createDataFrame([(1, "a\nb"), (2, None)], "archivo int, t string").withColumn("content", pdf.render(F.col("t")))
     assert df.where("content is null").count() == 1
+
+
+def test_files_of_one_writer_share_their_map():
+    before = pdf._mapped.cache_info()
+    assert [pdf.pages(pdf.rendered(x)) for x in ("uno ñ", "dos €")] == [["uno ñ"], ["dos €"]]
+    after = pdf._mapped.cache_info()
+    assert after.misses - before.misses <= 1 and after.hits > before.hits
