@@ -21,7 +21,7 @@ def pdf_texts(named: DataFrame, parser: Callable[[bytes], list[str]] = pdf.pages
     skipped; a file that cannot be read gives '' and says why."""
 
     def run(batches):
-        for b in batches:
+        for b in (whole.slice(lo, pdf.ROWS) for whole in batches for lo in range(0, whole.num_rows, pdf.ROWS)):
             texts, errors = [], []
             for raw in b.column("content"):  # one file at a time
                 try:

@@ -1,6 +1,7 @@
 import random
 import zlib
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -74,3 +75,23 @@ def test_files_of_one_writer_share_their_map():
     assert [pdf.pages(pdf.rendered(x)) for x in ("uno ñ", "dos €")] == [["uno ñ"], ["dos €"]]
     after = pdf._mapped.cache_info()
     assert after.misses - before.misses <= 1 and after.hits > before.hits
+
+
+def test_texts_leave_a_batch_in_small_ones(spark):
+    """A task holds the texts of few files, however large its batches are."""
+    found = []
+
+    class Files:
+        dtypes = [("archivo", "int")]
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            found.append(run)
+            return self
+
+    files.pdf_texts(Files(), lambda raw: [raw.decode()])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array([b"x"] * 1000)], ["archivo", "content"])
+    out = list(found[0]([batch]))
+    assert [b.num_rows for b in out] == [256, 256, 256, 232] and pa.Table.from_batches(out).column("archivo").to_pylist() == list(range(1000))
