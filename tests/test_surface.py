@@ -193,3 +193,15 @@ def test_reports(spark):
 def test_profile_text(spark):
     t = profiles.peopled(spark.range(16)).select("archivo", profiles.profile_text().alias("t")).orderBy("archivo").first()["t"].split("\n")
     assert t[:4] == ["Alba Ríos", "Backend Developer | Madrid", "alba_rios@example.org", "PERFIL"] and "EXPERIENCIA" in t
+
+
+def test_a_whole_ranking_joins_no_candidates(spark):
+    """What a pair needs is told where it is met, not looked up again."""
+    offers = spark.createDataFrame([(1, [1.0, 0.0], "Requisitos\n- 9 años de experiencia")], "offer_id int, v array<double>, texto string")
+    rows = [(i, f"n{i}", [1.0, float(i)], [[0.0, 1.0], [1.0, 0.0]], ["a", f"b{i}"], "EXPERIENCIA\n2 años de experiencia") for i in range(3)] + [(8, "x", None, [], [], ""), (9, "y", [0.0, 1.0], [], [], None)]
+    cands = spark.createDataFrame(rows, "cand_id int, nombre string, v array<double>, fragmentos array<array<double>>, trozos array<string>, texto string")
+    out = service.rank_detailed(offers, cands, 2026)
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    got = [(r["posicion"], r["cand_id"], r["nombre"], r["extracto"]) for r in out.orderBy("posicion").collect()]
+    assert got == [(1, 0, "n0", "b0"), (2, 1, "n1", "b1"), (3, 2, "n2", "b2"), (4, 9, "y", "")]
+    assert [r["extracto"] for r in service.rank_detailed(offers, cands, 2026, 2).orderBy("posicion").collect()] == ["b0", "b1"]
