@@ -31,6 +31,9 @@ SKETCH = 4
 SENT = 1 << 21
 #: Members of a key beyond which the smallest is held against the others first.
 HOT = 2
+#: Members of a key beyond which those of several components are not held against
+#: each other, but met by their differences from a common set.
+WIDE = 16
 _ODD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA24BAED4963EE407, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
@@ -165,13 +168,22 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def verified(pairs: DataFrame, texts: Texts) -> DataFrame:
-    """The pairs (a, b), each once, whose sets are similar enough."""
-    docs, nodes, rule = texts
+def _closer(pairs: DataFrame, texts: Texts) -> DataFrame:
+    """The pairs (a, b) that long sketches allow; written()."""
+    nodes, rule = texts.nodes, texts.rule
     info = F.struct("size", "sketch")
     side = lambda key, name: nodes.select(F.col("node").alias(key), info.alias(name))
-    pairs = written(pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").where(_close(rule, F.col("x"), F.col("y"))).select("a", "b"))
-    wanted = written(pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct())
+    return written(pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").where(_close(rule, F.col("x"), F.col("y"))).select("a", "b"))
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b"))
+
+
+def spelled(wanted: DataFrame, texts: Texts) -> DataFrame:
+    """(node, sh), the sets of the wanted nodes, each once; written()."""
+    docs, nodes, rule = texts
+    wanted = written(wanted.distinct())
     n = wanted.count()
     reps = written(wanted.join(nodes.select("node", "rep"), "node").select(F.col("rep").alias("doc_id")).distinct())
     sent = keys_sent(wanted, "node")
@@ -181,21 +193,76 @@ def verified(pairs: DataFrame, texts: Texts) -> DataFrame:
         some = some.unionByName(docs.where("doc_id is null"))
     sets = some.select("text").mapInArrow(tn.trimmed(_spelled(rule.shingle, sent)), "node long, sh array<long>")
     sets = written(sets if sent is not None else sets.join(wanted, "node", "left_semi"))
-    if sets.count() > n:
-        sets = written(sets.dropDuplicates(["node"]))
+    return written(sets.dropDuplicates(["node"])) if sets.count() > n else sets
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     left, right = sets.select(F.col("node").alias("a"), F.col("sh").alias("x")), sets.select(F.col("node").alias("b"), F.col("sh").alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
     return pairs.join(left, "a").join(right, "b").where(shared * (rule.num + rule.den) >= (F.size("x") + F.size("y")) * rule.num).select("a", "b")
 
 
+def verified(pairs: DataFrame, texts: Texts) -> DataFrame:
+    """The pairs (a, b), each once, whose sets are similar enough."""
+    pairs = _closer(pairs, texts)
+    return _similar(pairs, spelled(_ends(pairs), texts), texts.rule)
+
+
+def _apart(x: str, y: str):
+    return F.concat(F.array_except(x, y), F.array_except(y, x))
+
+
+def around(group: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs (a, b) of which the links within each hub's members (hub, node, of)
+    join the same components as all links between those that differ in ``of``.
+
+    Sets are told by what they differ in from the hub's centre, the hub's set with
+    whatever most members have otherwise. Of differences d and size n a set has the
+    reach f = (num + den) |d| - (den - num) n, and two sets are linked if and only if
+    f(x) + f(y) <= 2 (num + den) |d(x) & d(y)|. So all pairs with f(x) + f(y) <= 0 are
+    linked, and the member of least f with both of them: that star replaces them. Of
+    any other pair one lies outside the star, and both share differences, of which the
+    first in the order of rarity stands within a prefix of either.
+    """
+    unit, slack = rule.num + rule.den, rule.den - rule.num
+    own = group.join(sets, "node").join(sets.select(F.col("node").alias("hub"), F.col("sh").alias("its")), "hub")
+    own = written(own.select("hub", "node", "of", F.size("sh").alias("size"), _apart("sh", "its").alias("d")))
+    counts = own.select("hub", F.explode("d").alias("e")).groupBy("hub", "e").agg(F.count("*").alias("c"))
+    counts = written(counts.join(group.groupBy("hub").agg(F.count("*").alias("n")), "hub"))
+    centre = counts.where("2 * c > n").groupBy("hub").agg(F.collect_list("e").alias("m"))
+    own = own.join(centre, "hub", "left").withColumn("d", F.when(F.col("m").isNull(), F.col("d")).otherwise(_apart("d", "m")))
+    # Written, so that the least of a hub is taken by tasks before its members meet.
+    own = written(own.select("hub", "node", "of", "size", "d", (F.size("d") * unit - F.col("size") * slack).alias("f")))
+    own = own.join(written(own.groupBy("hub").agg(F.min(F.struct("f", "node", "of")).alias("mid"))), "hub")
+    least = F.col("mid.f")
+    star = own.where((F.col("f") + least <= 0) & (F.col("of") != F.col("mid.of"))).select(F.col("mid.node").alias("a"), F.col("node").alias("b"))
+    rare = counts.select("hub", "e", F.least("c", F.col("n") - F.col("c")).alias("r"))
+    told = own.select("hub", "node", F.explode("d").alias("e")).join(rare, ["hub", "e"])
+    told = told.groupBy("hub", "node").agg(F.sort_array(F.collect_list(F.struct("r", "e"))).alias("d"))
+    told = own.drop("d").join(told, ["hub", "node"]).withColumn("stray", F.col("f") + least > 0)
+    # Differences that both must share: at least so many with any partner outside the star, or with any.
+    shared = lambda f: F.greatest(F.ceil(f / (2 * unit)), F.lit(1)).cast("int")
+    last = lambda f: F.size("d") - shared(F.col("f") + f)
+    told = told.withColumn("to", F.when(F.col("stray"), last(least)).otherwise(last(F.lit(1) - least)))
+    told = told.select("hub", F.struct("node", "of", "size", "f", "stray", F.size("d").alias("n")).alias("x"), "to", F.posexplode("d").alias("at", "d"))
+    told = written(told.where("at <= to and d.r > 1").select("hub", F.col("d.e").alias("e"), "x", "at"))
+    x, y = F.col("x"), F.col("y")
+    other = told.where("x.stray").select("hub", "e", F.col("x").alias("y"), F.col("at").alias("its"))
+    both = shared(x["f"] + y["f"])
+    meets = (x["of"] != y["of"]) & (~x["stray"] | (x["node"] < y["node"])) & (F.least(x["size"], y["size"]) * rule.den >= F.greatest(x["size"], y["size"]) * rule.num)
+    met = told.join(other, ["hub", "e"]).where(meets & (F.col("at") <= x["n"] - both) & (F.col("its") <= y["n"] - both))
+    return star.unionAll(met.select(x["node"].alias("a"), y["node"].alias("b")))
+
+
 def links(members: DataFrame, texts: Texts, may_link=None, proposed: DataFrame | None = None) -> DataFrame:
     """Edges (a, b) between nodes whose components are those of all links among
     the members (h, x) of each key, x a struct of node, size and the short sketch.
     The members of a key are first held against the smallest of them, and then
-    only across the components this gives, each outside the largest against all.
-    So a large group of copies costs rows in proportion to its members, and no
-    link between components is left out. may_link rules out further pairs, proposed
-    (a, b) adds some; all are verified."""
+    only across the components this gives: each outside the largest against all, or,
+    where a key has more than WIDE, around that largest component (``around``). So
+    large groups of copies or of near copies cost rows in proportion to their members,
+    and no link between components is left out. may_link rules out further pairs,
+    proposed (a, b) adds some; all are verified."""
     rule = texts.rule
     groups = written(members.groupBy("h").agg(F.count("*").alias("n"), F.min("x.node").alias("low")))
     few, hot = groups.where(F.col("n") <= HOT).select("h"), groups.where(F.col("n") > HOT)
@@ -212,11 +279,17 @@ def links(members: DataFrame, texts: Texts, may_link=None, proposed: DataFrame |
     known = components(found)
     own = members.join(hot.select("h"), "h", "left_semi").withColumn("node", F.col("x.node"))
     own = written(own.join(known, "node", "left").select("h", "x", F.coalesce("component", "node").alias("of")))
-    main = own.groupBy("h", "of").agg(F.count("*").alias("n")).groupBy("h").agg(F.max_by("of", F.struct("n", "of")).alias("main"), F.count("*").alias("parts"))
+    main = own.groupBy("h", "of").agg(F.count("*").alias("n")).groupBy("h").agg(F.max_by("of", F.struct("n", "of")).alias("main"), F.count("*").alias("parts"), F.sum("n").alias("n"))
     main = written(main.where("parts > 1"))
-    stray = own.join(main, "h").where("of <> main").select("h", F.col("x").alias("y"), F.col("of").alias("its"))
-    across = stray.join(own.join(main.select("h"), "h", "left_semi"), "h").where((F.col("of") != F.col("its")) & allowed & (x["node"] != y["node"]))
-    return found.unionAll(verified(_ordered(pairs(across)), texts))
+    small, wide = main.where(F.col("n") <= WIDE), main.where(F.col("n") > WIDE)
+    stray = own.join(small, "h").where("of <> main").select("h", F.col("x").alias("y"), F.col("of").alias("its"))
+    across = stray.join(own.join(small.select("h"), "h", "left_semi"), "h").where((F.col("of") != F.col("its")) & allowed & (x["node"] != y["node"]))
+    across = _closer(_ordered(pairs(across)), texts)
+    group = written(own.join(wide, "h").select(F.col("main").alias("hub"), x["node"].alias("node"), "of").distinct())
+    sets = spelled(_ends(across).unionAll(group.select("node")).unionAll(group.select("hub")), texts)
+    if not group.isEmpty():
+        across = across.unionAll(_closer(_ordered(around(group, sets, rule)), texts)).distinct()
+    return found.unionAll(_similar(across, sets, rule))
 
 
 def grouped(nodes: DataFrame, edges: DataFrame) -> DataFrame:

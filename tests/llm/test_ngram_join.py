@@ -54,6 +54,41 @@ def test_components_are_those_of_all_links(spark, monkeypatch, hot, sent):
     assert sorted(map(tuple, got.collect())) == brute(texts)
 
 
+def versions(seed, n, size=200, most=16, parents=0.0):
+    """Copies of one text with up to so many edits, of the text or of earlier copies:
+    many are similar, but too few to be linked."""
+    rng, out = random.Random(seed), []
+    base = [f"w{rng.randrange(4000)}" for _ in range(size)]
+    for _ in range(n):
+        w = list(rng.choice(out).split() if out and rng.random() < parents else base)
+        for _ in range(rng.randrange(most)):
+            at = rng.randrange(len(w))
+            w[at : at + 1] = [] if rng.random() < 0.2 else [f"n{rng.randrange(300)}"]
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize("seed,most,parents", [(1, 8, 0.9), (2, 24, 0.0), (3, 14, 0.4)])
+def test_large_groups_of_versions_lose_no_link(spark, monkeypatch, seed, most, parents):
+    """Around a hub, where every set is a component of its own; far fewer meet than
+    the pairs of a group."""
+    texts = versions(seed, 60, most=most, parents=parents) + versions(seed + 9, 30, 40, most // 3, parents)
+    h, bounds = shingle_sets.sets_of(next(tn.chunks(tn.pa.array(texts))), 4)
+    sets = {int(n): h[a:b].view(np.int64).tolist() for n, a, b in zip(shingle_sets.nodes_of(h, bounds), bounds, bounds[1:])}
+    group = spark.createDataFrame([(min(sets), n, n) for n in sets], "hub long, node long, of long")
+    met = shingle_sets.around(group, spark.createDataFrame([*sets.items()], "node long, sh array<long>"), ngram_join.RULE).collect()
+    assert len(met) < 2 * len(sets)
+    root = {n: n for n in sets}
+    for a, b in met:
+        if 100 * len({*sets[a]} & {*sets[b]}) >= 85 * len({*sets[a]} | {*sets[b]}):
+            root = {n: min(root[a], root[b]) if r in (root[a], root[b]) else r for n, r in root.items()}
+    parts = lambda of: sorted(sorted(n for n in of if of[n] == r) for r in {*of.values()})
+    by_text = [int(n) for n in shingle_sets.nodes_of(h, bounds)]
+    assert parts(root) == parts({n: r for n, (_, _, r) in zip(by_text, brute(texts))})
+    monkeypatch.setattr(shingle_sets, "WIDE", 2)
+    assert sorted(map(tuple, ngram_join.jaccard_groups(frame(spark, texts)).collect())) == brute(texts)
+
+
 def test_odd_rows(spark):
     a = " ".join(f"a{i}" for i in range(60))
     docs = spark.createDataFrame([(3, a), (3, a), (None, a + " end"), (None, "x y"), (2, ""), (1, None), (None, None)], "doc_id long, text string")
