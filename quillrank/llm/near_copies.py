@@ -8,6 +8,13 @@ shingles, two similar sets share a shingle among the first s - ceil(0.8 s) + 1 o
 each. The order puts rare shingles first, by counts in a table that shingles share
 by hash. All pairs are verified on the sets themselves.
 
+In large inputs a counter has many shingles, and a passage of many unlike texts can
+stand in front of rarer ones. Such shingles are known from the first prefixes: those
+in more than WIDE of them, and those that would move up for them in the same texts,
+come last in the order, and the prefixes are taken anew. The order is still one for
+all sets, so no link is lost. Without it the large groups that share a passage, whose
+sets differ in nearly all they have, would meet by these differences.
+
 Only shingles that stand in the prefixes of two sets go on: smallest and largest
 set per shingle tell, which combines before the shuffle. How the members of a
 shingle meet, and how pairs are ruled out, is said in shingle_sets.
@@ -35,6 +42,8 @@ SHINGLE = 5
 NUM, DEN = 4, 5
 #: Counters that order the shingles; any size gives the same links.
 COUNTERS = 1 << 17
+#: The level of shingles that come last.
+LAST = np.iinfo(np.uint16).max
 #: Bits in which fingerprints of linked texts may differ.
 TAU = 2
 RULE = ss.Rule(SHINGLE, NUM, DEN)
@@ -79,9 +88,10 @@ def _levels(docs: DataFrame) -> np.ndarray:
     return out
 
 
-def _prefixes(sent, shared=None):
+def _prefixes(sent, shared=None, late=None, ahead=False):
     """(h, node, size, place) of each set's first shingles in the order; only
-    those that are shared, where these are given."""
+    those that are shared, where these are given. Those that are late come last.
+    ahead: of sets that have late ones, those that may move up into the prefix."""
 
     def run(batches):
         levels = sent.value
@@ -91,11 +101,18 @@ def _prefixes(sent, shared=None):
                 size, node = np.diff(bounds), ss.nodes_of(h, bounds)
                 _, once = np.unique(node, return_index=True)
                 doc = np.repeat(np.arange(len(size)), size)
-                order = np.lexsort((h, levels[(h % np.uint64(COUNTERS)).astype(np.int64)], doc))
+                level = levels[(h % np.uint64(COUNTERS)).astype(np.int64)]
+                moved = np.zeros(len(h), bool) if late is None else ss.held(h.view(np.int64), late.value)
+                level[moved] = LAST
+                order = np.lexsort((h, level, doc))
                 place = np.arange(len(h)) - bounds[:-1][doc]
                 most = np.zeros(len(size), np.int64)
                 most[once] = (size - (-(-NUM * size // DEN)) + 1)[once]
-                own = np.flatnonzero(place < most[doc])
+                if ahead:
+                    n = np.bincount(doc[moved], minlength=len(size))
+                    own = np.flatnonzero((n[doc] > 0) & (place >= (most - n)[doc]) & (place < 2 * most[doc]))
+                else:
+                    own = np.flatnonzero(place < most[doc])
                 key = h[order][own].view(np.int64)
                 if shared is not None:
                     hit = ss.held(key, shared.value)
@@ -124,16 +141,45 @@ def _proposed(nodes: DataFrame) -> DataFrame:
     return same.unionAll(linked)
 
 
+def _shared(entries: DataFrame) -> DataFrame:
+    """(h, n): the shingles in the prefixes of several nodes, and in how many
+    entries; written()."""
+    ends = entries.groupBy("h").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n"))
+    return written(ends.where("low < high").select("h", "n"))
+
+
+def _late(counts: DataFrame) -> np.ndarray:
+    """The shingles in more than WIDE of the entries counted (h, n): all, or the
+    most frequent, as many as can be sent to every task."""
+    wide = written(counts.where(F.col("n") > ss.WIDE).select("h", "n"))
+    steps = wide.groupBy(F.floor(F.log2("n")).alias("step")).agg(F.count("*").alias("keys"), F.min("n").alias("least")).collect()
+    total, least = 0, None
+    for step in sorted(steps, key=lambda r: -r["step"]):  # doublings, so a few dozen rows
+        total += step["keys"]
+        if total > ss.SENT:
+            break
+        least = step["least"]
+    return np.empty(0, np.int64) if least is None else wide.where(F.col("n") >= least).select("h").toArrow().column(0).to_numpy()
+
+
 def _members(texts: ss.Texts) -> DataFrame:
     """(h, x): for every prefix shingle of several nodes, each of them."""
     docs, nodes, _ = texts
-    sent = docs.sparkSession.sparkContext.broadcast(_levels(docs))
+    sc = docs.sparkSession.sparkContext
+    sent = sc.broadcast(_levels(docs))
     schema = "h long, node long, size int, place int"
-    entries = docs.select("text").mapInArrow(tn.trimmed(_prefixes(sent)), schema)
-    ends = entries.groupBy("h").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    shared = written(ends.select("h"))
+    first = lambda *known: docs.select("text").mapInArrow(tn.trimmed(_prefixes(sent, *known)), schema)
+    late, entries = None, first()
+    shared = _shared(entries)
+    wide = _late(shared)
+    if len(wide):
+        moved = first(None, sc.broadcast(np.sort(wide)), True).groupBy("h").agg(F.count("*").alias("n"))
+        late = sc.broadcast(np.unique(np.append(wide, _late(moved))))
+        entries = first(None, late)
+        shared = _shared(entries)
+    shared = shared.select("h")
     keys = ss.keys_sent(shared, "h")
-    own = docs.select("text").mapInArrow(tn.trimmed(_prefixes(sent, keys)), schema) if keys is not None else entries.join(shared, "h", "left_semi")
+    own = first(keys, late) if keys is not None else entries.join(shared, "h", "left_semi")
     own = own.dropDuplicates(["h", "node"])
     return own.join(nodes.select("node", *ss.INFO), "node").select("h", F.struct("node", "size", "place", *ss.INFO).alias("x"))
 

@@ -3,10 +3,11 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from common import DOCS, frame, lower, words
 
-from quillrank.llm import shingle_sets
+from quillrank.llm import near_copies, shingle_sets
 
 
 def shingles(text):
@@ -63,6 +64,30 @@ def test_a_large_group_of_near_copies_grows_in_proportion(spark, monkeypatch):
     assert sum(held) < 20 * n  # of 179,700 pairs
 
 
+def test_a_passage_of_many_unlike_texts_is_no_key(spark, monkeypatch):
+    """Where the counters tell nothing of a shingle's rarity, as in large inputs."""
+    monkeypatch.setattr(near_copies, "_levels", lambda docs: np.zeros(near_copies.COUNTERS, np.uint16))
+    rng, found, links = random.Random(8), [], shingle_sets.links
+
+    def seen(members, *more):
+        found.extend(r["count"] for r in members.groupBy("h").count().collect())
+        return links(members, *more)
+
+    monkeypatch.setattr(shingle_sets, "links", seen)
+    passage, texts = [f"p{i}" for i in range(40)], []
+    for i in range(60):
+        body = [f"w{i}x{j}" for j in range(120)]
+        body[60:60] = passage
+        texts.append(" ".join(body))
+    for i in range(0, 60, 7):
+        body = texts[i].split()
+        body[rng.randrange(160)] = "new"
+        texts.append(" ".join(body))
+    left = corpus_pipeline.drop_near_copies(spark, frame(spark, texts), "")
+    assert sorted(r["doc_id"] for r in left.collect()) == sorted(set(roots(texts)))
+    assert max(found) <= shingle_sets.WIDE
+
+
 def test_ids_that_repeat_with_other_texts(spark):
     a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
     texts = [(1, a), (2, a), (2, b), (3, c), (3, d), (3, d + " end"), (4, c), (None, a), (None, a)]
