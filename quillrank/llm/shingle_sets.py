@@ -227,7 +227,8 @@ def around(group: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     unit, slack = rule.num + rule.den, rule.den - rule.num
     own = group.join(sets, "node").join(sets.select(F.col("node").alias("hub"), F.col("sh").alias("its")), "hub")
     own = written(own.select("hub", "node", "of", F.size("sh").alias("size"), _apart("sh", "its").alias("d")))
-    counts = own.select("hub", F.explode("d").alias("e")).groupBy("hub", "e").agg(F.count("*").alias("c"))
+    # An element that differs in one member only is shared by no two, and needs no row but here.
+    counts = own.select("hub", F.explode("d").alias("e")).groupBy("hub", "e").agg(F.count("*").alias("c")).where("c > 1")
     counts = written(counts.join(group.groupBy("hub").agg(F.count("*").alias("n")), "hub"))
     centre = counts.where("2 * c > n").groupBy("hub").agg(F.collect_list("e").alias("m"))
     own = own.join(centre, "hub", "left").withColumn("d", F.when(F.col("m").isNull(), F.col("d")).otherwise(_apart("d", "m")))
@@ -236,16 +237,18 @@ def around(group: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     own = own.join(written(own.groupBy("hub").agg(F.min(F.struct("f", "node", "of")).alias("mid"))), "hub")
     least = F.col("mid.f")
     star = own.where((F.col("f") + least <= 0) & (F.col("of") != F.col("mid.of"))).select(F.col("mid.node").alias("a"), F.col("node").alias("b"))
-    rare = counts.select("hub", "e", F.least("c", F.col("n") - F.col("c")).alias("r"))
+    rare = counts.select("hub", "e", F.least("c", F.col("n") - F.col("c")).alias("r")).where("r > 1")
     told = own.select("hub", "node", F.explode("d").alias("e")).join(rare, ["hub", "e"])
-    told = told.groupBy("hub", "node").agg(F.sort_array(F.collect_list(F.struct("r", "e"))).alias("d"))
-    told = own.drop("d").join(told, ["hub", "node"]).withColumn("stray", F.col("f") + least > 0)
+    told = told.groupBy("hub", "node").agg(F.sort_array(F.collect_list(F.struct("r", "e"))).alias("known"))
+    told = own.withColumn("n", F.size("d")).drop("d").join(told, ["hub", "node"]).withColumn("stray", F.col("f") + least > 0)
     # Differences that both must share: at least so many with any partner outside the star, or with any.
     shared = lambda f: F.greatest(F.ceil(f / (2 * unit)), F.lit(1)).cast("int")
-    last = lambda f: F.size("d") - shared(F.col("f") + f)
+    last = lambda f: F.col("n") - shared(F.col("f") + f)
     told = told.withColumn("to", F.when(F.col("stray"), last(least)).otherwise(last(F.lit(1) - least)))
-    told = told.select("hub", F.struct("node", "of", "size", "f", "stray", F.size("d").alias("n")).alias("x"), "to", F.posexplode("d").alias("at", "d"))
-    told = written(told.where("at <= to and d.r > 1").select("hub", F.col("d.e").alias("e"), "x", "at"))
+    # Those of one member alone come first in the order.
+    alone = F.col("n") - F.size("known")
+    told = told.select("hub", F.struct("node", "of", "size", "f", "stray", "n").alias("x"), "to", alone.alias("alone"), F.posexplode("known").alias("at", "d"))
+    told = written(told.withColumn("at", F.col("at") + F.col("alone")).where("at <= to").select("hub", F.col("d.e").alias("e"), "x", "at"))
     x, y = F.col("x"), F.col("y")
     other = told.where("x.stray").select("hub", "e", F.col("x").alias("y"), F.col("at").alias("its"))
     both = shared(x["f"] + y["f"])

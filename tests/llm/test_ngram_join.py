@@ -89,6 +89,23 @@ def test_large_groups_of_versions_lose_no_link(spark, monkeypatch, seed, most, p
     assert sorted(map(tuple, ngram_join.jaccard_groups(frame(spark, texts)).collect())) == brute(texts)
 
 
+def test_differences_of_one_member_make_no_rows_for_its_hub(spark, monkeypatch):
+    rng, made, written = random.Random(6), [], shingle_sets.written
+
+    def counted(df, *more):
+        out = written(df, *more)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(shingle_sets, "written", counted)
+    sets = {0: list(range(100))}
+    for i in range(1, 200):
+        sets[i] = [*rng.sample(sets[0], 94), *range(1000 * i, 1000 * i + 20)]
+    group = spark.createDataFrame([(0, n, n) for n in sets], "hub long, node long, of long")
+    shingle_sets.around(group, spark.createDataFrame([*sets.items()], "node long, sh array<long>"), ngram_join.RULE)
+    assert max(made) <= 6 * len(sets)  # each differs from the hub in 26 elements, of which it has 20 alone
+
+
 def test_odd_rows(spark):
     a = " ".join(f"a{i}" for i in range(60))
     docs = spark.createDataFrame([(3, a), (3, a), (None, a + " end"), (None, "x y"), (2, ""), (1, None), (None, None)], "doc_id long, text string")
